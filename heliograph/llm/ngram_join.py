@@ -14,8 +14,10 @@ How it runs
    size.  It only orders shingles from rare to frequent; any order is exact, a
    good one keeps widely shared passages out of the prefixes below.
 3. *Partition.*  A linking pair must share a shingle inside short prefixes of
-   their ordered sets.  Runs of a shared prefix shingle give chains of edges
-   (linear in the run, never pairs), whose components partition the documents:
+   their ordered sets.  Short runs of a shared prefix shingle give pairs, which
+   stay only if the counts of their shingles by range of hash values admit the
+   overlap (an upper bound, so nothing is lost).  Long runs give chains of
+   edges, linear in the run.  The components of both partition the documents:
    every link lies inside one part.
 4. *Groups.*  Parts are cut into tiles of bounded size.  In a tile, documents
    ordered by a minimum hash form small groups; the token-group matrix stores
@@ -31,6 +33,7 @@ quadratic in the part's bytes over the tile size; exact copies cost nothing.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +45,10 @@ from heliograph.lineage import keep
 from heliograph.llm.textops import U, Words, chunks, distinct, mix, row_of, row_sums, shingles
 from heliograph.operators.components import connected_components
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 SKETCH_PARTS = 64
+#: Longer runs of a prefix shingle are chained instead of paired.
+SHORT_RUN = 32
 BITMAP_BITS = 22
 TILE_TOKENS = 500_000
 GROUP_ROWS = 32
@@ -63,23 +68,27 @@ def _sets(column: pa.Array, k: int, seed: int) -> Iterator[tuple]:
 
 
 def _members(k: int, seed: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("key2", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("key2", pa.int64()), ("profile", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
-            for a, b, h, _, n, key, key2 in _sets(batch.column(1), k, seed):
+            for a, b, h, bounds, n, key, key2 in _sets(batch.column(1), k, seed):
                 cells += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
                 m = b - a
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, m), pa.array(n.astype(np.int32)), pa.array(_signed(key)), pa.array(_signed(key2)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema
+                    [
+                        batch.column(0).slice(a, m), pa.array(n.astype(np.int32)), pa.array(_signed(key)), pa.array(_signed(key2)),
+                        pa.array([profile(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
+                    ],
+                    schema=schema,
                 )
         if cells.any():
             size = len(cells) // SKETCH_PARTS
-            rows = [(p, cells[p * size : (p + 1) * size].astype("<u4").tobytes()) for p in range(SKETCH_PARTS)]
+            rows = [(p, zlib.compress(cells[p * size : (p + 1) * size].astype("<u8").tobytes(), 1)) for p in range(SKETCH_PARTS)]
             m = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema
+                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema
             )
 
     return run
@@ -88,8 +97,7 @@ def _members(k: int, seed: int):
 def _add_up(key: tuple, table: pa.Table) -> pa.Table:
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, dtype=np.uint64)
     for value in table.column("counts"):
-        raw = np.frombuffer(value.as_py(), dtype="<u4" if len(value.as_py()) == 4 * len(total) else "<u8")
-        total += raw
+        total += np.frombuffer(zlib.decompress(value.as_py()), dtype="<u8")
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<u8").tobytes()], pa.binary())})
 
 
@@ -125,42 +133,110 @@ def _prefixes(k: int, seed: int, percent: int, sketch: np.ndarray):
     return run
 
 
-def _chain(percent: int):
-    """Edges along each run of a token, rows sorted by (token, n, key).
+def profile(h: np.ndarray) -> bytes:
+    """Counts of sorted hashes in equal ranges of values, about eight a range; 255 stands for any more."""
+    bits = max(4, (len(h) // 8).bit_length())
+    return np.minimum(np.bincount((h >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(a: bytes, b: bytes, most: int) -> int:
+    """No two sets with these profiles share more shingles."""
+    x, y = (np.frombuffer(p, dtype=np.uint8).astype(np.int64) for p in (a, b))
+    if x.max(initial=0) == 255 or y.max(initial=0) == 255:
+        return most
+    size = min(len(x), len(y))
+    return int(np.minimum(x.reshape(size, -1).sum(axis=1), y.reshape(size, -1).sum(axis=1)).sum())
+
+
+def _runs(percent: int):
+    """Pairs of short runs and chains of long ones; rows come sorted by (token, n, key).
 
     A row may link with an index row of at most its size and at least the
-    threshold's share of it; all such index rows chain with one another, so the
-    largest of them stands for all.
+    threshold's share of it.  In a long run all such index rows chain with one
+    another, so the largest of them stands for all.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("chained", pa.bool_())])
+
+    def emit(parts: list[np.ndarray], chained: bool) -> Iterator[pa.RecordBatch]:
+        pairs = np.concatenate(parts, axis=1)
+        pairs = pairs[:, np.lexsort(pairs)]
+        fresh = np.ones(pairs.shape[1], dtype=bool)
+        fresh[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+        pairs = pairs[:, fresh]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], chained))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_token = None
-        last = (0, 0)  # key and size of the last index row of the token that is open
+        found: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        held: list[tuple] = []  # the open run, while it is short
+        long_token, last = None, (0, 0)  # an open long run, and its last index row
+
+        def pairs_of(n: np.ndarray, key: np.ndarray, index: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+            # the i-th row of each run with the row d places before it
+            for d in range(1, int(length.max(initial=1))):
+                at = np.concatenate([np.arange(s + d, s + m) for s, m in zip(start[length > d].tolist(), length[length > d].tolist(), strict=True)])
+                use = index[at - d] & (100 * n[at - d].astype(np.int64) >= percent * n[at].astype(np.int64)) & (key[at] != key[at - d])
+                # of equal sizes either may be the smaller one
+                use |= index[at] & (n[at] == n[at - d]) & (key[at] != key[at - d])
+                at = at[use]
+                if len(at):
+                    found[False].append(np.stack([np.maximum(key[at], key[at - d]), np.minimum(key[at], key[at - d])]))
+
+        def chain(n: np.ndarray, key: np.ndarray, index: np.ndarray, last: tuple[int, int]) -> tuple[int, int]:
+            at = np.maximum.accumulate(np.where(index, np.arange(len(n)), -1))
+            before = np.concatenate(([-1], at[:-1]))
+            other_key, other_n = np.where(before >= 0, key[before], last[0]), np.where(before >= 0, n[before], last[1])
+            use = (other_n > 0) & (100 * other_n.astype(np.int64) >= percent * n.astype(np.int64)) & (other_key != key)
+            if use.any():
+                found[True].append(np.stack([np.maximum(key[use], other_key[use]), np.minimum(key[use], other_key[use])]))
+            return (int(key[at[-1]]), int(n[at[-1]])) if at[-1] >= 0 else last
+
         for batch in batches:
-            token, n, key = (batch.column(i).to_numpy() for i in range(3))
-            index = batch.column(3).to_numpy(zero_copy_only=False)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if held:
+                columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+                held = []
+            token, n, key, index = columns
             if not len(token):
                 continue
-            # position of the last index row before each row, in the same run
-            at = np.where(index, np.arange(len(token)), -1)
-            before = np.concatenate(([-1], np.maximum.accumulate(at)[:-1]))
-            run_start = np.maximum.accumulate(np.where(np.concatenate(([True], token[1:] != token[:-1])), np.arange(len(token)), 0))
-            inside = before >= run_start
-            other_key = np.where(inside, key[before], last[0])
-            other_n = np.where(inside, n[before], 0)
-            carried = ~inside & (run_start == 0) & (token == last_token) if last_token is not None else np.zeros(len(token), dtype=bool)
-            other_n = np.where(carried, last[1], other_n)
-            use = (other_n > 0) & (100 * other_n.astype(np.int64) >= percent * n.astype(np.int64)) & (other_key != key)
-            if use.any():
-                pairs = np.unique(np.stack([np.maximum(key[use], other_key[use]), np.minimum(key[use], other_key[use])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
-            tail = at[run_start[-1] :].max()
-            if tail >= 0:
-                last = (int(key[tail]), int(n[tail]))
-            elif run_start[-1] > 0 or token[-1] != last_token:
-                last = (0, 0)
-            last_token = int(token[-1])
+            start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            length = np.diff(np.append(start, len(token)))
+            if long_token is not None and token[0] == long_token:
+                last = chain(n[: length[0]], key[: length[0]], index[: length[0]], last)
+                start, length = start[1:], length[1:]
+            if len(start):
+                long_token, last = None, (0, 0)
+                if length[-1] <= SHORT_RUN:
+                    # the last run may go on in the next batch
+                    held = [c[start[-1] :] for c in columns]
+                    start, length = start[:-1], length[:-1]
+                for s, m in zip(start[length > SHORT_RUN].tolist(), length[length > SHORT_RUN].tolist(), strict=True):
+                    last = chain(n[s : s + m], key[s : s + m], index[s : s + m], (0, 0))
+                    long_token = int(token[s]) if s + m == len(token) else None
+                some = (length > 1) & (length <= SHORT_RUN)
+                if some.any():
+                    pairs_of(n, key, index, start[some], length[some])
+            for chained, parts in found.items():
+                if sum(p.shape[1] for p in parts) > 200_000:
+                    yield from emit(parts, chained)
+                    parts.clear()
+        if held and len(held[0]) > 1:
+            pairs_of(held[1], held[2], held[3], np.array([0]), np.array([len(held[0])]))
+        for chained, parts in found.items():
+            if parts:
+                yield from emit(parts, chained)
+
+    return run
+
+
+def _admissible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0), batch.column(1)
+            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            pa_, pb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            ok = [(100 + percent) * overlap_bound(x, y, min(n, m)) >= percent * (n + m) for x, y, n, m in zip(pa_, pb, na, nb, strict=True)]
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
     return run
 
@@ -280,8 +356,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = rows.where("doc_id IS NOT NULL").select("text")
     spark = docs.sparkSession
     for seed in range(8):
-        scan = keep(rows.mapInArrow(_members(k, seed), "doc_id long, n int, key long, key2 long, part int, counts binary"), "ngram-sets")
-        members = scan.where("part IS NULL").select("doc_id", "n", "key", "key2")
+        scan = keep(rows.mapInArrow(_members(k, seed), "doc_id long, n int, key long, key2 long, profile binary, part int, counts binary"), "ngram-sets")
+        members = scan.where("part IS NULL").select("doc_id", "n", "key", "key2", "profile")
         clash = members.where("n > 0").groupBy("key").agg(F.min("key2").alias("x"), F.max("key2").alias("y")).where("x <> y").limit(1).count()
         if not clash:
             break
@@ -295,10 +371,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = np.unique(sketch, return_inverse=True)[1].astype(np.int32)
 
     prefix = named.mapInArrow(_prefixes(k, seed, percent, sketch), "token long, n int, key long, index boolean")
-    edges = keep(
-        prefix.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_chain(percent), "a long, b long").distinct(),
-        "ngram-edges",
+    met = keep(
+        prefix.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_runs(percent), "a long, b long, chained boolean").distinct(),
+        "ngram-runs",
     )
+    profiles = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
+    left = profiles.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+    right = profiles.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+    pairs = met.where("NOT chained").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
+    edges = keep(pairs.mapInArrow(_admissible(percent), "a long, b long").unionByName(met.where("chained").select("a", "b")), "ngram-edges")
     parts = keep(connected_components(edges), "ngram-parts")
     bits = parts.select(F.shiftrightunsigned("node", 64 - BITMAP_BITS).alias("bit"))
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
