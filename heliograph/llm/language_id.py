@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm.columns import add_columns
-from heliograph.llm.textops import U, chunks, mix
+from heliograph.llm.textops import U, chunks, distinct, mix
 
 SIZES = (3, 5)
 FILTER_BITS = 20
@@ -158,15 +158,16 @@ def _gram_counts(sizes: tuple[int, ...]):
             langs = batch.column(0).to_pylist()
             for a, b, data, offsets in chunks(batch.column(1)):
                 stream, bounds, _ = letter_stream(data, offsets)
-                code, names = np.unique(np.array(langs[a:b], dtype=object).astype(str), return_inverse=True)
+                code, lang = np.unique(np.array(langs[a:b], dtype=object).astype(str), return_inverse=True)
                 for size in sizes:
                     h, row = grams(stream, bounds, size)
-                    once = np.unique(np.stack([row.astype(U), h]), axis=1)
-                    pair, count = np.unique(np.stack([names[once[0].astype(np.int64)].astype(U), once[1]]), axis=1, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(code[pair[0].astype(np.int64)].tolist(), pa.string()), pa.array(np.full(len(count), size, dtype=np.int32)), pa.array(pair[1].view(np.int64)), pa.array(count.astype(np.int64))],
-                        names=["lang", "size", "gram", "n"],
-                    )
+                    once, within = distinct(h, np.searchsorted(row, np.arange(b - a + 1)))
+                    owner = np.repeat(lang, np.diff(within))
+                    for i, name in enumerate(code.tolist()):
+                        gram, count = np.unique(once[owner == i], return_counts=True)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([name] * len(gram), pa.string()), pa.array(np.full(len(gram), size, dtype=np.int32)), pa.array(gram.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "size", "gram", "n"]
+                        )
 
     return run
 
