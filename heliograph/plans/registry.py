@@ -23,13 +23,20 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    from heliograph.plans import forensics  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
     return _QUERIES["thr_forest_summary"](spark, sf_dir)
