@@ -19,7 +19,7 @@ _TABLES = ("conversations", "documents", "orders", "lineitem", "customer", "nati
 
 
 def spark_sql(text: str) -> str:
-    text = re.sub(r"\bISO\(([^()]*)\)", r"(date_format(\1, \"yyyy-MM-dd'T'HH:mm:ss\") || '+00:00')", text)
+    text = re.sub(r"\bISO\(([^()]*)\)", r"(date_format(\1, 'yyyy-MM-dd') || 'T' || date_format(\1, 'HH:mm:ss') || '+00:00')", text)
     # the argument of SHA may hold one level of brackets
     return re.sub(r"\bSHA\(((?:[^()]|\([^()]*\))*)\)", r"sha2(\1, 256)", text)
 
