@@ -25,10 +25,10 @@ from heliograph.llm.columns import add_columns
 # One token of a page.  Possessive repeats keep the scan linear on broken markup.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|math|object|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|math|object|select)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>?"
-    r"|<[a-zA-Z][^<>]*(?:>|\Z)"
+    r"|<[a-zA-Z][^<>]*>?"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -179,8 +179,9 @@ def _smooth(values: list[float], radius: int = 1) -> list[float]:
 def select(found: list[Block], share: float = 0.12) -> list[Block]:
     """The content blocks: those on paths whose fused ratio reaches the threshold.
 
-    A path's fused ratio is the mean over its blocks of smoothed length ratio
-    times (1 + smoothed punctuation ratio) times the prior of its labels.  The
+    A path's fused ratio is the geometric mean of its own length ratio and that
+    smoothed over its blocks' places, times (1 + smoothed punctuation ratio),
+    times the prior of its labels.  The
     threshold is ``share`` of the page's best path.  Inside ``article`` or
     ``main`` every path that is not ruled out is kept once one of them passes,
     as headings and short lists belong to their article; elsewhere a passing
@@ -196,7 +197,8 @@ def select(found: list[Block], share: float = 0.12) -> list[Block]:
     if not length:
         return []
     usable = [b for b in found if b.prior]
-    texts = _smooth([length[b.path][0] / length[b.path][2] for b in usable])
+    ratio = [length[b.path][0] / length[b.path][2] for b in usable]
+    texts = [math.sqrt(own * around) for own, around in zip(ratio, _smooth(ratio), strict=True)]
     marks = _smooth([length[b.path][1] / length[b.path][2] for b in usable])
     fused: dict[str, float] = {}
     prior: dict[str, float] = {}

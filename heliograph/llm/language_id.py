@@ -80,8 +80,8 @@ def grams(stream: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray
     row = np.append(row, np.full(len(stream) - len(row), len(bounds) - 1))
     # the last n-gram of a row may end on the blank that the next row starts with
     end = row[size - 2 : size - 2 + n]
-    last = stream[size - 1 :]
-    keep = (row[:n] == end) & ((row[size - 1 :] == row[:n]) | (last == 0)) & (row[:n] < len(bounds) - 1)
+    last, before = stream[size - 1 :], stream[size - 2 : -1]
+    keep = (row[:n] == end) & ((row[size - 1 :] == row[:n]) | ((last == 0) & (before != 0))) & (row[:n] < len(bounds) - 1)
     return mix(h[keep], size), row[:n][keep]
 
 
