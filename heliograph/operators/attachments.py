@@ -6,14 +6,13 @@ removed or added.  Attachments that could not be decoded take no part, and
 what the other side lost or gained beside them is suppressed.
 
 Pairing inside a group of equal bytes (or names) is by rank: the units of both
-sides are laid out in order, and units of the same rank meet.  A side's cells
-are intervals of that line, so pairing is the overlap of intervals and no unit
-is ever made into a row.
+sides are laid out in order, and units of the same rank meet.  All of it works
+on the two arrays of an edge, so the only shuffle is the join to the parent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.operators.gate import gate_edges, numbered
@@ -49,33 +48,42 @@ def prepare(mails: DataFrame, scope: str = "scope") -> DataFrame:
     return gate_edges(split_attachments(mails), scope)
 
 
-def _cells(side: DataFrame, items: str, scope: str) -> DataFrame:
-    each = side.select(scope, "uid", F.posexplode(items).alias("idx", "a"))
-    return each.groupBy(scope, "uid", F.col("a.name").alias("name"), F.col("a.sha256").alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min_by("a.size", "idx").alias("size"))
+def _equal(a: Column, b: Column) -> Column:
+    return (a["name"] == b["name"]) & (a["sha256"] == b["sha256"])
 
 
-def _pair(left: DataFrame, by: list[str], other: str, scope: str) -> DataFrame:
-    """Adds to each cell the overlaps with the other side's cells of the same group.
+def _surplus(own: str, other: str) -> Column:
+    """Units of one side beyond the other side's count of the same (name, bytes); each cell has its first unit's size."""
+    mine, theirs = F.col(own), F.col(other)
+    ranked = F.transform(
+        mine,
+        lambda x, i: F.struct(x["name"].alias("name"), x["sha256"].alias("sha256"), F.get(F.filter(mine, lambda y: _equal(x, y)), F.lit(0))["size"].alias("size"), F.size(F.filter(F.slice(mine, 1, i), lambda y: _equal(x, y))).alias("k")),
+    )
+    return F.filter(ranked, lambda u: u["k"] >= F.size(F.filter(theirs, lambda y: _equal(u, y))))
 
-    ``left`` has both sides' leftovers as rows (side, n).  Cells are intervals
-    of cumulative counts; two cells meet in the overlap of their intervals.
-    Groups are small: the attachments of one mail pair.
-    """
-    w = Window.partitionBy(scope, "uid", *by, "side").orderBy(other).rowsBetween(Window.unboundedPreceding, 0)
-    laid = left.where("n > 0").withColumn("end", F.sum("n").over(w)).withColumn("begin", F.col("end") - F.col("n"))
-    p = laid.where("side = 'p'").select(scope, "uid", *by, F.col(other).alias(f"p_{other}"), F.col("size").alias("p_size"), F.col("begin").alias("pb"), F.col("end").alias("pe"))
-    c = laid.where("side = 'c'").select(scope, "uid", *by, F.col(other).alias(f"c_{other}"), F.col("size").alias("c_size"), F.col("begin").alias("cb"), F.col("end").alias("ce"))
-    met = p.join(c, [scope, "uid", *by]).where("pb < ce AND cb < pe")
-    return met.withColumn("count", F.least("pe", "ce") - F.greatest("pb", "cb"))
+
+def _laid_out(units: str, by: str, other: str) -> Column:
+    """Units in order of (by, other), with their rank inside their group."""
+    ordered = F.array_sort(F.transform(units, lambda u: F.struct(u[by].alias(by), u[other].alias(other), u["size"].alias("size"))))
+    keys = F.transform(ordered, lambda u: u[by])
+    return F.transform(ordered, lambda u, i: F.struct(u[by].alias(by), (i - F.array_position(keys, u[by])).alias("r"), u[other].alias(other), u["size"].alias("size")))
 
 
-def _take(left: DataFrame, pairs: DataFrame, by: list[str], other: str, scope: str) -> DataFrame:
-    """What is left of each cell after pairing."""
-    used = None
-    for side in ("p", "c"):
-        part = pairs.groupBy(scope, "uid", *by, F.col(f"{side}_{other}").alias(other)).agg(F.sum("count").alias("used")).withColumn("side", F.lit(side))
-        used = part if used is None else used.unionByName(part)
-    return left.join(used, [scope, "uid", "side", "name", "sha256"], "left").withColumn("n", F.col("n") - F.coalesce("used", F.lit(0))).drop("used")
+def _pair(edge: DataFrame, by: str, other: str) -> DataFrame:
+    """Adds ``pairs`` of (p, c) units and takes them out of ``p_left`` and ``c_left``."""
+    edge = edge.withColumn("p_line", _laid_out("p_left", by, other)).withColumn("c_line", _laid_out("c_left", by, other))
+    key = lambda u: F.struct(u[by], u["r"])
+    p_keys, c_keys = F.transform("p_line", key), F.transform("c_line", key)
+    edge = edge.withColumn("p_keys", p_keys).withColumn("c_keys", c_keys)
+    pairs = F.transform(F.filter("p_line", lambda u: F.array_contains(F.col("c_keys"), key(u))), lambda u: F.struct(u.alias("p"), F.get("c_line", F.array_position(F.col("c_keys"), key(u)).cast("int") - 1).alias("c")))
+    unit = lambda u: F.struct(u["name"].alias("name"), u["sha256"].alias("sha256"), u["size"].alias("size"))
+    edge = edge.withColumn("pairs", pairs)
+    edge = edge.withColumn("p_left", F.transform(F.filter("p_line", lambda u: ~F.array_contains(F.col("c_keys"), key(u))), unit))
+    edge = edge.withColumn("c_left", F.transform(F.filter("c_line", lambda u: ~F.array_contains(F.col("p_keys"), key(u))), unit))
+    return edge.drop("p_line", "c_line", "p_keys", "c_keys")
+
+
+_EVENT = "array<struct<type:string,rank:int,filename:string,previous_filename:string,sha256:string,previous_sha256:string,size:bigint,previous_size:bigint>>"
 
 
 def differences(prepared: DataFrame, scope: str = "scope") -> DataFrame:
@@ -83,37 +91,28 @@ def differences(prepared: DataFrame, scope: str = "scope") -> DataFrame:
 
     Columns: scope, uid, parent_uid, thread_root_uid, type, rank, filename,
     previous_filename, sha256, previous_sha256, size, previous_size, count,
-    matched_unchanged, suppressed.
+    matched_unchanged, suppressed.  Work per edge grows with the square of its
+    attachments.
     """
     up = prepared.select(scope, F.col("uid").alias("parent_uid"), F.col("verifiable").alias("p_items"), (F.size("undecodable") > 0).alias("p_bad"))
-    edge = prepared.where("compared").join(up, [scope, "parent_uid"]).withColumn("c_bad", F.size("undecodable") > 0)
-    facts = edge.select(scope, "uid", "parent_uid", "thread_root_uid", "p_bad", "c_bad")
-    p, c = _cells(edge, "p_items", scope), _cells(edge, "verifiable", scope)
-    key = [scope, "uid", "name", "sha256"]
-    both = p.select(*key, F.col("n").alias("pn"), F.col("size").alias("ps")).join(c.select(*key, F.col("n").alias("cn"), F.col("size").alias("cs")), key, "full_outer")
-    zero = lambda name: F.coalesce(name, F.lit(0))
-    both = both.withColumn("common", F.least(zero("pn"), zero("cn")))
-    matched = both.groupBy(scope, "uid").agg(F.sum("common").alias("matched_unchanged"))
-    sides = F.array(F.struct(F.lit("p").alias("side"), (zero("pn") - F.col("common")).alias("n"), F.col("ps").alias("size")), F.struct(F.lit("c").alias("side"), (zero("cn") - F.col("common")).alias("n"), F.col("cs").alias("size")))
-    left = both.select(*key, F.inline(sides)).where("n > 0")
-    renamed = _pair(left, ["sha256"], "name", scope)
-    after = _take(left, renamed, ["sha256"], "name", scope).where("n > 0")
-    changed = _pair(after, ["name"], "sha256", scope)
-    rest = _take(after, changed, ["name"], "sha256", scope).where("n > 0")
-
-    text, number = F.lit(None).cast("string"), F.lit(None).cast("long")
-
-    def rows(df: DataFrame, kind: Column, rank: Column, **given: Column) -> DataFrame:
-        values = {"filename": text, "previous_filename": text, "sha256": text, "previous_sha256": text, "size": number, "previous_size": number, "count": number} | given
-        return df.select(scope, "uid", kind.alias("type"), rank.alias("rank"), *[v.alias(k) for k, v in values.items()])
-
-    out = rows(renamed, F.lit("renamed"), F.lit(0), filename=F.col("c_name"), previous_filename=F.col("p_name"), sha256=F.col("sha256"), size=F.col("c_size"), count=F.col("count"))
-    out = out.unionByName(rows(changed, F.lit("content_changed"), F.lit(1), filename=F.col("name"), sha256=F.col("c_sha256"), previous_sha256=F.col("p_sha256"), size=F.col("c_size"), previous_size=F.col("p_size"), count=F.col("count")))
-    gone = F.col("side") == "p"
-    out = out.unionByName(rows(rest, F.when(gone, "removed").otherwise("added"), F.when(gone, 2).otherwise(3), filename=F.col("name"), sha256=F.col("sha256"), size=F.col("size"), count=F.col("n")))
-    out = out.join(facts, [scope, "uid"]).join(matched, [scope, "uid"], "left")
+    own = prepared.where("compared").select(scope, "uid", "parent_uid", "thread_root_uid", F.col("verifiable").alias("c_items"), (F.size("undecodable") > 0).alias("c_bad"))
+    edge = own.join(up, [scope, "parent_uid"])
+    edge = edge.withColumn("p_left", _surplus("p_items", "c_items")).withColumn("c_left", _surplus("c_items", "p_items"))
+    edge = edge.withColumn("matched_unchanged", (F.size("p_items") - F.size("p_left")).cast("long")).drop("p_items", "c_items")
+    null = F.lit(None)
+
+    def made(c: Column | str, kind: str, rank: int, *values) -> Column:
+        return F.transform(c, lambda x: F.struct(F.lit(kind), F.lit(rank), *[v(x) if callable(v) else v for v in values])).cast(_EVENT)
+
+    edge = _pair(edge, "sha256", "name").withColumn("renamed", made("pairs", "renamed", 0, lambda x: x["c"]["name"], lambda x: x["p"]["name"], lambda x: x["c"]["sha256"], null, lambda x: x["c"]["size"], null))
+    edge = _pair(edge, "name", "sha256").withColumn(
+        "changed", made("pairs", "content_changed", 1, lambda x: x["c"]["name"], null, lambda x: x["c"]["sha256"], lambda x: x["p"]["sha256"], lambda x: x["c"]["size"], lambda x: x["p"]["size"])
+    )
+    rest = lambda c, kind, rank: made(c, kind, rank, lambda x: x["name"], null, lambda x: x["sha256"], null, lambda x: x["size"], null)
+    each = edge.select(scope, "uid", "parent_uid", "thread_root_uid", "matched_unchanged", "p_bad", "c_bad", F.inline(F.concat("renamed", "changed", rest("p_left", "removed", 2), rest("c_left", "added", 3))))
+    out = each.groupBy(*each.columns).agg(F.count(F.lit(1)).alias("count"))
     hidden = ((F.col("type") == "removed") & F.col("c_bad")) | ((F.col("type") == "added") & F.col("p_bad"))
-    return out.withColumn("suppressed", hidden).withColumn("matched_unchanged", zero("matched_unchanged")).drop("p_bad", "c_bad")
+    return out.withColumn("suppressed", hidden).drop("p_bad", "c_bad")
 
 
 def events(diff: DataFrame, scope: str = "scope") -> DataFrame:

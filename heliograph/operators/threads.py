@@ -17,8 +17,6 @@ are replayed mail by mail (a scope is bounded by admission limits).
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,19 +98,20 @@ def _choose(tried: DataFrame, scope: str) -> DataFrame:
     ).select(scope, "uid", F.col("hit.target").alias("parent_uid"), F.col("hit.ref").alias("parent_ref"), "chosen_pos")
 
 
-def climb(edges: DataFrame, scope: str = "scope", limit: int | None = None) -> DataFrame:
+def climb(edges: DataFrame, scope: str = "scope") -> DataFrame:
     """(scope, uid, root_uid, depth, circular) of every mail that has a parent, by pointer doubling.
 
     ``edges`` has scope, uid, parent_uid.  Each round doubles the distance that
-    pointers span; it ends when all have arrived, or after ``limit`` rounds, by
-    which a pointer that still moves is on its way to a cycle.
+    pointers span.  It ends when all have arrived, or when a round lets none
+    arrive: depths have no gaps, so what still moves then is on its way to a
+    cycle.
     """
     now = cut(edges.where("parent_uid IS NOT NULL").select(scope, "uid", F.col("parent_uid").alias("at"), F.lit(1).cast("long").alias("depth"), F.lit(True).alias("moving")))
-    done = 0
-    while now.where("moving").limit(1).count() and (limit is None or done < limit):
+    left, before = now.count(), -1
+    while left and left != before:
         ahead = now.select(scope, F.col("uid").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
         now = cut(now.join(ahead, [scope, "at"], "left").select(scope, "uid", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moving")))
-        done += 1
+        left, before = now.where("moving").count(), left
     return now.select(scope, "uid", F.col("at").alias("root_uid"), "depth", F.col("moving").alias("circular"))
 
 
@@ -177,9 +176,7 @@ def resolve_parents(mails: DataFrame, scope: str = "scope", ambiguous: bool = Fa
     """
     tried = cut(candidates(mails, scope, ambiguous))
     chosen = _choose(tried, scope)
-    largest = mails.groupBy(scope).count().agg(F.max("count")).first()[0] or 1
-    rounds = math.ceil(math.log2(largest + 1)) + 1
-    reached = climb(chosen, scope, rounds)
+    reached = climb(chosen, scope)
     circular = cut(reached.where("circular").select(scope).distinct())
     plain = chosen.withColumn("cycle_refs", F.lit(0).cast("long"))
     if circular.limit(1).count():
