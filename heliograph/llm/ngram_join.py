@@ -51,6 +51,9 @@ SKETCH_PARTS = 64
 SHORT_RUN = 32
 BITMAP_BITS = 22
 TILE_TOKENS = 500_000
+#: Sets with more copies than HOT_COPIES, and than a HOT_SETS-th of all rows, are joined apart.
+HOT_COPIES = 200
+HOT_SETS = 1000
 GROUP_ROWS = 32
 
 
@@ -403,10 +406,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component = connected_components(found.select("key", "low")).withColumnRenamed("node", "key")
     lowest = component.join(copies.select("key", "first_id"), "key").groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = component.join(lowest, "component").join(found.groupBy("key").agg(F.sum("links").alias("links")), "key").select("key", "component_id", "links")
-    own = copies.join(linked, "key", "left").select("key", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    own = keep(
+        copies.join(linked, "key", "left").select("key", "copies", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+        "ngram-components",
+    )
+    # at most HOT_SETS sets have so many copies; their rows are not dealt by key
+    hot = own.where(F.col("copies") > max(HOT_COPIES, members.count() // HOT_SETS)).drop("copies")
     none = members.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    some = members.where("n > 0 AND doc_id IS NOT NULL").join(own, "key").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
-    return some.unionByName(none)
+    named_rows = members.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key")
+    often = named_rows.join(F.broadcast(hot), "key").drop("key")
+    seldom = named_rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(own.drop("copies"), "key").drop("key")
+    return often.unionByName(seldom).unionByName(none)
 
 
 def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
