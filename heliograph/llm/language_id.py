@@ -87,7 +87,7 @@ def grams(stream: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray
 
 @dataclass
 class LanguageModel:
-    """The bit-sliced filter: ``cells[i]`` has bit b set if a hash of an n-gram of language b fell on i."""
+    """The bit-sliced filter: ``cells[b // 64, i]`` has bit b % 64 set if a hash of an n-gram of language b fell on i."""
 
     languages: list[str]
     cells: np.ndarray
@@ -99,13 +99,11 @@ class LanguageModel:
     @classmethod
     def build(cls, members: dict[str, np.ndarray], prior: str, bits: int = FILTER_BITS, sizes: tuple[int, ...] = SIZES) -> LanguageModel:
         languages = sorted(members)
-        if len(languages) > 64:
-            raise ValueError("a filter has bits for 64 languages")
-        cells = np.zeros(1 << bits, dtype=U)
+        cells = np.zeros((-(-len(languages) // 64), 1 << bits), dtype=U)
         for b, name in enumerate(languages):
             for i in range(HASHES):
-                cells[cls._places(members[name], i, bits)] |= U(1 << b)
-        fill = np.array([np.count_nonzero(cells & U(1 << b)) / len(cells) for b in range(len(languages))])
+                cells[b // 64, cls._places(members[name], i, bits)] |= U(1 << b % 64)
+        fill = np.array([np.count_nonzero(cells[b // 64] & U(1 << b % 64)) / cells.shape[1] for b in range(len(languages))])
         return cls(languages, cells, fill**HASHES, languages.index(prior) if prior in languages else 0, HASHES, sizes)
 
     @staticmethod
@@ -113,11 +111,11 @@ class LanguageModel:
         return ((h * U((0x9E3779B97F4A7C15 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF)) >> U(64 - bits)).astype(np.int64)
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        """The bit mask of the languages that contain each n-gram."""
-        bits = len(self.cells).bit_length() - 1
-        mask = self.cells[self._places(h, 0, bits)]
+        """The bit masks of the languages that contain each n-gram, a row for every 64 languages."""
+        bits = self.cells.shape[1].bit_length() - 1
+        mask = self.cells[:, self._places(h, 0, bits)]
         for i in range(1, self.hashes):
-            mask &= self.cells[self._places(h, i, bits)]
+            mask &= self.cells[:, self._places(h, i, bits)]
         return mask
 
     def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
@@ -132,7 +130,7 @@ class LanguageModel:
                 mask = self.lookup(h)
                 total += np.bincount(row, minlength=rows)
                 for x in range(len(self.languages)):
-                    hit = (mask >> U(x)) & U(1)
+                    hit = (mask[x // 64] >> U(x % 64)) & U(1)
                     votes[:, x] += np.bincount(row, weights=hit.astype(np.float64), minlength=rows)
             share = votes / np.maximum(total, 1)[:, None]
             share = np.clip((share - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
