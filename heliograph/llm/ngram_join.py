@@ -75,9 +75,13 @@ def _members(k: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        waiting: list[np.ndarray] = []
         for batch in batches:
             for a, b, h, bounds, n, key, key2 in _sets(batch.column(1), k, seed):
-                cells += np.bincount((h >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
+                waiting.append((h >> U(64 - SKETCH_BITS)).astype(np.int32))
+                if sum(map(len, waiting)) > len(cells):
+                    cells += np.bincount(np.concatenate(waiting), minlength=len(cells))
+                    waiting.clear()
                 m = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -86,6 +90,8 @@ def _members(k: int, seed: int):
                     ],
                     schema=schema,
                 )
+        if waiting:
+            cells += np.bincount(np.concatenate(waiting), minlength=len(cells))
         if cells.any():
             size = len(cells) // SKETCH_PARTS
             rows = [(p, zlib.compress(cells[p * size : (p + 1) * size].astype("<u8").tobytes(), 1)) for p in range(SKETCH_PARTS)]

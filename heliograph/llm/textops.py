@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text that are looked at together; a longer document is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)

@@ -169,7 +169,7 @@ class Counter:
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, pre-tokens) of each text."""
         tokens, pres = np.zeros(len(column), dtype=np.int64), np.zeros(len(column), dtype=np.int64)
-        for a, b, data, offsets in chunks(column, 4 * CHUNK_BYTES):
+        for a, b, data, offsets in chunks(column, 16 * CHUNK_BYTES):
             start, end = pretokens(data, offsets)
             bounds = np.searchsorted(start, offsets)
             if len(start):
