@@ -73,13 +73,15 @@ GIVEN = {
 _UPPER = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = r"(?:Mrs?|Ms|Miss|Dr|Prof|Sir|Madam|Herrn?|Frau|Monsieur|Madame|Mademoiselle|Señora?|Señorita|Don|Doña|Госпожа|Господин|Κύριος|Κυρία)\.?"
 _NAMES = "|".join(name for names in GIVEN.values() for name in names.split())
+# A blank inside a phone number, unless a number of another kind starts after it.
+_NOT_NEXT = r" (?!\d{3}-\d\d-\d{4}(?!\d)|(?:\d{1,3}\.){3}\d|\d{12}|\d{4}(?:[ -]\d{4}){3}(?!\d))"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "password": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b[\"']?\s?[=:]\s?[\"']?)[^\s\"',;]{6,}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d|\w)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])",
-    "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w])",
+    "phone": r"(?<![\w+])(?:\+1[ .-]?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:(?:[.-]?|" + _NOT_NEXT + r")\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|\.\d)",
+    "card": r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{3}(?!\w|[.-]\d))?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE} {_UPPER}(?: {_UPPER})?|(?:{_NAMES}) {_UPPER})(?!\p{{L}})",
 }

@@ -131,6 +131,25 @@ def test_surrogates_keep_type_format_and_coreference(spark):
         assert len(r.text.split()) == len(t.split())
 
 
+def test_neighbouring_numbers_stay_apart(spark):
+    cases = {
+        "4952224289666063 12.23.232.21": ["card", "ip"],
+        "4952 2242 8966 6063 123.23.232.21 x": ["card", "ip"],
+        "4952 2242 8966 6063 123 x": ["card"],
+        "3714 496353 98431, 4952224289666063 4308041181136552": ["card", "card", "card"],
+        "+1 (613) 555-3280 12.23.232.21": ["phone", "ip"],
+        "+49 30 12345678 123-45-6789": ["phone", "ssn"],
+        "+49 30 12345678 4952 2242 8966 6063.": ["phone", "card"],
+        "+33 6 12 34 56 78": ["phone"],
+        "+1234 +12 34": [],
+    }
+    rows, _ = replaced(spark, list(cases))
+    assert [[e.type for e in r.entities] for r in rows] == list(cases.values())
+    for r, t in zip(rows, cases, strict=True):
+        assert re.sub(r"\d", "9", r.text) == re.sub(r"\d", "9", t) or "ip" in [e.type for e in r.entities]
+        assert not any(e.original in r.text for e in r.entities)
+
+
 def test_surrogates_are_distinct_and_keyed(spark):
     rng = random.Random(2)
     texts = [f"ip {rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(256)} mail {''.join(rng.choice('ab1') for _ in range(3))}@x.example.com tel ({rng.randrange(200, 300)}) 555-{rng.randrange(10000):04d}" for _ in range(400)]
