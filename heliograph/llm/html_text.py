@@ -33,7 +33,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_STEM = re.compile(r"sidebar|cookie|advert|newsletter|breadcrumb|navbar|sponsor|adsby|commentlist|commentform")
 _HEADING = re.compile(r"h[1-6](?![a-z0-9])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。,、!?;:]")
 
@@ -55,6 +56,9 @@ _LABELS = frozenset(
     related recommended recommendations trending comment comments reply replies respond discussion disqus widget widgets toolbar pagination pager skip hidden copyright legal disclaimer search form outbrain taboola paywall teaser""".split()
 )
 
+# Fixed words of that list that inside an article mark its own title.
+_OF_TITLE = frozenset("header head title".split())
+
 
 @dataclass
 class Block:
@@ -62,22 +66,26 @@ class Block:
     path: str
     prior: float
     order: int
+    linked: int = 0
 
 
-def _labels(name: str, attrs: str) -> tuple[str, bool]:
-    """The path step of an element and whether its own labels rule it out."""
+def _labels(name: str, attrs: str, in_body: bool = False) -> tuple[str, bool]:
+    """The path step of an element and whether its own labels rule it out (in an article, not those of its head)."""
     out = name in _NEVER
+    whole = name in _BODY or name in ("html", "body")  # their labels speak of the page
     mark = ""
     if attrs and "=" in attrs or "hidden" in attrs:
         for key, a, b, c in _ATTR.findall(attrs):
-            key, value = key.lower(), (a or b or c).lower()
+            key, said = key.lower(), a or b or c
+            value = said.lower()
             if key == "class" or key == "id":
                 mark += f".{value.strip()}" if key == "class" else f"#{value.strip()}"
-                out = out or not _LABELS.isdisjoint(_WORD.findall(value))
+                words = {w.lower() for w in _WORD.findall(said)} - (_OF_TITLE if in_body else set())
+                out = out or not whole and (not _LABELS.isdisjoint(words) or any(map(_STEM.match, words)))
             elif key == "role":
                 out = out or value in _ROLES
             elif key == "style":
-                out = out or "display:none" in value.replace(" ", "")
+                out = out or re.search(r"display:none|visibility:hidden", value.replace(" ", "")) is not None
             elif (key == "hidden" and value != "false") or (key == "aria-hidden" and value == "true"):
                 out = True
     return name + mark, out
@@ -91,20 +99,21 @@ def blocks(page: str) -> list[Block]:
     ``p`` ends at the next block tag, and what is open at the end is closed.
     """
     found: list[Block] = []
-    # an open element: name, path, ruled out, inside article or main
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # an open element: name, path, ruled out, inside article or main, inside a link
+    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
     parts: list[str] = []
-    known: dict[tuple[str, str], tuple[str, bool]] = {}
+    linked = 0
+    known: dict[tuple[str, str, bool], tuple[str, bool]] = {}
     where = stack[0]
 
     def flush() -> None:
-        nonlocal parts
+        nonlocal parts, linked
         text = html.unescape("".join(parts)) if len(parts) > 1 or "&" in parts[0] else parts[0]
         text = " ".join(text.split())
         if text:
-            _, path, out, body = where
-            found.append(Block(text, path, 0.0 if out else 4.0 if body else 1.0, len(found)))
-        parts = []
+            _, path, out, body, _ = where
+            found.append(Block(text, path, 0.0 if out else 4.0 if body else 1.0, len(found), linked))
+        parts, linked = [], 0
 
     for m in _TOKEN.finditer(page):
         kind = m.lastgroup
@@ -112,6 +121,8 @@ def blocks(page: str) -> list[Block]:
             if not parts:
                 where = stack[-1]
             parts.append(m.group())
+            if stack[-1][4]:
+                linked += len(m.group().strip())
             continue
         name = m.group("name")
         if name is None:
@@ -152,12 +163,12 @@ def blocks(page: str) -> list[Block]:
                     break
         if attrs.endswith("/") and name in ("svg", "path", "use"):
             continue
-        step, out = known.get((name, attrs)) or known.setdefault((name, attrs), _labels(name, attrs))
+        step, out = known.get((name, attrs, stack[-1][3])) or known.setdefault((name, attrs, stack[-1][3]), _labels(name, attrs, stack[-1][3]))
         up = stack[-1]
         body = up[3] or name in _BODY
         if name == "header":
             out = out or not up[3]  # the head of an article belongs to it
-        stack.append((name, f"{up[1]}/{step}" if name not in _INLINE else up[1], up[2] or out, body))
+        stack.append((name, f"{up[1]}/{step}" if name not in _INLINE else up[1], up[2] or out, body, up[4] or name == "a"))
     if parts:
         flush()
     return found
@@ -185,7 +196,7 @@ def select(found: list[Block], share: float = 0.12) -> list[Block]:
     threshold is ``share`` of the page's best path.  Inside ``article`` or
     ``main`` every path that is not ruled out is kept once one of them passes,
     as headings and short lists belong to their article; elsewhere a passing
-    path brings the other paths of its container.
+    path brings the other paths of its container but those that are mostly links.
     """
     length: dict[str, list[float]] = {}
     for b in found:
@@ -213,7 +224,10 @@ def select(found: list[Block], share: float = 0.12) -> list[Block]:
         # the other paths of a passing path's container; of the body itself only headings
         around = {path.rpartition("/")[0] for path in good}
         inner = tuple(f"{x}/" for x in around if x.rpartition("/")[2] not in ("", "html", "body"))
-        good |= {path for path in fused if path.startswith(inner)} if inner else set()
+        links: dict[str, int] = {}
+        for b in usable:
+            links[b.path] = links.get(b.path, 0) + b.linked
+        good |= {path for path in fused if path.startswith(inner) and 2 * links[path] <= length[path][0]} if inner else set()
         good |= {path for path in fused if path.rpartition("/")[0] in around and _HEADING.match(path.rpartition("/")[2])}
     return [b for b in usable if b.path in good]
 

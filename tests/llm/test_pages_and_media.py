@@ -170,3 +170,18 @@ def test_columns(spark):
     assert parsed[0].tags == {"TXXX:payload-bytes": "1"}
     assert parsed[1].frames is None
     assert (parsed[2].frames, parsed[2].audio_layer) == (0, None)
+
+
+@pytest.mark.parametrize(
+    ("page", "expect"),
+    [
+        ("<html><body class='single has-sidebar'><div class='main'><h1>T</h1><p>P</p><p>P</p></div><div class='sidebarRight'>x y z</div></body>", "T|P|P"),
+        ("<body><div class='site-header'>S</div><article><div class='entry-header'><h1>T</h1></div><p>P</p><ol class='commentlist'><li>P</li></ol></article></body>", "T|P"),
+        ("<body><div class='navBar'>Home</div><div id='content'><h2>T</h2><p>P</p><div class='CookieBanner'><p>P</p></div></div></body>", "T|P"),
+        ("<body><main class='page-menu'><p>P</p><p style='visibility: hidden'>P</p></main></body>", "P"),
+        ("<body><table><tr><td><ul><li><a href='/'>x</a></ul></td><td><p>P<p>P</td></tr></table></body>", "P|P"),
+    ],
+)
+def test_labels_and_links_around_the_article(page, expect):
+    words = "This is a long sentence of the story, with commas, and it goes on for quite some time."
+    assert html_text.main_text(page.replace(">P<", f">{words}<")) == expect.replace("P", words).replace("|", "\n")
