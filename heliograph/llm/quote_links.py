@@ -7,7 +7,8 @@ as "On ... wrote:" or "-----Original Message-----" that introduce a quote
 belong to neither.  Each quoted line is normalised (case, white space and
 remaining marks removed) and hashed, and the hashes are joined to the own lines
 of earlier messages of the same conversation.  The passage's source is the
-message that first wrote most of its lines, if that is at least half of them.
+message that holds most of its lines, whoever wrote them before, if that is at
+least half of them; of several the first, as later ones repeat it.
 
 A message replies to the source of its outermost passages: the one with most
 lines, then the latest.  Links always lead to an earlier turn, so ordering a
@@ -35,6 +36,9 @@ _INTRO = regex.compile(
 )
 _SPACE = regex.compile(r"\s+")
 
+#: Lines with more writers than this in one conversation are looked up by sets.
+FREQUENT = 64
+
 PARSED = "own_text string, quotes array<struct<passage: int, level: int, lines: array<bigint>>>, own_lines array<bigint>"
 
 
@@ -104,6 +108,40 @@ def thread_roots(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("threads are deeper than expected")
 
 
+def passage_sources(parsed: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv, turn, passage, level, met, source) of every passage with a source.
+
+    All earlier messages that wrote a line of the passage are compared.  Lines
+    of at most ``FREQUENT`` writers in the conversation name candidates one by
+    one.  Lines of more writers are looked up once for each set of them that
+    passages share: of the messages that hold equally many of the set only the
+    first can win.
+    """
+    here = [F.col("conv") == F.col("c"), F.col("line") == F.col("l")]
+    lines = quotes.select("conv", "turn", "passage", F.explode("lines").alias("line"))
+    wanted = lines.select(F.col("conv").alias("c"), F.col("line").alias("l")).distinct()
+    own = parsed.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", F.col("turn").alias("source"), F.explode(F.array_distinct("own_lines")).alias("line"))
+    wrote = keep(own.join(wanted, here, "left_semi").distinct(), "quoted-lines")
+    frequent = wrote.groupBy("conv", "line").count().where(F.col("count") > FREQUENT).select(F.col("conv").alias("c"), F.col("line").alias("l"))
+    rare = wrote.join(frequent, here, "left_anti")
+    common = wrote.join(frequent, here, "left_semi")
+    key = ["conv", "turn", "passage"]
+    sets = lines.join(frequent, here, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list("line")).alias("often"))
+    asked = keep(quotes.select(*key, "level", F.size("lines").alias("n")).join(sets, key, "left"), "passages")
+    # candidates by a rare line, with the frequent lines that they hold too
+    held = common.groupBy("conv", "source").agg(F.collect_set("line").alias("held"))
+    by_rare = lines.join(rare, ["conv", "line"]).where("source < turn").groupBy(*key, "source").agg(F.count(F.lit(1)).alias("met"))
+    also = F.coalesce(F.size(F.filter("often", lambda x: F.array_contains("held", x))), F.lit(0))
+    by_rare = by_rare.join(asked, key).join(held, ["conv", "source"], "left").withColumn("met", F.col("met") + F.when(F.col("often").isNotNull() & F.col("held").isNotNull(), also).otherwise(0))
+    # the first message for each number of lines of a set
+    of_set = asked.where("often IS NOT NULL").select("conv", "often").distinct().withColumn("line", F.explode("often"))
+    firsts = of_set.join(common, ["conv", "line"]).groupBy("conv", "often", "source").agg(F.count(F.lit(1)).alias("met")).groupBy("conv", "often", "met").agg(F.min("source").alias("source"))
+    by_set = asked.join(firsts, ["conv", "often"]).where("source < turn")
+    out = [*key, "level", "n", "met", "source"]
+    best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("met"), "source"))
+    return by_rare.select(*out).union(by_set.select(*out)).withColumn("place", best).where("place = 1 AND 2 * met >= n").drop("place", "n")
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each row of ``messages``, with its place in its conversation.
 
@@ -119,19 +157,7 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     schema = f"conv long, turn long, role string, text string, {PARSED}"
     parsed = rows.mapInArrow(_parse_rows, schema).drop("text")
     quotes = keep(parsed.where("size(quotes) > 0 AND conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn", F.inline("quotes")), "quoted-passages")
-    lines = quotes.select("conv", "turn", "passage", "level", F.size("lines").alias("n"), F.explode("lines").alias("line"))
-    wanted = lines.select(F.col("conv").alias("c"), F.col("line").alias("l")).distinct()
-    # the first message that wrote a line; aggregated before the shuffle
-    wrote = (
-        parsed.where("conv IS NOT NULL AND turn IS NOT NULL")
-        .select("conv", "turn", F.explode(F.array_distinct("own_lines")).alias("line"))
-        .groupBy("conv", "line")
-        .agg(F.min("turn").alias("source"))
-        .join(wanted, (F.col("conv") == F.col("c")) & (F.col("line") == F.col("l")), "left_semi")
-    )
-    met = lines.join(wrote, ["conv", "line"]).where("source < turn").groupBy("conv", "turn", "passage", "level", "n", "source").agg(F.count(F.lit(1)).alias("met"))
-    best = F.row_number().over(Window.partitionBy("conv", "turn", "passage").orderBy(F.desc("met"), F.desc("source")))
-    sources = met.withColumn("place", best).where("place = 1 AND 2 * met >= n").select("conv", "turn", "passage", "level", "met", "source")
+    sources = passage_sources(parsed, quotes)
     outer = sources.groupBy("conv", "turn", "source").agg(F.min("level").alias("level"), F.sum("met").alias("met"))
     first = F.row_number().over(Window.partitionBy("conv", "turn").orderBy("level", F.desc("met"), F.desc("source")))
     parents = outer.withColumn("place", first).where("place = 1").select("conv", "turn", F.col("source").alias("parent"))

@@ -251,3 +251,46 @@ def test_links_equal_brute_force(spark):
     chat = quote_links.conversation_text(linked).where("conv_id = 99 AND turn = 0").first().chat
     assert chat == "<|unknown|>\n"
     assert quote_links.link_quotes(df.limit(0)).collect() == []
+
+
+def most_lines(rows):
+    """The passage's source is the message with most of its lines, the first on ties."""
+    own = {}
+    for c, t, _, text in rows:
+        own.setdefault((c, t), set()).update(quote_links.parse(text)[2])
+    out = {}
+    for c, t, _, text in rows:
+        met = {}
+        for _, level, hashes in quote_links.parse(text)[1]:
+            count = {s: sum(h in held for h in hashes) for (d, s), held in own.items() if d == c and s < t}
+            best = max(count, key=lambda s: (count[s], -s), default=None)
+            if best is not None and count[best] and 2 * count[best] >= len(hashes):
+                low, n = met.get(best, (99, 0))
+                met[best] = (min(low, level), n + count[best])
+        if met:
+            out[c, t] = min(met, key=lambda s: (met[s][0], -met[s][1], -s))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [0, 2, 64])
+def test_quotes_of_repeated_lines_find_their_message(spark, monkeypatch, frequent):
+    monkeypatch.setattr(quote_links, "FREQUENT", frequent)
+
+    def quoting(own, quoted):
+        return own + "\n" + "\n".join("> " + x for x in quoted.split("\n"))
+
+    reply = "Hi,\nnew sentence\nThanks,\nBob"
+    rows = [(1, 0, "user", "Hi,\nfirst\nThanks,\nBob"), (1, 1, "user", "other"), (1, 2, "user", reply), (1, 3, "user", quoting("yes", reply))]
+    # every line was first written by another turn
+    rows += [(2, 0, "user", "a"), (2, 1, "user", "b"), (2, 2, "user", "c"), (2, 3, "user", "a\nb\nc"), (2, 4, "user", quoting("d", "a\nb\nc"))]
+    rng = random.Random(3)
+    for conv in range(3, 15):
+        bodies = []
+        for turn in range(rng.randrange(3, 10)):
+            text = "\n".join(rng.choice(["Hi,", "Thanks,", "Bob", "Ann", f"s {rng.randrange(12)}"]) for _ in range(rng.randrange(1, 6)))
+            rows.append((conv, turn, "user", quoting(text, rng.choice(bodies)) if bodies and rng.random() < 0.8 else text))
+            bodies.append(text)
+    got = quote_links.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    parents = {(r.conv_id, r.turn): r.parent_turn for r in got if r.parent_turn is not None}
+    assert parents[1, 3] == 2 and parents[2, 4] == 3
+    assert parents == most_lines(rows)
