@@ -105,3 +105,19 @@ def test_queries_cover_their_tables(spark, name):
         assert out.count() == source.count()
     else:
         assert sorted({r[0] for r in out.select(key).collect()}) == sorted(r[0] for r in source.select(key).collect())
+
+
+def test_unlearned_languages_go_at_any_length(spark):
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+
+    def text(letters, n):
+        return "".join(rng.choice(letters + "     ") for _ in range(n))
+
+    alphabets = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "abcdefghijklmnopqrstuvwxyz"]
+    strange = [(100_000 + i, text(letters, n)) for i, (letters, n) in enumerate((a, n) for a in alphabets for n in (100, 2000, 20_000, 200_000))]
+    extra = spark.createDataFrame(strange, "doc_id long, text string")
+    both = docs.unionByName(extra, allowMissingColumns=True)
+    kept = set(ids(corpus_pipeline.language(spark, both, TABLES)))
+    assert not kept & {i for i, _ in strange}
+    assert kept == {r.doc_id for r in docs.where("text rlike '[a-zA-Z]'").collect()}
