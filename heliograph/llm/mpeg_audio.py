@@ -178,18 +178,39 @@ def _id3v2(data: bytes, out: Audio) -> int:
     return end
 
 
-def _tail_tags(data: bytes, out: Audio) -> int:
-    """Reads tags at the end; gives the position where audio ends."""
+def _id3v1(data: bytes, end: int, tags: dict[str, str]) -> int:
+    for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+        if value := data[end - 128 + a : end - 128 + b].split(b"\0")[0].decode("latin-1").strip():
+            tags[f"ID3v1:{name}"] = value
+    return end - 128
+
+
+def _ape(data: bytes, end: int, tags: dict[str, str]) -> int:
+    size, flags = struct.unpack("<I", data[end - 20 : end - 16])[0], struct.unpack("<I", data[end - 12 : end - 8])[0]
+    tags["APE"] = str(struct.unpack("<I", data[end - 16 : end - 12])[0])
+    return max(0, end - size - (32 if flags >> 31 else 0))
+
+
+def _framed(data: bytes, start: int, mark: int, end: int) -> bool:
+    """Whether frames run without a gap from ``mark`` or before it to ``end``."""
+    walked, at = _walk(data, start, end, Audio()), end
+    for offset, size in zip(reversed(walked.offsets), reversed(walked.sizes), strict=True):
+        if at <= mark or offset + size != at:
+            break
+        at = offset
+    return at <= mark
+
+
+def _tail_tags(data: bytes, start: int, out: Audio) -> int:
+    """Reads tags at the end; gives the position where audio ends.
+
+    A mark inside frames that run on to the end is their content, not a tag.
+    """
     end = len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            if value := data[end - 128 + a : end - 128 + b].split(b"\0")[0].decode("latin-1").strip():
-                out.tags[f"ID3v1:{name}"] = value
-        end -= 128
-    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size, flags = struct.unpack("<I", data[end - 20 : end - 16])[0], struct.unpack("<I", data[end - 12 : end - 8])[0]
-        out.tags["APE"] = str(struct.unpack("<I", data[end - 16 : end - 12])[0])
-        end = max(0, end - size - (32 if flags >> 31 else 0))
+    for word, length, read in ((b"TAG", 128, _id3v1), (b"APETAGEX", 32, _ape)):
+        mark = end - length
+        if mark >= 0 and data.startswith(word, mark) and not _framed(data, start, mark, end):
+            end = read(data, end, out.tags)
     return end
 
 
@@ -226,9 +247,19 @@ def parse(data: bytes) -> Audio:
     Bytes between frames are counted as skipped; a last frame cut short is not
     counted and marks the stream as truncated.
     """
-    out = Audio()
-    end, at, locked = _tail_tags(data, out), _id3v2(data, out), False
-    lost = False
+    out, head = Audio(), Audio()
+    start = _id3v2(data, head)
+    end = _tail_tags(data, start, out)
+    for name, value in head.tags.items():
+        if name.startswith("T"):
+            out.tags[name] = value
+        else:
+            out.tags.setdefault(name, value)
+    return _walk(data, start, end, out)
+
+
+def _walk(data: bytes, at: int, end: int, out: Audio) -> Audio:
+    locked = lost = False
     while at + 4 <= end:
         h = header(data[at : at + 4])
         if h is not None and out.header is not None and not h.same_stream(out.header):

@@ -185,3 +185,17 @@ def test_columns(spark):
 def test_labels_and_links_around_the_article(page, expect):
     words = "This is a long sentence of the story, with commas, and it goes on for quite some time."
     assert html_text.main_text(page.replace(">P<", f">{words}<")) == expect.replace("P", words).replace("|", "\n")
+
+
+@pytest.mark.parametrize("units", [1, 2, 5])
+@pytest.mark.parametrize(("at", "mark"), [(65, b"TAG"), (161, b"APETAGEX"), (161, b"APETAGEX2000" + b"0" * 12), (161, b"APETAGEX" + b"2000\x38\x04\0\0" + b"\0" * 8)])
+def test_marks_of_tags_in_the_text_are_text(units, at, mark):
+    text = b"x" * (192 * (units - 1) + at) + mark
+    media = store(pad(text), len(text))
+    assert media[len(media) - {3: 128}.get(len(mark), 32) :].startswith(mark)
+    assert load(media) == (pad(text), len(text))
+    assert not parse(media).truncated
+    # a tag after such frames is still one
+    tagged = parse(media + b"TAG" + b"title".ljust(125, b"\0"))
+    assert tagged.tags["ID3v1:title"] == "title"
+    assert len(tagged.offsets) == units and not tagged.truncated
