@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.lineage import keep
 from heliograph.llm import decontaminate, html_text, language_id, mpeg_audio, packing, quality, quote_links, surrogates, token_counts
 from heliograph.llm.ngram_join import ngram_jaccard_join
 
@@ -18,9 +19,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pack_documents(docs: DataFrame, capacity: int = PACK_CAPACITY) -> DataFrame:
+    """Bins without two near copies (five words, similarity 0.8), whose component is the cluster.
+
+    A row is named by a hash of its id and text, so repeated and missing ids do
+    not matter and exact copies are not dealt by their text.
+    """
+    keyed = docs.withColumn("row", F.when(F.col("text").isNotNull(), F.xxhash64("doc_id", "text")))
+    near = ngram_jaccard_join(keyed, "row", "text", k=5, percent=80).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("cluster"))
+    sized = keyed.select("doc_id", "source", "row", packing.word_count(F.col("text")).alias("words"))
+    rows = keep(sized.join(near, "row", "left").drop("row"), "packing-rows")
+    return packing.best_fit_pack(rows, F.col("words"), F.col("cluster"), capacity=capacity)
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return packing.best_fit_pack(docs, packing.word_count(F.col("text")), packing.text_cluster(F.col("text")), capacity=PACK_CAPACITY)
+    return pack_documents(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,3 +294,16 @@ def test_quotes_of_repeated_lines_find_their_message(spark, monkeypatch, frequen
     parents = {(r.conv_id, r.turn): r.parent_turn for r in got if r.parent_turn is not None}
     assert parents[1, 3] == 2 and parents[2, 4] == 3
     assert parents == most_lines(rows)
+
+
+def test_near_copies_do_not_share_a_bin(spark):
+    from heliograph.llm import queries
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(0, 200, 20)]
+    rows = [(i, f"s{i}", t) for i, t in enumerate(texts)] + [(50 + i, f"t{i}", " ".join(f"{i}x{j}" for j in range(50))) for i in range(5)]
+    docs = spark.createDataFrame([*rows, (None, "u", texts[0]), (0, "v", "another text of the same id"), (99, "x", None)], "doc_id long, source string, text string")
+    got = queries.pack_documents(docs, capacity=4096).collect()
+    assert len(got) == len(rows) + 3
+    near = [(r.shard, r.bin) for r in got if (r.doc_id is None or r.doc_id < 50) and r.tokens == 200]
+    assert len(near) == len(texts) + 1 == len(set(near))
