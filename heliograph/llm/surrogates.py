@@ -17,8 +17,10 @@ another name of the same gender and script.
 
 ``collisions`` checks the result on the corpus: entities of one type whose
 surrogates coincide, entities with several surrogates, and surrogates equal to
-their own original; all are empty by construction unless a permutation has a
-fixed point, which is moved on by a second key.
+their own original.  The permutations of words and numbers are one-to-one and
+have no fixed points by construction.  Not so: IPv4 addresses may have fixed
+points, and an unlisted first name or a password that is not hexadecimal may
+meet the surrogate of one that is listed or hexadecimal.
 """
 
 from __future__ import annotations
@@ -85,6 +87,8 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLE} {_UPPER}(?: {_UPPER})?|(?:{_NAMES}) {_UPPER})(?!\p{{L}})",
 }
+# Country calling codes: a number starts with one code only, so they are found without separators.
+_CALLING = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -97,40 +101,54 @@ def _letters(s: Column) -> Column:
     return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substring(s, i, 1))).otherwise(F.array().cast("array<string>"))
 
 
-def _add(s: Column, stream: Column, alphabets: tuple[str, ...]) -> Column:
-    """Each letter of ``s`` moved on within its alphabet by the key stream (512 bits in hex)."""
+def _add(s: Column, stream: Column, alphabets: tuple[str, ...], sign: int = 1) -> Column:
+    """Each letter of ``s`` moved on (or back) within its alphabet by the key stream (512 bits in hex)."""
 
     def moved(c: Column, i: Column) -> Column:
         step = F.conv(F.substring(stream, i % 31 * 4 + 1, 4), 16, 10).cast("int")
         out = c
         for letters in alphabets:
             place = F.instr(F.lit(letters), c)
-            out = F.when(place > 0, F.substring(F.lit(letters), (place - 1 + step) % len(letters) + 1, 1)).otherwise(out)
+            out = F.when(place > 0, F.substring(F.lit(letters), F.pmod(place - 1 + sign * step, F.lit(len(letters))) + 1, 1)).otherwise(out)
         return out
 
     return F.array_join(F.transform(_letters(s), moved), "")
 
 
-def permute(s: Column, key: str, use: str, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
-    """A keyed permutation of the strings of the same format as ``s``."""
+def permute(s: Column, key: str, use: str, alphabets: tuple[str, ...] = ALPHABETS, back: bool = False) -> Column:
+    """A keyed permutation of the strings of the same format as ``s``, or its inverse."""
 
     def stream(r: Column, other: Column) -> Column:
         return F.sha2(F.concat(F.lit(f"{key}|{use}|"), r.cast("string"), F.lit("|"), other), 512)
 
+    def on(acc: Column, r: Column) -> Column:
+        # the right half takes from the left first, then they change places
+        return let(_add(acc["b"], stream(r * 2, acc["a"]), alphabets), lambda b: F.struct(_add(acc["a"], stream(r * 2 + 1, b), alphabets).alias("a"), b.alias("b")))
+
+    def off(acc: Column, r: Column) -> Column:
+        return let(_add(acc["a"], stream(r * 2 + 1, acc["b"]), alphabets, -1), lambda a: F.struct(a.alias("a"), _add(acc["b"], stream(r * 2, a), alphabets, -1).alias("b")))
+
     half = F.floor(F.length(s) / 2).cast("int")
     start = F.struct(F.substring(s, F.lit(1), half).alias("a"), F.substring(s, half + 1, F.length(s)).alias("b"))
-    # the right half takes from the left first, then they change places
-    turned = F.aggregate(
-        F.sequence(F.lit(1), F.lit(2)),
-        start,
-        lambda acc, r: let(_add(acc["b"], stream(r * 2, acc["a"]), alphabets), lambda b: F.struct(_add(acc["a"], stream(r * 2 + 1, b), alphabets).alias("a"), b.alias("b"))),
-    )
+    turned = F.aggregate(F.array(*[F.lit(r) for r in ((2, 1) if back else (1, 2))]), start, off if back else on)
     return let(turned, lambda t: F.concat(t["a"], t["b"]))
 
 
+def _next(s: Column, alphabets: tuple[str, ...]) -> Column:
+    """``s`` with its last letter of an alphabet replaced by the next one: one-to-one, without fixed points."""
+    known = "".join(alphabets)
+    rest = F.regexp_extract(s, f"([^{known}]*)$", 1)
+    at = F.length(s) - F.length(rest)
+    return F.concat(F.substring(s, F.lit(1), at - 1), F.translate(F.substring(s, at, F.lit(1)), known, "".join(x[1:] + x[0] for x in alphabets)), rest)
+
+
 def _moved(s: Column, key: str, use: str, alphabets: tuple[str, ...] = ALPHABETS) -> Column:
-    """``permute``, with a second key for its fixed points."""
-    return let(permute(s, key, use, alphabets), lambda x: F.when(x == s, permute(s, key, f"{use}, again", alphabets)).otherwise(x))
+    """A keyed permutation without fixed points: there by ``permute``, one step on, and back.
+
+    Only strings without a letter of the alphabets stay as they are.
+    """
+    there = let(permute(s, key, use, alphabets), lambda x: F.when(x.rlike(f"[{''.join(alphabets)}]"), _next(x, alphabets)).otherwise(x))
+    return let(there, lambda x: permute(x, key, use, alphabets, back=True))
 
 
 def _like(digits: Column, form: Column) -> Column:
@@ -176,9 +194,11 @@ def _card(s: Column, key: str) -> Column:
 
 
 def _phone(s: Column, key: str) -> Column:
-    code = F.regexp_extract(s, r"^(\+\d{1,3})[ .(-]", 1)
-    rest = F.substring(s, F.length(code) + 1, F.length(s))
-    return F.concat(code, _like(_moved(_digits(rest), key, "phone"), rest))
+    def build(d: Column) -> Column:
+        code = F.when(s.startswith("+"), F.regexp_extract(d, _CALLING, 0)).otherwise("")
+        return let(code, lambda c: F.concat(c, _moved(F.substring(d, F.length(c) + 1, F.length(d)), key, "phone")))
+
+    return _like(let(_digits(s), build), s)
 
 
 def _ip(s: Column, key: str) -> Column:
@@ -264,7 +284,7 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "surrogate-k
 
 def normal(s: Column, kind: Column) -> Column:
     """What identifies an entity, whatever its spelling."""
-    return F.when(kind == "email", F.lower(s)).when(kind.isin("phone", "card", "ssn"), _digits(s)).otherwise(s)
+    return F.when(kind == "email", F.lower(s)).when(kind == "phone", F.regexp_replace(s, "[^0-9+]", "")).when(kind.isin("card", "ssn"), _digits(s)).otherwise(s)
 
 
 def collisions(replaced: DataFrame, entities_col: str = "entities") -> DataFrame:

@@ -296,6 +296,26 @@ def test_quotes_of_repeated_lines_find_their_message(spark, monkeypatch, frequen
     assert parents == most_lines(rows)
 
 
+@pytest.mark.parametrize("key", ["k", "surrogate-key"])
+def test_surrogates_of_all_short_values_are_distinct(spark, key):
+    from itertools import product
+    from string import ascii_lowercase
+
+    values = ["".join(x) for n in (1, 2) for x in product(ascii_lowercase, repeat=n)] + [f"{i:03d}" for i in range(1000)] + ["-", "a-", "7.", ""]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", surrogates._moved(F.col("v"), key, "mailbox").alias("w"))
+    got = {r.v: r.w for r in df.collect()}
+    assert len(set(got.values())) == len(values)
+    assert [v for v, w in got.items() if v == w] == ["-", ""]
+    assert {w for v, w in got.items() if v.isdigit() and len(v) == 3} == {f"{i:03d}" for i in range(1000)}
+
+
+def test_phones_are_one_entity_in_any_spelling(spark):
+    same = ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+1-555-123-4567"]
+    rows, _ = replaced(spark, [f"call {x} now" for x in same])
+    assert [len(r.entities) for r in rows] == [1] * len(same)
+    assert len({re.sub(r"[^+0-9]", "", r.entities[0].surrogate) for r in rows}) == 1
+
+
 def test_near_copies_do_not_share_a_bin(spark):
     from heliograph.llm import queries
 
