@@ -13,6 +13,8 @@ from heliograph.llm.ngram_join import ngram_jaccard_join
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PACK_CAPACITY = 4096
+#: The session's setting with the secret key of surrogates; where it is unset, a public key that suits synthetic tables only.
+PII_KEY_SETTING, PUBLIC_KEY = "spark.heliograph.pii.key", "public key for synthetic tables"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,9 +42,13 @@ def op2_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.link_quotes(_table(spark, sf_dir, "conversations"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_KEY_SETTING, PUBLIC_KEY)
+
+
 def op3_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return surrogates.replace_pii(docs).select("doc_id", "text", F.coalesce(F.size("entities"), F.lit(0)).cast("long").alias("n_entities"))
+    return surrogates.replace_checked(docs, pii_key(spark)).select("doc_id", "text", F.coalesce(F.size("entities"), F.lit(0)).cast("long").alias("n_entities"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
