@@ -33,11 +33,13 @@ quadratic in the part's bytes over the tile size; exact copies cost nothing.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,9 @@ SKETCH_BITS = 20
 SKETCH_PARTS = 64
 #: Longer runs of a prefix shingle are chained instead of paired.
 SHORT_RUN = 32
-BITMAP_BITS = 22
-TILE_TOKENS = 500_000
+BITMAP_BITS = 28
+#: Shingles of a block of a part: parts are cut into FEW_BLOCKS blocks at most while these stay below MOST_TILE_TOKENS.
+TILE_TOKENS, FEW_BLOCKS, MOST_TILE_TOKENS = 64_000, 8, 1_000_000
 #: Sets with more copies than HOT_COPIES, and than a HOT_SETS-th of all rows, are joined apart.
 HOT_COPIES = 200
 HOT_SETS = 1000
@@ -62,43 +65,48 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _sets(column: pa.Array, k: int, seed: int) -> Iterator[tuple]:
-    """(first, end, shingles, bounds, sizes, key, second key) of chunks of rows."""
+    """(first, end, shingles, bounds, sizes, key, second key, words) of chunks of rows."""
     for a, b, data, offsets in chunks(column):
-        h, bounds = distinct(*shingles(Words(data, offsets), k))
+        words = Words(data, offsets)
+        h, bounds = distinct(*shingles(words, k))
         n = np.diff(bounds)
         key = mix(row_sums(mix(h, 2 * seed + 31), bounds) + n.astype(U), seed)
-        yield a, b, h, bounds, n, key, mix(row_sums(mix(h, 2 * seed + 32), bounds), seed + 1)
+        yield a, b, h, bounds, n, key, mix(row_sums(mix(h, 2 * seed + 32), bounds), seed + 1), np.diff(words.bounds)
+
+
+_MEMBERS = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("words", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("profile", pa.binary()), ("part", pa.int32()), ("task", pa.int32()), ("counts", pa.binary())])
+_MEMBERS_DDL = "doc_id long, n int, words long, key long, key2 long, profile binary, part int, task int, counts binary"
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    return zlib.compress(cells.astype("<u8").tobytes(), 1)
 
 
 def _members(k: int, seed: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("key2", pa.int64()), ("profile", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
+    def rows_of(columns: dict[str, pa.Array], m: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(m, f.type)) for f in _MEMBERS], schema=_MEMBERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         waiting: list[np.ndarray] = []
         for batch in batches:
-            for a, b, h, bounds, n, key, key2 in _sets(batch.column(1), k, seed):
+            for a, b, h, bounds, n, key, key2, words in _sets(batch.column(1), k, seed):
                 waiting.append((h >> U(64 - SKETCH_BITS)).astype(np.int32))
                 if sum(map(len, waiting)) > len(cells):
                     cells += np.bincount(np.concatenate(waiting), minlength=len(cells))
                     waiting.clear()
-                m = b - a
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, m), pa.array(n.astype(np.int32)), pa.array(_signed(key)), pa.array(_signed(key2)),
-                        pa.array([profile(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
-                    ],
-                    schema=schema,
+                profiles = [profile(h[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield rows_of(
+                    {"doc_id": batch.column(0).slice(a, b - a), "n": pa.array(n.astype(np.int32)), "words": pa.array(words.astype(np.int64)), "key": pa.array(_signed(key)), "key2": pa.array(_signed(key2)), "profile": pa.array(profiles, pa.binary())},
+                    b - a,
                 )
         if waiting:
             cells += np.bincount(np.concatenate(waiting), minlength=len(cells))
         if cells.any():
             size = len(cells) // SKETCH_PARTS
-            rows = [(p, zlib.compress(cells[p * size : (p + 1) * size].astype("<u8").tobytes(), 1)) for p in range(SKETCH_PARTS)]
-            m = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema
-            )
+            counts = [_packed(cells[p * size : (p + 1) * size]) for p in range(SKETCH_PARTS)]
+            task = np.full(SKETCH_PARTS, TaskContext.get().partitionId(), dtype=np.int32)
+            yield rows_of({"part": pa.array(np.arange(SKETCH_PARTS, dtype=np.int32)), "task": pa.array(task), "counts": pa.array(counts, pa.binary())}, SKETCH_PARTS)
 
     return run
 
@@ -107,7 +115,19 @@ def _add_up(key: tuple, table: pa.Table) -> pa.Table:
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, dtype=np.uint64)
     for value in table.column("counts"):
         total += np.frombuffer(zlib.decompress(value.as_py()), dtype="<u8")
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype("<u8").tobytes()], pa.binary())})
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_packed(total)], pa.binary())})
+
+
+def _sketch(pieces: DataFrame) -> np.ndarray:
+    """The sum of all tasks' counts: first of groups of tasks, then of the groups, so no task reads more than a few hundred pieces."""
+    tasks = pieces.agg(F.max("task")).first()[0] or 0
+    fan = max(1, math.isqrt(tasks))
+    some = pieces.groupBy("part", F.pmod("task", F.lit(fan)).alias("fan")).applyInArrow(_add_up, "part int, counts binary")
+    size = (1 << SKETCH_BITS) // SKETCH_PARTS
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    for r in some.groupBy("part").applyInArrow(_add_up, "part int, counts binary").collect():
+        sketch[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(r["counts"]), dtype="<u8").astype(np.int64)
+    return sketch
 
 
 def _prefixes(k: int, seed: int, percent: int, sketch: np.ndarray):
@@ -116,7 +136,7 @@ def _prefixes(k: int, seed: int, percent: int, sketch: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, h, bounds, n, key, _ in _sets(batch.column(0), k, seed):
+            for _, _, h, bounds, n, key, _, _ in _sets(batch.column(0), k, seed):
                 fresh = np.zeros(len(n), dtype=bool)
                 for i, x in enumerate(key.tolist()):
                     if n[i] and x not in seen:
@@ -251,17 +271,17 @@ def _admissible(percent: int):
 
 
 def _candidates(k: int, seed: int, bitmap: np.ndarray):
+    """(key, shingles) of the rows (bit, text) whose bit is set; only their texts are looked at."""
     schema = pa.schema([("key", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, _, h, bounds, n, key, _ in _sets(batch.column(0), k, seed):
-                bit = (key >> U(64 - BITMAP_BITS)).astype(np.int64)
-                maybe = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            bit = batch.column(0).to_numpy()
+            maybe = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            for _, _, h, bounds, n, key, _, _ in _sets(batch.column(1).take(pa.array(maybe)), k, seed):
                 keys, blobs = [], []
-                for i in maybe.tolist():
-                    x = int(key[i])
+                for i, x in enumerate(key.tolist()):
                     if n[i] and x not in seen:
                         seen.add(x)
                         keys.append(x)
@@ -272,6 +292,15 @@ def _candidates(k: int, seed: int, bitmap: np.ndarray):
     return run
 
 
+def _bitmap(bits: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of 2**n bits of the column ``bit``, put together in pieces of 4096 bytes."""
+    bitmap = np.zeros(1 << (n - 3), dtype=np.uint8)
+    built = bits.groupBy(F.shiftrightunsigned("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND((1 << 15) - 1)).alias("map"))
+    for r in built.collect():
+        bitmap[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["map"], dtype=np.uint8)
+    return bitmap
+
+
 def tile_links(sets: list[np.ndarray], block: np.ndarray, tile: tuple[int, int], percent: int, copies: np.ndarray, group_rows: int = GROUP_ROWS) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
     """Links inside a tile: for each set its smallest linked position and its number of linked documents.
 
@@ -291,9 +320,10 @@ def tile_links(sets: list[np.ndarray], block: np.ndarray, tile: tuple[int, int],
     tokens = np.concatenate(sets)
     names, local = np.unique(tokens, return_inverse=True)
     bounds = np.concatenate(([0], np.cumsum(sizes)))
-    matrix = np.zeros((len(names), group.max() + 1), dtype=bool)
-    matrix[local, np.repeat(group, sizes)] = True
-    groups = matrix.shape[1]
+    # the matrix row by row: for each token the groups whose union holds it
+    groups = int(group.max()) + 1
+    cells = np.unique(local * groups + np.repeat(group, sizes))
+    held_by, row_start = cells % groups, np.searchsorted(cells, np.arange(len(names) + 1) * groups)
     members = [np.flatnonzero(group == g) for g in range(groups)]
     member_tokens = [np.concatenate([local[bounds[i] : bounds[i + 1]] for i in g]) for g in members]
     member_bounds = [np.concatenate(([0], np.cumsum(sizes[g])))[:-1] for g in members]
@@ -313,7 +343,8 @@ def tile_links(sets: list[np.ndarray], block: np.ndarray, tile: tuple[int, int],
     for q in range(m):
         own = local[bounds[q] : bounds[q + 1]]
         nq = int(sizes[q])
-        overlap = matrix[own].sum(axis=0)
+        count = row_start[own + 1] - row_start[own]
+        overlap = np.bincount(held_by[np.repeat(row_start[own] - np.cumsum(count) + count, count) + np.arange(count.sum())], minlength=groups)
         floor = np.maximum(least, -(-percent * nq // 100))
         may = ((100 + percent) * overlap >= percent * (nq + floor)) & (100 * most >= percent * nq) & (percent * least <= 100 * nq)
         if tile[0] != tile[1]:
@@ -346,10 +377,11 @@ def _verify(percent: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, with_words: bool = False) -> DataFrame:
     """Component and number of links of every document.
 
-    Returns ``doc_id, n_shingles, component_id, n_links``, one row per row of
+    Returns ``doc_id, n_shingles, component_id, n_links`` (and ``n_words`` if asked
+    for), one row per row of
     ``docs``; other columns are neither read nor returned.  Words are runs of
     bytes other than ASCII white space, A-Z lower-cased.  A document of fewer
     than k words has its whole sequence as its one shingle; null, empty or blank
@@ -365,17 +397,14 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = rows.where("doc_id IS NOT NULL").select("text")
     spark = docs.sparkSession
     for seed in range(8):
-        scan = keep(rows.mapInArrow(_members(k, seed), "doc_id long, n int, key long, key2 long, profile binary, part int, counts binary"), "ngram-sets")
-        members = scan.where("part IS NULL").select("doc_id", "n", "key", "key2", "profile")
+        scan = keep(rows.mapInArrow(_members(k, seed), _MEMBERS_DDL), "ngram-sets")
+        members = scan.where("part IS NULL").select("doc_id", "n", "words", "key", "key2", "profile")
         clash = members.where("n > 0").groupBy("key").agg(F.min("key2").alias("x"), F.max("key2").alias("y")).where("x <> y").limit(1).count()
         if not clash:
             break
     else:
         raise RuntimeError("set names collide under every seed")
-    size = (1 << SKETCH_BITS) // SKETCH_PARTS
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in scan.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_add_up, "part int, counts binary").collect():
-        sketch[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["counts"], dtype="<u8").astype(np.int64)
+    sketch = _sketch(scan.where("part IS NOT NULL").select("part", "task", "counts"))
     # only the order of the counts matters
     sketch = np.unique(sketch, return_inverse=True)[1].astype(np.int32)
 
@@ -390,16 +419,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = met.where("NOT chained").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
     edges = keep(pairs.mapInArrow(_admissible(percent), "a long, b long").unionByName(met.where("chained").select("a", "b")), "ngram-edges")
     parts = keep(connected_components(edges), "ngram-parts")
-    bits = parts.select(F.shiftrightunsigned("node", 64 - BITMAP_BITS).alias("bit"))
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), dtype=np.uint8)
-    built = bits.groupBy(F.shiftrightunsigned("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND((1 << 15) - 1)).alias("map"))
-    for r in built.collect():
-        bitmap[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = np.frombuffer(r["map"], dtype=np.uint8)
-
-    sets = named.mapInArrow(_candidates(k, seed, bitmap), "key long, shingles binary")
     copies = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
-    inside = parts.withColumnsRenamed({"node": "key", "component": "part"}).join(copies.select("key", "copies", "n"), "key")
-    blocks = inside.groupBy("part").agg(F.ceil(F.sum("n") / TILE_TOKENS).cast("int").alias("blocks"))
+    inside = keep(parts.withColumnsRenamed({"node": "key", "component": "part"}).join(copies, "key"), "ngram-candidates")
+    # one row of each set is looked up by its id; more bits for more sets, at most 32 MiB, beyond which rows pass that the join drops
+    n_bits = min(max(inside.count().bit_length() + 6, 16), BITMAP_BITS)
+    bit = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - n_bits)
+    bitmap = _bitmap(inside.select(bit("first_id").alias("bit")), n_bits)
+    sets = rows.where("doc_id IS NOT NULL").select(bit("doc_id").alias("bit"), "text").mapInArrow(_candidates(k, seed, bitmap), "key long, shingles binary")
+    inside = inside.drop("first_id")
+    tokens = F.sum("n")
+    blocks = inside.groupBy("part").agg(F.greatest(F.least(F.ceil(tokens / TILE_TOKENS), F.lit(FEW_BLOCKS)), F.ceil(tokens / MOST_TILE_TOKENS)).cast("int").alias("blocks"))
     placed = inside.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     tiled = placed.select(
         "key", "copies", "part", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda t: F.struct(F.least("block", t).alias("i"), F.greatest("block", t).alias("j")))).alias("tile")
@@ -418,10 +447,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     # at most HOT_SETS sets have so many copies; their rows are not dealt by key
     hot = own.where(F.col("copies") > max(HOT_COPIES, members.count() // HOT_SETS)).drop("copies")
-    none = members.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    named_rows = members.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key")
-    often = named_rows.join(F.broadcast(hot), "key").drop("key")
-    seldom = named_rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(own.drop("copies"), "key").drop("key")
+    out = ["doc_id", "n_shingles", "component_id", "n_links", *(["n_words"] if with_words else [])]
+    none = members.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("words").alias("n_words")).select(*out)
+    named_rows = members.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("words").alias("n_words"), "key")
+    often = named_rows.join(F.broadcast(hot), "key").select(*out)
+    seldom = named_rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(own.drop("copies"), "key").select(*out)
     return often.unionByName(seldom).unionByName(none)
 
 

@@ -28,9 +28,8 @@ def pack_documents(docs: DataFrame, capacity: int = PACK_CAPACITY) -> DataFrame:
     not matter and exact copies are not dealt by their text.
     """
     keyed = docs.withColumn("row", F.when(F.col("text").isNotNull(), F.xxhash64("doc_id", "text")))
-    near = ngram_jaccard_join(keyed, "row", "text", k=5, percent=80).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("cluster"))
-    sized = keyed.select("doc_id", "source", "row", packing.word_count(F.col("text")).alias("words"))
-    rows = keep(sized.join(near, "row", "left").drop("row"), "packing-rows")
+    near = ngram_jaccard_join(keyed, "row", "text", k=5, percent=80, with_words=True).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("row")).agg(F.min("component_id").alias("cluster"), F.max("n_words").alias("words"))
+    rows = keep(keyed.select("doc_id", "source", "row").join(near, "row", "left").drop("row"), "packing-rows")
     return packing.best_fit_pack(rows, F.col("words"), F.col("cluster"), capacity=capacity)
 
 
