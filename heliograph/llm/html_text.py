@@ -3,11 +3,19 @@
 Every piece of text hangs on a root-to-leaf tag path.  Paths, not nodes, are
 judged: articles put their paragraphs on few paths that carry long, punctuated
 text, while menus, notices and footers put short, unpunctuated text on theirs.
-For each path the length of text and the punctuation are summed and divided by
-the number of its nodes; both ratios are smoothed along the page (a Gaussian
-over the sequence of blocks), fused by multiplication with what the path's own
-labels say (``nav`` or ``class="sidebar"`` count nothing, ``article`` counts
-much), and compared with a threshold taken from the page itself.
+For each path the length of text outside links and the punctuation are summed
+and divided by the number of its nodes.  Both ratios are smoothed along the
+page, a neighbour counting by its distance and by how much of its tag path it
+shares; they are fused by multiplication, weighed by what the path's own labels
+make likely (``article`` is likely, ``class="sidebar"`` hardly), and compared
+with a threshold taken from the page's best path.  Labels are weights: a path
+with a doubtful label stays when its ratios are good, and a path inside
+``article`` goes when they are not.  Only elements whose meaning is fixed by the
+markup itself (``nav``, ``footer``, ``form``, hidden ones, ...) never count.
+
+Short blocks (headings, list items, cells) are judged by their container: in a
+container that passing paths fill, a path stays unless its labels are worse
+than the container's or its nodes are a list of short links.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from heliograph.llm.columns import add_columns
 # One token of a page.  Possessive repeats keep the scan linear on broken markup.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|iframe|math|object|select)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title|iframe)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>?"
     r"|<[a-zA-Z][^<>]*>?"
@@ -40,21 +48,31 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。,、!?;:]")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math mfrac mi mn mo mover mroot mrow ms msqrt msub msubsup msup mtext munder munderover semantics".split()
 )
-_NEVER = frozenset("head nav footer aside form button menu dialog label fieldset legend datalist optgroup option".split())
+_NEVER = frozenset("head nav footer aside form button menu dialog label fieldset legend datalist optgroup option select svg template".split())
+#: Elements nested deeper are not told apart from the one that holds them, as browsers do it.
+DEEP = 512
+# Open ones of these end at the next element of running text, as they cannot hold it.
+_NO_TEXT = frozenset("select svg math option optgroup datalist button label".split())
 _BODY = frozenset("article main".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 _SCOPE = frozenset("body html table td th button article section div main li blockquote aside nav header footer".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Fixed words that mark a container as something else than the article.
-_LABELS = frozenset(
-    """ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promoted promotion banner sidebar sidebars side menu menus nav navbar navigation breadcrumb
-    breadcrumbs footer foot header masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin share sharing social
-    related recommended recommendations trending comment comments reply replies respond discussion disqus widget widgets toolbar pagination pager skip hidden copyright legal disclaimer search form outbrain taboola paywall teaser""".split()
+# Fixed words that mark a container as something else than the article: hardly the article in any name, ...
+_STRONG = frozenset(
+    """ad ads advert adverts advertisement advertising advertorial sponsor sponsored sponsors sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar
+    cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login signin comment comments disqus widget widgets toolbar pagination pager hidden copyright
+    outbrain taboola paywall recommended recommendations trending""".split()
 )
+# ... in a name of nothing but such words and words of layout, ...
+_LIKELY = frozenset("promo promoted promotion banner side foot header notice notices notification alert share sharing social related reply replies respond skip search form teaser disclaimer".split())
+# ... and those that an article uses as often.
+_DOUBTFUL = frozenset("discussion legal".split())
+_LAYOUT = frozenset("area bar bars block blocks bottom box boxes btn button buttons container group icon icons inner item items left link links list lists main media page post posts right row section site slot tools top wrap wrapper".split())
+STRONG, LIKELY, DOUBTFUL, IN_BODY = 0.02, 0.1, 0.5, 10.0
 
 # Fixed words of that list that inside an article mark its own title.
 _OF_TITLE = frozenset("header head title".split())
@@ -67,11 +85,24 @@ class Block:
     prior: float
     order: int
     linked: int = 0
+    body: bool = False
+
+
+def _weight(said: str, in_body: bool) -> float:
+    """How likely an element of this class or id belongs to the article; 1 says nothing."""
+    weight = 1.0
+    for name in said.split():
+        words = {w.lower() for w in _WORD.findall(name)} - (_OF_TITLE if in_body else set())
+        if not _STRONG.isdisjoint(words) or any(map(_STEM.match, words)):
+            weight = min(weight, STRONG)
+        elif words <= _LIKELY | _DOUBTFUL | _LAYOUT:
+            weight = min([weight, *(LIKELY for w in words if w in _LIKELY), *(DOUBTFUL for w in words if w in _DOUBTFUL)])
+    return weight
 
 
-def _labels(name: str, attrs: str, in_body: bool = False) -> tuple[str, bool]:
-    """The path step of an element and whether its own labels rule it out (in an article, not those of its head)."""
-    out = name in _NEVER
+def _labels(name: str, attrs: str, in_body: bool = False) -> tuple[str, float]:
+    """The path step of an element and its weight; 0 if the markup itself rules it out (the head of an article belongs to it)."""
+    weight = 0.0 if name in _NEVER else 1.0
     whole = name in _BODY or name in ("html", "body")  # their labels speak of the page
     mark = ""
     if attrs and "=" in attrs or "hidden" in attrs:
@@ -80,15 +111,15 @@ def _labels(name: str, attrs: str, in_body: bool = False) -> tuple[str, bool]:
             value = said.lower()
             if key == "class" or key == "id":
                 mark += f".{value.strip()}" if key == "class" else f"#{value.strip()}"
-                words = {w.lower() for w in _WORD.findall(said)} - (_OF_TITLE if in_body else set())
-                out = out or not whole and (not _LABELS.isdisjoint(words) or any(map(_STEM.match, words)))
-            elif key == "role":
-                out = out or value in _ROLES
-            elif key == "style":
-                out = out or re.search(r"display:none|visibility:hidden", value.replace(" ", "")) is not None
-            elif (key == "hidden" and value != "false") or (key == "aria-hidden" and value == "true"):
-                out = True
-    return name + mark, out
+                weight *= 1.0 if whole else _weight(said, in_body)
+            elif (
+                (key == "role" and value in _ROLES)
+                or (key == "style" and re.search(r"display:none|visibility:hidden", value.replace(" ", "")))
+                or (key == "hidden" and value != "false")
+                or (key == "aria-hidden" and value == "true")
+            ):
+                weight = 0.0
+    return name + mark, weight
 
 
 def blocks(page: str) -> list[Block]:
@@ -99,11 +130,11 @@ def blocks(page: str) -> list[Block]:
     ``p`` ends at the next block tag, and what is open at the end is closed.
     """
     found: list[Block] = []
-    # an open element: name, path, ruled out, inside article or main, inside a link
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    # an open element: name, path, weight of its labels and those around it, inside article or main, inside a link
+    stack: list[tuple[str, str, float, bool, bool]] = [("", "", 1.0, False, False)]
     parts: list[str] = []
     linked = 0
-    known: dict[tuple[str, str, bool], tuple[str, bool]] = {}
+    known: dict[tuple[str, str, bool], tuple[str, float]] = {}
     where = stack[0]
 
     def flush() -> None:
@@ -111,8 +142,8 @@ def blocks(page: str) -> list[Block]:
         text = html.unescape("".join(parts)) if len(parts) > 1 or "&" in parts[0] else parts[0]
         text = " ".join(text.split())
         if text:
-            _, path, out, body, _ = where
-            found.append(Block(text, path, 0.0 if out else 4.0 if body else 1.0, len(found), linked))
+            _, path, weight, body, _ = where
+            found.append(Block(text, path, weight * (IN_BODY if body else 1.0), len(found), linked, body))
         parts, linked = [], 0
 
     for m in _TOKEN.finditer(page):
@@ -126,7 +157,7 @@ def blocks(page: str) -> list[Block]:
             continue
         name = m.group("name")
         if name is None:
-            if m.group("raw") and parts and m.group("raw").lower() not in ("svg", "math", "script", "style", "template"):
+            if m.group("raw") and parts and m.group("raw").lower() not in ("script", "style"):
                 flush()
             continue
         name = name.lower()
@@ -147,6 +178,9 @@ def blocks(page: str) -> list[Block]:
         attrs = m.group("attrs")
         if name in _VOID:
             continue
+        if name in _CLOSES_P or name == "li":
+            while stack[-1][0] in _NO_TEXT or (stack[-1][2] == 0 and any(x[0] in ("svg", "select") for x in stack)):
+                stack.pop()
         if name in _CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
@@ -161,75 +195,140 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
                     break
-        if attrs.endswith("/") and name in ("svg", "path", "use"):
+        if attrs.endswith("/") and any(x[0] in ("svg", "math") for x in [(name,), *stack]):
             continue
-        step, out = known.get((name, attrs, stack[-1][3])) or known.setdefault((name, attrs, stack[-1][3]), _labels(name, attrs, stack[-1][3]))
+        step, weight = known.get((name, attrs, stack[-1][3])) or known.setdefault((name, attrs, stack[-1][3]), _labels(name, attrs, stack[-1][3]))
         up = stack[-1]
+        if len(stack) > DEEP:
+            continue
         body = up[3] or name in _BODY
-        if name == "header":
-            out = out or not up[3]  # the head of an article belongs to it
-        stack.append((name, f"{up[1]}/{step}" if name not in _INLINE else up[1], up[2] or out, body, up[4] or name == "a"))
+        if name == "header" and not up[3]:
+            weight = 0.0
+        stack.append((name, f"{up[1]}/{step}" if name not in _INLINE else up[1], up[2] * weight, body, up[4] or name == "a"))
     if parts:
         flush()
     return found
 
 
-def _smooth(values: list[float], radius: int = 1) -> list[float]:
-    kernel = [math.exp(-(d * d) / 2) for d in range(-radius, radius + 1)]
+def _shared(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """The share of two tag paths that is common from the root."""
+    same = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        same += 1
+    return same / max(len(a), len(b), 1)
+
+
+def _smooth(values: list[float], paths: list[tuple[str, ...]], radius: int = 2) -> list[float]:
+    """Each value with its neighbours', by a Gaussian of the distance times the shared part of the tag paths."""
+    kernel = [math.exp(-(d * d) / 2) for d in range(radius + 1)]
     out = []
-    for i in range(len(values)):
-        total = weight = 0.0
-        for d in range(-radius, radius + 1):
-            if 0 <= i + d < len(values):
-                total += values[i + d] * kernel[d + radius]
-                weight += kernel[d + radius]
+    for i, own in enumerate(paths):
+        total, weight = values[i], 1.0
+        for j in range(max(0, i - radius), min(len(values), i + radius + 1)):
+            if j != i:
+                w = kernel[abs(i - j)] * (1.0 if paths[j] == own else _shared(own, paths[j]))
+                total += values[j] * w
+                weight += w
         out.append(total / weight)
     return out
 
 
+@dataclass
+class Path:
+    """Sums over the nodes of a tag path."""
+
+    nodes: int = 0
+    chars: int = 0
+    linked: int = 0
+    marks: int = 0
+    weight: float = 0.0
+    body: bool = False
+
+    @property
+    def link_list(self) -> bool:
+        """Mostly links; inside an article only several short ones are a list."""
+        return 2 * self.linked > self.chars and not (self.body and (self.nodes < 3 or self.chars >= 60 * self.nodes))
+
+
+def path_ratios(found: list[Block]) -> tuple[dict[str, Path], dict[str, float]]:
+    """The sums of each path that the markup does not rule out, and its fused ratio.
+
+    The fused ratio is the mean over the path's nodes of the geometric mean of
+    its own text ratio and the smoothed one, times (1 + smoothed punctuation
+    ratio), times the weight of its labels.
+    """
+    paths: dict[str, Path] = {}
+    usable = [b for b in found if b.prior]
+    for b in usable:
+        p = paths.setdefault(b.path, Path())
+        p.nodes += 1
+        p.chars += len(b.text)
+        p.linked += b.linked
+        p.marks += len(_PUNCTUATION.findall(b.text))
+        p.weight = max(p.weight, b.prior)
+        p.body = p.body or b.body
+    steps = {path: tuple(path.split("/")[1:]) for path in paths}
+    text = [max(paths[b.path].chars - paths[b.path].linked, 0) / paths[b.path].nodes for b in usable]
+    marks = [paths[b.path].marks / paths[b.path].nodes for b in usable]
+    where = [steps[b.path] for b in usable]
+    fused = dict.fromkeys(paths, 0.0)
+    for b, own, t, m in zip(usable, text, _smooth(text, where), _smooth(marks, where), strict=True):
+        fused[b.path] += math.sqrt(own * t) * (1 + m) * b.prior / paths[b.path].nodes
+    return paths, fused
+
+
+def _containers(good: set[str], paths: dict[str, Path]) -> set[str]:
+    """For each good path the largest container around it of which good paths hold most of the text; never the page itself."""
+    inside: dict[str, list[int]] = {}
+    for path, p in paths.items():
+        up = path
+        while up := up.rpartition("/")[0]:
+            text = inside.setdefault(up, [0, 0])
+            text[0] += p.chars
+            text[1] += p.chars if path in good else 0
+    out = set()
+    for path in good:
+        best, up = "", path
+        while up := up.rpartition("/")[0]:
+            if up.rpartition("/")[2] in ("html", "body"):
+                break
+            body = re.split(r"[.#]", up.rpartition("/")[2])[0] in _BODY
+            if not best or body or 10 * inside[up][1] >= 7 * inside[up][0]:
+                best = up
+        if best:
+            out.add(best)
+    return out
+
+
 def select(found: list[Block], share: float = 0.12) -> list[Block]:
-    """The content blocks: those on paths whose fused ratio reaches the threshold.
-
-    A path's fused ratio is the geometric mean of its own length ratio and that
-    smoothed over its blocks' places, times (1 + smoothed punctuation ratio),
-    times the prior of its labels.  The
-    threshold is ``share`` of the page's best path.  Inside ``article`` or
-    ``main`` every path that is not ruled out is kept once one of them passes,
-    as headings and short lists belong to their article; elsewhere a passing
-    path brings the other paths of its container but those that are mostly links.
+    """The content blocks: those on paths whose fused ratio reaches ``share`` of the page's best path.
+
+    In a container that passing paths fill, the others stay too, but those with
+    worse labels than a passing one and lists of short links.  On a page without
+    such a container headings beside a passing path stay.
     """
-    length: dict[str, list[float]] = {}
-    for b in found:
-        if b.prior:
-            s = length.setdefault(b.path, [0.0, 0.0, 0.0])
-            s[0] += len(b.text)
-            s[1] += len(_PUNCTUATION.findall(b.text))
-            s[2] += 1
-    if not length:
+    paths, fused = path_ratios(found)
+    if not paths:
         return []
-    usable = [b for b in found if b.prior]
-    ratio = [length[b.path][0] / length[b.path][2] for b in usable]
-    texts = [math.sqrt(own * around) for own, around in zip(ratio, _smooth(ratio), strict=True)]
-    marks = _smooth([length[b.path][1] / length[b.path][2] for b in usable])
-    fused: dict[str, float] = {}
-    prior: dict[str, float] = {}
-    for b, t, p in zip(usable, texts, marks, strict=True):
-        fused[b.path] = fused.get(b.path, 0.0) + t * (1 + p) * b.prior / length[b.path][2]
-        prior[b.path] = max(prior.get(b.path, 0.0), b.prior)
     best = max(fused.values())
-    good = {path for path, v in fused.items() if v >= share * best}
-    if any(prior[path] > 1 for path in good):
-        good = {path for path in fused if prior[path] > 1}
-    else:
-        # the other paths of a passing path's container; of the body itself only headings
-        around = {path.rpartition("/")[0] for path in good}
-        inner = tuple(f"{x}/" for x in around if x.rpartition("/")[2] not in ("", "html", "body"))
-        links: dict[str, int] = {}
-        for b in usable:
-            links[b.path] = links.get(b.path, 0) + b.linked
-        good |= {path for path in fused if path.startswith(inner) and 2 * links[path] <= length[path][0]} if inner else set()
-        good |= {path for path in fused if path.rpartition("/")[0] in around and _HEADING.match(path.rpartition("/")[2])}
-    return [b for b in usable if b.path in good]
+    good = {path for path, v in fused.items() if v >= share * best and not (paths[path].link_list and v < best)}
+    weight: dict[str, float] = {}
+    for path in good:
+        up = path
+        while up := up.rpartition("/")[0]:
+            weight[up] = min(weight.get(up, math.inf), paths[path].weight)
+    kept = set(good)
+    containers = _containers(good, paths)
+    for path, p in paths.items():
+        up, around = path, path.rpartition("/")[0]
+        while path not in kept and (up := up.rpartition("/")[0]):
+            if up in containers and p.weight >= weight[up] and not p.link_list:
+                kept.add(path)
+        if around in weight and _HEADING.match(path.rpartition("/")[2]) and p.weight >= weight[around]:
+            kept.add(path)
+    return [b for b in found if b.path in kept and b.prior]
 
 
 def main_text(page: str | None) -> str:
@@ -241,7 +340,12 @@ def main_text(page: str | None) -> str:
 
 
 def extract(df: DataFrame, html_col: str = "html", out: str = "text", length_out: str = "n_chars") -> DataFrame:
-    """``df`` with the main text of each page and its number of code points."""
+    """``df`` with the main text of each page and its number of code points.
+
+    Null and empty pages give the empty text; columns with the output's names
+    are replaced, others pass through; repeated rows give equal results, an
+    empty table an empty one.
+    """
 
     def make(column: pa.Array) -> list[pa.Array]:
         texts = [main_text(v.as_py()) for v in column]

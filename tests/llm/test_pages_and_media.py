@@ -54,6 +54,61 @@ def test_threshold_and_smoothing():
     assert html_text.select([]) == []
 
 
+@pytest.mark.parametrize(
+    ("inside", "expect"),
+    [
+        ("<p>P</p><svg/><p>P</p>", "P|P"),
+        ("<p>P</p><svg><path d='M0'/><text>no</text></svg><p>P</p>", "P|P"),
+        ("<p>P</p><select><option>a<option>b<p>P</p>", "P|P"),
+        ("<p>P</p><section id='discussion'><h2>Discussion</h2><p>P</p></section>", "P|Discussion|P"),
+        ("<div class='legal-history'><p>P</p><p>Short.</p></div><div class='share-price'><p>It rose.</p></div><div class='social-science'><p>P</p></div>", "P|Short.|It rose.|P"),
+        ("<p>P <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><noscript><p>P</p></noscript>", "P x=1|P"),
+        # the ratios decide inside the article: lists of short links go, lists of text stay
+        ("<p>P</p><ul><li><a href=a>One more</a></li><li><a href=b>And another</a></li><li><a href=c>Read on</a></li></ul><p>P</p>", "P|P"),
+        ("<p>P</p><ol><li>first</li><li>second</li><li>third <a href=x>y</a></li></ol>", "P|first|second|third y"),
+        ("<p>P</p><div class='share-buttons'><span>Tweet</span></div><div class='related-posts'><p>More of it</p></div><p>P</p>", "P|P"),
+    ],
+)
+def test_markup_and_doubtful_labels_inside_an_article(inside, expect):
+    words = "This is a long sentence of the story, with commas, and it goes on for quite some time."
+    fill = lambda x: x.replace("P", words)
+    got = html_text.main_text(page(f"<article>{inside.replace('>P', f'>{words}')}</article>"))
+    assert got == fill(expect).replace("|", "\n")
+
+
+def test_ratios_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(30):
+        parts = [f"<div class='c{rng.randrange(3)}'><p>{' '.join(rng.choice(['a,', 'bcd', 'efghij.', '<a href=x>link</a>']) for _ in range(rng.randrange(1, 30)))}</p></div>" for _ in range(rng.randrange(2, 12))]
+        found = html_text.blocks(page("".join(parts)))
+        paths, fused = html_text.path_ratios(found)
+        nodes = {p: [b for b in found if b.path == p] for p in paths}
+        plain = {p: sum(len(b.text) - b.linked for b in own) / len(own) for p, own in nodes.items()}
+        marks = {p: sum(b.text.count(",") + b.text.count(".") for b in own) / len(own) for p, own in nodes.items()}
+
+        def smooth(ratio, i, found=found):
+            weights = {}
+            for j, b in enumerate(found):
+                if abs(i - j) <= 2:
+                    x, y = found[i].path.split("/")[1:], b.path.split("/")[1:]
+                    same = next((k for k, (s, t) in enumerate(zip(x, y)) if s != t), min(len(x), len(y))) / max(len(x), len(y))
+                    weights[j] = 2.718281828459045 ** (-((i - j) ** 2) / 2) * same
+            return sum(w * ratio[found[j].path] for j, w in weights.items()) / sum(weights.values())
+
+        for p in paths:
+            want = sum((plain[p] * smooth(plain, b.order)) ** 0.5 * (1 + smooth(marks, b.order)) for b in nodes[p]) / len(nodes[p])
+            assert fused[p] == pytest.approx(want)
+
+
+def test_hostile_pages_do_not_stall():
+    import time
+
+    for text in ("<div class='" * 80_000, "<select>" * 120_000, "<svg>" * 200_000 + "<p>x", "<p>" * 300_000 + "end", "<a href=x>" * 90_000, "<div><p>x" * 100_000, "&amp;" * 200_000, "<p><b>" + "<b>" * 600 + "<h1>x</h1>" * 50_000, "<b>" * 50_000 + "</p>" * 50_000):
+        began = time.perf_counter()
+        html_text.main_text(text)
+        assert time.perf_counter() - began < 20, text[:10]
+
+
 def test_extract_column(spark):
     df = spark.createDataFrame([(1, "u", page(f"<article><p>é{P1}</p></article>"), "old"), (2, "u", None, "old"), (2, "u", None, "old")], "page_id long, url string, html string, text string")
     rows = html_text.extract(df).orderBy("page_id").collect()
