@@ -1,7 +1,8 @@
 """Cutting lineage in the folder that the whole cluster shares.
 
 ``spark.checkpoint.dir`` is read from the session; a folder of our own is set
-only where the setting is missing, as in tests.  Nothing is ever kept on one
+only where the setting is missing and Spark runs in one process, as in tests; on
+a cluster the setting is required.  Nothing is ever kept on one
 executor alone, so a lost executor costs at most a recomputation.
 """
 
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="heliograph-"))
     return context.getCheckpointDir()
 

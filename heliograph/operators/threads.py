@@ -10,9 +10,10 @@ any number of packages is handled at once.  Relations:
 
 A mail's candidates are its In-Reply-To, then its References from the nearest.
 It hangs under the first one that is in the scope, is not itself and would not
-close a cycle.  Without cycles that is a join and a ``min_by``; scopes whose
-first choices do run in a circle are found by pointer doubling and only they
-are replayed mail by mail (a scope is bounded by admission limits).
+close a cycle.  Without cycles that is a join and a ``min_by``.  Mails whose
+first choices lead into a circle are found by pointer doubling; only they are
+replayed mail by mail, each connected set of them a group of its own.  All
+others keep their first choice: it never leads to a circle.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.lineage import cut
+from heliograph.operators.components import connected_components
 
 NO_POS = 2**31 - 1
+#: Circular mails of one scope that are replayed together.
+REPLAY_ROWS = 20_000
 
 
 def blank_to_null(c: Column | str) -> Column:
@@ -116,11 +120,11 @@ def climb(edges: DataFrame, scope: str = "scope") -> DataFrame:
 
 
 def _walk(options: dict[int, list[tuple[int, int]]], order: list[int]) -> tuple[dict[int, tuple[int, int] | None], dict[int, int]]:
-    """Parents (target, pos) and broken edges of a scope whose first choices run in a circle.
+    """Parents (target, pos) and broken edges of connected mails whose first choices lead into circles.
 
     From each unsettled mail, in arrival order, one walks up along the first
     option that is not on the walk itself, until a settled mail or a dead end is
-    met; then the whole walk is settled.
+    met; then the whole walk is settled.  Mails without options here are settled.
     """
     parent: dict[int, tuple[int, int] | None] = {}
     broken: dict[int, int] = {}
@@ -135,7 +139,7 @@ def _walk(options: dict[int, list[tuple[int, int]]], order: list[int]) -> tuple[
                     continue
                 step = (target, pos)
                 break
-            if step is not None and step[0] not in parent:
+            if step is not None and step[0] in options and step[0] not in parent:
                 walk.append(step[0])
                 on_walk.add(step[0])
                 continue
@@ -156,7 +160,7 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
         if kind == "present":
             options[int(uid)].append((int(pos), int(target)))
             refs[int(uid), int(target)] = (ref, int(pos))
-    parent, broken = _walk(options, sorted({*options, *(t for own in options.values() for _, t in own)}))
+    parent, broken = _walk(options, sorted(options))
     rows = []
     for uid in options:
         got = parent.get(uid)
@@ -166,6 +170,29 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.astype({"parent_uid": "Int64", "chosen_pos": "Int32"})
 
 
+def _replay_circles(tried: DataFrame, circular: DataFrame, scope: str) -> DataFrame:
+    """Parents of the circular mails.
+
+    Mails that reach one another by any option must be one group.  While no
+    scope has more than ``REPLAY_ROWS`` circular mails, a scope is the group,
+    which spares the search for components; the results are the same.
+    """
+    own = tried.join(circular, [scope, "uid"], "left_semi")
+    most = circular.groupBy(scope).count().agg(F.max("count")).first()[0]
+    if most <= REPLAY_ROWS:
+        grouped = own.withColumn("group", F.lit(0).cast("long"))
+    else:
+        inner = own.where("kind = 'present'").join(circular.select(scope, F.col("uid").alias("target")), [scope, "target"], "left_semi")
+        groups = connected_components(inner.select(F.struct(scope, "uid").alias("a"), F.struct(scope, F.col("target").alias("uid")).alias("b")))
+        grouped = own.join(groups.select(F.col(f"node.{scope}").alias(scope), F.col("node.uid").alias("uid"), F.col("component.uid").alias("group")), [scope, "uid"])
+    return (
+        grouped.withColumnRenamed(scope, "scope")
+        .groupBy("scope", "group")
+        .applyInPandas(_replay, f"scope {dict(tried.dtypes)[scope]}, uid long, parent_uid long, parent_ref string, chosen_pos int, cycle_refs long")
+        .withColumnRenamed("scope", scope)
+    )
+
+
 def resolve_parents(mails: DataFrame, scope: str = "scope", ambiguous: bool = False) -> DataFrame:
     """Parent and reference tallies of every mail.
 
@@ -177,17 +204,10 @@ def resolve_parents(mails: DataFrame, scope: str = "scope", ambiguous: bool = Fa
     tried = cut(candidates(mails, scope, ambiguous))
     chosen = _choose(tried, scope)
     reached = climb(chosen, scope)
-    circular = cut(reached.where("circular").select(scope).distinct())
+    circular = cut(reached.where("circular").select(scope, "uid"))
     plain = chosen.withColumn("cycle_refs", F.lit(0).cast("long"))
     if circular.limit(1).count():
-        replayed = (
-            tried.join(circular, scope, "left_semi")
-            .withColumnRenamed(scope, "scope")
-            .groupBy("scope")
-            .applyInPandas(_replay, f"scope {dict(mails.dtypes)[scope]}, uid long, parent_uid long, parent_ref string, chosen_pos int, cycle_refs long")
-            .withColumnRenamed("scope", scope)
-        )
-        plain = cut(plain.join(circular, scope, "left_anti").unionByName(replayed))
+        plain = cut(plain.join(circular, [scope, "uid"], "left_anti").unionByName(_replay_circles(tried, circular, scope)))
         reached = climb(plain, scope)
     before = F.col("pos") < F.coalesce("chosen_pos", F.lit(NO_POS))
     tally = (

@@ -42,13 +42,13 @@ def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 THREAD_MAILS = """
 SELECT scope, CAST(row_number() OVER (PARTITION BY scope ORDER BY conv_id, turn) - 1 AS BIGINT) AS uid, conv_id, turn, last_turn, id, prev_id, text, role,
   CASE WHEN conv_id % 17 = 0 OR (conv_id + turn) % 23 <> 0 THEN id END AS message_id,
-  CASE WHEN conv_id % 17 = 0 AND turn = 0 THEN last_id WHEN conv_id % 17 <> 0 AND (conv_id + turn) % 29 = 0 THEN id WHEN turn > 0 THEN prev_id END AS in_reply_to,
+  CASE WHEN conv_id % 17 = 0 AND turn = 0 THEN last_id WHEN conv_id % 17 <> 0 AND (conv_id + turn) % 29 = 0 THEN id
+    WHEN conv_id % 17 <> 0 AND (conv_id * 7 + turn) % 11 = 0 THEN '<gone' || conv_id || '.t' || turn || '@mail.example>' WHEN turn > 0 THEN prev_id END AS in_reply_to,
   '2024-01-' || (10 + (conv_id * 3 + turn * 5) % 18) || 'T00:00:00+00:00' AS date
 FROM (SELECT conv_id, turn, role, text, 'p' || (conv_id % 8) AS scope, '<c' || conv_id || '.t' || turn || '@' || role || '.example>' AS id,
     '<c' || conv_id || '.t' || (turn - 1) || '@' || lag(role) OVER (PARTITION BY conv_id ORDER BY turn) || '.example>' AS prev_id,
     '<c' || conv_id || '.t' || max(turn) OVER (PARTITION BY conv_id) || '@' || last_value(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || '.example>' AS last_id,
     max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations) x
-WHERE conv_id % 17 = 0 OR (conv_id * 7 + turn) % 11 <> 0
 """
 
 _ALL_TURNS = "SELECT conv_id AS c, turn AS t, '<c' || conv_id || '.t' || turn || '@' || role || '.example>' AS earlier FROM conversations"

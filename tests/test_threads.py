@@ -62,8 +62,9 @@ def recursive_parents(rows, ambiguous=False):
     return parent, tally
 
 
-@pytest.mark.parametrize(("seed", "ambiguous"), [(1, False), (2, False), (3, True), (4, True)])
-def test_random_graphs_with_cycles(spark, seed, ambiguous):
+@pytest.mark.parametrize(("seed", "ambiguous", "rows"), [(1, False, 20_000), (2, False, 1), (3, True, 20_000), (4, True, 1)])
+def test_random_graphs_with_cycles(spark, monkeypatch, seed, ambiguous, rows):
+    monkeypatch.setattr(threads, "REPLAY_ROWS", rows)
     rng = random.Random(seed)
     parts, wants = [], []
     for g in range(12):
