@@ -75,8 +75,10 @@ class Items:
         return np.unique(pairs, axis=0)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, k: int, percent: int, block_bytes: int) -> Iterator[list[Items]]:
-    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, id_col: str | None, text_col: str, k: int, percent: int, block_bytes: int) -> Iterator[list[Items]]:
+    """Items in blocks of about ``block_bytes`` of text; without an id column ids do not matter and all are 0."""
+    named = F.col(id_col).cast("long") if id_col else F.lit(0).cast("long")
+    items = benchmark.select(named.alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = -(-size // block_bytes)
     for i in range(blocks):
@@ -147,13 +149,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", k: int = 5, percent: int = 80, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns.
 
-    Decided row by row without a shuffle; rows with null text stay.
+    Decided row by row without a shuffle; rows with null text stay.  Items need no
+    id here.
     """
     out = docs
-    for groups in _blocks(benchmark, item_id, item_text, k, percent, block_bytes):
+    for groups in _blocks(benchmark, None, item_text, k, percent, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], groups: list[Items] = groups) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -165,8 +165,9 @@ def word_count(text: F.Column) -> F.Column:
 
 
 def text_cluster(text: F.Column) -> F.Column:
-    """A key that texts share when they differ in ASCII case and white space only; null for none."""
-    return F.xxhash64(F.regexp_replace(F.lower(F.trim(text)), r"[\x20\x09-\x0D]+", " "), F.length(text) * 0)
+    """A key that texts share when they differ in the case of A-Z and white space only; null for null."""
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(text.isNotNull(), F.xxhash64(F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " "))))
 
 
 def best_fit_pack(docs: DataFrame, length: F.Column, cluster: F.Column, id_col: str = "doc_id", source_col: str = "source", capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:

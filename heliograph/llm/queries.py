@@ -120,11 +120,15 @@ FROM documents d JOIN (SELECT node, min(other) AS component_id FROM reach GROUP
 LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY 1) l ON l.a = d.doc_id
 """
 
+# An item of fewer than five words is one run of so many words, and documents are cut into runs of every such length.
+_RUNS = "unnest(list_transform(range(1, len(w) - n + 2), lambda i: n || ' ' || array_to_string(w[i:i + n - 1], ' ')))"
 OP4_SQL = f"""
-WITH d AS MATERIALIZED ({_shingles("documents", "doc_id", 5)}), b AS MATERIALIZED ({_shingles("benchmark", "item_id", 5)}),
-n AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1)
-SELECT doc_id, item_id, count(*)::BIGINT AS shared, any_value(n.n)::BIGINT AS item_shingles, count(*)::DOUBLE / any_value(n.n) AS containment
-FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(n.n)
+WITH items AS (SELECT *, least(len(w), 5) AS n FROM ({_words("benchmark", "item_id")}) WHERE len(w) > 0 AND item_id IS NOT NULL),
+b AS MATERIALIZED (SELECT DISTINCT item_id, {_RUNS} AS s FROM items),
+d AS MATERIALIZED (SELECT DISTINCT doc_id, {_RUNS} AS s FROM ({_words("documents", "doc_id")}) JOIN (SELECT DISTINCT n FROM items) ON len(w) >= n),
+sizes AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1)
+SELECT doc_id, item_id, count(*)::BIGINT AS shared, any_value(sizes.n)::BIGINT AS item_shingles, count(*)::DOUBLE / any_value(sizes.n) AS containment
+FROM d JOIN b USING (s) JOIN sizes USING (item_id) GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(sizes.n)
 """
 
 ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_ngram_jaccard": OP7_SQL}

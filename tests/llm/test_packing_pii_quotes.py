@@ -413,6 +413,15 @@ def test_collisions_start_again_under_another_key(spark, monkeypatch):
     assert surrogates.collisions(done).collect() == []
 
 
+def test_texts_without_a_cluster_and_white_space(spark):
+    rows = [(0, None, None), (1, None, None), (2, None, "\ta b"), (3, None, "A  b\n"), (4, None, "É b"), (5, None, "é b")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.c for r in df.select("doc_id", packing.text_cluster(F.col("text")).alias("c")).collect()}
+    assert got[0] is None and got[1] is None and got[2] == got[3] and got[4] != got[5]
+    packed = {r.doc_id: r.bin for r in packing.best_fit_pack(df, packing.word_count(F.col("text")), packing.text_cluster(F.col("text"))).collect()}
+    assert packed[0] == packed[1] == packed[4] and packed[2] != packed[3]
+
+
 def test_near_copies_do_not_share_a_bin(spark):
     from heliograph.llm import queries
 

@@ -135,3 +135,42 @@ def test_fit_prefers_the_better_side():
     model = quality.fit_pairs(x, label, pairs=20000)
     s = model.score(x)
     assert ((s >= quality.CUT) == (label == 1)).mean() > 0.95
+
+
+def test_long_pretokens_share_their_prefixes():
+    import time
+
+    from heliograph.llm import token_counts
+
+    rng = random.Random(9)
+    ranks = {p: i for i, p in enumerate(dict.fromkeys("".join(rng.choice("ab中文") for _ in range(rng.randrange(1, 6))).encode() for _ in range(300)))}
+    vocabulary = token_counts.Vocabulary.build(ranks)
+
+    def plain(token):
+        # the best score of all segmentations, then the one whose last pieces are longest
+        best = {0: (0.0, 0)}
+        for end in range(1, len(token) + 1):
+            found = [(best[s][0] + vocabulary.pieces[token[s:end]], -s, best[s][1] + 1) for s in range(max(0, end - vocabulary.longest), end) if token[s:end] in vocabulary.pieces]
+            top = max(x[0] for x in found)
+            score, _, n = min((x for x in found if x[0] == top), key=lambda x: -x[1])
+            best[end] = (score, n)
+        return best[len(token)][1]
+
+    base = "".join(rng.choice("ab中文字") for _ in range(120)).encode()
+    tokens = sorted({base[: rng.randrange(49, len(base))] + "".join(rng.choice("abc中") for _ in range(rng.randrange(30))).encode() for _ in range(60)})
+    counts, nodes = token_counts.count_long(tokens, vocabulary)
+    assert counts == [plain(t) for t in tokens]
+    assert nodes == len({t[:i] for t in tokens for i in range(1, len(t) + 1)})
+    began = time.perf_counter()
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(350_000))
+    assert token_counts.Counter(vocabulary)(pa.array([text], pa.string()))[0][0] > 0
+    assert time.perf_counter() - began < 20
+
+
+def test_repeated_labels_count_once(spark):
+    docs = spark.createDataFrame([(i, ("good words, and more. " if i % 2 else "BAD!!! $$$ ") * 5) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    often = labels.unionAll(spark.createDataFrame([(1, 1)] * 500, "doc_id long, quality int"))
+    assert (quality.train(docs, labels).weights == quality.train(docs, often).weights).all()
+    few = quality.train(docs.unionAll(docs.where("doc_id = 1").crossJoin(spark.range(500)).drop("id")), labels, max_rows=150)
+    assert abs(few.weights).max() > 0
