@@ -462,5 +462,5 @@ def keep_first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     one id stay together; rows with a null id or without words always stay.
     """
     joined = ngram_jaccard_join(docs, id_col, text_col, k, percent)
-    drop = joined.where("doc_id > component_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(drop, docs[id_col] == drop["__dropped"], "left_anti")
+    drop = joined.where("doc_id > component_id").select("doc_id").distinct()
+    return docs.join(drop, docs[id_col] == drop["doc_id"], "left_anti")
