@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from heliograph.plans import forensics  # noqa: F401
+    from heliograph.plans import forensics, mailbox  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

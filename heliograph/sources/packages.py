@@ -148,7 +148,7 @@ def _mails(limits: Limits):
                         try:
                             raw = read_capped(archive, info, min(limits.entry_bytes, left))
                         except Exception as e:
-                            rows.append({"package": package, "entry_idx": i, "error": str(e) or type(e).__name__, "source_file": info.filename})
+                            rows.append(dict.fromkeys(names) | {"package": package, "entry_idx": i, "error": str(e) or type(e).__name__, "source_file": info.filename})
                             continue
                         left -= len(raw)
                         rows.append({"package": package, "entry_idx": i, "error": None, **parse_mail(raw, info.filename)})

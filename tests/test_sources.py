@@ -198,3 +198,15 @@ def test_catalog(spark, tmp_path):
     assert c.target("job", "nope")[0] == "target_deleted_or_unknown"
     c.set_state("job", "j1", "deleted")
     assert c.latest("job").collect() == []
+
+
+def test_package_with_one_lying_entry_gives_no_mail_and_harms_no_other(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("1.eml", eml("<one@x.org>").as_bytes())
+        z.writestr("2.eml", eml("<two@x.org>").as_bytes())
+        z.filelist[1].file_size -= 1
+    sound = package([("1.eml", eml("<good@x.org>").as_bytes())])
+    df = spark.createDataFrame([("bad", out.getvalue()), ("good", sound)], "package string, content binary").coalesce(1)
+    assert packages.violations(packages.scan(df)).collect() == []
+    assert [(r.package, r.message_id) for r in packages.read_mails(df).collect()] == [("good", "<good@x.org>")]
