@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, with production parameters."""
+"""The operators as queries over the driver's tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.lineage import keep
-from heliograph.llm import decontaminate, html_text, language_id, mpeg_audio, packing, quality, quote_links, surrogates, token_counts
+from heliograph.llm import conversation_repair, decontaminate, html_text, language_id, lloyd, mpeg_audio, packing, quality, quote_links, surrogates, token_counts
 from heliograph.llm.ngram_join import ngram_jaccard_join
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -88,11 +88,26 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    messages = conversation_repair.damage(conversations)
+    plan = keep(conversation_repair.repair_plan(messages), "repair-plan")
+    return conversation_repair.repair_report(conversations, messages, plan)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    centroids = lloyd.fit(vectors)
+    assigned = keep(lloyd.assign(vectors, centroids).drop("embedding"), "lloyd-assigned")
+    return lloyd.with_inertia(assigned, centroids)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_quote_linking, op3_surrogate_pii, op4_decontamination, op5_token_counts,
         op6_html_extraction, op7_ngram_jaccard, op8_language_id, op9_media_columns, op10_quality_classifier,
+        op11_conversation_repair, op13_centroid_clustering,
     )
 }
 
@@ -131,5 +146,27 @@ SELECT doc_id, item_id, count(*)::BIGINT AS shared, any_value(sizes.n)::BIGINT A
 FROM d JOIN b USING (s) JOIN sizes USING (item_id) GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(sizes.n)
 """
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_ngram_jaccard": OP7_SQL}
+
+# Ten rounds written out: integer floor of a quotient, as // rounds towards zero.
+_FLOOR = "(s - ((s % n) + n) % n) // n"
+_ROUND = """
+near{i} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+  SELECT r, c, sum((v.q - m.q) * (v.q - m.q)) AS d FROM v JOIN mid{i} m USING (dim) GROUP BY 1, 2) GROUP BY 1)"""
+_MOVE = f"""
+mid{{j}} AS MATERIALIZED (SELECT m.c, m.dim, coalesce({_FLOOR}, m.q) AS q FROM mid{{i}} m LEFT JOIN (
+  SELECT c, dim, sum(q)::HUGEINT AS s, count(*) AS n FROM v JOIN near{{i}} USING (r) GROUP BY 1, 2) t ON t.c = m.c AND t.dim = m.dim)"""
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), embedding) AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, unnest(e) AS q, unnest(range(64)) AS dim FROM kept),
+mid0 AS MATERIALIZED (SELECT r - 1 AS c, dim, q FROM v WHERE r <= 8),
+{",".join(_ROUND.format(i=i) + "," + _MOVE.format(i=i, j=i + 1) for i in range(10))},{_ROUND.format(i=10)},
+inertia AS (SELECT c, sum(d) AS s, (SELECT sum(d) FROM near10) AS total FROM near10 GROUP BY 1),
+shas AS (SELECT c, sha256(string_agg(q::VARCHAR, ',' ORDER BY dim)) AS h FROM mid10 GROUP BY 1)
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, s::BIGINT AS cluster_inertia, total::BIGINT AS inertia, h AS centroid_sha256
+FROM near10 JOIN kept USING (r) JOIN inertia USING (c) JOIN shas USING (c)
+"""
+
+ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op7_ngram_jaccard": OP7_SQL, "op13_centroid_clustering": OP13_SQL}
 
