@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.lineage import keep
-from heliograph.llm import conversation_repair, decontaminate, html_text, language_id, lloyd, mpeg_audio, packing, quality, quote_links, surrogates, token_counts
+from heliograph.lineage import keep, shared_dir
+from heliograph.llm import conversation_repair, decontaminate, html_text, language_id, lloyd, mpeg_audio, packing, quality, quote_links, surrogates, token_counts, token_files
 from heliograph.llm.ngram_join import ngram_jaccard_join
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -95,6 +97,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversations, messages, plan)
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    files = token_files.write(docs, f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}", definition)
+    return token_files.read(token_files.lookup(docs, files), files).withColumnRenamed("key", "doc_id")
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     centroids = lloyd.fit(vectors)
@@ -107,7 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing, op2_quote_linking, op3_surrogate_pii, op4_decontamination, op5_token_counts,
         op6_html_extraction, op7_ngram_jaccard, op8_language_id, op9_media_columns, op10_quality_classifier,
-        op11_conversation_repair, op13_centroid_clustering,
+        op11_conversation_repair, op12_token_files, op13_centroid_clustering,
     )
 }
 
