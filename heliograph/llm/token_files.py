@@ -62,12 +62,16 @@ REMEMBERED = 1 << 20
 
 # --- encoding
 
+#: Letters that lower-casing and NFC leave single letters (not U+0130), before a mark that is never in a pre-token with letters.
+_BEFORE_MARK = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481])([,.;:!?])"
+
 
 class PieceEncoder:
     """Ids of whole texts by a tokenizer, each distinct piece encoded once.
 
-    A text is cut where the tokenizer cuts it anyway: at white space, and where
-    one of ``,.;:!?`` follows a letter.  That holds for tokenizers whose
+    A text is cut where the tokenizer cuts it anyway: at ASCII white space, and
+    where one of ``,.;:!?`` follows a Latin or Cyrillic letter whose small form
+    and composed form are one letter again.  That holds for tokenizers whose
     pre-tokens are never of letters together with these marks and never have
     white space in them; ``whole=True`` is for all others.
     """
@@ -103,7 +107,7 @@ class PieceEncoder:
         if self.whole:
             pieces, row_ends = texts, np.arange(len(texts) + 1)
         else:
-            split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"(\pL)([,.;:!?])", r"\1 \2"))
+            split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _BEFORE_MARK, r"\1 \2"))
             pieces, row_ends = split.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)))).astype(np.int64)
         coded = pieces.dictionary_encode()
         number = self._learn(coded.dictionary.to_pylist())

@@ -42,7 +42,7 @@ def result(df, files, **options):
 
 def texts(seed, n):
     rng = random.Random(seed)
-    words = ["Hello", "world,", "it's", "don't.", "e.g.", "naïve", "café", "1234", "a1b2", "<|endoftext|>", "x<|startoftext|>y", "ΣΊΣΥΦΟΣ", "你好。世界", "́mark", "a,̸b", "🙂", "¿Qué?", "—", "d'accord;", "THE", "İ", "1.5", " ", " wide"]
+    words = ["Hello", "world,", "it's", "don't.", "e.g.", "naïve", "café", "1234", "a1b2", "<|endoftext|>", "x<|startoftext|>y", "ΣΊΣΥΦΟΣ", "你好。世界", "́mark", "a,̸b", "🙂", "¿Qué?", "—", "d'accord;", "THE", "İ", "İ.", "\u0958.", "É,", "ß!", "1.5", " ", " wide"]
     return [" ".join(rng.choices(words, k=rng.randrange(0, 30))).replace(" ", rng.choice([" ", "\n", " \t ", "　", "\x0b"]), 3) for _ in range(n)]
 
 
