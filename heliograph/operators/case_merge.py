@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.operators.ranking import numbered_from
 from heliograph.operators.threads import resolve_parents
 
 MAX_JOBS = 100
@@ -49,10 +50,8 @@ def merge_nodes(occurrences: DataFrame) -> DataFrame:
     all_of = keyed.groupBy("case_id", "__sha").agg(F.array_sort(F.collect_list(source)).alias("sources"))
     first = F.row_number().over(Window.partitionBy("case_id", "__sha").orderBy("job_pos", "uid"))
     content = keyed.withColumn("__n", first).where("__n = 1").drop("__n")
-    number = F.row_number().over(Window.partitionBy("case_id").orderBy("job_pos", F.col("original_uid")))
     return (
-        content.withColumnRenamed("uid", "original_uid")
-        .withColumn("uid", (number - 1).cast("long"))
+        numbered_from(content.withColumnRenamed("uid", "original_uid"), ["case_id"], ["job_pos", "original_uid"], "uid")
         .drop("original_uid", "job_pos", "job_id")
         .join(all_of, ["case_id", "__sha"])
         .drop("__sha")

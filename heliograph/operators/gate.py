@@ -6,9 +6,10 @@ and that parent is certain.  Everything else gets a reason instead of a result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.operators.ranking import numbered_from
 from heliograph.operators.threads import direct_ref
 
 
@@ -61,7 +62,7 @@ def numbered(rows: DataFrame, scope: str, *order: object, prefix: str = "E") ->
 
     The number is kept beside the text because text order breaks after 9999.
     """
-    out = rows.withColumn("seq", F.row_number().over(Window.partitionBy(scope).orderBy(*order)).cast("long"))
+    out = numbered_from(rows, [scope], list(order), "seq", first=1)
     return out.withColumn("id", F.concat(F.lit(prefix), F.when(F.col("seq") < 10_000, F.lpad(F.col("seq").cast("string"), 4, "0")).otherwise(F.col("seq").cast("string"))))
 
 

@@ -7,12 +7,13 @@ they ``needs_review``; without the headers that a check rests on it is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.addresses import is_forward
 from heliograph.lineage import cut
 from heliograph.operators.gate import numbered
+from heliograph.operators.ranking import numbered_from
 from heliograph.operators.recipients import list_hints
 
 FINDING_TYPES = ("from_domain_mismatch", "reply_identity_change", "message_id_domain_drift", "dkim_from_not_covered")
@@ -147,7 +148,8 @@ def findings(checked: DataFrame, scope: str = "scope", place: str = "thread_pos"
         of_mail(b, 1, keep(F.array("m_domain", "f_domain"))),
         of_mail(c, 2, keep(F.concat(F.array("f_domain"), F.transform(F.col("identity")["dkim"], lambda d: _set(d["d"])), F.transform(F.col("identity")["dkim"], lambda d: _set(d["i_domain"]))))),
     ]
-    roots = checked.where("parent_uid IS NULL").select(base, F.col("uid").alias("root_uid"), F.row_number().over(Window.partitionBy(scope).orderBy(F.coalesce("date", F.lit("")), "uid")).cast("long").alias("thread_rank"))
+    roots = checked.where("parent_uid IS NULL").select(base, F.col("uid").alias("root_uid"), F.coalesce("date", F.lit("")).alias("__date"))
+    roots = numbered_from(roots, ["scope"], ["__date", "root_uid"], "thread_rank", first=1).drop("__date")
     changes = reply_changes(checked, scope).where("NOT missing").join(checked.select(base, "uid", F.col(place).alias("place")), ["scope", "uid"])
     parts.append(
         changes.join(roots, ["scope", "root_uid"]).select(

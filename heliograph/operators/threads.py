@@ -22,8 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.lineage import cut
+from heliograph.lineage import cut, keep
 from heliograph.operators.components import connected_components
+from heliograph.operators.ranking import numbered_from, running_sum
 
 NO_POS = 2**31 - 1
 #: Circular mails of one scope that are replayed together.
@@ -38,7 +39,7 @@ def blank_to_null(c: Column | str) -> Column:
 
 def number_mails(mails: DataFrame, scope: str, *order: str) -> DataFrame:
     """``uid`` from 0 in arrival order inside each scope."""
-    return mails.withColumn("uid", (F.row_number().over(Window.partitionBy(scope).orderBy(*order)) - 1).cast("long"))
+    return numbered_from(mails, [scope], list(order), "uid")
 
 
 def candidate_refs(in_reply_to: Column, refs: Column) -> Column:
@@ -230,28 +231,52 @@ def build_forest(mails: DataFrame, scope: str = "scope", ambiguous: bool = False
     return marked.join(resolve_parents(mails, scope, ambiguous), [scope, "uid"])
 
 
+def subtree_sizes(links: DataFrame, scope: str = "scope") -> DataFrame:
+    """(scope, uid, parent_uid, size) of every mail of a forest, by pointer doubling.
+
+    After k rounds a mail points to its ancestor 2^k levels up and counts the
+    descendants fewer than 2^k levels below itself; the next round adds what
+    those exactly 2^k levels below have counted.  So the rounds are the
+    logarithm of the depth, and no task sees more than its share of a thread.
+    Rounds are written tables, whose sizes the optimizer knows; a checkpoint
+    would carry estimates that grow with the power of the rounds.
+    """
+    now = keep(links.select(scope, "uid", "parent_uid", F.col("parent_uid").alias("at"), F.lit(1).cast("long").alias("size")), "sizes")
+    while now.where("at IS NOT NULL").limit(1).count():
+        below = now.where("at IS NOT NULL").groupBy(scope, F.col("at").alias("uid")).agg(F.sum("size").alias("below"))
+        ahead = now.where("at IS NOT NULL").select(scope, F.col("uid").alias("at"), F.col("at").alias("next"))
+        met = now.join(below, [scope, "uid"], "left").join(ahead, [scope, "at"], "left")
+        now = keep(met.select(scope, "uid", "parent_uid", F.col("next").alias("at"), (F.col("size") + F.coalesce("below", F.lit(0))).alias("size")), "sizes")
+    return now.drop("at")
+
+
+def path_sums(steps: DataFrame, scope: str = "scope") -> DataFrame:
+    """(scope, uid, total): the sum of ``step`` from each mail up to its root, by pointer doubling."""
+    now = keep(steps.select(scope, "uid", F.col("parent_uid").alias("at"), F.col("step").alias("total")), "paths")
+    while now.where("at IS NOT NULL").limit(1).count():
+        ahead = now.select(scope, F.col("uid").alias("at"), F.col("at").alias("next"), F.col("total").alias("more"))
+        now = keep(now.join(ahead, [scope, "at"], "left").select(scope, "uid", F.col("next").alias("at"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total")), "paths")
+    return now.drop("at")
+
+
 def preorder(forest: DataFrame, sort: list[Column], scope: str = "scope") -> DataFrame:
     """``forest`` with ``thread_pos``, the place of each mail when its thread is read depth first.
 
-    Siblings follow ``sort`` (then uid).  One thread is one group; a thread lies
-    inside a scope, whose size is bounded.  Deep chains need no recursion.
+    Siblings follow ``sort`` (then uid).  A mail comes one place after its
+    parent and the whole subtrees of its earlier siblings, so its place is the
+    sum of these steps on the way to the root.  Sizes and sums double their
+    reach in each round; the sums over siblings are parallel prefix sums, so
+    neither a thread nor the children of one mail need to fit a task.
     """
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__rank")
-        children: dict[int, list[int]] = {}
-        for uid, parent in zip(pdf["uid"], pdf["parent_uid"], strict=True):
-            children.setdefault(-1 if pd.isna(parent) else int(parent), []).append(int(uid))
-        place, stack = {}, children.get(-1, [])[::-1]
-        while stack:
-            uid = stack.pop()
-            place[uid] = len(place)
-            stack += children.get(uid, [])[::-1]
-        return pd.DataFrame({"s": pdf["s"], "uid": pdf["uid"], "thread_pos": [place[u] for u in pdf["uid"]]})
-
-    ranked = forest.select(F.col(scope).alias("s"), "uid", "parent_uid", "root_uid", F.row_number().over(Window.partitionBy(scope, "root_uid").orderBy(*sort, "uid")).alias("__rank"))
-    placed = ranked.groupBy("s", "root_uid").applyInPandas(number, f"s {dict(forest.dtypes)[scope]}, uid long, thread_pos long")
-    return forest.join(placed.withColumnRenamed("s", scope), [scope, "uid"])
+    ranks = [c.alias(f"__sort{i}") for i, c in enumerate(sort)]
+    order = [f"__sort{i}" for i in range(len(sort))] + ["uid"]
+    base = keep(forest.select(scope, "uid", "parent_uid", *ranks), "links")
+    sized = subtree_sizes(base, scope).join(base.drop("parent_uid"), [scope, "uid"])
+    replies = running_sum(sized.where("parent_uid IS NOT NULL"), [scope, "parent_uid"], order, F.col("size"), "__earlier")
+    steps = replies.select(scope, "uid", "parent_uid", (F.col("__earlier") + 1).alias("step"))
+    roots = sized.where("parent_uid IS NULL").select(scope, "uid", "parent_uid", F.lit(0).cast("long").alias("step"))
+    places = path_sums(steps.unionByName(roots), scope).withColumnRenamed("total", "thread_pos")
+    return forest.join(places, [scope, "uid"])
 
 
 def issue_class(issue: Column) -> Column:
