@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import addresses, quotes
 from heliograph.lineage import keep
-from heliograph.operators import attachments, case_merge, filters, gate, identity, recipients, threads, timing
+from heliograph.operators import attachments, case_merge, filters, gate, identity, quote_segments, recipients, threads, timing
 from heliograph.plans import views
 from heliograph.plans.registry import register
 from heliograph.plans.views import duck_sql
@@ -581,6 +581,34 @@ def prs_quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.groupBy("conv_id", "turn", "marker", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Bodies of a text of one's own, a line that opens a passage, what is in it, and what comes after; in four forms.
+_SEGMENTED = """SELECT conv_id, turn, how, text, own, opener, passage, tail, own || chr(10) || opener || chr(10) || passage || tail AS body FROM (
+  SELECT conv_id, turn, how, text, CASE WHEN how = 3 THEN text || chr(10) || '==========' || chr(10) || 'after a rule' ELSE text END AS own,
+    CASE how WHEN 0 THEN 'On day ' || turn || ', ' || role || ' wrote:' WHEN 1 THEN '---- Forwarded message ----' WHEN 2 THEN 'From: a@b.example' || chr(10) || 'Sent: day ' || turn || chr(10) || 'To: c@d.example' ELSE '在 某日 ' || role || ' 写道：' END AS opener,
+    '> first' || chr(10) || '> second' || chr(10) || 'bare' AS passage, chr(10) || chr(10) || '-- ' || chr(10) || chr(10) || 'the end' || chr(10) AS tail
+  FROM (SELECT conv_id, turn, role, text, (conv_id + turn) % 4 AS how FROM conversations WHERE text <> '' AND trim(replace(text, chr(10), ' ')) <> '') x) y"""
+
+
+@register(
+    "prs_segments",
+    f"""WITH b AS ({_SEGMENTED}),
+    p AS (SELECT *, length(text) AS t, length(own) AS o, length(opener) AS n FROM b),
+    parts AS (SELECT conv_id, turn, body, unnest(CASE WHEN how = 3 THEN [
+        {{'k': 'own', 'l': 0, 'm': '', 'a': false, 's': 0, 'e': t}}, {{'k': 'separator', 'l': 0, 'm': '', 'a': true, 's': t + 1, 'e': t + 11}}, {{'k': 'own', 'l': 0, 'm': '', 'a': true, 's': t + 12, 'e': o}}]
+      ELSE [{{'k': 'own', 'l': 0, 'm': '', 'a': false, 's': 0, 'e': o}}] END || [
+        {{'k': 'separator', 'l': 0, 'm': CASE how WHEN 0 THEN 'on_wrote' WHEN 1 THEN 'forwarded_message' WHEN 2 THEN 'outlook_header' ELSE 'cn_daowen' END, 'a': false, 's': o + 1, 'e': o + 1 + n}},
+        {{'k': CASE WHEN how IN (0, 3) THEN 'quote' ELSE 'forward' END, 'l': 1, 'm': '>', 'a': false, 's': o + n + 2, 'e': o + n + 18}},
+        {{'k': CASE WHEN how IN (0, 3) THEN 'quote' ELSE 'forward' END, 'l': CASE WHEN how IN (0, 3) THEN 1 ELSE 0 END, 'm': CASE how WHEN 0 THEN 'on_wrote' WHEN 3 THEN 'cn_daowen' ELSE '' END, 'a': false, 's': o + n + 19, 'e': o + n + 24}},
+        {{'k': 'separator', 'l': 0, 'm': 'signature', 'a': false, 's': o + n + 25, 'e': o + n + 28}}, {{'k': 'own', 'l': 0, 'm': '', 'a': false, 's': o + n + 29, 'e': length(body)}}]) AS x,
+      generate_subscripts(CASE WHEN how = 3 THEN [1, 2, 3, 4, 5, 6, 7, 8] ELSE [1, 2, 3, 4, 5, 6] END, 1) - 1 AS i FROM p)
+    SELECT conv_id, turn, i::BIGINT AS segment, x.k AS kind, x.l::BIGINT AS level, nullif(x.m, '') AS marker, x.a AS ambiguous, x.s::BIGINT AS char_start, x.e::BIGINT AS char_end, substr(body, x.s + 1, x.e - x.s) AS text FROM parts""",
+)
+def prs_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = keep(views.run(spark, sf_dir, _SEGMENTED).select("conv_id", "turn", "body"), "bodies")
+    found = quote_segments.of_text(bodies, ["conv_id", "turn"], "body").select("conv_id", "turn", F.inline("segments"))
+    return found.select("conv_id", "turn", F.col("index").cast("long").alias("segment"), "kind", F.col("level").cast("long").alias("level"), "marker", "ambiguous", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), "text")
+
+
 @register(
     "prs_headers",
     f"""WITH m AS ({views.duck_sql(views.IDENTITY_MAILS)}) SELECT scope, uid, message_id AS first_id, message_id || ',' || '<x' || (uid % 5) || '@y.z>' AS refs, f_domain AS domain, CASE WHEN f_address IS NULL THEN NULL ELSE f_address END AS normal, subject = 'Re: Fwd: order' AS forward, m_domain AS dkim_d, uid % 2 = 0 AS covers_from FROM m""",
