@@ -6,13 +6,14 @@ removed or added.  Attachments that could not be decoded take no part, and
 what the other side lost or gained beside them is suppressed.
 
 Pairing inside a group of equal bytes (or names) is by rank: the units of both
-sides are laid out in order, and units of the same rank meet.  All of it works
-on the two arrays of an edge, so the only shuffle is the join to the parent.
+sides are laid out in order, and units of the same rank meet.  Units are rows
+dealt by edge once; every later step groups or ranks inside that dealing, and
+its work grows with the number of units.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators.gate import gate_edges, numbered
@@ -48,42 +49,17 @@ def prepare(mails: DataFrame, scope: str = "scope") -> DataFrame:
     return gate_edges(split_attachments(mails), scope)
 
 
-def _equal(a: Column, b: Column) -> Column:
-    return (a["name"] == b["name"]) & (a["sha256"] == b["sha256"])
+def _pairs(units: DataFrame, edge: list[str], by: str, other: str) -> DataFrame:
+    """(edge, by, p, c): units of the parent and of the child with equal ``by`` and equal rank in the order of ``other``; one side is null where the other has no such rank."""
+    rank = F.row_number().over(Window.partitionBy(*edge, "side", by).orderBy(other, "size"))
+    side = lambda s: F.max(F.when(F.col("side") == s, F.struct(F.col(other).alias("value"), "size"))).alias(s)
+    return units.withColumn("rank", rank).groupBy(*edge, by, "rank").agg(side("p"), side("c")).drop("rank")
 
 
-def _surplus(own: str, other: str) -> Column:
-    """Units of one side beyond the other side's count of the same (name, bytes); each cell has its first unit's size."""
-    mine, theirs = F.col(own), F.col(other)
-    ranked = F.transform(
-        mine,
-        lambda x, i: F.struct(x["name"].alias("name"), x["sha256"].alias("sha256"), F.get(F.filter(mine, lambda y: _equal(x, y)), F.lit(0))["size"].alias("size"), F.size(F.filter(F.slice(mine, 1, i), lambda y: _equal(x, y))).alias("k")),
-    )
-    return F.filter(ranked, lambda u: u["k"] >= F.size(F.filter(theirs, lambda y: _equal(u, y))))
-
-
-def _laid_out(units: str, by: str, other: str) -> Column:
-    """Units in order of (by, other), with their rank inside their group."""
-    ordered = F.array_sort(F.transform(units, lambda u: F.struct(u[by].alias(by), u[other].alias(other), u["size"].alias("size"))))
-    keys = F.transform(ordered, lambda u: u[by])
-    return F.transform(ordered, lambda u, i: F.struct(u[by].alias(by), (i - F.array_position(keys, u[by])).alias("r"), u[other].alias(other), u["size"].alias("size")))
-
-
-def _pair(edge: DataFrame, by: str, other: str) -> DataFrame:
-    """Adds ``pairs`` of (p, c) units and takes them out of ``p_left`` and ``c_left``."""
-    edge = edge.withColumn("p_line", _laid_out("p_left", by, other)).withColumn("c_line", _laid_out("c_left", by, other))
-    key = lambda u: F.struct(u[by], u["r"])
-    p_keys, c_keys = F.transform("p_line", key), F.transform("c_line", key)
-    edge = edge.withColumn("p_keys", p_keys).withColumn("c_keys", c_keys)
-    pairs = F.transform(F.filter("p_line", lambda u: F.array_contains(F.col("c_keys"), key(u))), lambda u: F.struct(u.alias("p"), F.get("c_line", F.array_position(F.col("c_keys"), key(u)).cast("int") - 1).alias("c")))
-    unit = lambda u: F.struct(u["name"].alias("name"), u["sha256"].alias("sha256"), u["size"].alias("size"))
-    edge = edge.withColumn("pairs", pairs)
-    edge = edge.withColumn("p_left", F.transform(F.filter("p_line", lambda u: ~F.array_contains(F.col("c_keys"), key(u))), unit))
-    edge = edge.withColumn("c_left", F.transform(F.filter("c_line", lambda u: ~F.array_contains(F.col("p_keys"), key(u))), unit))
-    return edge.drop("p_line", "c_line", "p_keys", "c_keys")
-
-
-_EVENT = "array<struct<type:string,rank:int,filename:string,previous_filename:string,sha256:string,previous_sha256:string,size:bigint,previous_size:bigint>>"
+def _single(pairs: DataFrame, edge: list[str], by: str, other: str) -> DataFrame:
+    """The units that met none, as rows again."""
+    alone = pairs.where("p IS NULL OR c IS NULL").withColumn("u", F.coalesce("p", "c"))
+    return alone.select(*edge, by, F.when(F.col("p").isNull(), "c").otherwise("p").alias("side"), F.col("u.value").alias(other), F.col("u.size").alias("size"))
 
 
 def differences(prepared: DataFrame, scope: str = "scope") -> DataFrame:
@@ -91,26 +67,39 @@ def differences(prepared: DataFrame, scope: str = "scope") -> DataFrame:
 
     Columns: scope, uid, parent_uid, thread_root_uid, type, rank, filename,
     previous_filename, sha256, previous_sha256, size, previous_size, count,
-    matched_unchanged, suppressed.  Work per edge grows with the square of its
-    attachments.
+    matched_unchanged, suppressed.  Null names or hashes are equal to one
+    another; an edge without attachments has no rows.
     """
     up = prepared.select(scope, F.col("uid").alias("parent_uid"), F.col("verifiable").alias("p_items"), (F.size("undecodable") > 0).alias("p_bad"))
     own = prepared.where("compared").select(scope, "uid", "parent_uid", "thread_root_uid", F.col("verifiable").alias("c_items"), (F.size("undecodable") > 0).alias("c_bad"))
-    edge = own.join(up, [scope, "parent_uid"])
-    edge = edge.withColumn("p_left", _surplus("p_items", "c_items")).withColumn("c_left", _surplus("c_items", "p_items"))
-    edge = edge.withColumn("matched_unchanged", (F.size("p_items") - F.size("p_left")).cast("long")).drop("p_items", "c_items")
-    null = F.lit(None)
-
-    def made(c: Column | str, kind: str, rank: int, *values) -> Column:
-        return F.transform(c, lambda x: F.struct(F.lit(kind), F.lit(rank), *[v(x) if callable(v) else v for v in values])).cast(_EVENT)
-
-    edge = _pair(edge, "sha256", "name").withColumn("renamed", made("pairs", "renamed", 0, lambda x: x["c"]["name"], lambda x: x["p"]["name"], lambda x: x["c"]["sha256"], null, lambda x: x["c"]["size"], null))
-    edge = _pair(edge, "name", "sha256").withColumn(
-        "changed", made("pairs", "content_changed", 1, lambda x: x["c"]["name"], null, lambda x: x["c"]["sha256"], lambda x: x["p"]["sha256"], lambda x: x["c"]["size"], lambda x: x["p"]["size"])
-    )
-    rest = lambda c, kind, rank: made(c, kind, rank, lambda x: x["name"], null, lambda x: x["sha256"], null, lambda x: x["size"], null)
-    each = edge.select(scope, "uid", "parent_uid", "thread_root_uid", "matched_unchanged", "p_bad", "c_bad", F.inline(F.concat("renamed", "changed", rest("p_left", "removed", 2), rest("c_left", "added", 3))))
-    out = each.groupBy(*each.columns).agg(F.count(F.lit(1)).alias("count"))
+    edge = [scope, "uid", "parent_uid", "thread_root_uid", "p_bad", "c_bad"]
+    of_side = lambda items, side: F.transform(items, lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x["name"].alias("name"), x["sha256"].alias("sha256"), x["size"].alias("size")))
+    each = own.join(up, [scope, "parent_uid"]).select(*edge, F.inline(F.concat(of_side("p_items", "p"), of_side("c_items", "c")))).repartition(scope, "uid")
+    count = lambda s: F.count_if(F.col("side") == s).alias(f"{s}_n")
+    size = lambda s: F.min_by("size", F.when(F.col("side") == s, F.col("pos"))).alias(f"{s}_size")
+    cells = each.groupBy(*edge, "name", "sha256").agg(count("p"), count("c"), size("p"), size("c"))
+    cells = cells.withColumn("matched_unchanged", F.sum(F.least("p_n", "c_n")).over(Window.partitionBy(*edge)))
+    edge.append("matched_unchanged")
+    more = F.col("p_n") > F.col("c_n")
+    units = cells.where("p_n <> c_n").select(
+        *edge, F.when(more, "p").otherwise("c").alias("side"), "name", "sha256", F.when(more, F.col("p_size")).otherwise(F.col("c_size")).alias("size"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs(F.col("p_n") - F.col("c_n"))))
+    ).drop("col")
+    by_bytes = _pairs(units, edge, "sha256", "name")
+    by_name = _pairs(_single(by_bytes, edge, "sha256", "name"), edge, "name", "sha256")
+    rest = _single(by_name, edge, "name", "sha256")
+    null, both = F.lit(None), "p IS NOT NULL AND c IS NOT NULL"
+
+    def made(df: DataFrame, kind: Column | str, rank: Column | int, filename: str, before: Column, sha: str, before_sha: Column, size: str, before_size: Column) -> DataFrame:
+        as_col = lambda x: F.lit(x) if isinstance(x, str | int) else x
+        return df.select(
+            *edge, as_col(kind).alias("type"), as_col(rank).alias("rank"), F.col(filename).alias("filename"), before.cast("string").alias("previous_filename"), F.col(sha).alias("sha256"), before_sha.cast("string").alias("previous_sha256"), F.col(size).alias("size"), before_size.cast("long").alias("previous_size")
+        )
+
+    gone = F.col("side") == "p"
+    found = made(by_bytes.where(both), "renamed", 0, "c.value", F.col("p.value"), "sha256", null, "c.size", null)
+    found = found.unionByName(made(by_name.where(both), "content_changed", 1, "name", null, "c.value", F.col("p.value"), "c.size", F.col("p.size")))
+    found = found.unionByName(made(rest, F.when(gone, "removed").otherwise("added"), F.when(gone, 2).otherwise(3), "name", null, "sha256", null, "size", null))
+    out = found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("count"))
     hidden = ((F.col("type") == "removed") & F.col("c_bad")) | ((F.col("type") == "added") & F.col("p_bad"))
     return out.withColumn("suppressed", hidden).drop("p_bad", "c_bad")
 

@@ -1,6 +1,7 @@
 """The four analyses on small cases whose results are known by hand, and multiset pairing by brute force."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,6 +159,19 @@ def test_multisets_pair_as_units(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_ten_thousand_attachments_on_one_edge(spark):
+    n = 10_000
+    item = lambda i, sha: (f"f{i}", "x/y", i, f"s{sha}", None, None)
+    parent = [item(i, i) for i in range(n)]
+    child = [item(i, i) for i in range(n // 2)] + [(f"new{i}", "x/y", i, f"s{i}", None, None) for i in range(n // 2, n - 100)] + [item(i, -i) for i in range(n - 100, n)]
+    rows = [("s", 0, "<a>", "h0", None, [], None, None, 0, parent, []), ("s", 1, "<b>", "h1", "<a>", [], None, 0, 0, child, [])]
+    began = time.perf_counter()
+    diff = attachments.differences(attachments.prepare(spark.createDataFrame(rows, ATT)))
+    got = {r["type"]: (r["n"], r["same"]) for r in diff.groupBy("type").agg(F.sum("count").alias("n"), F.max("matched_unchanged").alias("same")).collect()}
+    assert got == {"renamed": (n // 2 - 100, n // 2), "content_changed": (100, n // 2)}
+    assert time.perf_counter() - began < 30
+
+
 def test_attachment_flow(spark):
     rows = [
         ("s", 0, "<0>", "h0", None, [], "1", None, 0, [("a(1).txt", "t", 1, "x", "a.txt", None), ("b", "t", 2, "y", None, None), ("c", "t", 3, "z", None, None)], []),
