@@ -113,16 +113,17 @@ def is_forward(subject: Column) -> Column:
 
 
 def parse_dkim(raw: Column) -> Column:
-    """(d, s, i, i_domain, h, covers_from) of a DKIM-Signature value; of a repeated tag the first counts."""
+    """(d, s, i, i_domain, h, covers_from) of a DKIM-Signature value; of a repeated tag the first counts; ``i`` may be a domain alone."""
     pairs = F.filter(F.transform(F.split(raw, ";"), lambda p: F.struct(F.lower(strip_text(F.substring_index(p, "=", 1))).alias("k"), strip_text(F.regexp_replace(p, r"^[^=]*=?", "")).alias("v"), p.contains("=").alias("ok"))), lambda p: p["ok"] & (p["k"] != ""))
 
     def tag(name: str) -> Column:
         return F.get(F.filter(pairs, lambda p: p["k"] == name), F.lit(0))["v"]
 
+    blank = lambda c: F.when(c != "", c)
     names = F.filter(F.transform(F.split(tag("h"), ":"), lambda x: F.lower(strip_text(x))), lambda x: x != "")
     h = F.coalesce(names, F.array().cast("array<string>"))
     return F.struct(
-        F.lower(tag("d")).alias("d"), tag("s").alias("s"), tag("i").alias("i"), domain_of(tag("i")).alias("i_domain"), h.alias("h"), F.array_contains(h, "from").alias("covers_from")
+        F.lower(tag("d")).alias("d"), tag("s").alias("s"), tag("i").alias("i"), F.lower(blank(F.substring_index(tag("i"), "@", -1))).alias("i_domain"), h.alias("h"), F.array_contains(h, "from").alias("covers_from")
     )
 
 

@@ -61,16 +61,31 @@ def merge_nodes(occurrences: DataFrame) -> DataFrame:
 
 
 def mark_conflicts(nodes: DataFrame) -> DataFrame:
-    """Adds ``conflict`` and the other nodes of the same id, ``conflict_with``."""
+    """Adds ``conflict``, and for the nodes of one id ``conflict_class`` (the smallest uid among them) and ``conflict_size``.
+
+    The other nodes of an id are the rows of its class in ``conflict_members``;
+    a node does not list them, so an id of very many nodes costs a row each.
+    """
     named = nodes.where("message_id IS NOT NULL")
-    groups = named.groupBy("case_id", "message_id").agg(F.collect_list("uid").alias("uids")).where(F.size("uids") > 1)
-    marked = named.join(groups, ["case_id", "message_id"], "left")
-    none = F.array().cast("array<bigint>")
-    marked = marked.withColumn("conflict", F.col("uids").isNotNull()).withColumn("conflict_with", F.coalesce(F.array_sort(F.array_remove("uids", F.col("uid"))), none)).drop("uids")
-    unnamed = nodes.where("message_id IS NULL").withColumn("conflict", F.lit(False)).withColumn("conflict_with", none)
+    groups = named.groupBy("case_id", "message_id").agg(F.min("uid").alias("conflict_class"), F.count(F.lit(1)).alias("conflict_size")).where("conflict_size > 1")
+    marked = named.join(groups, ["case_id", "message_id"], "left").withColumn("conflict", F.col("conflict_class").isNotNull())
+    null = F.lit(None).cast("long")
+    unnamed = nodes.where("message_id IS NULL").withColumns({"conflict_class": null, "conflict_size": null, "conflict": F.lit(False)})
     return marked.unionByName(unnamed)
 
 
+def conflict_members(nodes: DataFrame) -> DataFrame:
+    """(case_id, message_id, conflict_class, uid) of every node whose id other nodes have too."""
+    return nodes.where("conflict").select("case_id", "message_id", "conflict_class", "uid")
+
+
+def conflict_with(nodes: DataFrame, case_id: str, uid: int) -> DataFrame:
+    """The uids of the other nodes with the id of one node, in order."""
+    members = conflict_members(nodes).where(F.col("case_id") == case_id)
+    own = members.where(F.col("uid") == uid).select("conflict_class")
+    return members.where(F.col("uid") != uid).join(own, "conflict_class", "left_semi").select("uid").orderBy("uid")
+
+
 def mark_relinks(nodes: DataFrame, occurrences: DataFrame) -> DataFrame:
     """Adds ``relinked_for``, the source jobs that lacked the chosen parent, and ``relinked_via``.
 

@@ -38,6 +38,18 @@ def instant(name: str, value: str | None) -> int | None:
     return (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
 
 
+def domain_name(value: str | None) -> str | None:
+    """A domain in small letters without outer blanks; blank, over-long and broken ones are refused."""
+    if value is None:
+        return None
+    value = value.strip().lower()
+    if not value:
+        raise BadParameter("domain is empty")
+    if len(value) > 253 or any(c.isspace() for c in value):
+        raise BadParameter("domain is not a domain name")
+    return value
+
+
 def filter_timeline(timeline: DataFrame, start: str | None = None, end: str | None = None, kind: str | None = None) -> DataFrame:
     """Entries inside the inclusive range (untimed ones never are), with only the findings of ``kind``.
 
@@ -63,25 +75,28 @@ def filter_identity_findings(found: DataFrame, kind: str | None = None, status:
     """By type, status, and any evidence domain that equals ``domain`` or lies below it."""
     one_of("type", kind, identity.FINDING_TYPES)
     one_of("status", status, ("observed", "needs_review", "inconclusive"))
+    domain = domain_name(domain)
     out = found
     if kind is not None:
         out = out.where(F.col("type") == kind)
     if status is not None:
         out = out.where(F.col("status") == status)
     if domain is not None:
-        out = out.where(F.exists("domains", lambda d: same_or_below(d, domain.lower())))
+        out = out.where(F.exists("domains", lambda d: same_or_below(d, domain)))
     return out
 
 
 def filter_identity_flags(flags: DataFrame, domain: str | None = None) -> DataFrame:
     """Review flags take only the domain, as a part of their text."""
-    return flags if domain is None else flags.where(F.lower(F.coalesce("detail", F.lit(""))).contains(domain.lower()))
+    domain = domain_name(domain)
+    return flags if domain is None else flags.where(F.lower(F.coalesce("detail", F.lit(""))).contains(domain))
 
 
 def filter_identity_emails(reports: DataFrame, kind: str | None = None, status: str | None = None, domain: str | None = None) -> DataFrame:
     """``kind`` keeps real differences of that check; status observed means a difference as well."""
     one_of("type", kind, identity.FINDING_TYPES)
     one_of("status", status, ("observed", "needs_review", "inconclusive"))
+    domain = domain_name(domain)
     checks = [c for c in identity.CHECKS if kind in (None, c)]
     differs = lambda c: F.coalesce(~F.col(f"{c}_match"), F.lit(False))
     out = reports
@@ -94,10 +109,9 @@ def filter_identity_emails(reports: DataFrame, kind: str | None = None, status:
     elif kind is not None:
         out = out.where(_any([differs(c) for c in checks]))
     if domain is not None:
-        low = domain.lower()
         lists = ("sender_domains", "return_path_domains", "reply_to_domains", "dkim_domains", "dkim_i_domains")
-        hit = [F.coalesce(same_or_below(F.col(c), low), F.lit(False)) for c in ("from_domain", "message_id_domain")]
-        hit += [F.coalesce(F.exists(c, lambda d: same_or_below(d, low)), F.lit(False)) for c in lists]
+        hit = [F.coalesce(same_or_below(F.col(c), domain), F.lit(False)) for c in ("from_domain", "message_id_domain")]
+        hit += [F.coalesce(F.exists(c, lambda d: same_or_below(d, domain)), F.lit(False)) for c in lists]
         out = out.where(_any(hit))
     return out
 
@@ -110,11 +124,15 @@ def _any(conditions: list) -> object:
 
 
 def filter_identity_threads(threads: DataFrame, found: DataFrame, kind: str | None = None, domain: str | None = None) -> DataFrame:
-    """Threads with a thread-level finding that matches; all threads without filters.  Status does not count here."""
-    if kind is None and domain is None:
-        return threads
-    hits = filter_identity_findings(found, kind, None, domain).where("level = 'thread'").select("scope", "root_uid").distinct()
-    return threads.join(hits, ["scope", "root_uid"], "left_semi")
+    """Threads with their thread-level ``findings`` that match, in order of number; without filters all threads.
+
+    With a filter, threads without such a finding are dropped.  Status does not count here.
+    """
+    hits = filter_identity_findings(found, kind, None, domain).where("level = 'thread'")
+    one = F.struct("seq", "id", "type", "status", "node_uids", "address", "domains")
+    listed = hits.groupBy("scope", "root_uid").agg(F.array_sort(F.collect_list(one)).alias("findings"))
+    out = threads.join(listed, ["scope", "root_uid"], "left" if kind is None and domain is None else "inner")
+    return out.withColumn("findings", F.coalesce("findings", F.array()).cast(listed.schema["findings"].dataType))
 
 
 def filter_attachment_events(events: DataFrame, kind: str | None = None, thread: int | None = None, filename: str | None = None, sha256: str | None = None) -> DataFrame:

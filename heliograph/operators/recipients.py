@@ -178,6 +178,46 @@ def provisional_differences(review_rows: DataFrame, prepared: DataFrame, scope:
     return met.select("scope", "seq", "uid", "candidate_uid", *[c.alias(name) for name, c in set_difference().items()])
 
 
+def _sets(side: str) -> Column:
+    """The visible sets of one mail."""
+    return F.struct(F.col(f"{side}from").alias("from"), F.col(f"{side}to").alias("to"), F.col(f"{side}cc").alias("cc"))
+
+
+def conflict_variants(prepared: DataFrame, scope: str = "scope") -> DataFrame:
+    """The mails of every id that mails of other bytes have too, side by side: one row a mail, none chosen.
+
+    Columns: scope, message_id, variant_count, uid, date, raw_sha256, sets.
+    """
+    groups = id_groups(prepared, scope).where("conflicted").select(scope, "message_id", F.col("id_mails").alias("variant_count"))
+    return prepared.join(groups, [scope, "message_id"]).select(F.col(scope).alias("scope"), "message_id", "variant_count", "uid", "date", "raw_sha256", _sets("c_").alias("sets"))
+
+
+def conflict_evidence(prepared: DataFrame, scope: str = "scope") -> DataFrame:
+    """What stands beside a mail whose parent is missing, broken or in conflict.
+
+    One row for each such mail and each candidate parent: ``child`` and
+    ``candidate`` are their visible sets, ``differences`` what changed if this
+    candidate were the parent.  No candidate is chosen and nothing of it counts
+    as an event.  A mail without candidates has one row with nulls; so has one
+    whose own id is in conflict, as its variants have no order: they are the
+    rows of ``message_id`` in ``conflict_variants``.
+    """
+    base = [F.col(scope).alias("scope"), "uid"]
+    asked = prepared.where("skip_reason IN ('missing_parent', 'reference_conflict')").select(
+        *base, F.coalesce("conflict", "skip_reason").alias("cause"), "message_id", "claimed", "claimed_uid", "c_from", "c_to", "c_cc"
+    )
+    parents = prepared.select(
+        F.col(scope).alias("scope"), F.col("uid").alias("candidate_uid"), F.col("message_id").alias("candidate_id"), F.col("date").alias("candidate_date"), F.col("raw_sha256").alias("candidate_sha256"), F.col("c_from").alias("p_from"), F.col("c_to").alias("p_to"), F.col("c_cc").alias("p_cc")
+    )
+    one = asked.where("cause = 'broken_edge'").join(parents, (asked["scope"] == parents["scope"]) & (asked["claimed_uid"] == parents["candidate_uid"]), "left").drop(parents["scope"])
+    many = asked.where("cause = 'parent_id'").join(parents, (asked["scope"] == parents["scope"]) & (asked["claimed"] == parents["candidate_id"]), "left").drop(parents["scope"])
+    met = one.unionByName(many).withColumns(set_difference()).withColumn("differences", F.when(F.col("candidate_uid").isNotNull(), F.struct("added", "role_changed", "dropped", "reply_all_omitted")))
+    met = met.withColumn("candidate", F.when(F.col("candidate_uid").isNotNull(), _sets("p_")))
+    none = asked.where("cause IN ('missing_parent', 'own_id')")
+    columns = ["scope", "uid", "cause", "message_id", "claimed", _sets("c_").alias("child"), "candidate_uid", "candidate_date", "candidate_sha256", "candidate", "differences"]
+    return met.select(*columns).unionByName(none.select(*columns[:6]), allowMissingColumns=True)
+
+
 def ledger(prepared: DataFrame, scope: str = "scope") -> DataFrame:
     """One row an address: names in order of appearance, fields, first mail, and how often a mail's field has it.
 

@@ -258,6 +258,47 @@ rv AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY uid
 """
 
 
+_CONFLICTS = f"""
+m AS MATERIALIZED ({views.CONFLICT_MAILS}), rows AS ({views.ORDER_PEOPLE}),
+ppl AS MATERIALIZED (SELECT DISTINCT uid, field, split_part(address, '@', 1) || '@' || lower(split_part(address, '@', 2)) AS key FROM rows WHERE address <> 'broken address' UNION SELECT uid, 'From', 'c' || (o_custkey % 7) || '@y.example' FROM m),
+recip AS (SELECT DISTINCT uid, key FROM ppl WHERE field <> 'From'), everyone AS (SELECT DISTINCT uid, key FROM ppl),
+sets AS MATERIALIZED (SELECT m.uid, coalesce(string_agg(key, ',' ORDER BY key) FILTER (WHERE field = 'To'), '') AS to_set, coalesce(string_agg(key, ',' ORDER BY key) FILTER (WHERE field = 'Cc'), '') AS cc_set FROM m LEFT JOIN ppl ON ppl.uid = m.uid GROUP BY 1),
+ids AS MATERIALIZED (SELECT scope, message_id, min(uid) AS first_uid, count(*) AS n FROM m GROUP BY 1, 2),
+g AS MATERIALIZED (SELECT m.*, own.first_uid <> m.uid AS repeated, up.first_uid AS claimed_uid, coalesce(up.n, 0) > 1 AS clash, p.message_id AS parent_id FROM m JOIN ids own ON own.scope = m.scope AND own.message_id = m.message_id
+  LEFT JOIN ids up ON up.scope = m.scope AND up.message_id = m.in_reply_to LEFT JOIN m p ON p.uid = m.parent_uid),
+state AS MATERIALIZED (SELECT *, CASE WHEN repeated THEN 'own_id' WHEN in_reply_to IS NOT NULL AND parent_id IS DISTINCT FROM in_reply_to THEN CASE WHEN claimed_uid IS NOT NULL THEN 'broken_edge' ELSE 'missing_parent' END
+  WHEN parent_id IS NOT NULL AND parent_id IS DISTINCT FROM in_reply_to THEN 'missing_parent' WHEN clash THEN 'parent_id' END AS cause FROM g),
+pairs AS MATERIALIZED (SELECT scope, uid, cause, in_reply_to AS claimed, CASE WHEN cause = 'broken_edge' THEN claimed_uid END AS candidate_uid FROM state WHERE cause IN ('own_id', 'missing_parent', 'broken_edge')
+  UNION ALL SELECT s.scope, s.uid, s.cause, s.in_reply_to, c.uid FROM state s JOIN m c ON c.scope = s.scope AND c.message_id = s.in_reply_to WHERE s.cause = 'parent_id')
+"""
+_CHANGED = "SELECT string_agg({0}.key, ',' ORDER BY {0}.key) FROM {1} {0} WHERE {0}.uid = {2} AND NOT EXISTS (SELECT 1 FROM {3} o WHERE o.uid = {4} AND o.key = {0}.key)"
+
+
+@register(
+    "rcp_conflicts",
+    duck_sql(
+        f"""WITH {_CONFLICTS} SELECT p.scope, p.uid, p.cause, p.claimed, c.to_set AS child_to, c.cc_set AS child_cc, p.candidate_uid, s.to_set AS candidate_to, s.cc_set AS candidate_cc,
+        CASE WHEN p.candidate_uid IS NOT NULL THEN coalesce(({_CHANGED.format("a", "everyone", "p.uid", "everyone", "p.candidate_uid")}), '') END AS added,
+        CASE WHEN p.candidate_uid IS NOT NULL THEN coalesce(({_CHANGED.format("b", "everyone", "p.candidate_uid", "everyone", "p.uid")}), '') END AS omitted
+        FROM pairs p JOIN sets c ON c.uid = p.uid LEFT JOIN sets s ON s.uid = p.candidate_uid"""
+    ),
+)
+def rcp_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = keep(recipients.prepare(views.conflicted_mails(spark, sf_dir)), "conflicted")
+    e = recipients.conflict_evidence(prepared)
+    return e.select(
+        "scope", "uid", "cause", "claimed", text_of("child.to").alias("child_to"), text_of("child.cc").alias("child_cc"), "candidate_uid", text_of("candidate.to").alias("candidate_to"), text_of("candidate.cc").alias("candidate_cc"),
+        text_of("differences.added").alias("added"), text_of("differences.reply_all_omitted").alias("omitted"),
+    )
+
+
+@register("rcp_conflict_variants", duck_sql(f"WITH {_CONFLICTS} SELECT m.scope, m.message_id, ids.n::BIGINT AS variant_count, m.uid, m.raw_sha256, s.to_set AS to_set, s.cc_set AS cc_set FROM m JOIN ids ON ids.scope = m.scope AND ids.message_id = m.message_id JOIN sets s ON s.uid = m.uid WHERE ids.n > 1"))
+def rcp_conflict_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared = keep(recipients.prepare(views.conflicted_mails(spark, sf_dir)), "conflicted")
+    v = recipients.conflict_variants(prepared)
+    return v.select("scope", "message_id", "variant_count", "uid", "raw_sha256", text_of("sets.to").alias("to_set"), text_of("sets.cc").alias("cc_set"))
+
+
 def _recipients(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     prepared = keep(recipients.prepare(views.recipient_mails(spark, sf_dir)), "recipients")
     edges = keep(recipients.edges(prepared), "recipient-edges")
@@ -536,6 +577,19 @@ def idn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.stats(i["checked"], i["found"], i["flags"])
 
 
+@register(
+    "qry_identity_threads",
+    duck_sql(
+        f"""WITH {_IDENTITY} SELECT f.scope, f.root_uid, t.email_count, string_agg(f.seq::VARCHAR, ',' ORDER BY f.seq) AS seqs, string_agg(f.status, ',' ORDER BY f.seq) AS statuses FROM found f
+        JOIN (SELECT scope, root_uid, count(*)::BIGINT AS email_count FROM s GROUP BY 1, 2) t ON t.scope = f.scope AND t.root_uid = f.root_uid WHERE f.phase = 1 AND f.type = 'reply_identity_change' GROUP BY 1, 2, 3"""
+    ),
+)
+def qry_identity_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _identity(spark, sf_dir)
+    kept = filters.filter_identity_threads(identity.thread_reports(i["checked"], i["found"]), i["found"], "reply_identity_change")
+    return kept.select("scope", "root_uid", "email_count", text_of(F.col("findings")["seq"]).alias("seqs"), F.array_join(F.col("findings")["status"], ",").alias("statuses"))
+
+
 @register(
     "qry_identity_findings",
     duck_sql(f"WITH {_IDENTITY} SELECT f.scope, f.seq, f.type FROM found f JOIN s ON s.scope = f.scope AND s.uid = f.lead WHERE f.phase = 0 AND f.type = 'from_domain_mismatch' AND f.status = 'observed' AND (s.f_domain = 'moved.example' OR s.r_domain = 'moved.example')"),

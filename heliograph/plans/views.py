@@ -198,6 +198,21 @@ def recipient_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_base(spark, sf_dir).withColumn("from", sender).join(lists, "uid", "left")
 
 
+#: Orders as mails of which one in forty shares its id with others, and some claim such an id.
+CONFLICT_MAILS = f"""
+SELECT scope, uid, o_custkey, raw_sha256, date, CAST(parent_uid AS BIGINT) AS parent_uid, CAST(thread_root_uid AS BIGINT) AS thread_root_uid,
+  CASE WHEN uid % 40 = 7 THEN '<twin' || (o_custkey % 48) || '@shop.example>' ELSE '<o' || uid || '@shop.example>' END AS message_id,
+  CASE WHEN uid % 40 = 9 OR parent_uid % 40 = 7 THEN '<twin' || (o_custkey % 48) || '@shop.example>' WHEN uid % 59 = 0 THEN '<gone@shop.example>' WHEN parent_uid IS NOT NULL THEN '<o' || parent_uid || '@shop.example>' END AS in_reply_to
+FROM ({ORDER_MAILS}) x
+"""
+
+
+def conflicted_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = recipient_mails(spark, sf_dir).select("uid", "from", "to", "cc")
+    base = run(spark, sf_dir, CONFLICT_MAILS).withColumn("refs", F.array().cast("array<string>")).withColumn("subject", F.lit(None).cast("string"))
+    return base.join(people, "uid")
+
+
 def attachment_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = run(spark, sf_dir, ORDER_FILES)
     item = F.struct("idx", F.col("name").alias("filename"), F.lit("x/y").alias("content_type"), "size", "sha256", F.lit(None).cast("string").alias("original_filename"), F.when(F.col("bad") == 1, True).alias("undecodable"))

@@ -173,6 +173,8 @@ class Workspace:
             save("edges", recipients.edges(load("prepared")))
             save("events", recipients.events(load("edges")))
             save("reviews", recipients.reviews(load("prepared"), load("edges")))
+            save("evidence", recipients.conflict_evidence(load("prepared")))
+            save("variants", recipients.conflict_variants(load("prepared")))
             save("addresses", recipients.ledger(load("prepared")))
             save("emails", recipients.email_rows(load("prepared"), load("edges"), load("events"), load("reviews")))
             save("threads", recipients.thread_summaries(load("emails")))
@@ -236,6 +238,16 @@ class Workspace:
     def recipient_reviews(self, key: str, kind: str | None = None, thread: int | None = None, address: str | None = None) -> DataFrame:
         return filters.filter_recipient_reviews(self.result("recipient_flow", key, "reviews"), self.result("recipient_flow", key, "prepared"), kind, thread, address)
 
+    def recipient_evidence(self, key: str, uid: int | None = None) -> DataFrame:
+        """Candidate parents beside the mails whose parent is missing or in conflict."""
+        rows = self.result("recipient_flow", key, "evidence")
+        return rows if uid is None else rows.where(F.col("uid") == uid)
+
+    def recipient_variants(self, key: str, message_id: str | None = None) -> DataFrame:
+        """Mails of other bytes that share an id."""
+        rows = self.result("recipient_flow", key, "variants")
+        return rows if message_id is None else rows.where(F.col("message_id") == message_id)
+
     def recipient_threads(self, key: str, thread: int | None = None, address: str | None = None) -> DataFrame:
         return filters.filter_recipient_threads(self.result("recipient_flow", key, "threads"), self.result("recipient_flow", key, "events"), thread, address)
 

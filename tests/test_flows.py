@@ -99,6 +99,11 @@ def test_recipient_flow(spark):
     ]
     sides = recipients.provisional_differences(recipients.reviews(p, e), p).where("uid = 5").orderBy("candidate_uid").collect()
     assert [(r["candidate_uid"], r["dropped"]) for r in sides] == [(1, ["d@x.com", "e@x.com"]), (4, [])]
+    evidence = {(r["uid"], r["cause"], r["candidate_uid"]): r for r in recipients.conflict_evidence(p).collect()}
+    assert sorted(evidence, key=str) == [(2, "missing_parent", None), (3, "parent_id", 1), (3, "parent_id", 4), (4, "own_id", None), (5, "parent_id", 1), (5, "parent_id", 4)]
+    assert (evidence[5, "parent_id", 1]["differences"]["dropped"], evidence[5, "parent_id", 4]["differences"]["added"], evidence[4, "own_id", None]["differences"]) == (["d@x.com", "e@x.com"], ["a@x.com"], None)
+    assert (evidence[5, "parent_id", 1]["child"]["to"], evidence[5, "parent_id", 1]["candidate"]["cc"], evidence[2, "missing_parent", None]["child"]["from"]) == (["a@x.com"], ["e@x.com"], ["b@x.com"])
+    assert sorted((r["message_id"], r["variant_count"], r["uid"]) for r in recipients.conflict_variants(p).collect()) == [("<1>", 2, 1), ("<1>", 2, 4)]
     ledger = {r["address"]: r for r in recipients.ledger(p).collect()}
     assert (ledger["e@x.com"]["occurrence_count"], ledger["a@X.com".lower()]["first_uid"], ledger["b@x.com"]["fields"], ledger["a@x.com"]["names"]) == (1, 0, ["From", "To"], ["A"])
     emails = recipients.email_rows(p, e, recipients.events(e), recipients.reviews(p, e))
@@ -253,3 +258,13 @@ def test_list_hints(spark):
 
     df = spark.createDataFrame([(ident("a@b.c", several=True, sender="x@y.z"),)], f"identity {IDENTITY}")
     assert df.select(recipients.list_hints(F.col("identity"), None)).first()[0] == ["from_has_several_addresses", "sender_differs_from_from"]
+
+
+@pytest.mark.parametrize("value", ["", "  ", "a b.example", "x\u3000y", "a" * 254])
+def test_domains_that_are_none_are_refused(value):
+    with pytest.raises(filters.BadParameter):
+        filters.domain_name(value)
+
+
+def test_domains_are_trimmed_and_small():
+    assert (filters.domain_name(" Mail.Example\n"), filters.domain_name(None), len(filters.domain_name("a" * 253))) == ("mail.example", None, 253)

@@ -130,7 +130,8 @@ def test_case_merge(spark):
     got = {r["uid"]: r for r in nodes.collect()}
     assert [got[i]["raw_sha256"] for i in range(6)] == ["h0", "h1", "h2", "h3", "h4", "h5"]
     assert [(s["job_id"], s["original_uid"]) for s in got[0]["sources"]] == [("A", 0), ("B", 1)]
-    assert (got[3]["conflict_with"], got[4]["conflict_with"]) == ([4], [3])
+    assert [[r["uid"] for r in case_merge.conflict_with(nodes, "k", uid).collect()] for uid in (3, 4, 0)] == [[4], [3], []]
+    assert [(got[i]["conflict"], got[i]["conflict_class"], got[i]["conflict_size"]) for i in (0, 3, 4)] == [(False, None, None), (True, 3, 2), (True, 3, 2)]
     assert (got[1]["parent_uid"], got[1]["relinked_for"], got[1]["relinked_via"]) == (2, ["A"], "in_reply_to")
     assert (got[5]["parent_uid"], got[5]["ambiguous_refs"], got[5]["relinked_for"], got[5]["relinked_via"]) == (0, 1, ["C"], "references")
     share = {r["job_id"]: r.asDict() for r in case_merge.contributions(nodes, df).collect()}
