@@ -45,9 +45,11 @@ class Workspace:
             raise Refused("upload_too_large")
         token = hashlib.sha256(content).hexdigest()
         key = self.catalog.admit("job", str(uuid.uuid4()), idempotency_key, token)
-        if not self.catalog.current("job").where((F.col("key") == key) & F.col("target").isNotNull()).limit(1).count():
-            self.spark.createDataFrame([(package_name(name), bytearray(content))], "package string, content binary").write.mode("overwrite").parquet(f"{self.folder}/upload/{key}")
-            self.catalog.set_state("job", key, "queued", target=package_name(name))
+        if not self.catalog.history().where((F.col("kind") == "job") & (F.col("key") == key) & F.col("target").isNotNull()).limit(1).count():
+            # each caller writes a copy of its own; the bytes are the same, and the newest state names one of them
+            path = f"{self.folder}/upload/{key}-{uuid.uuid4().hex}"
+            self.spark.createDataFrame([(package_name(name), bytearray(content))], "package string, content binary").write.parquet(path)
+            self.catalog.set_state("job", key, "queued", target=package_name(name), detail=path)
         return key
 
     def create_case(self, jobs: list[str]) -> str:
@@ -93,8 +95,10 @@ class Workspace:
         doers: dict[str, Callable] = {"job": self._do_job, "case": self._do_case, **dict.fromkeys(ANALYSES, self._do_analysis)}
         for kind, do in doers.items():
             for row in self.catalog.unfinished(kind).orderBy("created_at").collect():
+                if kind == "job" and row["target"] is None:
+                    continue  # its bytes are still on the way
                 more = {"target": row["target"], "progress": row["progress"]}
-                self.catalog.set_state(kind, row["key"], "processing", **more)
+                self.catalog.set_state(kind, row["key"], "processing", detail=row["detail"], **more)
                 try:
                     do(kind, row["key"], row["target"], row["progress"])
                     self.catalog.set_state(kind, row["key"], "completed", detail=f"{self.folder}/{kind}/{row['key']}", **more)
@@ -112,7 +116,8 @@ class Workspace:
         return self.spark.read.parquet(f"{self.folder}/{kind}/{key}/{name}")
 
     def _do_job(self, kind: str, key: str, target: str, progress: str | None) -> None:
-        upload = self.spark.read.parquet(f"{self.folder}/upload/{key}")
+        named = self.catalog.history().where((F.col("kind") == "job") & (F.col("key") == key) & (F.col("state") == "queued") & F.col("detail").isNotNull())
+        upload = self.spark.read.parquet(named.agg(F.max_by("detail", "at")).first()[0])
         entries = packages.scan(upload)
         broken = packages.violations(entries, self.limits).limit(1).collect()
         if broken:
@@ -208,6 +213,10 @@ class Workspace:
         """One thread, or one whole package or case, as nested JSON."""
         return export.forest_json(self.tree(kind, key, root=root))
 
+    def export_tree(self, kind: str, key: str, folder: str) -> None:
+        """A whole package or case as nested JSON in text files that follow one another."""
+        export.write_forest_json(self.tree(kind, key), folder)
+
     def timeline(self, key: str, start: str | None = None, end: str | None = None, kind: str | None = None) -> DataFrame:
         return filters.filter_timeline(self.result("analysis", key, "timeline"), start, end, kind).orderBy(*timing.timeline_order())
 

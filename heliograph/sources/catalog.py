@@ -7,7 +7,11 @@ behind, and unfinished work is found by a query.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import re
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +22,38 @@ STATES = ("queued", "processing", "completed", "failed", "deleted")
 LOG = "kind string, key string, state string, at timestamp, progress string, error string, target string, idempotency_key string, content_token string, detail string"
 
 
+def create_or_read(spark: SparkSession, path: str, content: str) -> str:
+    """Create a small file with this content unless it is there already; gives what the file holds.
+
+    The content is written under another name first and then takes its name in
+    one step that fails if the name is taken: a hard link on a local file
+    system, a rename without overwriting on others.
+    """
+    part = f"{path}.{uuid.uuid4().hex}"
+    if re.match(r"(file:)?/", path):
+        path, part = (re.sub(r"^file:/+", "/", p) for p in (path, part))
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(part, "w", encoding="utf-8") as out:
+            out.write(content)
+        try:
+            os.link(part, path)
+        except FileExistsError:
+            pass
+        finally:
+            os.unlink(part)
+        with open(path, encoding="utf-8") as made:
+            return made.read()
+    jvm = spark._jvm
+    target, source = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(part)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(source, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    if not store.rename(source, target):
+        store.delete(source, False)
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 class Conflict(ValueError):
     """An idempotency key that was used for other content."""
 
@@ -29,10 +65,11 @@ class Catalog:
 
     def log(self, rows: int | list[dict]) -> None:
         given = [] if isinstance(rows, int) else [tuple(r.get(c.split()[0]) for c in LOG.split(", ")) for r in rows]
-        self.spark.createDataFrame(given, LOG).coalesce(1).write.mode("append").parquet(self.folder)
+        # a folder for each change: writers of one folder would clear each other's temporary files
+        self.spark.createDataFrame(given, LOG).coalesce(1).write.parquet(f"{self.folder}/{uuid.uuid4().hex}")
 
     def history(self) -> DataFrame:
-        return self.spark.read.schema(LOG).parquet(self.folder)
+        return self.spark.read.schema(LOG).option("recursiveFileLookup", "true").parquet(self.folder)
 
     def current(self, kind: str | None = None) -> DataFrame:
         """The newest state of every key that is not deleted, with the time it was created."""
@@ -50,15 +87,24 @@ class Catalog:
         self.log([{"kind": kind, "key": key, "state": state, "at": datetime.now(UTC).replace(tzinfo=None), **more}])
 
     def admit(self, kind: str, key: str, idempotency_key: str | None, content_token: str) -> str:
-        """Queue new work and give its key; the same idempotency key and content give the earlier key."""
+        """Queue new work and give its key; the same idempotency key and content give the earlier key.
+
+        The idempotency key is a file that only one caller can create, so of
+        any number of callers at once one queues the work and the others get
+        its key.  A caller that died in between leaves the file without a state;
+        the next one with the same key then queues that work.
+        """
         if idempotency_key is not None:
             if not re.fullmatch(r"[A-Za-z0-9._:-]{1,200}", idempotency_key):
                 raise ValueError("malformed idempotency key")
-            earlier = self.history().where((F.col("kind") == kind) & (F.col("idempotency_key") == idempotency_key) & (F.col("state") == "queued")).orderBy("at").limit(1).collect()
-            if earlier:
-                if earlier[0]["content_token"] != content_token:
-                    raise Conflict(idempotency_key)
-                return earlier[0]["key"]
+            name = hashlib.sha256(f"{kind}:{idempotency_key}".encode()).hexdigest()
+            claimed = json.loads(create_or_read(self.spark, f"{self.folder}-keys/{name}.json", json.dumps({"key": key, "token": content_token})))
+            if claimed["token"] != content_token:
+                raise Conflict(idempotency_key)
+            if claimed["key"] != key:
+                key = claimed["key"]
+                if self.history().where((F.col("kind") == kind) & (F.col("key") == key)).limit(1).count():
+                    return key
         self.set_state(kind, key, "queued", idempotency_key=idempotency_key, content_token=content_token)
         return key
 

@@ -1,7 +1,8 @@
 """Nested JSON of one thread or package at a time, and flat import of such documents.
 
-Forests stay adjacency tables; nesting exists only at this edge.  Writing and
-reading use explicit stacks, so a chain of any depth passes.
+Forests stay adjacency tables; nesting exists only at this edge.  Writing needs
+neighbours in reading order and reading an explicit stack, so a chain of any
+depth passes.
 """
 
 from __future__ import annotations
@@ -16,33 +17,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.operators.threads import climb
+
+#: Documents that are nested less deeply are indented.
 PRETTY_DEPTH = 500
 
 
-def _nested(rows: list[dict[str, Any]], place: str) -> Iterator[str]:
-    """Pieces of the JSON array of trees; each row has uid, parent_uid and its own fields."""
-    children: dict[Any, list[dict[str, Any]]] = {}
-    known = {r["uid"] for r in rows}
-    for r in sorted(rows, key=lambda r: (r[place] is None, r[place], r["uid"])):
-        children.setdefault(r["parent_uid"] if r["parent_uid"] in known else None, []).append(r)
-    yield "["
-    stack: list[tuple[list[dict[str, Any]], int]] = [(children.get(None, []), 0)]
-    while stack:
-        level, at = stack.pop()
-        if at == len(level):
-            yield "]}" if stack else "]"
-            continue
-        stack.append((level, at + 1))
-        node = level[at]
-        own = json.dumps({k: v for k, v in node.items() if k not in ("parent_uid", place)}, ensure_ascii=False, default=str)
-        yield ("," if at else "") + own[:-1] + (', "children": [' if len(own) > 2 else '"children": [')
-        stack.append((children.get(node["uid"], []), 0))
+def document_lines(forest: DataFrame, place: str = "thread_pos") -> DataFrame:
+    """(part, root_uid, place, text): the nested JSON document of one scope's forest, a line for each mail.
+
+    In reading order a mail opens its object and its list of children, and
+    closes as many as the next mail lies higher, so a line needs its two
+    neighbours only: two joins by place, no stack and no thread in one task.
+    Lines in the order of (part, root_uid, place) are the document, whatever its
+    depth; an empty forest is an empty list.
+    """
+    if not {"root_uid", "depth"} <= set(forest.columns):
+        reached = climb(forest.withColumn("__scope", F.lit(0)), "__scope").drop("__scope", "circular")
+        forest = forest.drop("root_uid", "depth").join(reached, "uid", "left").withColumn("root_uid", F.coalesce("root_uid", "uid")).withColumn("depth", F.coalesce("depth", F.lit(0)))
+    edges = forest.agg(F.min("root_uid").alias("first"), F.max("depth").alias("deepest")).first()
+    shown = [F.col(f"`{c}`") for c in forest.columns if c not in ("parent_uid", place)]
+    nodes = forest.select("root_uid", F.col(place).alias("place"), F.col("depth").cast("int").alias("depth"), F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("own"))
+    before = nodes.select("root_uid", (F.col("place") + 1).alias("place"), F.col("depth").alias("before"))
+    after = nodes.select("root_uid", (F.col("place") - 1).alias("place"), F.col("depth").alias("after"))
+    met = nodes.join(before, ["root_uid", "place"], "left").join(after, ["root_uid", "place"], "left")
+    comma = F.when(F.coalesce(F.col("before") >= F.col("depth"), F.col("root_uid") != F.lit(edges["first"])), ",").otherwise("")
+    indent = F.repeat(F.lit("  "), F.col("depth") + 1) if (edges["deepest"] or 0) < PRETTY_DEPTH else F.lit("")
+    closed = F.repeat(F.lit("]}"), F.col("depth") - F.coalesce("after", F.lit(-1)) + 1 - F.when(F.col("after").isNull(), 1).otherwise(0))
+    text = F.concat(indent, comma, F.expr("substring(own, 1, length(own) - 1)"), F.lit(',"children":['), closed)
+    lines = met.select(F.lit(1).alias("part"), "root_uid", "place", text.alias("text"))
+    ends = forest.sparkSession.createDataFrame([(0, "["), (2, "]")], "part int, text string")
+    return lines.unionByName(ends, allowMissingColumns=True)
+
+
+def write_forest_json(forest: DataFrame, folder: str, place: str = "thread_pos") -> None:
+    """The document as text files that follow one another in the order of their names."""
+    document_lines(forest, place).orderBy("part", "root_uid", "place").select("text").write.mode("overwrite").text(folder)
 
 
 def forest_json(forest: DataFrame, place: str = "thread_pos") -> str:
-    """The trees of a forest small enough to show: one thread or one package, chosen by the caller's filter."""
-    rows = [r.asDict(recursive=True) for r in forest.collect()]
-    return "".join(_nested(rows, place))
+    """The document as one text, for a thread or package that the caller chose to show; lines come one partition at a time."""
+    rows = document_lines(forest, place).orderBy("part", "root_uid", "place").select("text").toLocalIterator()
+    return "\n".join(r["text"] for r in rows)
 
 
 def write_json(text: str, path: str) -> None:

@@ -2,7 +2,9 @@
 
 import io
 import json
+import random
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from email.message import EmailMessage
 
 import pytest
@@ -175,6 +177,10 @@ def test_json_without_recursion(spark, tmp_path):
     text = export.forest_json(forest)
     flat = list(export.flatten(export.loads(text)))
     assert [(r["uid"], r["parent_uid"], r["thread_root_uid"]) for r in flat] == [(i, i - 1 if i else None, 0) for i in range(1500)]
+    export.write_forest_json(forest, str(tmp_path / "parts"))
+    parts = sorted(p for p in (tmp_path / "parts").iterdir() if p.name.startswith("part-"))
+    assert "".join(p.read_text() for p in parts).split("\n")[:-1] == text.split("\n")
+    assert export.forest_json(forest.limit(0)).split() == ["[", "]"]
     path = tmp_path / "t.json"
     export.write_json(text, str(path))
     assert path.read_text() == text
@@ -184,6 +190,41 @@ def test_json_without_recursion(spark, tmp_path):
     assert got[2]["error"].startswith("ValueError")
 
 
+def test_nested_json_of_random_forests(spark):
+    rng = random.Random(8)
+    rows, place, root_of, depth_of = [], {}, {}, {}
+    for uid in range(200):  # every mail hangs under an ancestor of the one before it, so arrival order is reading order
+        chain = []
+        at = uid - 1 if uid else None
+        while at is not None:
+            chain.append(at)
+            at = rows[at][1]
+        parent = None if rng.random() < 0.1 else rng.choice([*chain, chain[0]] if chain else [None])
+        root_of[uid] = uid if parent is None else root_of[parent]
+        depth_of[uid] = 0 if parent is None else depth_of[parent] + 1
+        place[root_of[uid]] = place.get(root_of[uid], -1) + 1
+        rows.append((uid, parent, root_of[uid], depth_of[uid], place[root_of[uid]], None if uid % 3 else f'a"\n{uid}'))
+    forest = spark.createDataFrame(rows, "uid long, parent_uid long, root_uid long, depth long, thread_pos long, subject string").repartition(4)
+    trees = json.loads(export.forest_json(forest))
+    seen = []
+    stack = [(t, None) for t in reversed(trees)]
+    while stack:
+        node, parent = stack.pop()
+        seen.append((node["uid"], parent, node["subject"]))
+        stack += [(c, node["uid"]) for c in reversed(node["children"])]
+    assert seen == [(r[0], r[1], r[5]) for r in rows]
+    assert export.forest_json(forest).split("\n")[1].startswith("  {")
+
+
+def test_one_key_of_many_callers(spark, tmp_path):
+    c = catalog.Catalog(spark, str(tmp_path / "log"))
+    with ThreadPoolExecutor(20) as pool:
+        keys = list(pool.map(lambda i: c.admit("job", f"j{i}", "same", "t"), range(20)))
+    assert len(set(keys)) == 1
+    assert {r["key"] for r in c.current("job").collect()} == set(keys)
+    assert {catalog.create_or_read(spark, f"{tmp_path}/x/k", str(i)) for i in range(5)} == {"0"}
+
+
 def test_catalog(spark, tmp_path):
     c = catalog.Catalog(spark, str(tmp_path / "log"))
     key = c.admit("job", "j1", "once", "t1")
