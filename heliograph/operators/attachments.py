@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators.gate import gate_edges, numbered
+from heliograph.operators.ranking import block_of
 
 EVENT_TYPES = ("added", "removed", "renamed", "content_changed")
 REVIEW_KINDS = ("missing_parent", "reference_conflict", "undecodable_attachment")
@@ -109,7 +110,7 @@ def events(diff: DataFrame, scope: str = "scope") -> DataFrame:
     first = F.when(F.col("rank") == 0, F.col("sha256")).otherwise(F.col("filename"))
     second = F.when(F.col("rank") == 0, F.col("previous_filename")).when(F.col("rank") == 1, F.col("previous_sha256")).otherwise(F.col("sha256"))
     third = F.when(F.col("rank") == 0, F.col("filename")).otherwise(F.col("sha256"))
-    return numbered(diff.where("NOT suppressed"), scope, "uid", "rank", first, second, third, prefix="E")
+    return numbered(diff.where("NOT suppressed"), scope, "uid", "rank", first, second, third, blocks=[block_of("uid")], prefix="E")
 
 
 def suppressed(diff: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def reviews(prepared: DataFrame, scope: str = "scope") -> DataFrame:
         F.col(scope).alias("scope"), "uid", "thread_root_uid", F.lit(1).alias("rank"), F.lit(0).alias("pos"), F.col("skip_reason").alias("kind"), F.coalesce("conflict", F.col("skip_reason")).alias("cause"),
         F.when(F.col("conflict") == "own_id", F.col("message_id")).otherwise(F.col("claimed")).alias("detail"),
     )
-    return numbered(bad.unionByName(edge), "scope", "uid", "rank", "pos", prefix="R")
+    return numbered(bad.unionByName(edge), "scope", "uid", "rank", "pos", blocks=[block_of("uid")], prefix="R")
 
 
 def ledger(prepared: DataFrame, scope: str = "scope") -> DataFrame:

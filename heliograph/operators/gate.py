@@ -6,10 +6,10 @@ and that parent is certain.  Everything else gets a reason instead of a result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.operators.ranking import numbered_from
+from heliograph.operators.ranking import numbered_by_blocks
 from heliograph.operators.threads import direct_ref
 
 
@@ -57,12 +57,13 @@ def gate_edges(mails: DataFrame, scope: str = "scope") -> DataFrame:
     return out.withColumn("compared", F.col("skip_reason").isNull()).drop("__own_first", "__own_conflict", "__up_conflict", "__parent_id", "__has_parent")
 
 
-def numbered(rows: DataFrame, scope: str, *order: object, prefix: str = "E") -> DataFrame:
+def numbered(rows: DataFrame, scope: str, *order: object, blocks: list[Column], prefix: str = "E") -> DataFrame:
     """Adds ``seq`` from 1 inside each scope, and ``id``, its text form.
 
     The number is kept beside the text because text order breaks after 9999.
+    ``blocks`` cut a scope into chunks; they must agree with ``order``.
     """
-    out = numbered_from(rows, [scope], list(order), "seq", first=1)
+    out = numbered_by_blocks(rows, [scope], blocks, list(order), "seq", first=1)
     return out.withColumn("id", F.concat(F.lit(prefix), F.when(F.col("seq") < 10_000, F.lpad(F.col("seq").cast("string"), 4, "0")).otherwise(F.col("seq").cast("string"))))
 
 

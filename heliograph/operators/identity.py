@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from heliograph.functions.addresses import is_forward
 from heliograph.lineage import cut
 from heliograph.operators.gate import numbered
-from heliograph.operators.ranking import numbered_from
+from heliograph.operators.ranking import block_of, numbered_from
 from heliograph.operators.recipients import list_hints
 
 FINDING_TYPES = ("from_domain_mismatch", "reply_identity_change", "message_id_domain_drift", "dkim_from_not_covered")
@@ -165,7 +165,7 @@ def findings(checked: DataFrame, scope: str = "scope", place: str = "thread_pos"
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return numbered(out, "scope", "phase", "thread_rank", "part", "place", "rank", "address", prefix="F")
+    return numbered(out, "scope", "phase", "thread_rank", "part", "place", "rank", "address", blocks=[F.col("phase"), block_of("thread_rank"), F.when(F.col("phase") == 0, block_of("place")).otherwise(0)], prefix="F")
 
 
 def review_flags(checked: DataFrame, scope: str = "scope") -> DataFrame:
@@ -191,7 +191,7 @@ def review_flags(checked: DataFrame, scope: str = "scope") -> DataFrame:
     out = parts[0]
     for part in [*parts[1:], edges]:
         out = out.unionByName(part)
-    return numbered(out, "scope", "phase", "uid", "rank", "pos", prefix="R")
+    return numbered(out, "scope", "phase", "uid", "rank", "pos", blocks=[F.col("phase"), block_of("uid")], prefix="R")
 
 
 def email_reports(checked: DataFrame, scope: str = "scope") -> DataFrame:

@@ -1,10 +1,12 @@
 """Running sums and numbers inside groups of any size.
 
-A window over a group reads the whole group in one task.  Here rows are dealt
-into ranges of (group, order) instead, so a large group is many *chunks*: a
-window sums inside a chunk, and what comes before a chunk is the sum of its
-group's earlier chunks.  Only a group that begins before a range has anything
-there, so these sums are at most one row a range, whatever the data.
+A window over a group reads the whole group in one task.  Here a large group is
+many *chunks*: a window works inside a chunk, and what comes before a chunk is
+the sum of its group's earlier chunks.  Where the order begins with a dense
+number, as a mail's uid, chunks are blocks of it and cost no more than the
+window alone.  Otherwise they are ranges of (group, order) that Spark finds by
+sampling; only a group that begins before a range has anything there, so these
+sums are at most one row a range, whatever the data.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from heliograph.lineage import keep
 
 _CHUNK = "__chunk"
+#: Values of a dense number in one chunk.
+BLOCK = 1 << 16
 
 
 def running_sum(rows: DataFrame, groups: list[str], order: list[Column | str], value: Column, out: str) -> DataFrame:
@@ -41,3 +45,28 @@ def running_sum(rows: DataFrame, groups: list[str], order: list[Column | str], v
 def numbered_from(rows: DataFrame, groups: list[str], order: list[Column | str], out: str, first: int = 0) -> DataFrame:
     """``rows`` with their place in the group, counted from ``first``."""
     return running_sum(rows, groups, order, F.lit(1), out).withColumn(out, F.col(out) + first)
+
+
+def block_of(number: Column | str) -> Column:
+    """The block of a dense number."""
+    number = F.col(number) if isinstance(number, str) else number
+    return F.floor(number / BLOCK).cast("long")
+
+
+def numbered_by_blocks(rows: DataFrame, groups: list[str], blocks: list[Column], order: list[Column | str], out: str, first: int = 0) -> DataFrame:
+    """As ``numbered_from``; rows of different ``blocks`` must be in the order of these columns.
+
+    The rows are computed once for the counts, without the columns that these
+    do not need, and once for the numbers; counts and numbers meet in the
+    dealing by chunk that the window has anyway.
+    """
+    chunked = rows.withColumn(_CHUNK, F.struct(*[b.alias(f"b{i}") for i, b in enumerate(blocks)]))
+    counts = chunked.groupBy(*groups, _CHUNK).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*groups).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col(_CHUNK).alias("__c"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    same = F.col(_CHUNK).eqNullSafe(F.col("__c"))
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    inside = F.row_number().over(Window.partitionBy(*groups, _CHUNK).orderBy(*order))
+    met = chunked.withColumn("__inside", inside).join(before, same)
+    return met.withColumn(out, (F.col("__before") + F.col("__inside") - 1 + first).cast("long")).select(*[c for c in rows.columns if c != out], out)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions.addresses import is_list_address, malformed_reason, normalize_address, strip_text
 from heliograph.operators.gate import gate_edges, id_groups, numbered
+from heliograph.operators.ranking import block_of
 
 EVENT_TYPES = ("added", "dropped", "role_changed", "reply_all_omitted")
 REVIEW_KINDS = ("possible_mailing_list", "malformed_address", "missing_parent", "reference_conflict")
@@ -133,7 +134,7 @@ def events(edge_rows: DataFrame, scope: str = "scope") -> DataFrame:
     out = edge_rows.where("edge_compared").select(
         F.col(scope).alias("scope"), "uid", "parent_uid", "thread_root_uid", "date", F.size(F.array_union("p_from", F.array_union("p_to", "p_cc"))).cast("long").alias("parent_people"), F.size("people").cast("long").alias("child_people"), F.inline(made)
     )
-    return numbered(out, "scope", "uid", "rank", "address", prefix="E")
+    return numbered(out, "scope", "uid", "rank", "address", blocks=[block_of("uid")], prefix="E")
 
 
 def reviews(prepared: DataFrame, edge_rows: DataFrame, scope: str = "scope") -> DataFrame:
@@ -166,7 +167,7 @@ def reviews(prepared: DataFrame, edge_rows: DataFrame, scope: str = "scope") ->
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return numbered(out.withColumn("detail", F.coalesce("detail", null_text)), "scope", "uid", "rank", "pos", prefix="R")
+    return numbered(out.withColumn("detail", F.coalesce("detail", null_text)), "scope", "uid", "rank", "pos", blocks=[block_of("uid")], prefix="R")
 
 
 def provisional_differences(review_rows: DataFrame, prepared: DataFrame, scope: str = "scope") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions.dates import instant_us
 from heliograph.operators.gate import numbered
+from heliograph.operators.ranking import block_of
 
 FINDING_TYPES = ("client_clock_skew", "abnormal_transit", "hop_time_inversion", "reply_before_parent", "chain_mismatch")
 THRESHOLDS = {"clock_skew_seconds": 120, "max_transit_seconds": 300}
@@ -119,7 +120,7 @@ def findings(mails: DataFrame, scope: str = "scope", limits: dict | None = None)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    out = numbered(out.withColumn("lead_id", F.get("message_ids", F.lit(0))), "scope", "phase", "lead_uid", "rank", "pos", F.when(F.col("phase") == 1, F.col("lead_id")), prefix="F")
+    out = numbered(out.withColumn("lead_id", F.get("message_ids", F.lit(0))), "scope", "phase", "lead_uid", "rank", "pos", F.when(F.col("phase") == 1, F.col("lead_id")), blocks=[F.col("phase"), block_of("lead_uid")], prefix="F")
     return out.withColumn("status", F.lit("observed"))
 
 

@@ -31,6 +31,9 @@ def test_running_sum_of_a_hot_group(many_chunks):
     assert {tuple(r) for r in summed.collect()} == want
     numbers = [r["n"] for r in ranking.numbered_from(df.where("g = 'hot'"), ["g"], ["at"], "n", first=1).orderBy("at").collect()]
     assert numbers == list(range(1, 701))
+    blocks = [ranking.block_of(F.col("at") * (ranking.BLOCK // 10))]
+    by_block = ranking.numbered_by_blocks(df, ["g"], blocks, ["at"], "n", first=1)
+    assert {(r["g"], r["at"], r["n"]) for r in by_block.collect()} == {(r["g"], r["at"], r["n"]) for r in ranking.numbered_from(df, ["g"], ["at"], "n", first=1).collect()}
     assert ranking.numbered_from(df.limit(0), ["g"], ["at"], "n").count() == 0
 
 
