@@ -20,6 +20,8 @@ from heliograph.operators import attachments, case_merge, filters, gate, identit
 from heliograph.sources import export, packages
 from heliograph.sources.catalog import Catalog
 
+#: Changes of state that are gathered into a snapshot before more work is done.
+MOST_CHANGES = 200
 ANALYSES = ("analysis", "identity_check", "attachment_flow", "recipient_flow")
 
 
@@ -92,6 +94,7 @@ class Workspace:
     def work(self) -> int:
         """Do all that is queued or was left unfinished; gives the number of things done."""
         done = 0
+        self.catalog.compact(MOST_CHANGES)
         doers: dict[str, Callable] = {"job": self._do_job, "case": self._do_case, **dict.fromkeys(ANALYSES, self._do_analysis)}
         for kind, do in doers.items():
             for row in self.catalog.unfinished(kind).orderBy("created_at").collect():

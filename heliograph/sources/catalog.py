@@ -2,7 +2,11 @@
 
 A change of state is a new row; the newest row of a key is its state.  So
 writers never overwrite one another, a run that died leaves its last state
-behind, and unfinished work is found by a query.
+behind, and unfinished work is found by a query.  Changes are small files, so
+``compact`` gathers them into a snapshot from time to time: reads take the
+newest snapshot and the changes since.  A snapshot appears by one rename.  What
+it took up is deleted only with the next one, so a reader that still has the
+snapshot before finds all that it lacks; a row that is read twice counts once.
 """
 
 from __future__ import annotations
@@ -54,6 +58,32 @@ def create_or_read(spark: SparkSession, path: str, content: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+class Folder:
+    """The few operations on a folder of a shared store that Spark's readers and writers do not have."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root, self.path = root, spark._jvm.org.apache.hadoop.fs.Path
+        self.store = self.path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, below: str) -> list[str]:
+        """Names in a folder, in order, without hidden ones; none if there is no such folder."""
+        at = self.path(f"{self.root}/{below}")
+        found = self.store.listStatus(at) if self.store.exists(at) else []
+        return sorted(n for n in (f.getPath().getName() for f in found) if n[0] not in "._")
+
+    def complete(self, name: str) -> bool:
+        """Whether the table in a folder was written to its end."""
+        return self.store.exists(self.path(f"{self.root}/{name}/_SUCCESS"))
+
+    def rename(self, name: str, to: str) -> bool:
+        """Whether it got the new name; not if there is one already."""
+        target = self.path(f"{self.root}/{to}")
+        return not self.store.exists(target) and self.store.rename(self.path(f"{self.root}/{name}"), target)
+
+    def delete(self, name: str) -> None:
+        self.store.delete(self.path(f"{self.root}/{name}"), True)
+
+
 class Conflict(ValueError):
     """An idempotency key that was used for other content."""
 
@@ -61,15 +91,42 @@ class Conflict(ValueError):
 class Catalog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.files = Folder(spark, folder)
         self.log(0)
 
     def log(self, rows: int | list[dict]) -> None:
         given = [] if isinstance(rows, int) else [tuple(r.get(c.split()[0]) for c in LOG.split(", ")) for r in rows]
         # a folder for each change: writers of one folder would clear each other's temporary files
-        self.spark.createDataFrame(given, LOG).coalesce(1).write.parquet(f"{self.folder}/{uuid.uuid4().hex}")
+        self.spark.createDataFrame(given, LOG).coalesce(1).write.parquet(f"{self.folder}/changes/{uuid.uuid4().hex}")
 
     def history(self) -> DataFrame:
-        return self.spark.read.schema(LOG).option("recursiveFileLookup", "true").parquet(self.folder)
+        snapshots = self.files.names("snapshots")[-1:]
+        paths = [f"{self.folder}/changes", *(f"{self.folder}/snapshots/{n}/states" for n in snapshots)]
+        return self.spark.read.schema(LOG).option("recursiveFileLookup", "true").parquet(*paths).dropDuplicates()
+
+    def compact(self, least: int = 1) -> bool:
+        """Gather the changes into a new snapshot if there are at least ``least``; gives whether there is a new one."""
+        snapshots = self.files.names("snapshots")
+        changes = [c for c in self.files.names("changes") if self.files.complete(f"changes/{c}")]  # others are still being written
+        taken = set()
+        if snapshots:
+            taken = {r["name"] for r in self.spark.read.schema("name string").parquet(f"{self.folder}/snapshots/{snapshots[-1]}/taken").collect()}
+        if len(set(changes) - taken) < least:
+            return False
+        part, name = f".{uuid.uuid4().hex}", f"{int(snapshots[-1]) + 1 if snapshots else 0:012d}"
+        rows = self.spark.read.schema(LOG).parquet(*(f"{self.folder}/changes/{c}" for c in changes))
+        if snapshots:
+            rows = rows.unionByName(self.spark.read.schema(LOG).parquet(f"{self.folder}/snapshots/{snapshots[-1]}/states"))
+        rows.dropDuplicates().coalesce(1).write.parquet(f"{self.folder}/snapshots/{part}/states")
+        self.spark.createDataFrame([(c,) for c in changes], "name string").coalesce(1).write.parquet(f"{self.folder}/snapshots/{part}/taken")
+        if not self.files.rename(f"snapshots/{part}", f"snapshots/{name}"):
+            self.files.delete(f"snapshots/{part}")  # another caller was faster
+            return False
+        for old in taken & set(changes):
+            self.files.delete(f"changes/{old}")
+        for old in snapshots[:-1]:
+            self.files.delete(f"snapshots/{old}")
+        return True
 
     def current(self, kind: str | None = None) -> DataFrame:
         """The newest state of every key that is not deleted, with the time it was created."""

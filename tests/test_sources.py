@@ -225,6 +225,27 @@ def test_one_key_of_many_callers(spark, tmp_path):
     assert {catalog.create_or_read(spark, f"{tmp_path}/x/k", str(i)) for i in range(5)} == {"0"}
 
 
+def test_snapshots_and_tail(spark, tmp_path):
+    c = catalog.Catalog(spark, str(tmp_path / "log"))
+    seen = lambda: sorted((r["key"], r["state"], r["created_at"]) for r in c.current().collect())
+    for i in range(3):
+        c.set_state("job", f"j{i}", "queued", target="t")
+    before = seen()
+    assert c.compact() and seen() == before and not c.compact()
+    c.set_state("job", "j0", "completed", detail="d")
+    c.set_state("job", "j1", "deleted")
+    now = seen()
+    assert [(k, s) for k, s, _ in now] == [("j0", "completed"), ("j2", "queued")] and now[0][2] == before[0][2]
+    assert not c.compact(3) and c.compact(2) and seen() == now
+    assert len(c.files.names("changes")) == 2, "what the snapshot before had taken is gone, what the last one took stays"
+    c.set_state("job", "j2", "processing")
+    assert c.compact() and [s for _, s, _ in seen()] == ["completed", "processing"]
+    (tmp_path / "log/changes/half" / "_temporary").mkdir(parents=True)
+    assert not c.compact() and "half" in c.files.names("changes")
+    assert len(c.files.names("snapshots")) == 2 and c.history().count() == 6
+    assert c.target("job", "j0") == (None, "d")
+
+
 def test_catalog(spark, tmp_path):
     c = catalog.Catalog(spark, str(tmp_path / "log"))
     key = c.admit("job", "j1", "once", "t1")
