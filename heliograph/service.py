@@ -16,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.lineage import keep
 from heliograph.operators import attachments, case_merge, filters, gate, identity, recipients, threads, timing
 from heliograph.sources import export, packages
 from heliograph.sources.catalog import Catalog
@@ -38,6 +39,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, folder: str, limits: packages.Limits = packages.Limits(), max_upload: int = 500 << 20):
         self.spark, self.folder, self.limits, self.max_upload = spark, folder.rstrip("/"), limits, max_upload
         self.catalog = Catalog(spark, f"{self.folder}/catalog")
+        self._now: tuple[str, str, dict] = ("job", "", {})
 
     # ------------------------------------------------------------------ requests
 
@@ -101,7 +103,10 @@ class Workspace:
                 if kind == "job" and row["target"] is None:
                     continue  # its bytes are still on the way
                 more = {"target": row["target"], "progress": row["progress"]}
+                self._now = (kind, row["key"], {"detail": row["detail"], **more})
                 self.catalog.set_state(kind, row["key"], "processing", detail=row["detail"], **more)
+                # jobs of Spark that run for it are found by its key
+                self.spark.sparkContext.setJobGroup(row["key"], kind)
                 try:
                     do(kind, row["key"], row["target"], row["progress"])
                     self.catalog.set_state(kind, row["key"], "completed", detail=f"{self.folder}/{kind}/{row['key']}", **more)
@@ -109,9 +114,16 @@ class Workspace:
                     self.catalog.set_state(kind, row["key"], "failed", error=str(e), **more)
                 except Exception as e:
                     self.catalog.set_state(kind, row["key"], "failed", error=f"{type(e).__name__}: {str(e)[:500]}", **more)
+                finally:
+                    self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
                 done += 1
         return done
 
+    def _phase(self, name: str) -> None:
+        """Say what is being done for the work at hand."""
+        kind, key, more = self._now
+        self.catalog.set_state(kind, key, "processing", phase=name, **more)
+
     def _save(self, kind: str, key: str, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/{key}/{name}")
 
@@ -119,14 +131,18 @@ class Workspace:
         return self.spark.read.parquet(f"{self.folder}/{kind}/{key}/{name}")
 
     def _do_job(self, kind: str, key: str, target: str, progress: str | None) -> None:
+        self._phase("validating")
         named = self.catalog.history().where((F.col("kind") == "job") & (F.col("key") == key) & (F.col("state") == "queued") & F.col("detail").isNotNull())
         upload = self.spark.read.parquet(named.agg(F.max_by("detail", "at")).first()[0])
         entries = packages.scan(upload)
         broken = packages.violations(entries, self.limits).limit(1).collect()
         if broken:
             raise Refused(broken[0]["reason"])
-        mails = packages.read_mails(upload, self.limits).withColumn("package", F.lit(key)).withColumnRenamed("package", "scope")
+        self._phase("parsing")
+        mails = keep(packages.read_mails(upload, self.limits).withColumn("package", F.lit(key)).withColumnRenamed("package", "scope"), "mails")
+        self._phase("threads")
         forest = threads.preorder(threads.build_forest(mails), [F.coalesce("date", F.lit("")), F.col("source_file")])
+        self._phase("writing")
         self._save(kind, key, "forest", forest)
         listed = entries.where("entry_idx >= 0").select(F.lit(key).alias("scope"), "name", packages.is_mail(F.col("name")).alias("is_mail"))
         self._save(kind, key, "skipped", packages.skipped(entries))
@@ -141,8 +157,11 @@ class Workspace:
             inner = ["scope", "canonical_uid", "id_class", "parent_uid", "parent_ref", "chosen_pos", "missing_refs", "self_refs", "ambiguous_refs", "cycle_refs", "root_uid", "depth", "thread_pos", "entry_idx"]
             part = self._table("job", job, "forest").drop(*inner).withColumns({"case_id": F.lit(key), "job_pos": F.lit(pos), "job_id": F.lit(job)})
             parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
+        self._phase("merging")
         nodes = case_merge.merge_case(parts).withColumnRenamed("case_id", "scope")
+        self._phase("threads")
         nodes = threads.preorder(nodes, [F.coalesce("date", F.lit("")), F.col("sources")[0]["source_file"]])
+        self._phase("writing")
         self._save(kind, key, "forest", nodes)
         saved = self._table(kind, key, "forest").withColumnRenamed("scope", "case_id")
         self._save(kind, key, "contributions", case_merge.contributions(saved, parts))
@@ -154,7 +173,11 @@ class Workspace:
         if reason:
             raise Refused(reason)
         mails = gate.with_roots(self._table(target_kind, name, "forest"))
-        save = lambda table, df: self._save(kind, key, table, df)
+
+        def save(table: str, df: DataFrame) -> None:
+            self._phase(table)
+            self._save(kind, key, table, df)
+
         load = lambda table: self._table(kind, key, table)
         if kind == "analysis":
             limits = {k: int(v) for k, v in (x.split("=") for x in progress.split(","))}
@@ -194,6 +217,13 @@ class Workspace:
         rows = self.catalog.current(kind).where(F.col("key") == key).limit(1).collect()
         return rows[0].asDict() if rows else None
 
+    def running(self, key: str) -> dict[str, int]:
+        """How far Spark is with the work of a key on this cluster: jobs, and tasks in all and done."""
+        tracker = self.spark.sparkContext.statusTracker()
+        jobs = [j for j in map(tracker.getJobInfo, tracker.getJobIdsForGroup(key)) if j]
+        stages = [s for s in (tracker.getStageInfo(i) for j in jobs for i in j.stageIds) if s]
+        return {"jobs": len(jobs), "tasks": sum(s.numTasks for s in stages), "tasks_done": sum(s.numCompletedTasks for s in stages)}
+
     def listing(self, kind: str) -> DataFrame:
         """The latest hundred."""
         return self.catalog.latest(kind)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 KINDS = ("job", "case", "analysis", "identity_check", "attachment_flow", "recipient_flow")
 STATES = ("queued", "processing", "completed", "failed", "deleted")
-LOG = "kind string, key string, state string, at timestamp, progress string, error string, target string, idempotency_key string, content_token string, detail string"
+LOG = "kind string, key string, state string, at timestamp, progress string, error string, target string, idempotency_key string, content_token string, detail string, phase string"
 
 
 def create_or_read(spark: SparkSession, path: str, content: str) -> str:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from test_sources import eml, package
 
 from heliograph import service
@@ -45,6 +46,17 @@ def test_jobs(done):
     assert service.package_name("x/y\\z.zip") == "z.zip"
 
 
+def test_phases_and_tasks(done):
+    w, a, _, bad, case, runs = done
+    phases = lambda key: [r["phase"] for r in w.catalog.history().where((F.col("key") == key) & F.col("phase").isNotNull()).orderBy("at").collect()]
+    assert phases(a) == ["validating", "parsing", "threads", "writing"]
+    assert (phases(bad), phases(case)) == (["validating"], ["merging", "threads", "writing"])
+    assert phases(runs["analysis"]) == ["findings", "timeline", "stats"]
+    seen = w.running(runs["analysis"])
+    assert seen["jobs"] > 0 and seen["tasks_done"] <= seen["tasks"]
+    assert w.running("nothing") == {"jobs": 0, "tasks": 0, "tasks_done": 0}
+
+
 def test_cases(done):
     w, a, b, bad, case, _ = done
     stats = w.result("case", case, "stats").first()
