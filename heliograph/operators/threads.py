@@ -149,7 +149,6 @@ def _walk(options: dict[int, list[tuple[int, int]]], order: list[int]) -> tuple[
             for uid in reversed(walk):
                 parent[uid] = last
                 last = (uid, -1)
-        # positions of the steps inside the walk
     return parent, broken
 
 
