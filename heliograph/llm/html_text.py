@@ -10,7 +10,10 @@ shares; they are fused by multiplication, weighed by what the path's own labels
 make likely (``article`` is likely, ``class="sidebar"`` hardly), and compared
 with a threshold taken from the page's best path.  Labels are weights: a path
 with a doubtful label stays when its ratios are good, and a path inside
-``article`` goes when they are not.  Only elements whose meaning is fixed by the
+``article`` goes when they are not.  Length does not outweigh a label: beyond the
+best path's own ratio a longer text counts no more, so long comments, notices
+and adverts go wherever the page has other text; a page that is all within such
+labels is judged by its ratios alone.  Only elements whose meaning is fixed by the
 markup itself (``nav``, ``footer``, ``form``, hidden ones, ...) never count.
 
 Short blocks (headings, list items, cells) are judged by their container: in a
@@ -51,7 +54,8 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br math mfrac mi mn mo mover mroot mrow ms msqrt msub msubsup msup mtext munder munderover semantics".split()
 )
 _NEVER = frozenset("head nav footer aside form button menu dialog label fieldset legend datalist optgroup option select svg template".split())
-#: Elements nested deeper are not told apart from the one that holds them, as browsers do it.
+#: Deeper elements without a label share the path of the one around them, as all paths would else grow with the square of
+#: the depth; labels and end tags count at any depth.
 DEEP = 512
 # Open ones of these end at the next element of running text, as they cannot hold it.
 _NO_TEXT = frozenset("select svg math option optgroup datalist button label".split())
@@ -59,6 +63,8 @@ _BODY = frozenset("article main".split())
 _CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+_GROUPS = frozenset("ul ol dl table div article section".split())
+_ITEMS = {name: (name,) for name in ("li", "tr", "td", "th")} | {name: ("dt", "dd") for name in ("dt", "dd")}
 _SCOPE = frozenset("body html table td th button article section div main li blockquote aside nav header footer".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 # Fixed words that mark a container as something else than the article: hardly the article in any name, ...
@@ -88,6 +94,25 @@ class Block:
     body: bool = False
 
 
+@dataclass
+class _Open:
+    """An open element: weight of its labels and those around it, inside article or main, inside a link, path and its depth;
+    places in the stack of the nearest element (itself included) that is not inline, that ends the search for an open
+    ``p``, and that ends the search for an open item or cell; inside svg or math, inside one that holds no text."""
+
+    name: str = ""
+    path: str = ""
+    weight: float = 1.0
+    body: bool = False
+    link: bool = False
+    depth: int = 0
+    block: int = 0
+    scope: int = 0
+    group: int = 0
+    drawn: bool = False
+    closed: bool = False
+
+
 def _weight(said: str, in_body: bool) -> float:
     """How likely an element of this class or id belongs to the article; 1 says nothing."""
     weight = 1.0
@@ -130,8 +155,8 @@ def blocks(page: str) -> list[Block]:
     ``p`` ends at the next block tag, and what is open at the end is closed.
     """
     found: list[Block] = []
-    # an open element: name, path, weight of its labels and those around it, inside article or main, inside a link
-    stack: list[tuple[str, str, float, bool, bool]] = [("", "", 1.0, False, False)]
+    stack = [_Open()]
+    open_at: dict[str, list[int]] = {}
     parts: list[str] = []
     linked = 0
     known: dict[tuple[str, str, bool], tuple[str, float]] = {}
@@ -142,17 +167,23 @@ def blocks(page: str) -> list[Block]:
         text = html.unescape("".join(parts)) if len(parts) > 1 or "&" in parts[0] else parts[0]
         text = " ".join(text.split())
         if text:
-            _, path, weight, body, _ = where
-            found.append(Block(text, path, weight * (IN_BODY if body else 1.0), len(found), linked, body))
+            found.append(Block(text, where.path, where.weight * (IN_BODY if where.body else 1.0), len(found), linked, where.body))
         parts, linked = [], 0
 
+    def last(*names: str) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=0)
+
+    def close(at: int) -> None:
+        while len(stack) > at:
+            open_at[stack.pop().name].pop()
+
     for m in _TOKEN.finditer(page):
         kind = m.lastgroup
         if kind == "text":
             if not parts:
                 where = stack[-1]
             parts.append(m.group())
-            if stack[-1][4]:
+            if stack[-1].link:
                 linked += len(m.group().strip())
             continue
         name = m.group("name")
@@ -168,43 +199,47 @@ def blocks(page: str) -> list[Block]:
         if name not in _INLINE and parts:
             flush()
         if m.group("close"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if name in _INLINE and stack[i][0] not in _INLINE:
-                    break
+            at = last(name)
+            if at and not (name in _INLINE and at < stack[-1].block):
+                close(at)
             continue
         attrs = m.group("attrs")
         if name in _VOID:
             continue
         if name in _CLOSES_P or name == "li":
-            while stack[-1][0] in _NO_TEXT or (stack[-1][2] == 0 and any(x[0] in ("svg", "select") for x in stack)):
-                stack.pop()
+            while stack[-1].name in _NO_TEXT or stack[-1].closed:
+                close(len(stack) - 1)
         if name in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
-        elif name in ("li", "dt", "dd", "tr", "td", "th"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name or (name in ("dt", "dd") and stack[i][0] in ("dt", "dd")):
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
-                    break
-        if attrs.endswith("/") and any(x[0] in ("svg", "math") for x in [(name,), *stack]):
-            continue
-        step, weight = known.get((name, attrs, stack[-1][3])) or known.setdefault((name, attrs, stack[-1][3]), _labels(name, attrs, stack[-1][3]))
+            if (at := last("p")) > stack[-1].scope:
+                close(at)
+        elif name in _ITEMS and (at := last(*_ITEMS[name])) > stack[-1].group:
+            close(at)
         up = stack[-1]
-        if len(stack) > DEEP:
+        if attrs.endswith("/") and (up.drawn or name in ("svg", "math")):
             continue
-        body = up[3] or name in _BODY
-        if name == "header" and not up[3]:
+        key = (name, attrs, up.body)
+        step, weight = known.get(key) or known.setdefault(key, _labels(name, attrs, up.body))
+        if name == "header" and not up.body:
             weight = 0.0
-        stack.append((name, f"{up[1]}/{step}" if name not in _INLINE else up[1], up[2] * weight, body, up[4] or name == "a"))
+        weight *= up.weight
+        at = len(stack)
+        path = up.path if name in _INLINE or (up.depth >= DEEP and weight in (0.0, up.weight)) else f"{up.path}/{step}"
+        stack.append(
+            _Open(
+                name,
+                path,
+                weight,
+                up.body or name in _BODY,
+                up.link or name == "a",
+                up.depth + (path != up.path),
+                up.block if name in _INLINE else at,
+                at if name in _SCOPE else up.scope,
+                at if name in _GROUPS else up.group,
+                up.drawn or name in ("svg", "math"),
+                weight == 0 and (up.closed or name in ("svg", "select") or last("svg", "select") > 0),
+            )
+        )
+        open_at.setdefault(name, []).append(at)
     if parts:
         flush()
     return found
@@ -256,8 +291,8 @@ def path_ratios(found: list[Block]) -> tuple[dict[str, Path], dict[str, float]]:
     """The sums of each path that the markup does not rule out, and its fused ratio.
 
     The fused ratio is the mean over the path's nodes of the geometric mean of
-    its own text ratio and the smoothed one, times (1 + smoothed punctuation
-    ratio), times the weight of its labels.
+    its own text ratio and the smoothed one, times that of (1 + punctuation
+    ratio), own and smoothed.  It says nothing of labels.
     """
     paths: dict[str, Path] = {}
     usable = [b for b in found if b.prior]
@@ -274,8 +309,8 @@ def path_ratios(found: list[Block]) -> tuple[dict[str, Path], dict[str, float]]:
     marks = [paths[b.path].marks / paths[b.path].nodes for b in usable]
     where = [steps[b.path] for b in usable]
     fused = dict.fromkeys(paths, 0.0)
-    for b, own, t, m in zip(usable, text, _smooth(text, where), _smooth(marks, where), strict=True):
-        fused[b.path] += math.sqrt(own * t) * (1 + m) * b.prior / paths[b.path].nodes
+    for b, own, t, said, m in zip(usable, text, _smooth(text, where), marks, _smooth(marks, where), strict=True):
+        fused[b.path] += math.sqrt(own * t * (1 + said) * (1 + m)) / paths[b.path].nodes
     return paths, fused
 
 
@@ -302,8 +337,22 @@ def _containers(good: set[str], paths: dict[str, Path]) -> set[str]:
     return out
 
 
+def _judged(paths: dict[str, Path], fused: dict[str, float]) -> dict[str, float]:
+    """Fused ratios times the weights of the labels, ratios counting up to that of the best path.
+
+    The best path has the largest product; to be it, one that is hardly the article needs fifty times
+    the ratio of the others, whatever its label.
+    """
+    def rank(path: str) -> float:
+        weight = paths[path].weight / (IN_BODY if paths[path].body else 1.0)
+        return fused[path] * paths[path].weight * (min(1.0, STRONG / weight) if weight <= LIKELY else 1.0)
+
+    most = fused[max(paths, key=rank)]
+    return {path: paths[path].weight * min(v, most) for path, v in fused.items()}
+
+
 def select(found: list[Block], share: float = 0.12) -> list[Block]:
-    """The content blocks: those on paths whose fused ratio reaches ``share`` of the page's best path.
+    """The content blocks: those on paths whose fused and weighed ratio reaches ``share`` of the page's best path.
 
     In a container that passing paths fill, the others stay too, but those with
     worse labels than a passing one and lists of short links.  On a page without
@@ -312,6 +361,7 @@ def select(found: list[Block], share: float = 0.12) -> list[Block]:
     paths, fused = path_ratios(found)
     if not paths:
         return []
+    fused = _judged(paths, fused)
     best = max(fused.values())
     good = {path for path, v in fused.items() if v >= share * best and not (paths[path].link_list and v < best)}
     weight: dict[str, float] = {}

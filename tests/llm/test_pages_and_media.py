@@ -96,14 +96,58 @@ def test_ratios_equal_brute_force():
             return sum(w * ratio[found[j].path] for j, w in weights.items()) / sum(weights.values())
 
         for p in paths:
-            want = sum((plain[p] * smooth(plain, b.order)) ** 0.5 * (1 + smooth(marks, b.order)) for b in nodes[p]) / len(nodes[p])
+            want = sum((plain[p] * smooth(plain, b.order)) ** 0.5 * ((1 + marks[p]) * (1 + smooth(marks, b.order))) ** 0.5 for b in nodes[p]) / len(nodes[p])
             assert fused[p] == pytest.approx(want)
 
 
+LONG = "".join(f"<p>{P1} {P2} {P1}</p>" for _ in range(6))
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [f"<section class='comments'>{LONG}</section>", "<div class='notice'><p>We use cookies, as all sites do, for statistics. By reading on, you agree.</p></div>", f"<div class='notice'>{LONG}</div>", f"<div class='ad-slot'>{LONG}</div>", f"<div class='ad'><div class='banner'>{LONG}</div></div>"],
+)
+def test_length_does_not_outweigh_a_label(extra):
+    short = [f"Short paragraph number {i}." for i in range(8)]
+    body = f"<article><h1>Title</h1>{''.join(f'<p>{x}</p>' for x in short[:4])}{extra}{''.join(f'<p>{x}</p>' for x in short[4:])}</article>"
+    assert html_text.main_text(page(body)) == "\n".join(["Title", *short])
+
+
+def test_the_best_path_decides_without_labels():
+    text = "".join(f"<p>{P1} {P2}</p>" for _ in range(4))
+    bare = f"<div>Home | About | Contact</div><div><h1>Title</h1>{text}</div><div>Copyright 2020 Example Inc. All rights reserved.</div>"
+    assert html_text.main_text(page(bare)) == "\n".join(["Title", *[f"{P1} {P2}"] * 4])
+    # a page that is all within a label has nothing better
+    assert html_text.main_text(page(f"<div class='has-sidebar'>{text}</div>")) == "\n".join([f"{P1} {P2}"] * 4)
+    # and a short teaser in an article does not push the text out
+    assert html_text.main_text(page(f"<article><p>Read more</p></article><div>{text}</div>")).endswith("\n".join([f"{P1} {P2}"] * 4))
+
+
+def test_weighed_ratios_equal_brute_force():
+    rng = random.Random(6)
+    labels = ["", "", " class='notice'", " class='comments'", " class='discussion'", " class='x'"]
+    for _ in range(60):
+        parts = [f"<div{rng.choice(labels)}><p>{' '.join(rng.choice(['a,', 'bcd', 'efghij.']) for _ in range(rng.randrange(1, 40)))}</p></div>" for _ in range(rng.randrange(1, 12))]
+        if rng.random() < 0.5:
+            parts.insert(rng.randrange(len(parts) + 1), f"<article><p{rng.choice(labels)}>{'word, ' * rng.randrange(1, 9)}</p></article>")
+        paths, free = html_text.path_ratios(html_text.blocks(page("".join(parts))))
+        label = {p: paths[p].weight / (10 if paths[p].body else 1) for p in paths}
+        strict = {p: paths[p].weight if label[p] > 0.1 else min(paths[p].weight, 0.2 if paths[p].body else 0.02) for p in paths}
+        best = next(p for p in paths if all(free[p] * strict[p] >= free[q] * strict[q] for q in paths))
+        want = {p: paths[p].weight * (free[p] if free[p] < free[best] else free[best]) for p in paths}
+        assert html_text._judged(paths, free) == pytest.approx(want)
+
+
+def test_labels_and_end_tags_count_at_any_depth():
+    deep = 2 * html_text.DEEP
+    text = html_text.main_text(page(f"{'<div>' * deep}<nav>menu</nav><div class='comments'><p>{P2}</p></div><p>{P1}</p>{'</div>' * deep}<p>{P2}</p>"))
+    assert text == f"{P1}\n{P2}"
+
+
 def test_hostile_pages_do_not_stall():
     import time
 
-    for text in ("<div class='" * 80_000, "<select>" * 120_000, "<svg>" * 200_000 + "<p>x", "<p>" * 300_000 + "end", "<a href=x>" * 90_000, "<div><p>x" * 100_000, "&amp;" * 200_000, "<p><b>" + "<b>" * 600 + "<h1>x</h1>" * 50_000, "<b>" * 50_000 + "</p>" * 50_000):
+    for text in ("<div class='" * 80_000, "<select>" * 120_000, "<svg>" * 200_000 + "<p>x", "<p>" * 300_000 + "end", "<a href=x>" * 90_000, "<div><p>x" * 100_000, "&amp;" * 200_000, "<p><b>" + "<b>" * 600 + "<h1>x</h1>" * 50_000, "<b>" * 50_000 + "</p>" * 50_000, "<div>" * 90_000 + "</x>" * 90_000, "<span><div>" + "<b>" * 100_000 + "</span>" * 80_000, "<dt><dd>" * 100_000):
         began = time.perf_counter()
         html_text.main_text(text)
         assert time.perf_counter() - began < 20, text[:10]
