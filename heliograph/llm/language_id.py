@@ -9,15 +9,17 @@ corrected share decides.
 
 Texts are read as code points: letters are lower-cased one by one, and each run
 of other characters is one blank, also at both ends.  n-grams of 3 and 5 are
-counted.  Every n-gram that a language contains is inserted, however many there
-are: those of at least ``min_share`` of its training rows.  The filter is sized by the number of distinct ones, so that a language sets about a
-seventh of its cells at most, and is put together from bitmaps: neither texts
-nor n-grams reach the driver.
+counted.  A language contains the n-grams of at least ``min_share`` of its training
+rows, however many these are; with 0 all are inserted, which held-out texts and texts
+of unknown languages are told apart worse by (figures in the README).  The filter is sized by the number of distinct ones,
+so that a language sets about a seventh of its cells at most (beyond 2^26 cells
+more, and the correction grows), and is put together from pieces of bitmaps, a
+bit a cell and language: neither texts nor n-grams reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -55,9 +57,20 @@ def _letter_tables() -> tuple[np.ndarray, np.ndarray]:
     return _tables["letter"], _tables["lower"]
 
 
+def _valid(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bytes, in which what is no UTF-8 is the replacement character."""
+    try:
+        data.tobytes().decode("utf-8")
+    except UnicodeDecodeError:
+        rows = [data[a:b].tobytes().decode("utf-8", "replace").encode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        return np.frombuffer(b"".join(rows), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows], dtype=np.int64)))
+    return data, offsets
+
+
 def letter_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(code points with single blanks between runs of letters, bounds, letters a row)."""
     letter, lower = _letter_tables()
+    data, offsets = _valid(data, offsets)
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4")
     place = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
     rows = len(offsets) - 1
@@ -106,23 +119,27 @@ class LanguageModel:
 
     @classmethod
     def build(cls, members: dict[str, np.ndarray], prior: str, bits: int = FILTER_BITS, sizes: tuple[int, ...] = SIZES) -> LanguageModel:
-        bitmaps = {}
-        for name, h in members.items():
-            bitmaps[name] = np.zeros(1 << bits, dtype=bool)
-            for i in range(HASHES):
-                bitmaps[name][cls._places(h, i, bits)] = True
-        return cls.of_bitmaps(bitmaps, prior, sizes)
+        def pieces() -> Iterator[tuple[str, int, np.ndarray]]:
+            for name, h in members.items():
+                cells = np.zeros(1 << bits, dtype=bool)
+                for i in range(HASHES):
+                    cells[cls._places(h, i, bits)] = True
+                yield name, 0, cells
+
+        return cls.of_pieces(sorted(members), bits, pieces(), prior, sizes)
 
     @classmethod
-    def of_bitmaps(cls, bitmaps: dict[str, np.ndarray], prior: str, sizes: tuple[int, ...] = SIZES) -> LanguageModel:
-        """From each language's set cells.  The cells' type is as small as the languages allow."""
-        languages = sorted(bitmaps)
+    def of_pieces(cls, languages: list[str], bits: int, pieces: Iterable[tuple[str, int, np.ndarray]], prior: str, sizes: tuple[int, ...] = SIZES) -> LanguageModel:
+        """From (language, first cell, which cells are set); the cells' type is as small as the languages allow."""
         kind = next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (1 << 30, np.uint64)) if len(languages) <= n)
-        cells = np.zeros((-(-len(languages) // 64), len(bitmaps[languages[0]])), dtype=kind)
-        for b, name in enumerate(languages):
-            cells[b // 64] |= bitmaps[name].astype(kind) << kind(b % 64)
-        fill = np.array([np.count_nonzero(bitmaps[name]) / cells.shape[1] for name in languages])
-        return cls(languages, cells, fill**HASHES, languages.index(prior) if prior in languages else 0, HASHES, sizes)
+        cells = np.zeros((-(-len(languages) // 64), 1 << bits), dtype=kind)
+        number = {name: b for b, name in enumerate(languages)}
+        fill = np.zeros(len(languages))
+        for name, start, some in pieces:
+            b = number[name]
+            cells[b // 64, start : start + len(some)] |= some.astype(kind) << kind(b % 64)
+            fill[b] += np.count_nonzero(some) / (1 << bits)
+        return cls(languages, cells, fill**HASHES, number.get(prior, 0), HASHES, sizes)
 
     @staticmethod
     def _places(h: np.ndarray, i: int, bits: int) -> np.ndarray:
@@ -181,9 +198,7 @@ def _gram_counts(sizes: tuple[int, ...]):
                     owner = np.repeat(lang, np.diff(within))
                     for i, name in enumerate(code.tolist()):
                         gram, count = np.unique(once[owner == i], return_counts=True)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name] * len(gram), pa.string()), pa.array(np.full(len(gram), size, dtype=np.int32)), pa.array(gram.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "size", "gram", "n"]
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram.view(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "gram", "n"])
 
     return run
 
@@ -205,7 +220,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     The sample is bounded: each language gives about ``rows_per_language`` rows,
     taken by a hash of the id at a rate of that number over its count.  All
-    n-grams of at least ``min_share`` of a language's rows are learned.  Null if there is nothing to learn from.
+    n-grams of at least ``min_share`` of a language's rows are learned; repeated
+    rows count as often as they are there.  None if there is
+    nothing to learn from, as in an empty table.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -214,7 +231,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_language / n))])
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < F.element_at(rate, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counted = sample.mapInArrow(_gram_counts(sizes), "lang string, size int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(_gram_counts(sizes), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the share is of the rows drawn, which the rate gives up to chance
     least = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min_share * min(n, rows_per_language))])
     found = keep(counted.where(F.col("n") >= F.element_at(least, F.col("lang"))).select("lang", "gram"), "language-grams")
@@ -224,10 +241,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bits = min(max((max(most.values()) * CELLS_A_GRAM - 1).bit_length(), FILTER_BITS), MOST_FILTER_BITS)
     cells = found.mapInArrow(_set_cells(bits), "lang string, cell long")
     pieces = cells.groupBy("lang", F.shiftright("cell", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("cell").bitwiseAND((1 << 15) - 1)).alias("map"))
-    bitmaps = {lang: np.zeros(1 << bits, dtype=bool) for lang in most}
-    for r in pieces.toLocalIterator():
-        bitmaps[r["lang"]][r["piece"] << 15 : (r["piece"] + 1) << 15] = np.unpackbits(np.frombuffer(r["map"], dtype=np.uint8), bitorder="little")
-    return LanguageModel.of_bitmaps(bitmaps, max(sorted(counts), key=lambda x: counts[x]), sizes=sizes)
+    maps = ((r["lang"], r["piece"] << 15, np.unpackbits(np.frombuffer(r["map"], dtype=np.uint8), bitorder="little").astype(bool)) for r in pieces.toLocalIterator())
+    return LanguageModel.of_pieces(sorted(most), bits, maps, max(sorted(counts), key=lambda x: counts[x]), sizes)
 
 
 def least_shares(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 500, part: float = LEAST_PART) -> dict[str, float]:
@@ -257,7 +272,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     Null text and text without a letter are ``und`` with score 0, and so is
     every text if there is no model.  A text of which no n-gram is known gets
     the language with most training rows, with score 0.  Equal shares go to the
-    language that sorts first.  Other columns pass through; a column with one of
+    language that sorts first.  Bytes that are no UTF-8 are no letters, equal rows
+    give equal results, an empty table an empty one.  Other columns pass through; a column with one of
     the two output names is replaced.
     """
 

@@ -76,6 +76,25 @@ def test_letter_stream_and_grams():
         assert letters.tolist() == [sum(c.isalpha() for c in t) for t in texts]
 
 
+def test_bytes_that_are_no_text():
+    data, good = b"ab\xffcd" + "né".encode(), "ab\ufffdcdné".encode()
+    bad = language_id.letter_stream(np.frombuffer(data, dtype=np.uint8), np.array([0, 5, 8]))
+    want = language_id.letter_stream(np.frombuffer(good, dtype=np.uint8), np.array([0, 7, 10]))
+    assert all((x == y).all() for x, y in zip(bad, want))
+
+
+def test_training_without_a_cut_holds_every_ngram(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    model = language_id.train(docs, min_share=0.0, rows_per_language=10**6)
+    learned = docs.where(~language_id.held_out("doc_id") & (docs.lang == "de")).select("text").collect()
+    b = model.languages.index("de")
+    for _, _, data, offsets in chunks(pa.array([r.text for r in learned], pa.string())):
+        stream, bounds, _ = language_id.letter_stream(data, offsets)
+        for size in language_id.SIZES:
+            h, _ = language_id.grams(stream, bounds, size)
+            assert ((model.lookup(h)[b // 64] >> b % 64) & 1).all()
+
+
 def test_filter_masks_have_no_false_negative():
     rng = np.random.default_rng(2)
     members = {f"l{i:02}": rng.integers(0, 2**63, 3000).astype(np.uint64) for i in range(70)}
