@@ -1,5 +1,6 @@
 """The corpus pipeline, stage by stage, against what brute force keeps; and the registered queries' shapes."""
 
+import math
 import random
 
 import pytest
@@ -97,12 +98,19 @@ def test_stage_order():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_cover_their_tables(spark, name):
     out = QUERIES[name](spark, TABLES)
-    table, key = {"op6_html_extraction": ("pages", "page_id"), "op2_quote_linking": ("conversations", None)}.get(name, ("documents", "doc_id"))
+    tables_of = {"op6_html_extraction": ("pages", "page_id"), "op2_quote_linking": ("conversations", None), "op11_conversation_repair": ("conversations", "conv_id"), "op13_centroid_clustering": ("embeddings", "vec_id")}
+    table, key = tables_of.get(name, ("documents", "doc_id"))
     source = spark.read.parquet(f"{TABLES}/{table}.parquet")
     if name == "op4_decontamination":
         assert out.count() > 0
     elif key is None:
         assert out.count() == source.count()
+    elif key == "conv_id":  # a row a conversation
+        assert sorted(r[0] for r in out.select(key).collect()) == sorted({r[0] for r in source.select(key).collect()})
+    elif key == "vec_id":  # a row a vector of 64 finite components
+        kept = [r[0] for r in source.select(key, "embedding").collect() if r[1] is not None and len(r[1]) == 64 and all(x is not None and math.isfinite(x) for x in r[1])]
+        assert len(kept) > 0
+        assert sorted(r[0] for r in out.select(key).collect()) == sorted(kept)
     else:
         assert sorted({r[0] for r in out.select(key).collect()}) == sorted(r[0] for r in source.select(key).collect())
 
