@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliograph.operators.threads import number_mails
-from heliograph.sources.mime import MAIL, parse_mail
+from heliograph.sources.mime import PARSED, parse_mail, values_of_headers
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ def read_capped(archive: zipfile.ZipFile, info: zipfile.ZipInfo, cap: int, chunk
 
 
 def _mails(limits: Limits):
-    names = ["package", "entry_idx", "error", *(f.name for f in T.StructType.fromDDL(MAIL).fields)]
+    names = ["package", "entry_idx", "error", *(f.name for f in T.StructType.fromDDL(PARSED).fields)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -168,6 +168,6 @@ def read_mails(packages: DataFrame, limits: Limits = Limits()) -> DataFrame:
     entry turns out larger than declared while it is read.
     """
     sound = packages.join(violations(scan(packages), limits).select("package"), "package", "left_anti")
-    parsed = sound.select("package", "content").mapInPandas(_mails(limits), f"package string, entry_idx int, error string, {MAIL}")
+    parsed = sound.select("package", "content").mapInPandas(_mails(limits), f"package string, entry_idx int, error string, {PARSED}")
     broken = parsed.where("error IS NOT NULL").select("package").distinct()
-    return number_mails(parsed.join(broken, "package", "left_anti").drop("error"), "package", "entry_idx")
+    return number_mails(values_of_headers(parsed.join(broken, "package", "left_anti").drop("error")), "package", "entry_idx")

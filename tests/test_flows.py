@@ -212,7 +212,7 @@ def ident(address=None, name="", sender=None, path=(), mid=None, dkim=(), severa
 
 
 def test_identity(spark):
-    from heliograph.sources.mime import IDENTITY
+    from heliograph.functions.headers import IDENTITY
 
     schema = f"scope string, uid long, message_id string, subject string, date string, parent_uid long, root_uid long, thread_pos long, identity {IDENTITY}"
     rows = [
@@ -254,7 +254,7 @@ def test_identity(spark):
 
 
 def test_list_hints(spark):
-    from heliograph.sources.mime import IDENTITY
+    from heliograph.functions.headers import IDENTITY
 
     df = spark.createDataFrame([(ident("a@b.c", several=True, sender="x@y.z"),)], f"identity {IDENTITY}")
     assert df.select(recipients.list_hints(F.col("identity"), None)).first()[0] == ["from_has_several_addresses", "sender_differs_from_from"]

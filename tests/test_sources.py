@@ -10,7 +10,7 @@ from email.message import EmailMessage
 import pytest
 from pyspark.sql import functions as F
 
-from heliograph.functions import addresses, dates, quotes
+from heliograph.functions import addresses, dates, headers, quotes
 from heliograph.sources import catalog, export, mime, packages
 
 
@@ -48,7 +48,7 @@ def test_mail_row():
     assert row["from"] == {"name": "Ann Lee", "address": "Ann@X.org"}
     assert [a["address"] for a in row["to"]] == ["bob@y.org", "c@z.org"]
     assert [(a["filename"], a["original_filename"], a["size"]) for a in row["attachments"]] == [("f.txt", None, 3), ("f(1).txt", "f.txt", 3)]
-    assert row["identity"]["from"][0]["domain"] == "x.org"
+    assert row["lines"][1]["addresses"] == [{"name": "Ann Lee", "address": "Ann@X.org"}]
     assert [s["kind"] for s in row["quote_structure"]["segments"]] == ["own", "quote"]
 
 
@@ -62,24 +62,72 @@ def test_bad_mail_never_raises():
     assert any(i.startswith("undecodable: text body") for i in row["issues"])
 
 
-def test_received_hop():
-    hop = mime.hop(0, "from a.example (helo (x)) by b.example with SMTP;\n Mon, 02 Sep 2024 10:00:00 +0200 (CEST)")
-    assert (hop["from_host"], hop["by_host"], hop["time_utc"], hop["timezone"]) == ("a.example", "b.example", "2024-09-02T08:00:00+00:00", "+0200")
-    naive = mime.hop(1, "by b; Mon, 02 Sep 2024 10:00:00")
-    assert (naive["time_utc"], naive["from_host"]) == (None, None)
-    assert "no_zone" in naive["issues"]
-    assert mime.hop(2, "from a by b")["issues"] == ["no_time: no semicolon"]
-    assert any(i.startswith("bad_time") for i in mime.hop(3, "from a by b; junk")["issues"])
-
-
-def test_dkim_and_ids():
-    d = mime.dkim("v=1; d=X.org; d=other; s=k; i=joe@mail.other.net; h=To : FROM:Subject; b=")
-    assert (d["d"], d["i_domain"], d["h"], d["covers_from"]) == ("X.org", "mail.other.net", ["to", "from", "subject"], True)
-    assert {a.split(":")[0] for a in d["anomalies"]} == {"repeated_tag", "i_outside_d"}
-    row = mime.parse_mail(b"Message-ID: <A@B.org>\nMessage-ID: plain\nSender: a@b.c\nSender: d@e.f\n\nx", "m")
-    ids = row["identity"]["message_id"]
-    assert [(h["value"], h["domain"]) for h in ids["headers"]] == [("<A@B.org>", "b.org"), ("plain", None)]
-    assert {(a["kind"], a["header"]) for a in row["identity"]["anomalies"]} >= {("duplicate_header", "message-id"), ("duplicate_header", "sender")}
+def read_headers(spark, *mails):
+    """(received, identity) of every mail, in order."""
+    rows = [(i, p["trace"], p["lines"]) for i, p in enumerate(mime.parse_mail(m if isinstance(m, bytes) else m.encode(), "m") for m in mails)]
+    made = mime.values_of_headers(spark.createDataFrame(rows, f"k int, trace {headers.TRACE}, lines {headers.LINES}")).orderBy("k").collect()
+    return [(r["received"], r["identity"]) for r in made]
+
+
+def test_received_hops(spark):
+    cases = {
+        "from a.example (helo (x)) by b.example with SMTP;\n Mon, 02 Sep 2024 10:00:00 +0200 (CEST)": ("a.example", "b.example", "2024-09-02T08:00:00+00:00", "2024-09-02T10:00:00+02:00", "+0200", []),
+        "by b; Mon, 02 Sep 2024 10:00:00": (None, "b", None, "2024-09-02T10:00:00", None, ["no_from_host", "no_zone"]),
+        "by b; Mon, 02 Sep 2024 10:00:00 XYZ": (None, "b", None, "2024-09-02T10:00:00", "XYZ", ["no_from_host", "unknown_zone: XYZ"]),
+        "from a by b": ("a", "b", None, None, None, ["no_time: no semicolon"]),
+        "from a by b;": ("a", "b", None, None, None, ["no_time: empty after semicolon"]),
+        "FROM a,; by (x) (y b; junk": ("a", "(y", None, None, None, ["bad_time: junk"]),
+        "from from; from (c;d) x by ;y by z; 1 Jan 2024 00:10:00 +0545": ("from", "z", "2023-12-31T18:25:00+00:00", "2024-01-01T00:10:00+05:45", "+0545", []),
+        "from (by b) ((c) a; 1 Jan 2024 23:50 -0730": ("(", None, "2024-01-02T07:20:00+00:00", "2024-01-01T23:50:00-07:30", "-0730", ["no_by_host"]),
+    }
+    hops = read_headers(spark, "".join(f"Received: {h}\n" for h in cases) + "\nx")[0][0]
+    assert [h["index"] for h in hops] == list(range(len(cases)))
+    for hop, (text, want) in zip(hops, cases.items(), strict=True):
+        assert (hop["from_host"], hop["by_host"], hop["time_utc"], hop["time_original"], hop["timezone"], hop["issues"]) == want, text
+
+
+def test_utc_does_not_depend_on_the_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        hops = read_headers(spark, "Received: by b; Sun, 10 Mar 2024 04:30:00 +0200\n\nx")[0][0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert hops[0]["time_utc"] == "2024-03-10T02:30:00+00:00"
+
+
+def test_signatures(spark):
+    cases = {
+        "v=1; d=X.org; d=other; s=k; i=joe@mail.other.net; h=To : FROM:Subject; b=": ("X.org", "k", "joe", "mail.other.net", ["to", "from", "subject"], ["repeated_tag: d", "i_outside_d: mail.other.net"]),
+        "v=1;d=x.org;s=k;i=@Sub.X.org;h=from;b=1": ("x.org", "k", None, "sub.x.org", ["from"], []),
+        "v=1;d=x.org;s=k;i=evilx.org;h=;b=1": ("x.org", "k", None, "evilx.org", [], ["i_outside_d: evilx.org", "empty_h"]),
+        "loose; 9=x; =y; V=2; s=; s=k; d=; s=l; d=q": (None, None, None, None, [], ["no_equals: loose", "bad_tag: 9", "bad_tag: ", "repeated_tag: s", "repeated_tag: d", "bad_v: 2", "no_d", "no_s", "no_h", "no_b"]),
+        "": (None, None, None, None, [], ["no_v", "no_d", "no_s", "no_h", "no_b"]),
+    }
+    identity = read_headers(spark, "".join(f"DKIM-Signature: {h}\n" for h in cases) + "\nx")[0][1]
+    for got, (text, want) in zip(identity["dkim"], cases.items(), strict=True):
+        assert (got["d"], got["s"], got["i_local_part"], got["i_domain"], got["h"], got["anomalies"]) == want, text
+        assert got["covers_from"] == ("from" in want[4])
+    noted = [(a["kind"], a["index"], a["detail"]) for a in identity["anomalies"]]
+    assert noted[-1] == ("duplicate_header", None, "repeated: 5")
+    assert noted[:-1] == [("dkim_tag_error", i, d) for i, w in enumerate(cases.values()) for d in w[5]]
+
+
+def test_message_ids_and_addresses(spark):
+    ids = {
+        "<A@B.org>": ("<A@B.org>", "A", "b.org", []), "plain": ("plain", None, None, ["no_domain"]), "x@y.z rest": ("x@y.z", "x", "y.z", ["no_angle_brackets"]), "< a b@c@D >": ("<a b@c@D>", "a b@c", "d", ["white_space"]),
+        "<@d>": ("<@d>", None, "d", ["incomplete"]), "<l@> <q@w>": ("<l@>", "l", None, ["incomplete"]), "<open@x": ("<open@x", "<open", "x", ["no_angle_brackets"]), "": (None, None, None, ["empty"]), "<>": ("<>", None, None, ["no_domain"]),
+    }
+    mails = ["".join(f"Message-ID: {h}\n" for h in ids) + "\nx", "Sender: a@b.c, d@e\nSender:\nReply-To: nobody\nReply-To: <r@S.T>\nReturn-Path: <>\nFrom: a@b.c, Q <q@w.e>\n\nx", "\nx"]
+    (_, first), (_, second), (hops, none) = read_headers(spark, *mails)
+    for got, (text, want) in zip(first["message_id"]["headers"], ids.items(), strict=True):
+        assert (got["value"], got["local_part"], got["domain"], got["anomalies"]) == want, text
+    assert (second["from"][0]["count"], second["from"][0]["domain"], second["from"][0]["anomalies"], second["reply_to"][1]["domain"]) == (2, "b.c", [], "s.t")
+    assert [(a["kind"], a["header"], a["index"], a["detail"]) for a in second["anomalies"]] == [
+        ("malformed_value", "sender", 0, "no_domain: d@e"), ("malformed_value", "sender", 0, "several_addresses: 2"), ("malformed_value", "sender", 1, "empty"), ("duplicate_header", "sender", None, "repeated: 2"),
+        ("malformed_value", "reply-to", 0, "no_domain: nobody"), ("malformed_value", "return-path", 0, "no_domain: <>"),  # the standard library writes an empty address so
+    ]
+    assert (hops, none["from"], none["message_id"]["present"], none["dkim"], none["anomalies"]) == ([], [], False, [], [])
 
 
 @pytest.mark.parametrize(
