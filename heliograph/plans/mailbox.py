@@ -10,13 +10,14 @@ signatures and attachments must come out as.
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.lineage import keep
+from heliograph.lineage import shared_dir
 from heliograph.plans import views
 from heliograph.plans.registry import register
 from heliograph.sources import packages
@@ -69,8 +70,12 @@ def _b64(text: str, call: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def _archive(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The package of one number; its last digits say what is wrong with it."""
+def _archive(pdf: pd.DataFrame, folder: str) -> pd.DataFrame:
+    """Writes the package of one number, which says what is wrong with it.
+
+    Its bytes depend on the mails alone and it gets its name when it is whole,
+    so that a repeated task replaces it by the same file.
+    """
     number = int(pdf["package_no"].iloc[0])
     rows = pdf.sort_values("doc_id")
     files = [[f"d{i}.eml", eml.encode(), 0o100644, zipfile.ZIP_STORED] for i, eml in zip(rows["doc_id"], rows["eml"], strict=True)]
@@ -102,17 +107,31 @@ def _archive(pdf: pd.DataFrame) -> pd.DataFrame:
         if case == 10:
             archive.filelist[-1].file_size -= 1
     content = b"no archive" if case == 6 else out.getvalue()
-    return pd.DataFrame({"package": [f"p{number}"], "content": [content]})
+    store, path = packages.store_of(f"{folder}/p{number}.zip")
+    part = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as file:
+        file.write(content)
+    store.move(part, path)
+    return pd.DataFrame({"bytes": [len(content)]})
 
 
 def mail_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(package, content) of all packages; a package has at most twenty documents, however many there are."""
+    """(package, length) of all packages, written as files of the shared folder; a package has at most twenty documents, however many there are."""
     mails = views.run(spark, sf_dir, _b64(MAIL_BYTES, "replace(base64(encode({}, 'UTF-8')), chr(13) || chr(10), '')"))
-    return keep(mails.select("doc_id", "package_no", "eml").groupBy("package_no").applyInPandas(_archive, "package string, content binary"), "mail-packages")
+    folder = f"{shared_dir(spark)}/mail-packages-{uuid.uuid4().hex}"
+    store, path = packages.store_of(folder)
+    store.create_dir(path)
+    mails.select("doc_id", "package_no", "eml").groupBy("package_no").applyInPandas(lambda pdf: _archive(pdf, folder), "bytes long").agg(F.sum("bytes")).collect()
+    return packages.load(spark, folder)
+
+
+def _short(df: DataFrame) -> DataFrame:
+    """Packages by number instead of path."""
+    return df.withColumn("package", F.regexp_extract("package", r"([^/]+)\.zip$", 1))
 
 
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.read_mails(mail_packages(spark, sf_dir))
+    return _short(packages.read_mails(mail_packages(spark, sf_dir)))
 
 
 _ALL = f"""m AS MATERIALIZED (SELECT *, package_no % 24 AS how, 'p' || package_no AS package, row_number() OVER (PARTITION BY package_no ORDER BY doc_id) - 1 AS uid, count(*) OVER (PARTITION BY package_no) AS n
@@ -131,13 +150,13 @@ def _joined(items: str) -> Column:
 FROM m WHERE how BETWEEN 1 AND 9""",
 )
 def src_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packages.violations(packages.scan(mail_packages(spark, sf_dir)))
+    found = _short(packages.violations(packages.scan(mail_packages(spark, sf_dir))))
     return found.select("package", F.col("entry_idx").cast("long").alias("entry_idx"), "reason")
 
 
 @register("src_skipped", f"WITH {_ALL} SELECT DISTINCT package, 'note.txt' AS name, 'not_eml' AS reason FROM m WHERE how > 10 AND how % 2 = 1 UNION ALL SELECT DISTINCT package, 'folder/', 'not_eml' FROM m WHERE how = 4")
 def src_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.skipped(packages.scan(mail_packages(spark, sf_dir)))
+    return _short(packages.skipped(packages.scan(mail_packages(spark, sf_dir))))
 
 
 @register(

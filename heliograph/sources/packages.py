@@ -4,21 +4,31 @@
 them; ``violations`` holds the rules as plain predicates over that list, so
 that they can be read, tested and pushed around like any query; ``read_mails``
 parses the mails of the packages that broke none.
+
+Packages are named by path, and a task reads of a file only what it needs: the
+directory of entries for ``scan``, a run of entries for ``read_mails``, so that
+a large package is read by many tasks.  A column ``content`` may hold the bytes
+instead; then a package is read by one task.
 """
 
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
+from urllib.parse import quote
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliograph.operators.threads import number_mails
+from heliograph.lineage import keep
 from heliograph.sources.mime import PARSED, parse_mail, values_of_headers
 
 
@@ -30,12 +40,41 @@ class Limits:
     ratio: int = 200
 
 
+#: Declared bytes of the mails that a task reads of one package, and tasks at most.
+PART_BYTES = 64 << 20
+MOST_TASKS = 20_000
+#: Bytes or mails that the reader gathers before it hands them to Spark.
+_BATCH_BYTES, _BATCH_MAILS = 16 << 20, 200
+_SMALL = 1 << 16
+
 ENTRIES = "package string, entry_idx int, name string, size bigint, compressed bigint, mode int, encrypted boolean, is_dir boolean, error string"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """(package, content) of all archives under a path or glob."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select(F.col("path").alias("package"), "content")
+    """(package, length) of all archives under a path or glob; their bytes are left where they are."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select(F.col("path").alias("package"), "length")
+
+
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the path in it."""
+    scheme, mark, rest = path.partition(":/")
+    if not mark or scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if mark else path
+    return fs.FileSystem.from_uri(quote(path, safe=":/@?=&%+,;~"))
+
+
+def _stream(package: str, content: bytes | None) -> BinaryIO:
+    """The bytes of a package as a file in which one can seek: the given ones, else those at its path."""
+    if content is not None:
+        return io.BytesIO(content)
+    store, path = store_of(package)
+    file = store.open_input_file(path)
+    # before the start of a small file the reader of archives seeks in vain, and takes Arrow's error for a broken archive
+    return file if file.size() > _SMALL else io.BytesIO(file.read())
+
+
+def _source(packages: DataFrame) -> DataFrame:
+    return packages.select("package", *(["content"] if "content" in packages.columns else [F.lit(None).cast("binary").alias("content")]))
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,8 +82,9 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for package, content in zip(batch["package"], batch["content"], strict=True):
             try:
-                infos = zipfile.ZipFile(io.BytesIO(content)).infolist()
-            except Exception:
+                with _stream(package, content) as file, zipfile.ZipFile(file) as archive:
+                    infos = archive.infolist()
+            except (zipfile.BadZipFile, zipfile.LargeZipFile, NotImplementedError, ValueError, struct.error):
                 yield pd.DataFrame([(package, -1, None, None, None, None, None, None, "not_a_zip")], columns=columns)
                 continue
             rows = [(package, i, x.filename, x.file_size, x.compress_size, x.external_attr >> 16, bool(x.flag_bits & 1), x.is_dir(), None) for i, x in enumerate(infos)]
@@ -53,7 +93,7 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def scan(packages: DataFrame) -> DataFrame:
     """Entries of each package in archive order; an unreadable or empty package is one row with index -1."""
-    return packages.select("package", "content").mapInPandas(_entries, ENTRIES)
+    return _source(packages).mapInPandas(_entries, ENTRIES)
 
 
 def safe_name(name: Column) -> Column:
@@ -134,40 +174,73 @@ def read_capped(archive: zipfile.ZipFile, info: zipfile.ZipInfo, cap: int, chunk
 
 
 def _mails(limits: Limits):
-    names = ["package", "entry_idx", "error", *(f.name for f in T.StructType.fromDDL(PARSED).fields)]
+    """Reads the mails of (package, content, entries, first_uid); null entries stand for all mails."""
+    names = [f.name for f in T.StructType.fromDDL(_READ).fields]
+
+    def read(package: str, content: bytes | None, wanted: list[int] | None, first: int) -> Iterator[tuple[dict, int]]:
+        with _stream(package, content) as file, zipfile.ZipFile(file) as archive:
+            infos = archive.infolist()
+            if wanted is None:
+                wanted = [i for i, x in enumerate(infos) if x.filename.lower().endswith(".eml")]
+            for uid, i in enumerate(wanted, first):
+                row = {"package": package, "entry_idx": i, "uid": uid, "error": None, "source_file": infos[i].filename}
+                try:
+                    # the rules hold for declared sizes, so an entry may not be larger than it says
+                    raw = read_capped(archive, infos[i], min(limits.entry_bytes, infos[i].file_size))
+                except (ValueError, EOFError, zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as e:
+                    yield dict.fromkeys(names) | row | {"error": str(e) or type(e).__name__}, 0
+                else:
+                    yield row | parse_mail(raw, infos[i].filename), len(raw)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
+        held = 0
         for batch in batches:
-            for package, content in zip(batch["package"], batch["content"], strict=True):
-                left = limits.total_bytes
-                rows: list[dict] = []
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for i, info in enumerate(archive.infolist()):
-                        if not info.filename.lower().endswith(".eml"):
-                            continue
-                        try:
-                            raw = read_capped(archive, info, min(limits.entry_bytes, left))
-                        except Exception as e:
-                            rows.append(dict.fromkeys(names) | {"package": package, "entry_idx": i, "error": str(e) or type(e).__name__, "source_file": info.filename})
-                            continue
-                        left -= len(raw)
-                        rows.append({"package": package, "entry_idx": i, "error": None, **parse_mail(raw, info.filename)})
-                        if len(rows) >= 200:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+            for package, content, entries, first in zip(batch["package"], batch["content"], batch["entries"], batch["first_uid"], strict=True):
+                for row, size in read(package, content, None if entries is None else [int(i) for i in entries], int(first)):
+                    rows.append(row)
+                    held += size
+                    if len(rows) >= _BATCH_MAILS or held >= _BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
 
+def parts(entries: DataFrame, broken: DataFrame) -> DataFrame:
+    """(package, content, entries, first_uid): the mails of the packages that are not broken, in runs of about ``PART_BYTES``.
+
+    ``uid`` counts the mails of a package in archive order.  The windows and
+    the gathered runs are over names and sizes, and a sound package has no more
+    entries than its limit.
+    """
+    order = Window.partitionBy("package").orderBy("entry_idx")
+    mails = entries.where("entry_idx >= 0").where(is_mail(F.col("name"))).join(broken.select("package"), "package", "left_anti")
+    numbered = mails.withColumn("uid", F.row_number().over(order) - 1).withColumn("__part", F.floor(F.sum("size").over(order) / PART_BYTES))
+    runs = numbered.groupBy("package", "__part").agg(F.array_sort(F.collect_list("entry_idx")).alias("entries"), F.min("uid").cast("long").alias("first_uid"))
+    return runs.select("package", F.lit(None).cast("binary").alias("content"), "entries", "first_uid")
+
+
+_READ = f"package string, entry_idx int, error string, {PARSED}, uid bigint"
+
+
 def read_mails(packages: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Mails of the sound packages, with ``uid`` in archive order inside each package.
 
     A package that breaks a rule gives no mail, and so does one of which an
-    entry turns out larger than declared while it is read.
+    entry turns out larger than declared while it is read.  Every mail is read
+    and parsed once.
     """
-    sound = packages.join(violations(scan(packages), limits).select("package"), "package", "left_anti")
-    parsed = sound.select("package", "content").mapInPandas(_mails(limits), f"package string, entry_idx int, error string, {PARSED}")
-    broken = parsed.where("error IS NOT NULL").select("package").distinct()
-    return number_mails(values_of_headers(parsed.join(broken, "package", "left_anti").drop("error")), "package", "entry_idx")
+    entries = keep(scan(packages), "entries")
+    broken = violations(entries, limits)
+    if "content" in packages.columns:
+        tasks = _source(packages).join(broken.select("package"), "package", "left_anti").withColumn("entries", F.lit(None).cast("array<int>")).withColumn("first_uid", F.lit(0).cast("long"))
+    else:
+        runs = keep(parts(entries, broken), "runs")
+        # the runs are small rows that stand for much work, so their number decides how many tasks there are
+        tasks = runs.repartition(max(1, min(runs.count(), MOST_TASKS)))
+    read = keep(tasks.mapInPandas(_mails(limits), _READ), "read")
+    lying = read.where("error IS NOT NULL").select("package").distinct()
+    return values_of_headers(read.join(lying, "package", "left_anti").drop("error"))

@@ -47,7 +47,7 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, limits:
                 raise
         fresh = new_content(batch, done)
         fresh.select("package", "token").write.mode("overwrite").parquet(f"{out}/jobs/epoch={epoch}")
-        own = batch.join(session.read.parquet(f"{out}/jobs/epoch={epoch}").select("package"), "package", "left_semi")
+        own = session.read.parquet(f"{out}/jobs/epoch={epoch}").select("package")
         packages.violations(packages.scan(own), limits).write.mode("overwrite").parquet(f"{out}/rejected/epoch={epoch}")
         mails = packages.read_mails(own, limits).withColumnRenamed("package", "scope")
         build_forest(mails).write.mode("overwrite").parquet(f"{out}/forest/epoch={epoch}")

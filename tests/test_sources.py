@@ -160,6 +160,33 @@ def test_mails_of_packages(spark):
     assert [(r["package"], r["uid"], r["message_id"], r["in_reply_to"]) for r in rows] == [("p", 0, "<1@x>", None), ("p", 1, "<2@x>", "<1@x>")]
 
 
+def test_packages_by_path_in_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packages, "PART_BYTES", 700)
+    names = [f"{i}.eml" if i % 3 else f"{i}.txt" for i in range(40)]
+    files = {"many mails é": package([*((n, eml(f"<{n}@x>").as_bytes()) for n in names), ("note.txt", random.Random(1).randbytes(100_000))]), "junk": b"no zip", "empty": package([]), "slip": package([("../a.eml", b"x")]), "lies": package([("1.eml", b"Subject: a\n\nb"), ("2.eml", b"Subject: c\n\nd")])}
+    with zipfile.ZipFile(io.BytesIO(files["lies"])) as z:
+        at = files["lies"].rindex(b"PK\x01\x02")
+        assert z.infolist()[1].filename == "2.eml"
+    lies = bytearray(files["lies"])
+    lies[at + 24] -= 1
+    files["lies"] = bytes(lies)
+    for name, content in files.items():
+        (tmp_path / f"{name}.zip").write_bytes(content)
+    found = packages.load(spark, str(tmp_path))
+    assert found.columns == ["package", "length"]
+    entries = packages.scan(found)
+    broken = packages.violations(entries)
+    assert {r["package"].rpartition("/")[2]: r["reason"] for r in broken.collect()} == {"junk.zip": "not_a_zip", "slip.zip": "unsafe_name"}
+    assert packages.parts(entries, broken).where("package LIKE '%many%'").count() > 5
+    by_path = packages.read_mails(found)
+    given = spark.createDataFrame([(n, bytearray(c)) for n, c in files.items()], "package string, content binary")
+    by_content = packages.read_mails(given)
+    assert by_path.schema == by_content.schema
+    want = [(i, f"<{n}@x>", n) for i, n in enumerate(n for n in names if n.endswith("eml"))]
+    for mails in (by_path, by_content):
+        assert [(r["uid"], r["message_id"], r["source_file"]) for r in mails.orderBy("uid").collect()] == want
+
+
 def test_stream_of_packages(spark, tmp_path):
     from heliograph.streaming import ingest
 
