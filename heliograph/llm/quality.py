@@ -3,10 +3,13 @@
 A document has a latent score that is linear in its features.  A document
 labelled good is preferred to one labelled bad, and the Bradley-Terry model
 says with which probability: the logistic function of the difference of their
-scores.  The weights minimise the logistic loss on feature differences of
-pairs drawn from a bounded, labelled sample; the decision threshold is the
-quantile of the sample's scores at the share of bad labels, and the reported
-score is shifted so that this threshold is 0.3.
+scores.  The weights minimise the logistic loss on feature differences.
+
+Every labelled row that may be learned from takes part.  Rows are dealt by a hash
+into blocks of about ``BLOCK``, and inside a block every good row meets every bad
+one, so the work is linear in the rows and no task sees more than a block.  The
+decision threshold is the exact quantile of all these rows' scores at the share
+of bad labels, and the reported score is shifted so that this threshold is 0.3.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliograph.lineage import keep
 from heliograph.llm.columns import add_columns
 from heliograph.llm.language_id import held_out
+from heliograph.llm.quantiles import quantiles
 from heliograph.llm.textops import Words, chunks, row_of, row_sums
 
 CUT = 0.3
@@ -112,66 +117,146 @@ class PairwiseModel:
         return 1 / (1 + np.exp(-s))
 
 
-def fit_pairs(x: np.ndarray, label: np.ndarray, pairs: int = 60_000, ridge: float = 1e-3, steps: int = 30, seed: int = 11) -> PairwiseModel:
-    """Newton steps on the logistic loss of feature differences (good minus bad)."""
+def _pair_sums(z: np.ndarray, label: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number, gradient and curvature of the logistic loss summed over all pairs of a good and a bad row, as one vector."""
+    good, bad = z[label == 1], z[label == 0]
+    wrong = 1 / (1 + np.exp(np.clip((good @ w)[:, None] - (bad @ w)[None], -30, 30)))
+    bend = wrong * (1 - wrong)
+    across = good.T @ (bend @ bad)
+    curve = (good.T * bend.sum(axis=1)) @ good + (bad.T * bend.sum(axis=0)) @ bad - across - across.T
+    grad = wrong.sum(axis=0) @ bad - wrong.sum(axis=1) @ good
+    return np.concatenate([[float(wrong.size)], grad, curve.ravel()])
+
+
+def _newton(sums, size: int, ridge: float = 1e-3, steps: int = 30) -> np.ndarray:
+    """The weights at which the mean loss and its ridge are least; ``sums`` gives the sums of ``_pair_sums`` at some weights."""
+    w = np.zeros(size)
+    for _ in range(steps):
+        total = sums(w)
+        if not total[0]:
+            break
+        grad = total[1 : size + 1] / total[0] + ridge * w
+        step = np.linalg.solve(total[size + 1 :].reshape(size, size) / total[0] + ridge * np.eye(size), grad)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return expand(np.clip((x - mean) / scale, -6, 6))
+
+
+def fit_pairs(x: np.ndarray, label: np.ndarray, pairs: int | None = None, ridge: float = 1e-3, steps: int = 30, seed: int = 11) -> PairwiseModel:
+    """The model of rows in memory, from all pairs of a good and a bad one, or from ``pairs`` drawn ones if that is given."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     model = PairwiseModel(mean, scale, np.zeros(2 * x.shape[1]), 0.0)
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     if len(good) and len(bad):
-        rng = np.random.default_rng(seed)
-        z = expand(np.clip((x - mean) / scale, -6, 6))
-        d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-        w = model.weights
-        for _ in range(steps):
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-            grad = -(d * p[:, None]).mean(axis=0) + ridge * w
-            curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
-            step = np.linalg.solve(curve, grad)
-            w = w - step
-            if np.abs(step).max() < 1e-6:
-                break
-        model.weights = w
+        z = _scaled(x, mean, scale)
+        if pairs is None:
+            model.weights = _newton(lambda w: _pair_sums(z, label, w), z.shape[1], ridge, steps)
+        else:
+            rng = np.random.default_rng(seed)
+            d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+            zero, one = np.zeros((1, d.shape[1])), np.repeat([0, 1], [1, pairs])
+            model.weights = _newton(lambda w: _pair_sums(np.concatenate([zero, d]), one, w), d.shape[1], ridge, steps)
         model.threshold = float(np.quantile(model.latent(x), len(bad) / len(label)))
     elif len(bad):
         model.threshold = 10.0
     return model
 
 
-_SAMPLE = pa.schema([("x", pa.list_(pa.float64())), ("label", pa.int32())])
+#: Rows of a block, and rows of the rarer label that a block has at least while there are as many.
+BLOCK, RARE = 2048, 64
+_WIDE = len(FEATURES) + 2
 
 
-def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _features_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = features(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], schema=_SAMPLE)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(batch.column(1))), pa.list_(pa.float64()))], names=["__key", "x"])
+
+
+def _block(key: tuple, table: pa.Table) -> pa.Table:
+    """The rows of a block as one matrix (features, label, whether this is the row's first block) in an order that does not depend on their arrival."""
+    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+    rows = np.column_stack([x, table.column("label").to_numpy(), table.column("first").to_numpy()]).astype("<f8")
+    rows = rows[np.lexsort(rows.T)]
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "rows": pa.array([rows.tobytes()], pa.binary())})
+
+
+def _matrix(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype="<f8").reshape(-1, _WIDE)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> PairwiseModel:
-    """Fit on about ``max_rows`` labelled rows whose crc32(id) mod 5 is not 0.
+def _add_blocks(key: tuple, table: pa.Table) -> pa.Table:
+    table = table.sort_by("block")
+    total = sum(np.frombuffer(v.as_buffer(), dtype="<f8") for v in table.column("sums"))
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    The bound is this parameter: ids are drawn by a hash at the rate of
-    ``max_rows`` over the number of usable ones, and should repeated ids in the
-    documents bring more than twice as many rows, rows are drawn in the same way.
+
+def _total(blocks: DataFrame, n: int, of) -> np.ndarray:
+    """The sum over all blocks of the vector ``of`` a block's rows, always added in the same order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [np.asarray(of(_matrix(v)), dtype="<f8").tobytes() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary())], names=["block", "sums"])
+
+    made = blocks.select("block", "rows").mapInArrow(run, "block long, sums binary")
+    if n > 256:
+        made = made.groupBy(F.pmod("block", F.lit(64)).alias("block")).applyInArrow(_add_blocks, "block long, sums binary")
+    return sum(np.frombuffer(r["sums"], dtype="<f8") for r in sorted(made.collect(), key=lambda r: r["block"]))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int | None = None) -> PairwiseModel:
+    """Fit on all labelled rows whose crc32(id) mod 5 is not 0.
+
+    A caller who wants a bound gives ``max_rows``: ids are then drawn by a hash
+    at the rate of that number over the number of usable ones.
     Labels that are null or not 0 or 1 are left out, repeated ones count once; an
-    id with both labels or several texts gives a row for each pair.  Without both kinds of label every score is the same.
+    id with both labels or several texts gives a row for each pair.  Where blocks
+    would have less than ``RARE`` rows of the rarer label, its rows are in several
+    blocks.  Without both kinds of label every score is the same.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).distinct()
-    count = usable.count()
-    draw = F.pmod(F.xxhash64(F.col("__id"), F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = usable.where(draw < min(1.0, max_rows / max(count, 1)))
-    # distinct pairs of about max_rows ids, so they may be sent to every executor
-    rows = docs.select(F.col(id_col).alias("__key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select("__id", "text", "label")
-    met = rows.count()
-    if met > 2 * max_rows:
-        rows = rows.where(F.pmod(F.xxhash64("__id", "text", F.lit("row")), F.lit(1 << 30)) / float(1 << 30) < 2 * max_rows / met)
-    rows = rows.select("text", "label")
-    got = rows.mapInArrow(_sample_rows, "x array<double>, label int").toPandas()
-    if not len(got):
-        return PairwiseModel(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(2 * len(FEATURES)), 0.0)
-    x, label = np.stack(got["x"].to_numpy()), got["label"].to_numpy()
-    order = np.lexsort(np.concatenate([x.T, label[None]]))  # the same model for any order of arrival
-    return fit_pairs(x[order], label[order])
+    if max_rows is not None:
+        draw = F.pmod(F.xxhash64(F.col("__id"), F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
+        usable = usable.where(draw < min(1.0, max_rows / max(usable.count(), 1)))
+    # features are smaller than texts, so these are made before the rows are dealt by id
+    texts = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__key"), F.col(text_col).alias("text"))
+    featured = texts.mapInArrow(_features_of_rows, f"__key {docs.schema[id_col].dataType.simpleString()}, x array<double>")
+    rows = keep(featured.join(usable, F.col("__key") == F.col("__id")).select(F.xxhash64("__id", "x", "label").alias("deal"), "x", "label"), "quality-rows")
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    size, wide = len(FEATURES), 2 * len(FEATURES)
+    model = PairwiseModel(np.zeros(size), np.ones(size), np.zeros(wide), 0.0)
+    if not counts:
+        return model
+    n = -(-sum(counts.values()) // BLOCK)
+    rare = min((0, 1), key=lambda x: counts.get(x, 0))
+    times = min(n, -(-RARE * n // max(counts.get(rare, 0), 1)))
+    turns = F.explode(F.sequence(F.lit(0), F.when(F.col("label") == rare, times - 1).otherwise(0))).alias("turn")
+    dealt = rows.select("deal", "x", "label", turns).select(F.pmod(F.col("deal") + F.col("turn") * max(1, n // times), F.lit(n)).alias("block"), "x", "label", (F.col("turn") == 0).cast("int").alias("first"))
+    blocks = keep(dealt.groupBy("block").applyInArrow(_block, "block long, rows binary"), "quality-blocks")
+    once = lambda m: m[m[:, -1] == 1, :size]
+    model.mean = _total(blocks, n, lambda m: once(m).sum(axis=0)) / sum(counts.values())
+    mean = model.mean
+    scale = np.sqrt(_total(blocks, n, lambda m: ((once(m) - mean) ** 2).sum(axis=0)) / sum(counts.values()))
+    model.scale = scale = np.where(scale > 1e-9, scale, 1.0)
+    if len(counts) == 2:
+        model.weights = _newton(lambda w: _total(blocks, n, lambda m: _pair_sums(_scaled(m[:, :size], mean, scale), m[:, size], w)), wide)
+
+        def latents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for v in batch.column(1):
+                    yield pa.RecordBatch.from_arrays([pa.array(model.latent(once(_matrix(v))))], names=["v"])
+
+        scores = blocks.select("block", "rows").mapInArrow(latents, "v double").select(F.lit(0).alias("g"), "v")
+        model.threshold = quantiles(scores, {0: counts[0] / sum(counts.values())})[0]
+    elif 0 in counts:
+        model.threshold = 10.0
+    return model
 
 
 def score(docs: DataFrame, model: PairwiseModel, text_col: str = "text", out: str = "quality_score") -> DataFrame:

@@ -193,3 +193,28 @@ def test_repeated_labels_count_once(spark):
     assert (quality.train(docs, labels).weights == quality.train(docs, often).weights).all()
     few = quality.train(docs.unionAll(docs.where("doc_id = 1").crossJoin(spark.range(500)).drop("id")), labels, max_rows=150)
     assert abs(few.weights).max() > 0
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "plain words in a row, " * (1 + i % 7) + ("" if i % 9 else "$$$ BUY !!! ")) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(3000)], "doc_id long, quality int")
+    used = [r.doc_id for r in docs.where(~language_id.held_out("doc_id")).select("doc_id").collect()]
+    x = quality.features(pa.array([r.text for r in docs.where(~language_id.held_out("doc_id")).collect()]))
+    label = np.array([int(i % 9 > 0) for i in used])
+    monkeypatch.setattr(quality, "BLOCK", 1 << 20)
+    model, all_pairs = quality.train(docs, labels), quality.fit_pairs(x, label)
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.weights, all_pairs.weights, atol=1e-6) and np.isclose(model.threshold, all_pairs.threshold, atol=1e-6)
+    monkeypatch.setattr(quality, "BLOCK", 100)
+    many = quality.train(docs, labels)
+    assert np.allclose(many.mean, x.mean(axis=0)) and np.isclose(many.threshold, np.quantile(many.latent(x), 1 - label.mean()), atol=1e-6)
+
+
+def test_quantiles_are_exact(spark):
+    from heliograph.llm.quantiles import quantiles
+
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=4001), "b": np.repeat(rng.random(5), 300), "c": np.array([3.5])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("d", 1.0)], "g string, v double")
+    got = quantiles(df, {"a": 0.37, "b": 0.5, "c": 0.9, "e": 0.5})
+    assert got.keys() == groups.keys()
+    assert all(np.isclose(got[g], np.quantile(groups[g], q), rtol=1e-12) for g, q in (("a", 0.37), ("b", 0.5), ("c", 0.9)))
