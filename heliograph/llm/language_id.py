@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from heliograph.lineage import keep
 from heliograph.llm.columns import add_columns
+from heliograph.llm.quantiles import quantiles
 from heliograph.llm.textops import U, chunks, distinct, mix
 
 SIZES = (3, 5)
@@ -215,25 +216,28 @@ def _set_cells(bits: int):
     return run
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 2000, min_share: float = MIN_SHARE, sizes: tuple[int, ...] = SIZES) -> LanguageModel | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int | None = None, min_share: float = MIN_SHARE, sizes: tuple[int, ...] = SIZES) -> LanguageModel | None:
     """Learn from rows whose crc32(id) mod 5 is not 0 and whose text and language are not null.
 
-    The sample is bounded: each language gives about ``rows_per_language`` rows,
-    taken by a hash of the id at a rate of that number over its count.  All
-    n-grams of at least ``min_share`` of a language's rows are learned; repeated
-    rows count as often as they are there.  None if there is
-    nothing to learn from, as in an empty table.
+    All of these rows are read, and all n-grams of at least ``min_share`` of a
+    language's rows are learned; repeated rows count as often as they are there.
+    A caller who wants a bound gives ``rows_per_language``: about as many rows of
+    each language are then taken by a hash of the id.  None if there is nothing
+    to learn from, as in an empty table.
     """
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return None
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_language / n))])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(draw < F.element_at(rate, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counted = sample.mapInArrow(_gram_counts(sizes), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the share is of the rows drawn, which the rate gives up to chance
-    least = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min_share * min(n, rows_per_language))])
+    most_rows = rows_per_language if rows_per_language is not None else max(counts.values())
+    if most_rows < max(counts.values()):
+        rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, most_rows / n))])
+        draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+        rows = rows.where(draw < F.element_at(rate, F.col(lang_col)))
+    learned = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counted = learned.mapInArrow(_gram_counts(sizes), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # of drawn rows the share is of their number up to chance
+    least = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min_share * min(n, most_rows))])
     found = keep(counted.where(F.col("n") >= F.element_at(least, F.col("lang"))).select("lang", "gram"), "language-grams")
     most = {r[0]: r[1] for r in found.groupBy("lang").count().collect()}
     if not most:
@@ -245,23 +249,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return LanguageModel.of_pieces(sorted(most), bits, maps, max(sorted(counts), key=lambda x: counts[x]), sizes)
 
 
-def least_shares(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 500, part: float = LEAST_PART) -> dict[str, float]:
+def least_shares(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", part: float = LEAST_PART) -> dict[str, float]:
     """For each language of the model, the corrected share of n-grams below which a text is not of it.
 
-    It is ``part`` of the median over labelled rows that training left out (about
-    ``rows_per_language``), so neither a text's length nor a few odd rows decide.
+    It is ``part`` of the exact median over all labelled rows that training left
+    out, so neither a text's length nor a few odd rows decide.
     A language without such rows takes the lowest of the others, 0 if there are none.
     """
     if model is None:
         return {}
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isin(model.languages) & held_out(id_col))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    medians = {}
-    if counts:
-        rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, rows_per_language / n))])
-        draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("least")), F.lit(1 << 30)) / float(1 << 30)
-        sample = identify(rows.where(draw < F.element_at(rate, F.col(lang_col))).select(F.col(text_col).alias("text")), model)
-        medians = {r[0]: r[1] for r in sample.where("lang_score > 0").groupBy("lang_pred").agg(F.percentile_approx("lang_score", 0.5, 1000)).collect()}
+    told = keep(identify(rows.select(F.col(text_col).alias("text")), model).where("lang_score > 0").select(F.col("lang_pred").alias("g"), F.col("lang_score").alias("v")), "language-shares")
+    medians = quantiles(told, dict.fromkeys(model.languages, 0.5))
     lowest = min(medians.values(), default=0.0)
     return {lang: part * medians.get(lang, lowest) for lang in model.languages}
 

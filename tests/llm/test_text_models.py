@@ -218,3 +218,14 @@ def test_quantiles_are_exact(spark):
     got = quantiles(df, {"a": 0.37, "b": 0.5, "c": 0.9, "e": 0.5})
     assert got.keys() == groups.keys()
     assert all(np.isclose(got[g], np.quantile(groups[g], q), rtol=1e-12) for g, q in (("a", 0.37), ("b", 0.5), ("c", 0.9)))
+
+
+def test_language_model_and_shares_come_from_all_rows(spark):
+    names = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(400)]
+    docs = spark.createDataFrame([(i, f"some words {names[i % 400]} {names[(i * i) % 400]}", "x" if i % 3 else "y") for i in range(6000)], "doc_id long, text string, lang string")
+    model, whole = language_id.train(docs), language_id.train(docs, rows_per_language=10**9)
+    assert (model.cells == whole.cells).all()
+    told = [r for r in language_id.identify(docs.where(language_id.held_out("doc_id")), model).collect() if r.lang_score > 0]
+    least = language_id.least_shares(docs, model)
+    for lang in model.languages:
+        assert np.isclose(least[lang], language_id.LEAST_PART * np.median([r.lang_score for r in told if r.lang_pred == lang]), rtol=1e-12)
