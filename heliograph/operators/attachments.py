@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.operators.gate import gate_edges, numbered
+from heliograph.operators.gate import gated, numbered
 from heliograph.operators.ranking import block_of
 
 EVENT_TYPES = ("added", "removed", "renamed", "content_changed")
 REVIEW_KINDS = ("missing_parent", "reference_conflict", "undecodable_attachment")
+#: Attachments of both sides that a task compares, about.
+TASK_UNITS = 250_000
 
 
 def _undecodable_issue(issue: Column) -> Column:
@@ -47,7 +49,7 @@ def split_attachments(mails: DataFrame) -> DataFrame:
 
 
 def prepare(mails: DataFrame, scope: str = "scope") -> DataFrame:
-    return gate_edges(split_attachments(mails), scope)
+    return split_attachments(gated(mails, scope))
 
 
 def _pairs(units: DataFrame, edge: list[str], by: str, other: str) -> DataFrame:
@@ -73,9 +75,13 @@ def differences(prepared: DataFrame, scope: str = "scope") -> DataFrame:
     """
     up = prepared.select(scope, F.col("uid").alias("parent_uid"), F.col("verifiable").alias("p_items"), (F.size("undecodable") > 0).alias("p_bad"))
     own = prepared.where("compared").select(scope, "uid", "parent_uid", "thread_root_uid", F.col("verifiable").alias("c_items"), (F.size("undecodable") > 0).alias("c_bad"))
-    edge = [scope, "uid", "parent_uid", "thread_root_uid", "p_bad", "c_bad"]
+    # a number comes first, by which rows are sorted much faster than by a text
+    edge = ["uid", scope, "parent_uid", "thread_root_uid", "p_bad", "c_bad"]
     of_side = lambda items, side: F.transform(items, lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x["name"].alias("name"), x["sha256"].alias("sha256"), x["size"].alias("size")))
-    each = own.join(up, [scope, "parent_uid"]).select(*edge, F.inline(F.concat(of_side("p_items", "p"), of_side("c_items", "c")))).repartition(scope, "uid")
+    # dealt as arrays, to so many tasks that none holds more units than it can sort in memory: equal names and digests fit a small shuffle, but not a small sort
+    items = prepared.agg(F.sum(F.size("verifiable").cast("long"))).first()[0] or 0
+    dealt = own.join(up, ["parent_uid", scope]).where((F.size("p_items") > 0) | (F.size("c_items") > 0)).repartition(-(-2 * items // TASK_UNITS) or 1, "uid", scope)
+    each = dealt.select(*edge, F.inline(F.concat(of_side("p_items", "p"), of_side("c_items", "c"))))
     count = lambda s: F.count_if(F.col("side") == s).alias(f"{s}_n")
     size = lambda s: F.min_by("size", F.when(F.col("side") == s, F.col("pos"))).alias(f"{s}_size")
     cells = each.groupBy(*edge, "name", "sha256").agg(count("p"), count("c"), size("p"), size("c"))

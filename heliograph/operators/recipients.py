@@ -42,14 +42,14 @@ def visible_addresses(mails: DataFrame) -> DataFrame:
     out = mails.withColumn("__seen", keyed)
 
     def keys(field: str) -> Column:
-        return F.array_sort(F.array_distinct(F.transform(F.filter("__seen", lambda x: (x["field"] == field) & x["key"].isNotNull()), lambda x: x["key"])))
+        return F.sort_array(F.array_distinct(F.transform(F.filter("__seen", lambda x: (x["field"] == field) & x["key"].isNotNull()), lambda x: x["key"])))
 
     good = F.filter("__seen", lambda x: x["key"].isNotNull())
     all_keys = F.transform(good, lambda x: x["key"])
     first = F.filter(F.transform(good, lambda x, i: F.struct(x["key"].alias("key"), x["name"].alias("name"), x["field"].alias("field"), (F.array_position(all_keys, x["key"]) == i + 1).alias("first"))), lambda x: x["first"])
     bad = F.transform(F.filter("__seen", lambda x: x["key"].isNull() & (x["raw"] != "")), lambda x: F.struct(x["field"].alias("field"), x["raw"].alias("raw"), x["name"].alias("name"), malformed_reason(x["raw"]).alias("reason")))
     out = out.withColumn("c_from", keys("From")).withColumn("c_to", keys("To")).withColumn("c_cc", keys("Cc"))
-    out = out.withColumn("people", F.array_sort(F.array_distinct(F.concat("c_from", "c_to", "c_cc"))))
+    out = out.withColumn("people", F.sort_array(F.array_distinct(F.concat("c_from", "c_to", "c_cc"))))
     return out.withColumn("entries", first).withColumn("malformed", bad).drop("__seen")
 
 
@@ -74,9 +74,9 @@ def list_hints(identity: Column, entries: Column, group_syntax: bool = True) ->
 
 def prepare(mails: DataFrame, scope: str = "scope") -> DataFrame:
     """Visible addresses, list hints and the state of the parent edge of every mail."""
-    out = visible_addresses(mails)
+    out = visible_addresses(gated(mails, scope))
     hints = list_hints(F.col("identity"), F.col("entries")) if "identity" in mails.columns else list_hints_of_addresses(F.col("entries"))
-    return gate_edges(out.withColumn("hints", hints), scope)
+    return out.withColumn("hints", hints)
 
 
 def list_hints_of_addresses(entries: Column) -> Column:
@@ -93,22 +93,24 @@ def set_difference(p: str = "p_", c: str = "c_") -> dict[str, Column]:
     p_recipients, c_recipients = F.array_union(col(f"{p}to"), col(f"{p}cc")), F.array_union(col(f"{c}to"), col(f"{c}cc"))
     p_people, c_people = F.array_union(col(f"{p}from"), p_recipients), F.array_union(col(f"{c}from"), c_recipients)
     role = lambda side, a: F.when(F.array_contains(col(f"{side}to"), a), "to").otherwise("cc")
-    both = F.transform(F.array_sort(F.array_intersect(p_recipients, c_recipients)), lambda a: F.struct(a.alias("address"), role(p, a).alias("from_role"), role(c, a).alias("to_role")))
+    both = F.transform(F.sort_array(F.array_intersect(p_recipients, c_recipients)), lambda a: F.struct(a.alias("address"), role(p, a).alias("from_role"), role(c, a).alias("to_role")))
     return {
-        "added": F.array_sort(F.array_except(c_people, p_people)),
+        "added": F.sort_array(F.array_except(c_people, p_people)),
         "role_changed": F.filter(both, lambda x: x["from_role"] != x["to_role"]),
-        "dropped": F.array_sort(F.array_except(F.array_except(p_recipients, c_recipients), col(f"{c}from"))),
-        "reply_all_omitted": F.array_sort(F.array_except(p_people, c_people)),
+        "dropped": F.sort_array(F.array_except(F.array_except(p_recipients, c_recipients), col(f"{c}from"))),
+        "reply_all_omitted": F.sort_array(F.array_except(p_people, c_people)),
     }
 
 
 def edges(prepared: DataFrame, scope: str = "scope") -> DataFrame:
     """One row for each mail with a parent: both sides' sets, their differences, and whether they count."""
     up = prepared.select(
-        scope, F.col("uid").alias("parent_uid"), F.col("message_id").alias("parent_message_id"), F.col("c_from").alias("p_from"), F.col("c_to").alias("p_to"), F.col("c_cc").alias("p_cc"), F.col("hints").alias("p_hints"), F.col("malformed").alias("p_malformed")
+        scope, F.col("uid").alias("parent_uid"), F.col("message_id").alias("parent_message_id"), F.col("c_from").alias("p_from"), F.col("c_to").alias("p_to"), F.col("c_cc").alias("p_cc"), (F.size("hints") > 0).alias("p_listed"), (F.size("malformed") > 0).alias("p_malformed")
     )
-    met = prepared.where("parent_uid IS NOT NULL").join(up, [scope, "parent_uid"])
-    kinds = F.array_compact(F.array(F.when((F.size("hints") > 0) | (F.size("p_hints") > 0), "possible_mailing_list"), F.when((F.size("malformed") > 0) | (F.size("p_malformed") > 0), "malformed_address")))
+    # what the sets were made from stays with the mails
+    own = prepared.where("parent_uid IS NOT NULL").drop("from", "to", "cc", "entries", "identity", "attachments", "issues", "refs", "in_reply_to", "subject", "raw_sha256", "thread_root_message_id")
+    met = own.join(up, ["parent_uid", scope])
+    kinds = F.array_compact(F.array(F.when((F.size("hints") > 0) | F.col("p_listed"), "possible_mailing_list"), F.when((F.size("malformed") > 0) | F.col("p_malformed"), "malformed_address")))
     out = met.withColumn("edge_kinds", F.when(F.col("compared"), kinds).otherwise(_none()))
     out = out.withColumn("edge_compared", F.col("compared") & (F.size("edge_kinds") == 0))
     return out.withColumns(set_difference())
@@ -157,10 +159,10 @@ def reviews(prepared: DataFrame, edge_rows: DataFrame, scope: str = "scope") ->
         rows(prepared.where("skip_reason = 'missing_parent'"), 2, "missing_parent", "missing_parent", F.col("claimed")),
         rows(prepared.where("conflict = 'broken_edge'"), 2, "reference_conflict", "broken_edge", F.col("claimed"), candidates=F.array("claimed_uid")),
     ]
-    variants = prepared.where("message_id <> ''").groupBy(scope, F.col("message_id").alias("__id")).agg(F.array_sort(F.collect_list("uid")).alias("variants"))
     clash = prepared.where("conflict IN ('own_id', 'parent_id')").withColumn("__id", F.when(F.col("conflict") == "own_id", F.col("message_id")).otherwise(F.col("claimed")))
-    conflicted = id_groups(prepared, scope).where("conflicted").select(scope, F.col("message_id").alias("__id"))
-    variants = variants.join(conflicted, [scope, "__id"], "left_semi")
+    conflicted = id_groups(prepared, scope).where("conflicted").select("message_id", scope)
+    variants = prepared.select("message_id", scope, "uid").join(conflicted, ["message_id", scope], "left_semi")
+    variants = variants.groupBy(F.col("message_id").alias("__id"), scope).agg(F.array_sort(F.collect_list("uid")).alias("variants"))
     parts.append(rows(clash.join(variants, [scope, "__id"]), 2, "reference_conflict", F.col("conflict"), F.col("__id"), candidates=F.col("variants")))
     background = edge_rows.where(F.size("edge_kinds") > 0)
     parts.append(rows(background, 3, F.col("edge_kinds")[0], "edge", F.array_join("edge_kinds", ","), candidates=F.array("parent_uid")))

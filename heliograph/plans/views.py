@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.addresses import domain_of
+from heliograph.operators.gate import gate_edges
 
 _TABLES = ("conversations", "documents", "orders", "lineitem", "customer", "nation", "supplier", "pages", "events")
 
@@ -190,12 +191,17 @@ def timing_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, ORDER_MAILS).drop("moment").join(grouped, "uid", "left")
 
 
-def recipient_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_people(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
     people = run(spark, sf_dir, ORDER_PEOPLE)
     one = F.struct("pos", F.struct(F.concat(F.lit("n "), "address").alias("name"), "address").alias("a"))
     lists = people.groupBy("uid").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, one))), lambda x: x["a"]).alias(f.lower()) for f in ("To", "Cc")])
     sender = F.struct(F.lit("").alias("name"), F.concat(F.lit("c"), F.col("o_custkey") % 7, F.lit("@Y.Example")).alias("address"))
-    return _order_base(spark, sf_dir).withColumn("from", sender).join(lists, "uid", "left")
+    return base.withColumn("from", sender).join(lists, "uid", "left")
+
+
+def recipient_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the state of the edges is found before the addresses are there
+    return _with_people(spark, sf_dir, gate_edges(_order_base(spark, sf_dir)).drop("in_reply_to", "refs", "subject", "thread_root_message_id"))
 
 
 #: Orders as mails of which one in forty shares its id with others, and some claim such an id.
@@ -208,16 +214,17 @@ FROM ({ORDER_MAILS}) x
 
 
 def conflicted_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = recipient_mails(spark, sf_dir).select("uid", "from", "to", "cc")
     base = run(spark, sf_dir, CONFLICT_MAILS).withColumn("refs", F.array().cast("array<string>")).withColumn("subject", F.lit(None).cast("string"))
-    return base.join(people, "uid")
+    return _with_people(spark, sf_dir, base)
 
 
 def attachment_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = run(spark, sf_dir, ORDER_FILES)
     item = F.struct("idx", F.col("name").alias("filename"), F.lit("x/y").alias("content_type"), "size", "sha256", F.lit(None).cast("string").alias("original_filename"), F.when(F.col("bad") == 1, True).alias("undecodable"))
     lists = files.groupBy("uid").agg(F.array_sort(F.collect_list(item)).alias("attachments"))
-    return _order_base(spark, sf_dir).withColumn("issues", F.array().cast("array<string>")).join(lists, "uid", "left")
+    # the state of the edges is found before the files are there, and what it was found from is not needed with them
+    base = gate_edges(_order_base(spark, sf_dir)).drop("raw_sha256", "in_reply_to", "refs", "subject", "thread_root_message_id")
+    return base.withColumn("issues", F.array().cast("array<string>")).join(lists, "uid", "left")
 
 
 # --------------------------------------------------------------- declared identity
