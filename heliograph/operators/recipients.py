@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.addresses import is_list_address, malformed_reason, normalize_address, strip_text
-from heliograph.operators.gate import gate_edges, id_groups, numbered
+from heliograph.lineage import keep
+from heliograph.operators.gate import gated, id_groups, numbered
 from heliograph.operators.ranking import block_of
 
 EVENT_TYPES = ("added", "dropped", "role_changed", "reply_all_omitted")
 REVIEW_KINDS = ("possible_mailing_list", "malformed_address", "missing_parent", "reference_conflict")
 
 _TEXTS = "array<string>"
+#: Mails of a claimed id in one slice, and pairs of a mail and a candidate that a task makes, about.
+SLICE_MAILS, TASK_PAIRS = 256, 500_000
 
 
 def _none(kind: str = _TEXTS) -> Column:
@@ -195,6 +198,25 @@ def conflict_variants(prepared: DataFrame, scope: str = "scope") -> DataFrame:
     return prepared.join(groups, [scope, "message_id"]).select(F.col(scope).alias("scope"), "message_id", "variant_count", "uid", "date", "raw_sha256", _sets("c_").alias("sets"))
 
 
+def _pairs_of_conflicts(asked: DataFrame, parents: DataFrame) -> DataFrame:
+    """Every mail that claims a conflicting id beside every mail of that id.
+
+    The rows in are few and the pairs may be very many, so what decides the
+    number of tasks is the number of pairs: the mails of an id are cut into
+    slices, a claiming mail goes to each slice, and slices are dealt to tasks.
+    """
+    claims = asked.groupBy("scope", F.col("claimed").alias("candidate_id")).agg(F.count(F.lit(1)).alias("__claims"))
+    sizes = parents.join(claims, ["candidate_id", "scope"]).groupBy("candidate_id", "scope").agg(F.count(F.lit(1)).alias("__mails"), F.first("__claims").alias("__claims"))
+    slices = sizes.select("candidate_id", "scope", F.ceil(F.col("__mails") / SLICE_MAILS).cast("int").alias("__slices"), (F.col("__mails") * F.col("__claims")).alias("__pairs"))
+    slices = keep(slices, "conflict-slices")
+    tasks = max(1, min(20_000, -(-(slices.agg(F.sum("__pairs")).first()[0] or 0) // TASK_PAIRS)))
+    key, slices = ["candidate_id", "scope"], slices.drop("__pairs")
+    candidates = parents.join(slices, key).withColumn("__slice", F.pmod(F.xxhash64("candidate_uid"), F.col("__slices")).cast("int")).drop("__slices")
+    claiming = asked.withColumn("candidate_id", F.col("claimed")).join(slices, key).withColumn("__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))).drop("__slices")
+    dealt = [x.repartition(tasks, *key, "__slice") for x in (claiming, candidates)]
+    return dealt[0].join(dealt[1], [*key, "__slice"]).drop("__slice")
+
+
 def conflict_evidence(prepared: DataFrame, scope: str = "scope") -> DataFrame:
     """What stands beside a mail whose parent is missing, broken or in conflict.
 
@@ -213,9 +235,11 @@ def conflict_evidence(prepared: DataFrame, scope: str = "scope") -> DataFrame:
         F.col(scope).alias("scope"), F.col("uid").alias("candidate_uid"), F.col("message_id").alias("candidate_id"), F.col("date").alias("candidate_date"), F.col("raw_sha256").alias("candidate_sha256"), F.col("c_from").alias("p_from"), F.col("c_to").alias("p_to"), F.col("c_cc").alias("p_cc")
     )
     one = asked.where("cause = 'broken_edge'").join(parents, (asked["scope"] == parents["scope"]) & (asked["claimed_uid"] == parents["candidate_uid"]), "left").drop(parents["scope"])
-    many = asked.where("cause = 'parent_id'").join(parents, (asked["scope"] == parents["scope"]) & (asked["claimed"] == parents["candidate_id"]), "left").drop(parents["scope"])
-    met = one.unionByName(many).withColumns(set_difference()).withColumn("differences", F.when(F.col("candidate_uid").isNotNull(), F.struct("added", "role_changed", "dropped", "reply_all_omitted")))
-    met = met.withColumn("candidate", F.when(F.col("candidate_uid").isNotNull(), _sets("p_")))
+    one = one.withColumns(set_difference()).withColumn("differences", F.when(F.col("candidate_uid").isNotNull(), F.struct("added", "role_changed", "dropped", "reply_all_omitted")))
+    one = one.withColumn("candidate", F.when(F.col("candidate_uid").isNotNull(), _sets("p_")))
+    many = _pairs_of_conflicts(asked.where("cause = 'parent_id'"), parents).withColumns(set_difference())
+    many = many.withColumn("differences", F.struct("added", "role_changed", "dropped", "reply_all_omitted")).withColumn("candidate", _sets("p_"))
+    met = one.unionByName(many)
     none = asked.where("cause IN ('missing_parent', 'own_id')")
     columns = ["scope", "uid", "cause", "message_id", "claimed", _sets("c_").alias("child"), "candidate_uid", "candidate_date", "candidate_sha256", "candidate", "differences"]
     return met.select(*columns).unionByName(none.select(*columns[:6]), allowMissingColumns=True)

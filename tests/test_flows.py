@@ -268,3 +268,24 @@ def test_domains_that_are_none_are_refused(value):
 
 def test_domains_are_trimmed_and_small():
     assert (filters.domain_name(" Mail.Example\n"), filters.domain_name(None), len(filters.domain_name("a" * 253))) == ("mail.example", None, 253)
+
+
+def test_pairs_of_a_conflicting_id_are_dealt_to_tasks(spark, monkeypatch):
+    rows = [("s", i, "<twin>", f"r{i}", None, None, i, ("", f"a{i}@x.com")) for i in range(60)]
+    rows += [("s", i, f"<{i}>", f"r{i}", "<twin>", i % 60, i % 60, ("", "b@x.com")) for i in range(60, 100)]
+    mails = spark.createDataFrame([(*r[:4], r[4], [], "2024", *r[5:], [], []) for r in rows], "scope string, uid long, message_id string, raw_sha256 string, in_reply_to string, refs array<string>, date string, parent_uid long, thread_root_uid long, `from` struct<name:string,address:string>, to array<struct<name:string,address:string>>, cc array<struct<name:string,address:string>>")
+    monkeypatch.setattr(recipients, "SLICE_MAILS", 8)
+    monkeypatch.setattr(recipients, "TASK_PAIRS", 100)
+    found = recipients.conflict_evidence(recipients.prepare(mails)).where("cause = 'parent_id'").withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["uid"], r["candidate_uid"]) for r in found) == [(a, b) for a in range(60, 100) for b in range(60)]
+    assert all(r["differences"]["added"] == ["b@x.com"] and r["differences"]["reply_all_omitted"] == [f"a{r['candidate_uid']}@x.com"] for r in found)
+    assert len({r["task"] for r in found}) > 3
+
+
+def test_attachments_of_many_edges_are_dealt_by_their_number(spark, monkeypatch):
+    files = lambda i: [{"filename": f"f{j}", "content_type": "x/y", "size": 1, "sha256": f"h{i + j}", "original_filename": None, "undecodable": None} for j in range(5)]
+    mails = spark.createDataFrame([("s", i, f"<{i}>", f"r{i}", f"<{i - 1}>" if i else None, i - 1 if i else None, files(i)) for i in range(200)], "scope string, uid long, message_id string, raw_sha256 string, in_reply_to string, parent_uid long, attachments array<struct<filename:string,content_type:string,size:long,sha256:string,original_filename:string,undecodable:boolean>>")
+    mails = mails.selectExpr("*", "cast(array() as array<string>) refs", "'2024' date", "0L thread_root_uid", "cast(array() as array<string>) issues")
+    monkeypatch.setattr(attachments, "TASK_UNITS", 100)
+    diff = attachments.differences(attachments.prepare(mails)).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["uid"] for r in diff} == set(range(1, 200)) and len({r["task"] for r in diff}) > 10
