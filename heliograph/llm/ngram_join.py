@@ -12,7 +12,10 @@ How it runs
    if two ever did, the work starts again with another seed.
 2. *Order.*  The same kind of scan adds up a count sketch of shingles of fixed
    size.  It only orders shingles from rare to frequent; any order is exact, a
-   good one keeps widely shared passages out of the prefixes below.
+   good one keeps widely shared passages out of the prefixes below.  Where the
+   sketch is too small to tell rare from frequent, a fixed share of all hash
+   values, wider than the prefixes, is counted exactly, and those found in few
+   sets come first.  From here on a set is read from one of its rows.
 3. *Partition.*  A linking pair must share a shingle inside short prefixes of
    their ordered sets.  Short runs of a shared prefix shingle give pairs, which
    stay only if the counts of their shingles by range of hash values admit the
@@ -26,7 +29,7 @@ How it runs
    opened and verified by exact intersection.
 5. Links found in the tiles join documents to components.
 
-Only the sketch and a hashed bitmap, both of fixed size, reach the driver.  A
+Only the sketch and hashed bitmaps, all of fixed size, reach the driver.  A
 part made of very many *distinct* near copies costs a number of tiles that is
 quadratic in the part's bytes over the tile size; exact copies cost nothing.
 """
@@ -52,6 +55,8 @@ SKETCH_PARTS = 64
 #: Longer runs of a prefix shingle are chained instead of paired.
 SHORT_RUN = 32
 BITMAP_BITS = 28
+#: Shingles of more sets than RARE_SETS count as frequent; a task counts COUNTED_TOKENS, about.
+RARE_SETS, COUNTED_TOKENS = 4, 2_000_000
 #: Shingles of a block of a part: parts are cut into FEW_BLOCKS blocks at most while these stay below MOST_TILE_TOKENS.
 TILE_TOKENS, FEW_BLOCKS, MOST_TILE_TOKENS = 64_000, 8, 1_000_000
 #: Sets with more copies than HOT_COPIES, and than a HOT_SETS-th of all rows, are joined apart.
@@ -130,34 +135,75 @@ def _sketch(pieces: DataFrame) -> np.ndarray:
     return sketch
 
 
-def _prefixes(k: int, seed: int, percent: int, sketch: np.ndarray):
+def _marked(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
+
+def _fresh_sets(batches: Iterator[pa.RecordBatch], k: int, seed: int, bitmap: np.ndarray) -> Iterator[tuple]:
+    """(shingles, row of each, bounds, sizes, keys) of the rows (bit, text) whose bit is set, each set once a task; only their texts are looked at."""
+    seen: set[int] = set()
+    for batch in batches:
+        maybe = np.flatnonzero(_marked(bitmap, batch.column(0).to_numpy()))
+        for _, _, h, bounds, n, key, _, _ in _sets(batch.column(1).take(pa.array(maybe)), k, seed):
+            fresh = np.zeros(len(n), dtype=bool)
+            for i, x in enumerate(key.tolist()):
+                if n[i] and x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            row = row_of(bounds)
+            keep_ = fresh[row]
+            if keep_.any():
+                yield h[keep_], row[keep_], bounds, n, key
+
+
+def _counted(h: np.ndarray, percent: int) -> np.ndarray:
+    """The share of all hash values that is counted: two and a half times what a prefix takes."""
+    return (h & U(255)) < U(min(256, 640 * (100 - percent) // 100 + 1))
+
+
+def _tokens(k: int, seed: int, percent: int, chosen: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, *_ in _fresh_sets(batches, k, seed, chosen):
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(h[_counted(h, percent)]))], names=["token"])
+
+    return run
+
+
+def _frequent(texts: DataFrame, k: int, seed: int, percent: int, sketch: np.ndarray, chosen: np.ndarray) -> np.ndarray | None:
+    """A bitmap of the counted shingles that more than RARE_SETS sets hold, or null where the sketch tells as much."""
+    if int(sketch.sum()) <= RARE_SETS * len(sketch):
+        return None
+    # dealt before they are added up: nearly all are distinct, and so many tasks that none spills
+    tokens = texts.mapInArrow(_tokens(k, seed, percent, chosen), "token long").repartition(-(-int(sketch.sum()) // COUNTED_TOKENS), "token")
+    often = keep(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > RARE_SETS).select("token"), "ngram-frequent")
+    n_bits = min(max(often.count().bit_length() + 5, 16), BITMAP_BITS)
+    return _bitmap(often.select(F.shiftrightunsigned("token", 64 - n_bits).alias("bit")), n_bits)
+
+
+def _prefixes(k: int, seed: int, percent: int, sketch: np.ndarray, chosen: np.ndarray, frequent: np.ndarray | None):
     schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("index", pa.bool_())])
 
+    def cost(h: np.ndarray) -> np.ndarray:
+        """Rare ones first, then those that were not counted, then frequent ones; by the sketch in each."""
+        out = sketch[(h >> U(64 - SKETCH_BITS)).astype(np.int64)]
+        if frequent is None:
+            return out
+        often = _marked(frequent, (h >> U(65 - (len(frequent) * 8).bit_length())).astype(np.int64))
+        return out + np.where(_counted(h, percent), np.where(often, 2, 0), 1).astype(np.int32) * np.int32(1 << SKETCH_BITS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, h, bounds, n, key, _, _ in _sets(batch.column(0), k, seed):
-                fresh = np.zeros(len(n), dtype=bool)
-                for i, x in enumerate(key.tolist()):
-                    if n[i] and x not in seen:
-                        seen.add(x)
-                        fresh[i] = True
-                row = row_of(bounds)
-                keep_ = fresh[row]
-                h, row = h[keep_], row[keep_]
-                if not len(h):
-                    continue
-                order = np.lexsort((h, sketch[(h >> U(64 - SKETCH_BITS)).astype(np.int64)], row))
-                h = h[order]
-                first = np.searchsorted(row, np.arange(len(n)))
-                place = np.arange(len(h)) - first[row]
-                size = n[row]
-                probe = size + (-percent * size // 100) + 1
-                index = size + (-2 * percent * size // (100 + percent)) + 1
-                use = place < probe
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(h[use])), pa.array(size[use].astype(np.int32)), pa.array(_signed(key[row[use]])), pa.array(place[use] < index[use])], schema=schema
-                )
+        for h, row, _, n, key in _fresh_sets(batches, k, seed, chosen):
+            order = np.lexsort((h, cost(h), row))
+            h = h[order]
+            first = np.searchsorted(row, np.arange(len(n)))
+            place = np.arange(len(h)) - first[row]
+            size = n[row]
+            probe = size + (-percent * size // 100) + 1
+            index = size + (-2 * percent * size // (100 + percent)) + 1
+            use = place < probe
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_signed(h[use])), pa.array(size[use].astype(np.int32)), pa.array(_signed(key[row[use]])), pa.array(place[use] < index[use])], schema=schema
+            )
 
     return run
 
@@ -271,23 +317,15 @@ def _admissible(percent: int):
 
 
 def _candidates(k: int, seed: int, bitmap: np.ndarray):
-    """(key, shingles) of the rows (bit, text) whose bit is set; only their texts are looked at."""
+    """(key, shingles) of the rows (bit, text) whose bit is set."""
     schema = pa.schema([("key", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            bit = batch.column(0).to_numpy()
-            maybe = np.flatnonzero((bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-            for _, _, h, bounds, n, key, _, _ in _sets(batch.column(1).take(pa.array(maybe)), k, seed):
-                keys, blobs = [], []
-                for i, x in enumerate(key.tolist()):
-                    if n[i] and x not in seen:
-                        seen.add(x)
-                        keys.append(x)
-                        blobs.append(h[bounds[i] : bounds[i + 1]].tobytes())
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.array(keys, dtype=U))), pa.array(blobs, pa.binary())], schema=schema)
+        for h, row, _, n, key in _fresh_sets(batches, k, seed, bitmap):
+            rows = np.unique(row)
+            ends = np.searchsorted(row, rows, side="right").tolist()
+            blobs = [h[x:y].tobytes() for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[rows])), pa.array(blobs, pa.binary())], schema=schema)
 
     return run
 
@@ -301,6 +339,34 @@ def _bitmap(bits: DataFrame, n: int) -> np.ndarray:
     return bitmap
 
 
+def _id_bit(c: str, n: int):
+    return F.shiftrightunsigned(F.xxhash64(c), 64 - n)
+
+
+def _id_bitmap(first_ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the ids in ``first_id``, by which one row of each set is looked up, and its number of bits as a power of two.
+
+    More bits for more sets, at most 32 MiB; beyond that more rows pass, which are copies that count as any others or that a join drops.
+    """
+    n_bits = min(max(first_ids.count().bit_length() + 6, 16), BITMAP_BITS)
+    return _bitmap(first_ids.select(_id_bit("first_id", n_bits).alias("bit")), n_bits), n_bits
+
+
+def _with_bit(rows: DataFrame, n_bits: int) -> DataFrame:
+    return rows.select(_id_bit("doc_id", n_bits).alias("bit"), "text")
+
+
+def _met(rows: DataFrame, first_ids: DataFrame, sketch: np.ndarray, k: int, seed: int, percent: int) -> DataFrame:
+    """(a, b, chained): sets that share a shingle of their prefixes, of short runs in pairs and of long ones as chains."""
+    chosen, n_bits = _id_bitmap(first_ids)
+    texts = _with_bit(rows, n_bits)
+    frequent = _frequent(texts, k, seed, percent, sketch, chosen)
+    # only the order of the counts matters
+    sketch = np.unique(sketch, return_inverse=True)[1].astype(np.int32)
+    prefix = texts.mapInArrow(_prefixes(k, seed, percent, sketch, chosen, frequent), "token long, n int, key long, index boolean")
+    return prefix.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_runs(percent), "a long, b long, chained boolean").distinct()
+
+
 def tile_links(sets: list[np.ndarray], block: np.ndarray, tile: tuple[int, int], percent: int, copies: np.ndarray, group_rows: int = GROUP_ROWS) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
     """Links inside a tile: for each set its smallest linked position and its number of linked documents.
 
@@ -394,7 +460,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 0 < percent <= 100:
         raise ValueError("percent must lie in 1..100")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    named = rows.where("doc_id IS NOT NULL").select("text")
     spark = docs.sparkSession
     for seed in range(8):
         scan = keep(rows.mapInArrow(_members(k, seed), _MEMBERS_DDL), "ngram-sets")
@@ -405,27 +470,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     else:
         raise RuntimeError("set names collide under every seed")
     sketch = _sketch(scan.where("part IS NOT NULL").select("part", "task", "counts"))
-    # only the order of the counts matters
-    sketch = np.unique(sketch, return_inverse=True)[1].astype(np.int32)
-
-    prefix = named.mapInArrow(_prefixes(k, seed, percent, sketch), "token long, n int, key long, index boolean")
-    met = keep(
-        prefix.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_runs(percent), "a long, b long, chained boolean").distinct(),
-        "ngram-runs",
-    )
+    copies = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
+    met = keep(_met(rows.where("doc_id IS NOT NULL"), copies.select("first_id"), sketch, k, seed, percent), "ngram-runs")
     profiles = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("profile").alias("profile"))
     left = profiles.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
     right = profiles.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
     pairs = met.where("NOT chained").select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
     edges = keep(pairs.mapInArrow(_admissible(percent), "a long, b long").unionByName(met.where("chained").select("a", "b")), "ngram-edges")
     parts = keep(connected_components(edges), "ngram-parts")
-    copies = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
     inside = keep(parts.withColumnsRenamed({"node": "key", "component": "part"}).join(copies, "key"), "ngram-candidates")
-    # one row of each set is looked up by its id; more bits for more sets, at most 32 MiB, beyond which rows pass that the join drops
-    n_bits = min(max(inside.count().bit_length() + 6, 16), BITMAP_BITS)
-    bit = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - n_bits)
-    bitmap = _bitmap(inside.select(bit("first_id").alias("bit")), n_bits)
-    sets = rows.where("doc_id IS NOT NULL").select(bit("doc_id").alias("bit"), "text").mapInArrow(_candidates(k, seed, bitmap), "key long, shingles binary")
+    bitmap, n_bits = _id_bitmap(inside.select("first_id"))
+    sets = _with_bit(rows.where("doc_id IS NOT NULL"), n_bits).mapInArrow(_candidates(k, seed, bitmap), "key long, shingles binary")
     inside = inside.drop("first_id")
     tokens = F.sum("n")
     blocks = inside.groupBy("part").agg(F.greatest(F.least(F.ceil(tokens / TILE_TOKENS), F.lit(FEW_BLOCKS)), F.ceil(tokens / MOST_TILE_TOKENS)).cast("int").alias("blocks"))

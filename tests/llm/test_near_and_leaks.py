@@ -170,3 +170,27 @@ def test_contaminations_of_nothing(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminations(d, b).collect() == []
     assert decontaminate.remove_contaminated(d, b).collect() == []
+
+
+def test_shared_phrases_make_no_pairs_where_the_sketch_is_full(spark):
+    """Six hundred unrelated documents with the same phrases: a sketch that tells nothing must not let these meet."""
+    rng = random.Random(7)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(5)) for i in range(40)]
+    rows = []
+    for i in range(600):
+        own = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(8))
+        rows.append((i, " ".join(f"{own()} {p}" for p in rng.sample(phrases, 12))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    full = np.full(1 << ngram_join.SKETCH_BITS, 1000, dtype=np.int64)
+    met = ngram_join._met(docs, docs.selectExpr("doc_id AS first_id"), full, 4, 0, 85)
+    assert met.count() < 100
+    assert ngram_join.ngram_jaccard_join(docs, k=4, percent=85).where("component_id <> doc_id").count() == 0
+
+
+def test_copies_add_no_rows_to_the_prefixes(spark):
+    docs = spark.createDataFrame([(i, f"a{i % 7} b c d e f g{i % 7} h i j k") for i in range(700)], "doc_id long, text string").repartition(8)
+    chosen, bits = ngram_join._id_bitmap(spark.range(7).selectExpr("id AS first_id"))
+    sketch = np.zeros(1 << ngram_join.SKETCH_BITS, dtype=np.int32)
+    prefix = ngram_join._with_bit(docs, bits).mapInArrow(ngram_join._prefixes(4, 0, 85, sketch, chosen, None), "token long, n int, key long, index boolean")
+    assert prefix.groupBy("key", "token").count().agg({"count": "sum"}).first()[0] <= 2 * 7 * 2
+    assert {r["component_id"] for r in ngram_join.ngram_jaccard_join(docs, k=4, percent=85).collect()} == set(range(7))
