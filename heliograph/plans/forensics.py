@@ -300,6 +300,7 @@ def rcp_conflict_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recipients(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """What several queries need; a query of the mails alone does not come here."""
     prepared = keep(recipients.prepare(views.recipient_mails(spark, sf_dir)), "recipients")
     edges = keep(recipients.edges(prepared), "recipient-edges")
     return {"prepared": prepared, "edges": edges, "events": recipients.events(edges), "reviews": recipients.reviews(prepared, edges)}
@@ -336,7 +337,8 @@ def rcp_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def rcp_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = recipients.ledger(_recipients(spark, sf_dir)["prepared"])
+    # addresses of mails: no edge is compared
+    out = recipients.ledger(recipients.visible_addresses(views.recipient_mails(spark, sf_dir, edges=False)))
     return out.select("scope", "address", text_of("fields").alias("fields"), "first_uid", "first_field", "occurrence_count")
 
 
@@ -431,8 +433,13 @@ rv AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY uid
 """
 
 
+def _prepared_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep(attachments.prepare(views.attachment_mails(spark, sf_dir)), "attachments")
+
+
 def _attachments(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    prepared = keep(attachments.prepare(views.attachment_mails(spark, sf_dir)), "attachments")
+    """What several queries need; a query without differences does not come here."""
+    prepared = _prepared_attachments(spark, sf_dir)
     diff = keep(attachments.differences(prepared), "attachment-differences")
     return {"prepared": prepared, "diff": diff, "events": attachments.events(diff), "reviews": attachments.reviews(prepared)}
 
@@ -449,7 +456,7 @@ def att_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("att_reviews", duck_sql(f"WITH {_FILES} SELECT scope, seq, uid, kind, detail FROM rv"))
 def att_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _attachments(spark, sf_dir)["reviews"].select("scope", "seq", "uid", "kind", "detail")
+    return attachments.reviews(_prepared_attachments(spark, sf_dir)).select("scope", "seq", "uid", "kind", "detail")
 
 
 @register(
@@ -460,7 +467,8 @@ def att_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def att_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = attachments.ledger(_attachments(spark, sf_dir)["prepared"])
+    # contents of mails: no edge is compared
+    out = attachments.ledger(attachments.split_attachments(views.attachment_mails(spark, sf_dir, edges=False)))
     return out.select("scope", "sha256", "size", text_of("names").alias("names"), "first_uid", "occurrence_count")
 
 

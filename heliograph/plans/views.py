@@ -199,9 +199,11 @@ def _with_people(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame
     return base.withColumn("from", sender).join(lists, "uid", "left")
 
 
-def recipient_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recipient_mails(spark: SparkSession, sf_dir: str, edges: bool = True) -> DataFrame:
+    """Orders as mails with people; without ``edges`` nothing is looked up for their parent edges."""
+    base = _order_base(spark, sf_dir)
     # the state of the edges is found before the addresses are there
-    return _with_people(spark, sf_dir, gate_edges(_order_base(spark, sf_dir)).drop("in_reply_to", "refs", "subject", "thread_root_message_id"))
+    return _with_people(spark, sf_dir, (gate_edges(base) if edges else base).drop("in_reply_to", "refs", "subject", "thread_root_message_id"))
 
 
 #: Orders as mails of which one in forty shares its id with others, and some claim such an id.
@@ -218,12 +220,14 @@ def conflicted_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_people(spark, sf_dir, base)
 
 
-def attachment_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attachment_mails(spark: SparkSession, sf_dir: str, edges: bool = True) -> DataFrame:
+    """Orders as mails with files; without ``edges`` nothing is looked up for their parent edges."""
     files = run(spark, sf_dir, ORDER_FILES)
     item = F.struct("idx", F.col("name").alias("filename"), F.lit("x/y").alias("content_type"), "size", "sha256", F.lit(None).cast("string").alias("original_filename"), F.when(F.col("bad") == 1, True).alias("undecodable"))
     lists = files.groupBy("uid").agg(F.array_sort(F.collect_list(item)).alias("attachments"))
     # the state of the edges is found before the files are there, and what it was found from is not needed with them
-    base = gate_edges(_order_base(spark, sf_dir)).drop("raw_sha256", "in_reply_to", "refs", "subject", "thread_root_message_id")
+    base = _order_base(spark, sf_dir)
+    base = (gate_edges(base) if edges else base).drop("raw_sha256", "in_reply_to", "refs", "subject", "thread_root_message_id")
     return base.withColumn("issues", F.array().cast("array<string>")).join(lists, "uid", "left")
 
 

@@ -289,3 +289,20 @@ def test_attachments_of_many_edges_are_dealt_by_their_number(spark, monkeypatch)
     monkeypatch.setattr(attachments, "TASK_UNITS", 100)
     diff = attachments.differences(attachments.prepare(mails)).withColumn("task", F.spark_partition_id()).collect()
     assert {r["uid"] for r in diff} == set(range(1, 200)) and len({r["task"] for r in diff}) > 10
+
+
+def test_ledgers_and_reviews_compare_no_edges(spark, monkeypatch):
+    """What lists mails' own addresses, contents or reviews must not pay for the differences along edges."""
+    from heliograph.operators import attachments, recipients
+    from heliograph.plans import forensics, views
+
+    def refuse(*_, **__):
+        raise AssertionError("an edge was looked at")
+
+    monkeypatch.setattr(attachments, "differences", refuse)
+    monkeypatch.setattr(recipients, "edges", refuse)
+    sf_dir = "/root/testdata/sf0.001"
+    assert forensics.att_reviews(spark, sf_dir).count() > 0
+    monkeypatch.setattr(views, "gate_edges", refuse)
+    assert forensics.att_ledger(spark, sf_dir).agg({"occurrence_count": "sum"}).first()[0] > 0
+    assert forensics.rcp_ledger(spark, sf_dir).agg({"occurrence_count": "sum"}).first()[0] > 0
