@@ -35,6 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tasks_for(spark: SparkSession, rows: int, most: int) -> int:
+    """Tasks of which each gets ``most`` rows, about; of small tables so many that all cores have some.
+
+    Rows whose values repeat fit a small shuffle but not a small sort, so where
+    rows are wide or many their number decides, not the bytes of the shuffle.
+    """
+    return max(1, -(-rows // most), min(spark.sparkContext.defaultParallelism, -(-8 * rows // most)))
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table as Parquet in the shared folder and read it again.
 

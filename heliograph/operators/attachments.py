@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.operators.gate import gated, numbered
+from heliograph.lineage import tasks_for
+from heliograph.operators.gate import TASK_MAILS, gated, numbered
 from heliograph.operators.ranking import block_of
 
 EVENT_TYPES = ("added", "removed", "renamed", "content_changed")
@@ -80,6 +81,8 @@ def differences(prepared: DataFrame, scope: str = "scope") -> DataFrame:
     of_side = lambda items, side: F.transform(items, lambda x, i: F.struct(F.lit(side).alias("side"), i.alias("pos"), x["name"].alias("name"), x["sha256"].alias("sha256"), x["size"].alias("size")))
     # dealt as arrays, to so many tasks that none holds more units than it can sort in memory: equal names and digests fit a small shuffle, but not a small sort
     items = prepared.agg(F.sum(F.size("verifiable").cast("long"))).first()[0] or 0
+    tasks = tasks_for(prepared.sparkSession, prepared.count(), TASK_MAILS)
+    own, up = (x.repartition(tasks, "parent_uid", scope) for x in (own, up))
     dealt = own.join(up, ["parent_uid", scope]).where((F.size("p_items") > 0) | (F.size("c_items") > 0)).repartition(-(-2 * items // TASK_UNITS) or 1, "uid", scope)
     each = dealt.select(*edge, F.inline(F.concat(of_side("p_items", "p"), of_side("c_items", "c"))))
     count = lambda s: F.count_if(F.col("side") == s).alias(f"{s}_n")
@@ -116,7 +119,8 @@ def events(diff: DataFrame, scope: str = "scope") -> DataFrame:
     first = F.when(F.col("rank") == 0, F.col("sha256")).otherwise(F.col("filename"))
     second = F.when(F.col("rank") == 0, F.col("previous_filename")).when(F.col("rank") == 1, F.col("previous_sha256")).otherwise(F.col("sha256"))
     third = F.when(F.col("rank") == 0, F.col("filename")).otherwise(F.col("sha256"))
-    return numbered(diff.where("NOT suppressed"), scope, "uid", "rank", first, second, third, blocks=[block_of("uid")], prefix="E")
+    tasks = tasks_for(diff.sparkSession, diff.count(), TASK_UNITS)
+    return numbered(diff.where("NOT suppressed"), scope, "uid", "rank", first, second, third, blocks=[block_of("uid")], prefix="E", tasks=tasks)
 
 
 def suppressed(diff: DataFrame) -> DataFrame:
@@ -153,13 +157,18 @@ def ledger(prepared: DataFrame, scope: str = "scope") -> DataFrame:
 def email_rows(prepared: DataFrame, event_rows: DataFrame, review_rows: DataFrame, diff: DataFrame, scope: str = "scope") -> DataFrame:
     """One row a mail: counts, comparison or its reason, ids of events and reviews, number of suppressed notes."""
     none = F.array().cast("array<string>")
-    per_event = event_rows.groupBy(scope, "uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias("event_ids"))
-    per_review = review_rows.groupBy(F.col("scope").alias(scope), "uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias("review_ids"))
-    notes = suppressed(diff).groupBy(scope, "uid").agg(F.count(F.lit(1)).alias("suppressed"))
-    met = prepared.join(per_event, [scope, "uid"], "left").join(per_review, [scope, "uid"], "left").join(notes, [scope, "uid"], "left")
+    tasks = tasks_for(prepared.sparkSession, prepared.count(), TASK_MAILS)
+    ids_of = lambda rows, name: rows.select(F.col("scope").alias(scope), "uid", "seq", "id").repartition(tasks, scope, "uid").groupBy(scope, "uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias(name))
+    per_event = ids_of(event_rows.withColumnRenamed(scope, "scope"), "event_ids")
+    per_review = ids_of(review_rows, "review_ids")
+    notes = suppressed(diff).select(scope, "uid").repartition(tasks, scope, "uid").groupBy(scope, "uid").agg(F.count(F.lit(1)).alias("suppressed"))
+    # the files themselves stay where they are
+    counts = [F.coalesce(F.size("attachments"), F.lit(0)).cast("long").alias("attachment_count"), *[F.size(c).cast("long").alias(f"{c}_count") for c in ("verifiable", "undecodable")]]
+    slim = prepared.select(scope, "uid", "message_id", "thread_root_uid", "parent_uid", *counts, "compared", "skip_reason").repartition(tasks, scope, "uid")
+    met = slim.join(per_event, [scope, "uid"], "left").join(per_review, [scope, "uid"], "left").join(notes, [scope, "uid"], "left")
     return met.select(
-        F.col(scope).alias("scope"), "uid", "message_id", "thread_root_uid", "parent_uid", F.coalesce(F.size("attachments"), F.lit(0)).cast("long").alias("attachment_count"), F.size("verifiable").cast("long").alias("verifiable_count"),
-        F.size("undecodable").cast("long").alias("undecodable_count"), "compared", "skip_reason", F.coalesce("event_ids", none).alias("event_ids"), F.coalesce("review_ids", none).alias("review_ids"), F.coalesce("suppressed", F.lit(0)).cast("long").alias("suppressed"),
+        F.col(scope).alias("scope"), "uid", "message_id", "thread_root_uid", "parent_uid", "attachment_count", "verifiable_count",
+        "undecodable_count", "compared", "skip_reason", F.coalesce("event_ids", none).alias("event_ids"), F.coalesce("review_ids", none).alias("review_ids"), F.coalesce("suppressed", F.lit(0)).cast("long").alias("suppressed"),
     )
 
 

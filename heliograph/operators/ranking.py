@@ -53,12 +53,13 @@ def block_of(number: Column | str) -> Column:
     return F.floor(number / BLOCK).cast("long")
 
 
-def numbered_by_blocks(rows: DataFrame, groups: list[str], blocks: list[Column], order: list[Column | str], out: str, first: int = 0) -> DataFrame:
+def numbered_by_blocks(rows: DataFrame, groups: list[str], blocks: list[Column], order: list[Column | str], out: str, first: int = 0, tasks: int | None = None) -> DataFrame:
     """As ``numbered_from``; rows of different ``blocks`` must be in the order of these columns.
 
     The rows are computed once for the counts, without the columns that these
     do not need, and once for the numbers; counts and numbers meet in the
-    dealing by chunk that the window has anyway.
+    dealing by chunk that the window has anyway; ``tasks`` says how many it has
+    where the rows are known to be many.
     """
     chunked = rows.withColumn(_CHUNK, F.struct(*[b.alias(f"b{i}") for i, b in enumerate(blocks)]))
     counts = chunked.groupBy(*groups, _CHUNK).agg(F.count(F.lit(1)).alias("__n"))
@@ -68,5 +69,6 @@ def numbered_by_blocks(rows: DataFrame, groups: list[str], blocks: list[Column],
     for i, g in enumerate(groups):
         same &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
     inside = F.row_number().over(Window.partitionBy(*groups, _CHUNK).orderBy(*order))
-    met = chunked.withColumn("__inside", inside).join(before, same)
+    laid = chunked if tasks is None else chunked.repartition(tasks, *groups, _CHUNK)
+    met = laid.withColumn("__inside", inside).join(before, same)
     return met.withColumn(out, (F.col("__before") + F.col("__inside") - 1 + first).cast("long")).select(*[c for c in rows.columns if c != out], out)

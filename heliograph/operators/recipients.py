@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.addresses import is_list_address, malformed_reason, normalize_address, strip_text
-from heliograph.lineage import keep
-from heliograph.operators.gate import gated, id_groups, numbered
+from heliograph.lineage import keep, tasks_for
+from heliograph.operators.gate import TASK_MAILS, gated, id_groups, numbered
 from heliograph.operators.ranking import block_of
 
 EVENT_TYPES = ("added", "dropped", "role_changed", "reply_all_omitted")
@@ -21,6 +21,8 @@ REVIEW_KINDS = ("possible_mailing_list", "malformed_address", "missing_parent",
 _TEXTS = "array<string>"
 #: Mails of a claimed id in one slice, and pairs of a mail and a candidate that a task makes, about.
 SLICE_MAILS, TASK_PAIRS = 256, 500_000
+#: Events that a task numbers, about.
+TASK_EVENTS = 250_000
 
 
 def _none(kind: str = _TEXTS) -> Column:
@@ -112,6 +114,8 @@ def edges(prepared: DataFrame, scope: str = "scope") -> DataFrame:
     )
     # what the sets were made from stays with the mails
     own = prepared.where("parent_uid IS NOT NULL").drop("from", "to", "cc", "entries", "identity", "attachments", "issues", "refs", "in_reply_to", "subject", "raw_sha256", "thread_root_message_id")
+    tasks = tasks_for(prepared.sparkSession, prepared.count(), TASK_MAILS)
+    own, up = (x.repartition(tasks, "parent_uid", scope) for x in (own, up))
     met = own.join(up, ["parent_uid", scope])
     kinds = F.array_compact(F.array(F.when((F.size("hints") > 0) | F.col("p_listed"), "possible_mailing_list"), F.when((F.size("malformed") > 0) | F.col("p_malformed"), "malformed_address")))
     out = met.withColumn("edge_kinds", F.when(F.col("compared"), kinds).otherwise(_none()))
@@ -139,7 +143,9 @@ def events(edge_rows: DataFrame, scope: str = "scope") -> DataFrame:
     out = edge_rows.where("edge_compared").select(
         F.col(scope).alias("scope"), "uid", "parent_uid", "thread_root_uid", "date", F.size(F.array_union("p_from", F.array_union("p_to", "p_cc"))).cast("long").alias("parent_people"), F.size("people").cast("long").alias("child_people"), F.inline(made)
     )
-    return numbered(out, "scope", "uid", "rank", "address", blocks=[block_of("uid")], prefix="E")
+    size = sum((F.size(c).cast("long") for c in ("added", "role_changed", "dropped", "reply_all_omitted")), F.lit(0))
+    tasks = tasks_for(edge_rows.sparkSession, edge_rows.where("edge_compared").agg(F.sum(size)).first()[0] or 0, TASK_EVENTS)
+    return numbered(out, "scope", "uid", "rank", "address", blocks=[block_of("uid")], prefix="E", tasks=tasks)
 
 
 def reviews(prepared: DataFrame, edge_rows: DataFrame, scope: str = "scope") -> DataFrame:
@@ -163,7 +169,8 @@ def reviews(prepared: DataFrame, edge_rows: DataFrame, scope: str = "scope") ->
         rows(prepared.where("conflict = 'broken_edge'"), 2, "reference_conflict", "broken_edge", F.col("claimed"), candidates=F.array("claimed_uid")),
     ]
     clash = prepared.where("conflict IN ('own_id', 'parent_id')").withColumn("__id", F.when(F.col("conflict") == "own_id", F.col("message_id")).otherwise(F.col("claimed")))
-    conflicted = id_groups(prepared, scope).where("conflicted").select("message_id", scope)
+    # an id that makes a conflict is one that mails of other bytes have too
+    conflicted = clash.select(F.col("__id").alias("message_id"), scope).distinct()
     variants = prepared.select("message_id", scope, "uid").join(conflicted, ["message_id", scope], "left_semi")
     variants = variants.groupBy(F.col("message_id").alias("__id"), scope).agg(F.array_sort(F.collect_list("uid")).alias("variants"))
     parts.append(rows(clash.join(variants, [scope, "__id"]), 2, "reference_conflict", F.col("conflict"), F.col("__id"), candidates=F.col("variants")))
@@ -272,12 +279,16 @@ def ledger(prepared: DataFrame, scope: str = "scope") -> DataFrame:
 def email_rows(prepared: DataFrame, edge_rows: DataFrame, event_rows: DataFrame, review_rows: DataFrame, scope: str = "scope") -> DataFrame:
     """One row a mail: counts, whether its edge was compared or why not, and the ids of its events and reviews."""
     flags = edge_rows.select(scope, "uid", "edge_compared")
-    per = lambda rows, name: rows.groupBy(F.col("scope").alias(scope), "uid").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias(name))
-    met = prepared.join(flags, [scope, "uid"], "left").join(per(event_rows, "e"), [scope, "uid"], "left").join(per(review_rows, "r"), [scope, "uid"], "left")
+    tasks = tasks_for(prepared.sparkSession, prepared.count(), TASK_MAILS)
+    # the addresses themselves stay where they are
+    sizes = [F.size(c).cast("long").alias(name) for c, name in (("people", "visible_count"), ("c_to", "to_count"), ("c_cc", "cc_count"), ("malformed", "malformed_count"))]
+    slim, flags = (x.repartition(tasks, scope, "uid") for x in (prepared.select(scope, "uid", "message_id", "thread_root_uid", "parent_uid", *sizes, (F.size("hints") > 0).alias("list_hints"), "skip_reason"), flags))
+    per = lambda rows, name: rows.select(F.col("scope").alias(scope), "uid", "seq", "id").repartition(tasks, scope, "uid").groupBy(scope, "uid").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias(name))
+    met = slim.join(flags, [scope, "uid"], "left").join(per(event_rows, "e"), [scope, "uid"], "left").join(per(review_rows, "r"), [scope, "uid"], "left")
     ids = lambda c: F.coalesce(F.transform(c, lambda x: x["id"]), _none())
     return met.select(
-        F.col(scope).alias("scope"), "uid", "message_id", "thread_root_uid", "parent_uid", F.size("people").cast("long").alias("visible_count"), F.size("c_to").cast("long").alias("to_count"), F.size("c_cc").cast("long").alias("cc_count"),
-        F.size("malformed").cast("long").alias("malformed_count"), (F.size("hints") > 0).alias("list_hints"), F.coalesce("edge_compared", F.lit(False)).alias("compared"), "skip_reason", ids("e").alias("event_ids"), ids("r").alias("review_ids"),
+        F.col(scope).alias("scope"), "uid", "message_id", "thread_root_uid", "parent_uid", "visible_count", "to_count", "cc_count",
+        "malformed_count", "list_hints", F.coalesce("edge_compared", F.lit(False)).alias("compared"), "skip_reason", ids("e").alias("event_ids"), ids("r").alias("review_ids"),
     )
 
 

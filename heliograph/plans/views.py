@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.addresses import domain_of
+from heliograph.lineage import tasks_for
 from heliograph.operators.gate import gate_edges
 
 _TABLES = ("conversations", "documents", "orders", "lineitem", "customer", "nation", "supplier", "pages", "events")
+#: Lines of orders that a task sorts, about.
+TASK_LINES = 250_000
 
 
 def spark_sql(text: str) -> str:
@@ -30,9 +33,15 @@ def duck_sql(text: str) -> str:
     return re.sub(r"\bSHA\(((?:[^()]|\([^()]*\))*)\)", r"sha256(\1)", text)
 
 
-def run(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """A shared formula over the tables that it names, without registering views."""
+def _line_tasks(spark: SparkSession, sf_dir: str) -> int:
+    return tasks_for(spark, spark.read.parquet(f"{sf_dir}/lineitem.parquet").count(), TASK_LINES)
+
+
+def run(spark: SparkSession, sf_dir: str, text: str, line_tasks: int | None = None) -> DataFrame:
+    """A shared formula over the tables that it names, without registering views; the lines of an order are dealt to ``line_tasks`` if given."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\b{t}\b", text)}
+    if line_tasks and "lineitem" in used:
+        used["lineitem"] = used["lineitem"].repartition(line_tasks, "l_orderkey")
     for t in used:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(spark_sql(text), **used)
@@ -192,18 +201,19 @@ def timing_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_people(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame:
-    people = run(spark, sf_dir, ORDER_PEOPLE)
+    tasks = _line_tasks(spark, sf_dir)
+    people = run(spark, sf_dir, ORDER_PEOPLE, tasks)
     one = F.struct("pos", F.struct(F.concat(F.lit("n "), "address").alias("name"), "address").alias("a"))
     lists = people.groupBy("uid").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, one))), lambda x: x["a"]).alias(f.lower()) for f in ("To", "Cc")])
     sender = F.struct(F.lit("").alias("name"), F.concat(F.lit("c"), F.col("o_custkey") % 7, F.lit("@Y.Example")).alias("address"))
-    return base.withColumn("from", sender).join(lists, "uid", "left")
+    return base.withColumn("from", sender).repartition(tasks, "uid").join(lists, "uid", "left")
 
 
 def recipient_mails(spark: SparkSession, sf_dir: str, edges: bool = True) -> DataFrame:
     """Orders as mails with people; without ``edges`` nothing is looked up for their parent edges."""
     base = _order_base(spark, sf_dir)
     # the state of the edges is found before the addresses are there
-    return _with_people(spark, sf_dir, (gate_edges(base) if edges else base).drop("in_reply_to", "refs", "subject", "thread_root_message_id"))
+    return _with_people(spark, sf_dir, (gate_edges(base) if edges else base).drop("raw_sha256", "in_reply_to", "refs", "subject", "thread_root_message_id"))
 
 
 #: Orders as mails of which one in forty shares its id with others, and some claim such an id.
@@ -217,18 +227,19 @@ FROM ({ORDER_MAILS}) x
 
 def conflicted_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = run(spark, sf_dir, CONFLICT_MAILS).withColumn("refs", F.array().cast("array<string>")).withColumn("subject", F.lit(None).cast("string"))
-    return _with_people(spark, sf_dir, base)
+    return _with_people(spark, sf_dir, gate_edges(base))
 
 
 def attachment_mails(spark: SparkSession, sf_dir: str, edges: bool = True) -> DataFrame:
     """Orders as mails with files; without ``edges`` nothing is looked up for their parent edges."""
-    files = run(spark, sf_dir, ORDER_FILES)
+    tasks = _line_tasks(spark, sf_dir)
+    files = run(spark, sf_dir, ORDER_FILES, tasks)
     item = F.struct("idx", F.col("name").alias("filename"), F.lit("x/y").alias("content_type"), "size", "sha256", F.lit(None).cast("string").alias("original_filename"), F.when(F.col("bad") == 1, True).alias("undecodable"))
     lists = files.groupBy("uid").agg(F.array_sort(F.collect_list(item)).alias("attachments"))
     # the state of the edges is found before the files are there, and what it was found from is not needed with them
     base = _order_base(spark, sf_dir)
     base = (gate_edges(base) if edges else base).drop("raw_sha256", "in_reply_to", "refs", "subject", "thread_root_message_id")
-    return base.withColumn("issues", F.array().cast("array<string>")).join(lists, "uid", "left")
+    return base.withColumn("issues", F.array().cast("array<string>")).repartition(tasks, "uid").join(lists, "uid", "left")
 
 
 # --------------------------------------------------------------- declared identity

@@ -306,3 +306,17 @@ def test_ledgers_and_reviews_compare_no_edges(spark, monkeypatch):
     monkeypatch.setattr(views, "gate_edges", refuse)
     assert forensics.att_ledger(spark, sf_dir).agg({"occurrence_count": "sum"}).first()[0] > 0
     assert forensics.rcp_ledger(spark, sf_dir).agg({"occurrence_count": "sum"}).first()[0] > 0
+
+
+def test_edges_and_events_are_dealt_by_the_number_of_mails(spark, monkeypatch):
+    rows = [("s", i, f"<{i}>", i - 1 if i else None, f"<{i - 1}>" if i else None, [], "0" * 63 + str(i % 10), 0, None, [("", f"a{i}@x.example")]) for i in range(12)]
+    mails = spark.createDataFrame(rows, "scope string, uid long, message_id string, parent_uid long, in_reply_to string, refs array<string>, raw_sha256 string, thread_root_uid long, date string, to array<struct<name:string,address:string>>")
+    mails = mails.withColumn("from", F.struct(F.lit("").alias("name"), F.lit("f@y.example").alias("address"))).withColumn("cc", F.array().cast("array<struct<name:string,address:string>>"))
+    monkeypatch.setattr(recipients, "TASK_MAILS", 1)
+    monkeypatch.setattr(recipients, "TASK_EVENTS", 2)
+    edges = recipients.edges(recipients.prepare(mails))
+    assert edges.count() == 11 and edges.where("edge_compared").count() == 11
+    assert "hashpartitioning(parent_uid" in (plan := edges._jdf.queryExecution().executedPlan().toString()) and ", 12), REPARTITION_BY_NUM" in plan
+    events = recipients.events(edges)
+    assert ", 17), REPARTITION_BY_NUM" in events._jdf.queryExecution().executedPlan().toString()
+    assert [r["seq"] for r in events.orderBy("seq").collect()] == list(range(1, 34))
