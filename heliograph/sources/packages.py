@@ -43,6 +43,8 @@ class Limits:
 #: Declared bytes of the mails that a task reads of one package, and tasks at most.
 PART_BYTES = 64 << 20
 MOST_TASKS = 20_000
+#: Mails and declared bytes of small packages that a task reads, about.
+TASK_MAILS, TASK_BYTES = 2_000, 16 << 20
 #: Bytes or mails that the reader gathers before it hands them to Spark.
 _BATCH_BYTES, _BATCH_MAILS = 16 << 20, 200
 _SMALL = 1 << 16
@@ -219,8 +221,19 @@ def parts(entries: DataFrame, broken: DataFrame) -> DataFrame:
     order = Window.partitionBy("package").orderBy("entry_idx")
     mails = entries.where("entry_idx >= 0").where(is_mail(F.col("name"))).join(broken.select("package"), "package", "left_anti")
     numbered = mails.withColumn("uid", F.row_number().over(order) - 1).withColumn("__part", F.floor(F.sum("size").over(order) / PART_BYTES))
-    runs = numbered.groupBy("package", "__part").agg(F.array_sort(F.collect_list("entry_idx")).alias("entries"), F.min("uid").cast("long").alias("first_uid"))
-    return runs.select("package", F.lit(None).cast("binary").alias("content"), "entries", "first_uid")
+    runs = numbered.groupBy("package", "__part").agg(F.array_sort(F.collect_list("entry_idx")).alias("entries"), F.min("uid").cast("long").alias("first_uid"), F.sum("size").alias("bytes"))
+    return runs.select("package", F.lit(None).cast("binary").alias("content"), "entries", "first_uid", "bytes")
+
+
+def reading_tasks(runs: DataFrame) -> int:
+    """How many tasks read the runs: as many as cores at least, as many as their mails and bytes ask for, and no more than runs.
+
+    The runs are small rows that stand for much work; of small packages a task
+    reads many, since starting a task costs more than such a package.
+    """
+    n, mails, size = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("entries").cast("long")), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    asked = max(runs.sparkSession.sparkContext.defaultParallelism, -(-mails // TASK_MAILS), -(-size // TASK_BYTES))
+    return max(1, min(n, asked, MOST_TASKS))
 
 
 _READ = f"package string, entry_idx int, error string, {PARSED}, uid bigint"
@@ -239,8 +252,7 @@ def read_mails(packages: DataFrame, limits: Limits = Limits()) -> DataFrame:
         tasks = _source(packages).join(broken.select("package"), "package", "left_anti").withColumn("entries", F.lit(None).cast("array<int>")).withColumn("first_uid", F.lit(0).cast("long"))
     else:
         runs = keep(parts(entries, broken), "runs")
-        # the runs are small rows that stand for much work, so their number decides how many tasks there are
-        tasks = runs.repartition(max(1, min(runs.count(), MOST_TASKS)))
+        tasks = runs.repartition(reading_tasks(runs)).drop("bytes")
     read = keep(tasks.mapInPandas(_mails(limits), _READ), "read")
     lying = read.where("error IS NOT NULL").select("package").distinct()
     return values_of_headers(read.join(lying, "package", "left_anti").drop("error"))

@@ -347,3 +347,10 @@ def test_package_with_one_lying_entry_gives_no_mail_and_harms_no_other(spark):
     df = spark.createDataFrame([("bad", out.getvalue()), ("good", sound)], "package string, content binary").coalesce(1)
     assert packages.violations(packages.scan(df)).collect() == []
     assert [(r.package, r.message_id) for r in packages.read_mails(df).collect()] == [("good", "<good@x.org>")]
+
+
+def test_small_packages_share_tasks(spark):
+    runs = spark.range(500).selectExpr("'p' || id package", "cast(null as binary) content", "array(0, 1) entries", "0L first_uid", "100L bytes")
+    assert packages.reading_tasks(runs) == spark.sparkContext.defaultParallelism
+    assert packages.reading_tasks(runs.withColumn("bytes", F.lit(64 << 20))) == 500
+    assert packages.reading_tasks(runs.limit(1)) == 1 and packages.reading_tasks(runs.limit(0)) == 1
