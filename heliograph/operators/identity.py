@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.functions.addresses import is_forward
-from heliograph.lineage import cut
+from heliograph.lineage import cut, keep
 from heliograph.operators.gate import numbered
 from heliograph.operators.ranking import block_of, numbered_from
 from heliograph.operators.recipients import list_hints
@@ -86,35 +86,66 @@ def check_mails(prepared: DataFrame) -> DataFrame:
 def ancestor_domains(prepared: DataFrame, scope: str = "scope") -> DataFrame:
     """(scope, uid, seen_domains): distinct From domains of all ancestors of every reply, by doubling.
 
-    A mail's set over 2k ancestors is the union of its set over k and that of
-    the ancestor it then points at, so rounds grow with the logarithm of depth;
-    sets hold distinct domains, not chains.
+    A mail's set over 2k mails upwards, itself included, is the union of its set
+    over k and that of the mail it then points at, so rounds grow with the
+    logarithm of depth; sets hold distinct domains, not chains.  Mails that have
+    come to their root are only looked up from then on.
     """
-    up = prepared.select(scope, F.col("uid").alias("at"), F.col("f_domain").alias("d"), F.col("parent_uid").alias("next"))
-    now = prepared.where("parent_uid IS NOT NULL").select(scope, "uid", F.col("parent_uid").alias("at")).join(up, [scope, "at"])
-    now = cut(now.select(scope, "uid", F.array_compact(F.array("d")).alias("seen_domains"), F.col("next").alias("at")))
-    while now.where("at IS NOT NULL").limit(1).count():
-        ahead = now.select(scope, F.col("uid").alias("at"), F.col("seen_domains").alias("more"), F.col("at").alias("next"))
-        # a pointer at mail x stands for the ancestors below x; x's own domain comes with x
-        own = up.select(scope, "at", F.array_compact(F.array("d")).alias("own_domain"))
-        met = now.join(ahead, [scope, "at"], "left").join(own, [scope, "at"], "left")
-        none = F.array().cast(_TEXTS)
-        now = cut(met.select(scope, "uid", F.array_union("seen_domains", F.array_union(F.coalesce("own_domain", none), F.coalesce("more", none))).alias("seen_domains"), F.col("next").alias("at")))
-    return now.select(scope, "uid", "seen_domains")
-
-
-def reply_changes(prepared: DataFrame, scope: str = "scope") -> DataFrame:
-    """Edges on which the From domain changes, and edges on which it cannot be told (``missing``)."""
-    parent = prepared.select(scope, F.col("uid").alias("parent_uid"), F.col("f_present").alias("p_present"), F.col("f_domain").alias("p_domain"), F.col("f_name").alias("p_name"), F.col("f_address").alias("p_address"))
-    met = prepared.where("parent_uid IS NOT NULL").join(parent, [scope, "parent_uid"])
-    missing = ~F.col("f_present") | ~F.col("p_present")
-    changed = F.col("f_domain") != F.col("p_domain")
-    met = met.withColumn("missing", missing).where(missing | changed).join(ancestor_domains(prepared, scope), [scope, "uid"], "left")
-    seen = F.array_contains(F.coalesce("seen_domains", F.array().cast(_TEXTS)), F.col("f_domain"))
+    none = F.array().cast(_TEXTS)
+    now = prepared.select(scope, "uid", F.array_compact(F.array("f_domain")).alias("domains"), F.col("parent_uid").alias("at"))
+    done, open_ = now.where("at IS NULL"), now.where("at IS NOT NULL")
+    while open_.limit(1).count():
+        ahead = done.unionByName(open_).select(scope, F.col("uid").alias("at"), F.col("domains").alias("more"), F.col("at").alias("next"))
+        met = open_.join(ahead, [scope, "at"], "left")
+        now = cut(met.select(scope, "uid", F.array_union("domains", F.coalesce("more", none)).alias("domains"), F.col("next").alias("at")))
+        done, open_ = done.unionByName(now.where("at IS NULL")), now.where("at IS NOT NULL")
+    above = done.select(scope, F.col("uid").alias("parent_uid"), F.col("domains").alias("seen_domains"))
+    return prepared.where("parent_uid IS NOT NULL").select(scope, "uid", "parent_uid").join(above, [scope, "parent_uid"]).select(scope, "uid", "seen_domains")
+
+
+def _with_parent(prepared: DataFrame, scope: str, own: list[str], up: dict[str, str]) -> DataFrame:
+    parent = prepared.select(scope, F.col("uid").alias("parent_uid"), *[F.col(c).alias(name) for c, name in up.items()])
+    return prepared.where("parent_uid IS NOT NULL").select(scope, "uid", "parent_uid", *own).join(parent, [scope, "parent_uid"])
+
+
+def unusable_edges(prepared: DataFrame, scope: str = "scope") -> DataFrame:
+    """Edges on which a change of the From domain cannot be told, as one end has no From."""
+    met = _with_parent(prepared, scope, ["f_present"], {"f_present": "p_present"})
+    return met.where("NOT f_present OR NOT p_present").select(F.col(scope).alias("scope"), "uid", "parent_uid")
+
+
+def reply_changes(prepared: DataFrame, scope: str = "scope", place: str = "thread_pos") -> DataFrame:
+    """Edges on which the From domain changes, and whether an ancestor had the new domain (``seen_before``).
+
+    ``place`` numbers the mails of a thread, ancestors first.  A domain whose
+    first mail in the thread comes no earlier was not seen.  If every later mail
+    hangs under the mail before it or under one no earlier than that first mail,
+    then the first mail is an ancestor of all of them, so the domain was seen.
+    Only threads where neither decides are followed upwards.
+    """
+    mails = prepared.withColumn("place", F.col(place))
+    own = ["root_uid", "place", "f_present", "f_domain", "f_name", "f_address", "signals"]
+    met = _with_parent(mails, scope, own, {"f_present": "p_present", "f_domain": "p_domain", "f_name": "p_name", "f_address": "p_address", "place": "p_place"})
+    changed = F.coalesce(F.col("f_present") & F.col("p_present") & (F.col("f_domain") != F.col("p_domain")), F.lit(False))
+    aside = F.coalesce(F.col("p_place") != F.col("place") - 1, F.lit(True))
     same_name = F.coalesce(F.col("f_name") == F.col("p_name"), F.lit(False))
-    status = F.when(seen | (same_name & (F.size("signals") == 0)), "observed").otherwise("needs_review")
-    return met.select(
-        F.col(scope).alias("scope"), "uid", "parent_uid", "root_uid", "missing", "f_address", "f_domain", "p_address", "p_domain", same_name.alias("same_name"), F.coalesce(seen, F.lit(False)).alias("seen_before"), F.lit(True).alias("parent_established"), status.alias("status")
+    met = met.select(
+        scope, "uid", "parent_uid", "root_uid", "place", "p_place", "f_address", "f_domain", "p_address", "p_domain", same_name.alias("same_name"), (F.size("signals") == 0).alias("plain"), changed.alias("changed"), aside.alias("aside")
+    )
+    met = keep(met.where("changed OR aside"), "identity-edges")
+    bent = met.where("aside").groupBy(scope, "root_uid").agg(F.min("p_place").alias("bent"))
+    first = mails.where("f_domain IS NOT NULL").groupBy(scope, "root_uid", "f_domain").agg(F.min("place").alias("first"))
+    told = met.where("changed").join(first, [scope, "root_uid", "f_domain"]).join(bent, [scope, "root_uid"], "left")
+    under = F.col("bent").isNull() | (F.col("first") <= F.col("bent"))
+    told = keep(told.withColumn("seen", F.when(F.col("first") >= F.col("place"), False).when(under, True)).drop("first", "bent", "changed", "aside", "p_place"), "identity-changes")
+    unclear = told.where("seen IS NULL")
+    if unclear.limit(1).count():
+        inside = keep(mails.select(scope, "root_uid", "uid", "parent_uid", "f_domain").join(unclear.select(scope, "root_uid").distinct(), [scope, "root_uid"], "left_semi"), "identity-unclear")
+        followed = unclear.join(ancestor_domains(inside, scope), [scope, "uid"], "left").withColumn("seen", F.coalesce(F.array_contains("seen_domains", F.col("f_domain")), F.lit(False)))
+        told = told.where("seen IS NOT NULL").unionByName(followed.select(*told.columns))
+    status = F.when(F.col("seen") | (F.col("same_name") & F.col("plain")), "observed").otherwise("needs_review")
+    return told.select(
+        F.col(scope).alias("scope"), "uid", "parent_uid", "root_uid", "place", "f_address", "f_domain", "p_address", "p_domain", "same_name", F.col("seen").alias("seen_before"), F.lit(True).alias("parent_established"), status.alias("status")
     )
 
 
@@ -127,6 +158,15 @@ def thread_drifts(prepared: DataFrame, scope: str = "scope") -> DataFrame:
     return groups.where(F.size("domains") > 1).withColumn("status", F.lit("needs_review"))
 
 
+def finding_columns(checked: DataFrame, scope: str = "scope", place: str = "thread_pos") -> DataFrame:
+    """What ``findings`` and ``thread_reports`` read of checked mails: few values instead of all their headers."""
+    signed_by = F.transform(F.col("identity")["dkim"], lambda d: F.struct(d["d"].alias("d"), d["i_domain"].alias("i_domain")))
+    return checked.select(
+        scope, "uid", "parent_uid", "root_uid", place, "date", "f_present", "f_address", "f_name", "f_domain", "m_domain", "signals", F.transform("mismatched", lambda m: F.struct(m["domain"].alias("domain"))).alias("mismatched"),
+        F.struct(signed_by.alias("dkim")).alias("identity"), *[f"{c}_{part}" for c in CHECKS for part in ("status", "match")],
+    )
+
+
 def findings(checked: DataFrame, scope: str = "scope", place: str = "thread_pos") -> DataFrame:
     """All findings, numbered: mails by uid (mismatch, id, DKIM), then thread by thread (changes in reading order, drifts by address).
 
@@ -142,26 +182,25 @@ def findings(checked: DataFrame, scope: str = "scope", place: str = "thread_pos"
             F.col("uid").alias("place"), F.lit(rank).alias("rank"), F.lit("").alias("address"), "root_uid", domains.alias("domains"),
         )
 
-    keep = lambda x: F.array_sort(F.array_distinct(F.array_compact(x)))
+    distinct = lambda x: F.array_sort(F.array_distinct(F.array_compact(x)))
     parts = [
-        of_mail(a, 0, keep(F.concat(F.array("f_domain"), F.transform("mismatched", lambda m: m["domain"])))),
-        of_mail(b, 1, keep(F.array("m_domain", "f_domain"))),
-        of_mail(c, 2, keep(F.concat(F.array("f_domain"), F.transform(F.col("identity")["dkim"], lambda d: _set(d["d"])), F.transform(F.col("identity")["dkim"], lambda d: _set(d["i_domain"]))))),
+        of_mail(a, 0, distinct(F.concat(F.array("f_domain"), F.transform("mismatched", lambda m: m["domain"])))),
+        of_mail(b, 1, distinct(F.array("m_domain", "f_domain"))),
+        of_mail(c, 2, distinct(F.concat(F.array("f_domain"), F.transform(F.col("identity")["dkim"], lambda d: _set(d["d"])), F.transform(F.col("identity")["dkim"], lambda d: _set(d["i_domain"]))))),
     ]
     roots = checked.where("parent_uid IS NULL").select(base, F.col("uid").alias("root_uid"), F.coalesce("date", F.lit("")).alias("__date"))
     roots = numbered_from(roots, ["scope"], ["__date", "root_uid"], "thread_rank", first=1).drop("__date")
-    changes = reply_changes(checked, scope).where("NOT missing").join(checked.select(base, "uid", F.col(place).alias("place")), ["scope", "uid"])
-    parts.append(
-        changes.join(roots, ["scope", "root_uid"]).select(
+    of_threads = [
+        reply_changes(checked, scope, place).join(roots, ["scope", "root_uid"]).select(
             "scope", F.lit("reply_identity_change").alias("type"), F.lit("thread").alias("level"), "status", F.array("uid", "parent_uid").alias("node_uids"), F.lit(1).alias("phase"), "thread_rank", F.lit(0).alias("part"), "place", F.lit(0).alias("rank"),
             F.lit("").alias("address"), "root_uid", F.array_sort(F.array("f_domain", "p_domain")).alias("domains"),
-        )
-    )
-    parts.append(
+        ),
         thread_drifts(checked, scope).join(roots, ["scope", "root_uid"]).select(
             "scope", F.lit("message_id_domain_drift").alias("type"), F.lit("thread").alias("level"), "status", "node_uids", F.lit(1).alias("phase"), "thread_rank", F.lit(1).alias("part"), F.lit(0).cast("long").alias("place"), F.lit(0).alias("rank"), "address", "root_uid", "domains"
-        )
-    )
+        ),
+    ]
+    # they are counted and then numbered, but joined once
+    parts.append(keep(of_threads[0].unionByName(of_threads[1]), "identity-threads"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -187,7 +226,7 @@ def review_flags(checked: DataFrame, scope: str = "scope") -> DataFrame:
         rows(anomalies, 0, 2, "header_parse_anomaly", F.col("a.detail"), F.array("a.header"), F.col("pos")),
         rows(missing.where(F.size("lacking") > 0), 0, 3, "missing_header", F.array_join("lacking", ","), F.col("lacking")),
     ]
-    edges = reply_changes(checked, scope).where("missing").select(F.col("scope"), "uid", F.lit(1).alias("phase"), F.lit(0).alias("rank"), F.lit(0).alias("pos"), F.lit("missing_header").alias("kind"), F.concat(F.lit("parent:"), F.col("parent_uid").cast("string")).alias("detail"), words("From", "In-Reply-To").alias("headers"))
+    edges = unusable_edges(checked, scope).select(F.col("scope"), "uid", F.lit(1).alias("phase"), F.lit(0).alias("rank"), F.lit(0).alias("pos"), F.lit("missing_header").alias("kind"), F.concat(F.lit("parent:"), F.col("parent_uid").cast("string")).alias("detail"), words("From", "In-Reply-To").alias("headers"))
     out = parts[0]
     for part in [*parts[1:], edges]:
         out = out.unionByName(part)
