@@ -14,8 +14,9 @@ How it runs
    size.  It only orders shingles from rare to frequent; any order is exact, a
    good one keeps widely shared passages out of the prefixes below.  Where the
    sketch is too small to tell rare from frequent, a fixed share of all hash
-   values, wider than the prefixes, is counted exactly, and those found in few
-   sets come first.  From here on a set is read from one of its rows.
+   values, wider than the prefixes, is counted, and those found in few sets
+   come first; those found in one set only need not meet any other.  From here
+   on a set is read from one of its rows.
 3. *Partition.*  A linking pair must share a shingle inside short prefixes of
    their ordered sets.  Short runs of a shared prefix shingle give pairs, which
    stay only if the counts of their shingles by range of hash values admit the
@@ -55,7 +56,7 @@ SKETCH_PARTS = 64
 #: Longer runs of a prefix shingle are chained instead of paired.
 SHORT_RUN = 32
 BITMAP_BITS = 28
-#: Shingles of more sets than RARE_SETS count as frequent; a task counts COUNTED_TOKENS, about.
+#: Shingles of more sets than RARE_SETS count as frequent; a part or a blob has COUNTED_TOKENS of them at most, about.
 RARE_SETS, COUNTED_TOKENS = 4, 2_000_000
 #: Shingles of a block of a part: parts are cut into FEW_BLOCKS blocks at most while these stay below MOST_TILE_TOKENS.
 TILE_TOKENS, FEW_BLOCKS, MOST_TILE_TOKENS = 64_000, 8, 1_000_000
@@ -161,49 +162,106 @@ def _counted(h: np.ndarray, percent: int) -> np.ndarray:
     return (h & U(255)) < U(min(256, 640 * (100 - percent) // 100 + 1))
 
 
-def _tokens(k: int, seed: int, percent: int, chosen: np.ndarray):
+def _rest(h: np.ndarray) -> np.ndarray:
+    """32 bits of a hash, none of which decides whether or where it is counted."""
+    return (h >> U(8)) & U(0xFFFFFFFF)
+
+
+def _tokens(k: int, seed: int, percent: int, chosen: np.ndarray, parts: int):
+    """Counted shingles of a task by the part that counts them, a blob of sorted 32-bit rests each; more than RARE_SETS + 1 of one are no news."""
+    schema = pa.schema([("part", pa.int32()), ("tokens", pa.binary())])
+
+    def packed(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(waiting)
+        both = (((h >> U(40)) * U(parts)) >> U(24)) << U(32) | _rest(h)
+        both.sort()
+        few = np.ones(len(both), dtype=bool)
+        few[RARE_SETS + 1 :] = both[RARE_SETS + 1 :] != both[: -RARE_SETS - 1]
+        both = both[few]
+        names, start = np.unique(both >> U(32), return_index=True)
+        blobs = [x.astype("<u4").tobytes() for x in np.split(both & U(0xFFFFFFFF), start[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for h, *_ in _fresh_sets(batches, k, seed, chosen):
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(h[_counted(h, percent)]))], names=["token"])
+            waiting.append(h[_counted(h, percent)])
+            size += len(waiting[-1])
+            if size > COUNTED_TOKENS:
+                yield packed(waiting)
+                waiting, size = [], 0
+        if size:
+            yield packed(waiting)
 
     return run
 
 
-def _frequent(texts: DataFrame, k: int, seed: int, percent: int, sketch: np.ndarray, chosen: np.ndarray) -> np.ndarray | None:
-    """A bitmap of the counted shingles that more than RARE_SETS sets hold, or null where the sketch tells as much."""
+def _repeated(key: tuple, table: pa.Table) -> pa.Table:
+    """The shingles of a part that more than one set holds, and whether more than RARE_SETS do."""
+    tokens = np.concatenate([np.frombuffer(x.as_buffer(), dtype="<u4") for x in table.column("tokens")])
+    names, sets = np.unique(tokens, return_counts=True)
+    more = sets > 1
+    return pa.table({"token": pa.array(names[more].astype(np.int64)), "often": pa.array(sets[more] > RARE_SETS)})
+
+
+def _frequent(texts: DataFrame, k: int, seed: int, percent: int, sketch: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Bitmaps of the counted shingles that several sets hold and of those that more than RARE_SETS hold; null where the sketch tells as much."""
     if int(sketch.sum()) <= RARE_SETS * len(sketch):
         return None
-    # dealt before they are added up: nearly all are distinct, and so many tasks that none spills
-    tokens = texts.mapInArrow(_tokens(k, seed, percent, chosen), "token long").repartition(-(-int(sketch.sum()) // COUNTED_TOKENS), "token")
-    often = keep(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > RARE_SETS).select("token"), "ngram-frequent")
-    n_bits = min(max(often.count().bit_length() + 5, 16), BITMAP_BITS)
-    return _bitmap(often.select(F.shiftrightunsigned("token", 64 - n_bits).alias("bit")), n_bits)
+    parts = -(-int(sketch.sum()) // COUNTED_TOKENS)
+    # a row is a task's shingles of a part: the counts of hundreds of millions are sorts of plain arrays, not rows
+    tokens = texts.mapInArrow(_tokens(k, seed, percent, chosen, parts), "part int, tokens binary").repartition(parts, "part")
+    shared = keep(tokens.groupBy("part").applyInArrow(_repeated, "token long, often boolean"), "ngram-shared")
+
+    def marked(rows: DataFrame, spare: int) -> np.ndarray:
+        n_bits = min(max(rows.count().bit_length() + spare, 16), BITMAP_BITS)
+        return _bitmap(rows.select(F.shiftrightunsigned("token", 32 - n_bits).alias("bit")), n_bits)
+
+    return marked(shared, 3), marked(shared.where("often"), 5)
+
+
+def _has(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return _marked(bitmap, (_rest(h) >> U(33 - (len(bitmap) * 8).bit_length())).astype(np.int64))
+
+
+def _in_order(row: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Positions by row, cost and place; rows come in order."""
+    n = len(row)
+    place_bits, cost_bits = n.bit_length(), int(cost.max()).bit_length()
+    if int(row[-1]).bit_length() + cost_bits + place_bits > 64:
+        return np.lexsort((np.arange(n), cost, row))
+    # one sort of plain numbers
+    both = row.astype(U) << U(cost_bits + place_bits) | cost.astype(U) << U(place_bits) | np.arange(n, dtype=U)
+    both.sort()
+    return (both & U((1 << place_bits) - 1)).astype(np.int64)
 
 
-def _prefixes(k: int, seed: int, percent: int, sketch: np.ndarray, chosen: np.ndarray, frequent: np.ndarray | None):
+def _prefixes(k: int, seed: int, percent: int, sketch: np.ndarray, chosen: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None):
+    """The prefixes' shingles, apart from those that are known to be in one set only: they have their places, but meet no other."""
     schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("key", pa.int64()), ("index", pa.bool_())])
 
     def cost(h: np.ndarray) -> np.ndarray:
         """Rare ones first, then those that were not counted, then frequent ones; by the sketch in each."""
         out = sketch[(h >> U(64 - SKETCH_BITS)).astype(np.int64)]
-        if frequent is None:
+        if known is None:
             return out
-        often = _marked(frequent, (h >> U(65 - (len(frequent) * 8).bit_length())).astype(np.int64))
-        return out + np.where(_counted(h, percent), np.where(often, 2, 0), 1).astype(np.int32) * np.int32(1 << SKETCH_BITS)
+        return out + np.where(_counted(h, percent), np.where(_has(known[1], h), 2, 0), 1).astype(np.int32) * np.int32(1 << SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, row, _, n, key in _fresh_sets(batches, k, seed, chosen):
-            order = np.lexsort((h, cost(h), row))
-            h = h[order]
+            # the shingles of a row come in order of their hashes
+            h = h[_in_order(row, cost(h))]
             first = np.searchsorted(row, np.arange(len(n)))
             place = np.arange(len(h)) - first[row]
             size = n[row]
             probe = size + (-percent * size // 100) + 1
+            use = np.flatnonzero(place < probe)
+            if known is not None:
+                met = h[use]
+                use = use[~_counted(met, percent) | _has(known[0], met)]
+            size, place, row_ = size[use], place[use], row[use]
             index = size + (-2 * percent * size // (100 + percent)) + 1
-            use = place < probe
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(h[use])), pa.array(size[use].astype(np.int32)), pa.array(_signed(key[row[use]])), pa.array(place[use] < index[use])], schema=schema
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(h[use])), pa.array(size.astype(np.int32)), pa.array(_signed(key[row_])), pa.array(place < index)], schema=schema)
 
     return run
 
@@ -360,10 +418,10 @@ def _met(rows: DataFrame, first_ids: DataFrame, sketch: np.ndarray, k: int, seed
     """(a, b, chained): sets that share a shingle of their prefixes, of short runs in pairs and of long ones as chains."""
     chosen, n_bits = _id_bitmap(first_ids)
     texts = _with_bit(rows, n_bits)
-    frequent = _frequent(texts, k, seed, percent, sketch, chosen)
+    known = _frequent(texts, k, seed, percent, sketch, chosen)
     # only the order of the counts matters
     sketch = np.unique(sketch, return_inverse=True)[1].astype(np.int32)
-    prefix = texts.mapInArrow(_prefixes(k, seed, percent, sketch, chosen, frequent), "token long, n int, key long, index boolean")
+    prefix = texts.mapInArrow(_prefixes(k, seed, percent, sketch, chosen, known), "token long, n int, key long, index boolean")
     return prefix.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(_runs(percent), "a long, b long, chained boolean").distinct()
 
 

@@ -187,6 +187,27 @@ def test_shared_phrases_make_no_pairs_where_the_sketch_is_full(spark):
     assert ngram_join.ngram_jaccard_join(docs, k=4, percent=85).where("component_id <> doc_id").count() == 0
 
 
+def test_shingles_of_one_set_only_are_not_dealt(spark, monkeypatch):
+    """Where the sketch is full, prefixes deal what may meet (op1's CPU seconds), and the join stays that of brute force."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(300)]
+    for i in range(300, 340):
+        words = rows[i - 300][1].split()
+        words[rng.randrange(60)] = "other"
+        rows.append((i, " ".join(words + ["and", "more"][: i % 3])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    full = np.full(1 << ngram_join.SKETCH_BITS, 1000, dtype=np.int64)
+    chosen, bits = ngram_join._id_bitmap(docs.selectExpr("doc_id AS first_id"))
+    texts = ngram_join._with_bit(docs, bits)
+    known = ngram_join._frequent(texts, 4, 0, 80, np.full(1 << ngram_join.SKETCH_BITS, 20, dtype=np.int64), chosen)
+    prefix = texts.mapInArrow(ngram_join._prefixes(4, 0, 80, full.astype(np.int32), chosen, known), "token long, n int, key long, index boolean")
+    assert 40 <= prefix.count() < 2600  # of about 4500 places
+    monkeypatch.setattr(ngram_join, "_sketch", lambda _: np.full(1 << ngram_join.SKETCH_BITS, 20, dtype=np.int64))
+    got = ngram_join.ngram_jaccard_join(docs, k=4, percent=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == brute_join(rows, 4, 80)[0]
+    assert len({r.component_id for r in got}) == 300
+
+
 def test_copies_add_no_rows_to_the_prefixes(spark):
     docs = spark.createDataFrame([(i, f"a{i % 7} b c d e f g{i % 7} h i j k") for i in range(700)], "doc_id long, text string").repartition(8)
     chosen, bits = ngram_join._id_bitmap(spark.range(7).selectExpr("id AS first_id"))
