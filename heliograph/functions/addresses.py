@@ -75,9 +75,13 @@ def strip_text(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def is_list_address(key: Column) -> Column:
-    """Whether a normalised address looks like a list or a robot."""
-    local = F.lower(F.substring_index(key, "@", 1))
+def has_list_address(keys: Column) -> Column:
+    """Whether one of the normalised addresses looks like that of a list or a robot; each local part is made once."""
+    return F.exists(F.transform(keys, lambda k: F.lower(F.substring_index(k, "@", 1))), is_list_local)
+
+
+def is_list_local(local: Column) -> Column:
+    """Whether a local part in small letters is one that lists and robots use."""
     out = local.isin(*LIST_EXACT)
     for p in LIST_PREFIXES:
         out = out | local.startswith(p)

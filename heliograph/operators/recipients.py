@@ -7,10 +7,12 @@ on either side, are reported for review instead of giving events.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.functions.addresses import is_list_address, malformed_reason, normalize_address, strip_text
+from heliograph.functions.addresses import has_list_address, malformed_reason, normalize_address, strip_text
 from heliograph.lineage import keep, tasks_for
 from heliograph.operators.gate import TASK_MAILS, gated, id_groups, numbered
 from heliograph.operators.ranking import block_of
@@ -43,22 +45,23 @@ def visible_addresses(mails: DataFrame) -> DataFrame:
 
     empty = F.array().cast("array<struct<field:string,name:string,address:string>>")
     raw = F.concat(F.coalesce(sender, empty), F.coalesce(listed("to", "To"), empty), F.coalesce(listed("cc", "Cc"), empty))
-    keyed = F.transform(raw, lambda x: F.struct(x["field"].alias("field"), x["name"].alias("name"), strip_text(x["address"]).alias("raw"), normalize_address(strip_text(x["address"])).alias("key")))
-    out = mails.withColumn("__seen", keyed)
+    # each step is a column of its own, so that nothing is worked out again for every address
+    stripped = F.transform(raw, lambda x: F.struct(x["field"].alias("field"), x["name"].alias("name"), strip_text(x["address"]).alias("raw")))
+    keyed = F.transform(stripped, lambda x: F.struct(x["field"].alias("field"), x["name"].alias("name"), x["raw"].alias("raw"), normalize_address(x["raw"]).alias("key")))
+    out = mails.withColumn("__seen", keyed).withColumn("__good", F.filter("__seen", lambda x: x["key"].isNotNull()))
+    out = out.withColumn("__keys", F.col("__good.key"))
 
     def keys(field: str) -> Column:
-        return F.sort_array(F.array_distinct(F.transform(F.filter("__seen", lambda x: (x["field"] == field) & x["key"].isNotNull()), lambda x: x["key"])))
+        return F.sort_array(F.array_distinct(F.filter("__good", lambda x: x["field"] == field)["key"]))
 
-    good = F.filter("__seen", lambda x: x["key"].isNotNull())
-    all_keys = F.transform(good, lambda x: x["key"])
-    first = F.filter(F.transform(good, lambda x, i: F.struct(x["key"].alias("key"), x["name"].alias("name"), x["field"].alias("field"), (F.array_position(all_keys, x["key"]) == i + 1).alias("first"))), lambda x: x["first"])
+    first = F.filter(F.transform("__good", lambda x, i: F.struct(x["key"].alias("key"), x["name"].alias("name"), x["field"].alias("field"), (F.array_position("__keys", x["key"]) == i + 1).alias("first"))), lambda x: x["first"])
     bad = F.transform(F.filter("__seen", lambda x: x["key"].isNull() & (x["raw"] != "")), lambda x: F.struct(x["field"].alias("field"), x["raw"].alias("raw"), x["name"].alias("name"), malformed_reason(x["raw"]).alias("reason")))
     out = out.withColumn("c_from", keys("From")).withColumn("c_to", keys("To")).withColumn("c_cc", keys("Cc"))
-    out = out.withColumn("people", F.sort_array(F.array_distinct(F.concat("c_from", "c_to", "c_cc"))))
-    return out.withColumn("entries", first).withColumn("malformed", bad).drop("__seen")
+    out = out.withColumn("people", F.sort_array(F.array_distinct("__keys")))
+    return out.withColumn("entries", first).withColumn("malformed", bad).drop("__seen", "__good", "__keys")
 
 
-def list_hints(identity: Column, entries: Column, group_syntax: bool = True) -> Column:
+def list_hints(identity: Column, keys: Column | None, group_syntax: bool = True) -> Column:
     """Signs of a mailing list as short codes, in a fixed order."""
     sent_by, reply_to, froms = identity["sender"], identity["reply_to"], identity["from"]
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
@@ -72,20 +75,20 @@ def list_hints(identity: Column, entries: Column, group_syntax: bool = True) ->
     ]
     if group_syntax:
         hints.append(F.when(F.coalesce(F.exists(froms, lambda e: F.coalesce(e["raw"].rlike(r":[^;]*;"), F.lit(False))), F.lit(False)), "from_group_syntax"))
-    if entries is not None:
-        hints.append(F.when(F.exists(entries, lambda e: is_list_address(e["key"])), "list_shaped_address"))
+    if keys is not None:
+        hints.append(F.when(has_list_address(keys), "list_shaped_address"))
     return F.array_compact(F.array(*hints))
 
 
 def prepare(mails: DataFrame, scope: str = "scope") -> DataFrame:
     """Visible addresses, list hints and the state of the parent edge of every mail."""
     out = visible_addresses(gated(mails, scope))
-    hints = list_hints(F.col("identity"), F.col("entries")) if "identity" in mails.columns else list_hints_of_addresses(F.col("entries"))
+    hints = list_hints(F.col("identity"), F.col("people")) if "identity" in mails.columns else list_hints_of_addresses(F.col("people"))
     return out.withColumn("hints", hints)
 
 
-def list_hints_of_addresses(entries: Column) -> Column:
-    return F.array_compact(F.array(F.when(F.exists(entries, lambda e: is_list_address(e["key"])), "list_shaped_address")))
+def list_hints_of_addresses(keys: Column) -> Column:
+    return F.array_compact(F.array(F.when(has_list_address(keys), "list_shaped_address")))
 
 
 def set_difference(p: str = "p_", c: str = "c_") -> dict[str, Column]:
@@ -224,7 +227,7 @@ def _pairs_of_conflicts(asked: DataFrame, parents: DataFrame) -> DataFrame:
     return dealt[0].join(dealt[1], [*key, "__slice"]).drop("__slice")
 
 
-def conflict_evidence(prepared: DataFrame, scope: str = "scope") -> DataFrame:
+def conflict_evidence(prepared: DataFrame, scope: str = "scope", show: Callable[[Column], Column] | None = None, kinds: tuple[str, ...] = EVENT_TYPES) -> DataFrame:
     """What stands beside a mail whose parent is missing, broken or in conflict.
 
     One row for each such mail and each candidate parent: ``child`` and
@@ -233,22 +236,30 @@ def conflict_evidence(prepared: DataFrame, scope: str = "scope") -> DataFrame:
     as an event.  A mail without candidates has one row with nulls; so has one
     whose own id is in conflict, as its variants have no order: they are the
     rows of ``message_id`` in ``conflict_variants``.
+
+    ``show`` gives the sets another form, once a mail and not once a pair;
+    ``kinds`` are the differences that are wanted.
     """
-    base = [F.col(scope).alias("scope"), "uid"]
+    show = show or (lambda c: c)
+    fields = ("from", "to", "cc")
+    seen = lambda side: [show(F.col(f"c_{f}")).alias(f"__{side}_{f}") for f in fields]
+    shown = lambda side: F.struct(*[F.col(f"__{side}_{f}").alias(f) for f in fields])
     asked = prepared.where("skip_reason IN ('missing_parent', 'reference_conflict')").select(
-        *base, F.coalesce("conflict", "skip_reason").alias("cause"), "message_id", "claimed", "claimed_uid", "c_from", "c_to", "c_cc"
+        F.col(scope).alias("scope"), "uid", F.coalesce("conflict", "skip_reason").alias("cause"), "message_id", "claimed", "claimed_uid", "c_from", "c_to", "c_cc", F.col("people").alias("c_people"), *seen("c")
     )
     parents = prepared.select(
-        F.col(scope).alias("scope"), F.col("uid").alias("candidate_uid"), F.col("message_id").alias("candidate_id"), F.col("date").alias("candidate_date"), F.col("raw_sha256").alias("candidate_sha256"), F.col("c_from").alias("p_from"), F.col("c_to").alias("p_to"), F.col("c_cc").alias("p_cc")
+        F.col(scope).alias("scope"), F.col("uid").alias("candidate_uid"), F.col("message_id").alias("candidate_id"), F.col("date").alias("candidate_date"), F.col("raw_sha256").alias("candidate_sha256"), F.col("c_from").alias("p_from"), F.col("c_to").alias("p_to"), F.col("c_cc").alias("p_cc"), F.col("people").alias("p_people"), *seen("p")
     )
+    # people are sorted sets, and so are their differences
+    made = set_difference() | {"added": F.array_except("c_people", "p_people"), "reply_all_omitted": F.array_except("p_people", "c_people")}
+    differences = F.struct(*[made[k].alias(k) for k in ("added", "role_changed", "dropped", "reply_all_omitted") if k in kinds])
+    there = F.col("candidate_uid").isNotNull()
     one = asked.where("cause = 'broken_edge'").join(parents, (asked["scope"] == parents["scope"]) & (asked["claimed_uid"] == parents["candidate_uid"]), "left").drop(parents["scope"])
-    one = one.withColumns(set_difference()).withColumn("differences", F.when(F.col("candidate_uid").isNotNull(), F.struct("added", "role_changed", "dropped", "reply_all_omitted")))
-    one = one.withColumn("candidate", F.when(F.col("candidate_uid").isNotNull(), _sets("p_")))
-    many = _pairs_of_conflicts(asked.where("cause = 'parent_id'"), parents).withColumns(set_difference())
-    many = many.withColumn("differences", F.struct("added", "role_changed", "dropped", "reply_all_omitted")).withColumn("candidate", _sets("p_"))
+    one = one.withColumn("differences", F.when(there, differences)).withColumn("candidate", F.when(there, shown("p")))
+    many = _pairs_of_conflicts(asked.where("cause = 'parent_id'"), parents).withColumn("differences", differences).withColumn("candidate", shown("p"))
     met = one.unionByName(many)
     none = asked.where("cause IN ('missing_parent', 'own_id')")
-    columns = ["scope", "uid", "cause", "message_id", "claimed", _sets("c_").alias("child"), "candidate_uid", "candidate_date", "candidate_sha256", "candidate", "differences"]
+    columns = ["scope", "uid", "cause", "message_id", "claimed", shown("c").alias("child"), "candidate_uid", "candidate_date", "candidate_sha256", "candidate", "differences"]
     return met.select(*columns).unionByName(none.select(*columns[:6]), allowMissingColumns=True)
 
 

@@ -284,17 +284,19 @@ _CHANGED = "SELECT string_agg({0}.key, ',' ORDER BY {0}.key) FROM {1} {0} WHERE
     ),
 )
 def rcp_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = keep(recipients.prepare(views.conflicted_mails(spark, sf_dir)), "conflicted")
-    e = recipients.conflict_evidence(prepared)
+    prepared = keep(recipients.prepare(views.conflicted_mails(spark, sf_dir)).drop("from", "to", "cc", "entries"), "conflicted")
+    # the pairs are very many: texts are made once a mail, and only the differences that are listed
+    listed = lambda c: F.array_join(c, ",")
+    e = recipients.conflict_evidence(prepared, show=listed, kinds=("added", "reply_all_omitted"))
     return e.select(
-        "scope", "uid", "cause", "claimed", text_of("child.to").alias("child_to"), text_of("child.cc").alias("child_cc"), "candidate_uid", text_of("candidate.to").alias("candidate_to"), text_of("candidate.cc").alias("candidate_cc"),
-        text_of("differences.added").alias("added"), text_of("differences.reply_all_omitted").alias("omitted"),
+        "scope", "uid", "cause", "claimed", F.col("child.to").alias("child_to"), F.col("child.cc").alias("child_cc"), "candidate_uid", F.col("candidate.to").alias("candidate_to"), F.col("candidate.cc").alias("candidate_cc"),
+        listed("differences.added").alias("added"), listed("differences.reply_all_omitted").alias("omitted"),
     )
 
 
 @register("rcp_conflict_variants", duck_sql(f"WITH {_CONFLICTS} SELECT m.scope, m.message_id, ids.n::BIGINT AS variant_count, m.uid, m.raw_sha256, s.to_set AS to_set, s.cc_set AS cc_set FROM m JOIN ids ON ids.scope = m.scope AND ids.message_id = m.message_id JOIN sets s ON s.uid = m.uid WHERE ids.n > 1"))
 def rcp_conflict_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared = keep(recipients.prepare(views.conflicted_mails(spark, sf_dir)), "conflicted")
+    prepared = keep(recipients.prepare(views.conflicted_mails(spark, sf_dir)).drop("from", "to", "cc", "entries"), "conflicted")
     v = recipients.conflict_variants(prepared)
     return v.select("scope", "message_id", "variant_count", "uid", "raw_sha256", text_of("sets.to").alias("to_set"), text_of("sets.cc").alias("cc_set"))
 

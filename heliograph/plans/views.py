@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.functions.addresses import domain_of
-from heliograph.lineage import tasks_for
+from heliograph.lineage import keep, tasks_for
 from heliograph.operators.gate import gate_edges
 
 _TABLES = ("conversations", "documents", "orders", "lineitem", "customer", "nation", "supplier", "pages", "events")
@@ -226,7 +226,8 @@ FROM ({ORDER_MAILS}) x
 
 
 def conflicted_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = run(spark, sf_dir, CONFLICT_MAILS).withColumn("refs", F.array().cast("array<string>")).withColumn("subject", F.lit(None).cast("string"))
+    # the edges' state reads the mails several times, their windows run once
+    base = keep(run(spark, sf_dir, CONFLICT_MAILS), "conflict-mails").withColumn("refs", F.array().cast("array<string>")).withColumn("subject", F.lit(None).cast("string"))
     return _with_people(spark, sf_dir, gate_edges(base))
 
 

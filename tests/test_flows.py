@@ -369,3 +369,17 @@ def test_edges_and_events_are_dealt_by_the_number_of_mails(spark, monkeypatch):
     events = recipients.events(edges)
     assert ", 17), REPARTITION_BY_NUM" in events._jdf.queryExecution().executedPlan().toString()
     assert [r["seq"] for r in events.orderBy("seq").collect()] == list(range(1, 34))
+
+
+def test_pairs_of_a_conflicting_id_carry_what_was_made_once_a_mail(spark):
+    """Sets get their form before the pairs are made, and a local part is made once for all signs of a list."""
+    mails = spark.createDataFrame([("s", i, "<twin>" if i < 3 else f"<{i}>", f"r{i}", None if i < 3 else "<twin>", [], "2024", None if i < 3 else 0, 0, ("", f"a{i}@x.com"), people("List-x@y.com" if i == 4 else "b@x.com"), []) for i in range(5)], RCP)
+    p = recipients.prepare(mails)
+    assert {r["uid"]: r["hints"] for r in p.collect()}[4] == ["list_shaped_address"]
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("substring_index(lambda") < 4
+    found = recipients.conflict_evidence(p, show=lambda c: F.array_join(c, ";"), kinds=("added",)).where("cause = 'parent_id'")
+    assert sorted((r["uid"], r["candidate_uid"], r["child"]["to"], r["candidate"]["from"], r["differences"].asDict()) for r in found.collect()) == [
+        (u, c, "b@x.com" if u == 3 else "List-x@y.com", f"a{c}@x.com", {"added": [f"a{u}@x.com"] if u == 3 else ["List-x@y.com", f"a{u}@x.com"]}) for u in (3, 4) for c in range(3)
+    ]
+    plan = found.select("child")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("array_join(")
