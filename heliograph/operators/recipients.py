@@ -130,6 +130,11 @@ def _fields_of(side: str, address: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.array_contains(F.col(f"{side}{f.lower()}"), address), f) for f in ("From", "To", "Cc")]))
 
 
+def _changes() -> Column:
+    """How many events an edge gives if it counts."""
+    return sum((F.size(c).cast("long") for c in ("added", "role_changed", "dropped", "reply_all_omitted")), F.lit(0))
+
+
 def events(edge_rows: DataFrame, scope: str = "scope") -> DataFrame:
     """Events of the compared edges: by mail, then added, role_changed, dropped, omitted, each by address."""
     shape = "array<struct<rank:int,type:string,address:string,from_role:string,to_role:string,fields:array<string>>>"
@@ -146,8 +151,7 @@ def events(edge_rows: DataFrame, scope: str = "scope") -> DataFrame:
     out = edge_rows.where("edge_compared").select(
         F.col(scope).alias("scope"), "uid", "parent_uid", "thread_root_uid", "date", F.size(F.array_union("p_from", F.array_union("p_to", "p_cc"))).cast("long").alias("parent_people"), F.size("people").cast("long").alias("child_people"), F.inline(made)
     )
-    size = sum((F.size(c).cast("long") for c in ("added", "role_changed", "dropped", "reply_all_omitted")), F.lit(0))
-    tasks = tasks_for(edge_rows.sparkSession, edge_rows.where("edge_compared").agg(F.sum(size)).first()[0] or 0, TASK_EVENTS)
+    tasks = tasks_for(edge_rows.sparkSession, edge_rows.where("edge_compared").agg(F.sum(_changes())).first()[0] or 0, TASK_EVENTS)
     return numbered(out, "scope", "uid", "rank", "address", blocks=[block_of("uid")], prefix="E", tasks=tasks)
 
 
@@ -309,6 +313,16 @@ def thread_summaries(rows: DataFrame) -> DataFrame:
     )
 
 
+def thread_counts(prepared: DataFrame, edge_rows: DataFrame, scope: str = "scope") -> DataFrame:
+    """The counts of ``thread_summaries`` where ids are not asked for: nothing is numbered, sorted or met by mail."""
+    key, number = [F.col(scope).alias("scope"), "thread_root_uid"], lambda c: c.cast("long")
+    once = lambda c: number(F.coalesce(c, F.lit(False)))
+    own = F.size("malformed").cast("long") + once(F.size("hints") > 0) + once(F.col("skip_reason") == "missing_parent") + once(F.col("conflict").isNotNull())
+    mails = prepared.select(*key, number(F.lit(1)).alias("emails"), number(F.lit(0)).alias("events"), own.alias("reviews"))
+    along = edge_rows.select(*key, number(F.lit(0)).alias("emails"), F.when(F.col("edge_compared"), _changes()).otherwise(0).alias("events"), once(F.size("edge_kinds") > 0).alias("reviews"))
+    return mails.unionByName(along).groupBy("scope", "thread_root_uid").agg(F.sum("emails").alias("email_count"), F.sum("events").alias("event_count"), F.sum("reviews").alias("review_count"))
+
+
 def stats(rows: DataFrame, edge_rows: DataFrame, event_rows: DataFrame, review_rows: DataFrame, addresses: DataFrame, scope: str = "scope") -> DataFrame:
     """The measures of each scope, zeros included."""
     changed = (F.size("added") > 0) | (F.size("dropped") > 0) | (F.size("role_changed") > 0) | (F.size("reply_all_omitted") > 0)

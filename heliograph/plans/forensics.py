@@ -368,8 +368,10 @@ def rcp_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def rcp_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _recipients(spark, sf_dir)
-    return recipients.thread_summaries(recipients.email_rows(r["prepared"], r["edges"], r["events"], r["reviews"])).drop("node_uids")
+    # what is counted needs no texts, names or differences that are kept
+    prepared = recipients.prepare(views.recipient_mails(spark, sf_dir))
+    prepared = keep(prepared.select("scope", "uid", "parent_uid", "message_id", "thread_root_uid", "c_from", "c_to", "c_cc", "hints", "malformed", "skip_reason", "conflict", "compared"), "recipients")
+    return recipients.thread_counts(prepared, recipients.edges(prepared))
 
 
 @register(

@@ -212,8 +212,8 @@ def _with_people(spark: SparkSession, sf_dir: str, base: DataFrame) -> DataFrame
 def recipient_mails(spark: SparkSession, sf_dir: str, edges: bool = True) -> DataFrame:
     """Orders as mails with people; without ``edges`` nothing is looked up for their parent edges."""
     base = _order_base(spark, sf_dir)
-    # the state of the edges is found before the addresses are there
-    return _with_people(spark, sf_dir, (gate_edges(base) if edges else base).drop("raw_sha256", "in_reply_to", "refs", "subject", "thread_root_message_id"))
+    # the state of the edges is found before the addresses are there; it reads the mails several times, their windows run once
+    return _with_people(spark, sf_dir, (gate_edges(keep(base, "order-mails")) if edges else base).drop("raw_sha256", "in_reply_to", "refs", "subject", "thread_root_message_id"))
 
 
 #: Orders as mails of which one in forty shares its id with others, and some claim such an id.

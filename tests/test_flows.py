@@ -383,3 +383,24 @@ def test_pairs_of_a_conflicting_id_carry_what_was_made_once_a_mail(spark):
     ]
     plan = found.select("child")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("array_join(")
+
+
+def test_threads_are_counted_without_numbers(spark, monkeypatch):
+    from heliograph.plans import forensics
+
+    rows = [
+        ("s", 0, "<0>", "h0", None, [], "1", None, 0, ("A", "a@X.com"), people("b@x.com", "c@x.com"), people("d@x.com")), ("s", 1, "<1>", "h1", "<0>", [], "2", 0, 0, ("", "b@x.com"), people("a@x.com", "d@x.com"), people("e@x.com")),
+        ("s", 2, "<2>", "h2", "<gone>", [], "3", 0, 0, ("", "b@x.com"), people("a@x.com"), []), ("s", 3, "<3>", "h3", "<1>", [], "4", 1, 0, ("", "owner@x.com"), people("bad address"), []),
+        ("s", 4, "<1>", "other", "<0>", [], "5", None, 4, ("", "z@x.com"), [], []), ("s", 5, "<5>", "h5", "<0>", [], "6", 0, 0, None, people("list-a@x.com"), []),
+    ]
+    p = recipients.prepare(spark.createDataFrame(rows, RCP))
+    e = recipients.edges(p)
+    long = recipients.thread_summaries(recipients.email_rows(p, e, recipients.events(e), recipients.reviews(p, e))).drop("node_uids")
+    counts = [tuple(r) for r in recipients.thread_counts(p, e).orderBy("thread_root_uid").collect()]
+    assert counts == [tuple(r) for r in long.orderBy("thread_root_uid").collect()] and counts[0][3] > 4
+
+    def refuse(*_, **__):
+        raise AssertionError("something was numbered")
+
+    monkeypatch.setattr(recipients, "numbered", refuse)
+    assert forensics.rcp_threads(spark, "/root/testdata/sf0.001").agg({"email_count": "sum"}).first()[0] == 1500
