@@ -170,8 +170,10 @@ found AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY
 
 
 def _timing(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Timed mails, read from their lines once, and their findings."""
     mails = views.timing_mails(spark, sf_dir)
-    return mails, timing.findings(mails, limits=WEEK)
+    timed = keep(timing.slim(mails), "timed")
+    return timed, timing.findings(mails, limits=WEEK, prepared=timed, contents=views.run(spark, sf_dir, views.ORDER_MAILS))
 
 
 @register("tim_findings", duck_sql(f"WITH {_TIMING} SELECT scope, seq, type, uid, value_us::BIGINT AS value_us, time_us::BIGINT AS time_us, hop_from, hop_to FROM found"))
@@ -203,7 +205,8 @@ def tim_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def tim_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timing.stats(*_timing(spark, sf_dir))
+    timed, found = _timing(spark, sf_dir)
+    return timing.stats(timed, found)
 
 
 @register(

@@ -404,3 +404,17 @@ def test_threads_are_counted_without_numbers(spark, monkeypatch):
 
     monkeypatch.setattr(recipients, "numbered", refuse)
     assert forensics.rcp_threads(spark, "/root/testdata/sf0.001").agg({"email_count": "sum"}).first()[0] == 1500
+
+
+def test_chains_are_compared_only_of_ids_of_several_contents(spark, monkeypatch):
+    rows = [("s", 0, "<a>", "x", at(0), None, [hop(0, at(3))]), ("s", 1, "<a>", "x", at(0), None, [hop(0, at(1), host="g")]), ("s", 2, "", "y", at(9), 0, [hop(0, at(1))])]
+    mails = spark.createDataFrame(rows, TIMED)
+    other = mails.unionByName(spark.createDataFrame([("s", 3, "<a>", "z", at(0), None, [hop(0, at(0), host="f")])], TIMED))
+    found = timing.findings(other, prepared=timing.slim(other), contents=other.select("scope", "message_id", "raw_sha256"))
+    assert [r["node_uids"] for r in found.where("type = 'chain_mismatch'").collect()] == [[0, 1, 3]]
+
+    def refuse(*_, **__):
+        raise AssertionError("chains were compared")
+
+    monkeypatch.setattr(timing, "chain_mismatches", refuse)
+    assert [r["type"] for r in timing.findings(mails).orderBy("seq").collect()] == ["client_clock_skew"] * 1 + ["client_clock_skew"]
