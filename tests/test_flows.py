@@ -418,3 +418,12 @@ def test_chains_are_compared_only_of_ids_of_several_contents(spark, monkeypatch)
 
     monkeypatch.setattr(timing, "chain_mismatches", refuse)
     assert [r["type"] for r in timing.findings(mails).orderBy("seq").collect()] == ["client_clock_skew"] * 1 + ["client_clock_skew"]
+
+
+def test_findings_of_other_types_do_not_meet_the_mails(spark, monkeypatch):
+    from heliograph.plans import forensics
+
+    met, timeline = [], timing.timeline
+    monkeypatch.setattr(timing, "timeline", lambda mails, found, *a: met.append(found) or timeline(mails, found, *a))
+    forensics.qry_timeline_range(spark, "/root/testdata/sf0.001")
+    assert [r["type"] for r in met[0].select("type").distinct().collect()] == ["hop_time_inversion"]
